@@ -13,9 +13,8 @@ below keeps the work spread out:
    rows – and turn the counts into offsets;
 4. rank = offset + position − first position of the group in the partition.
 
-The tagged rows are checkpointed into the shared checkpoint folder before the
-counts are taken, so the counts and the positions come from one computation
-even if executors are lost in between.
+The tagged rows are checkpointed before the counts are taken, so counts and
+positions come from one computation even if executors are lost in between.
 """
 
 from __future__ import annotations
@@ -27,18 +26,22 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Rows of the per-partition statistics table that may be broadcast.
-# The table has at most (partitions + groups - 1) rows of a few longs each.
-MAX_BROADCAST_STAT_ROWS = 2_000_000
-
 
 def rank_within(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
                 name: str = "rank", size_name: str | None = None,
-                num_partitions: int | None = None) -> DataFrame:
-    """Add a 1-based dense-free rank (``row_number`` semantics) of each row
-    within its ``by`` group, ordered by ``order``. ``order`` must be a total
-    order (end it with a unique key) for the result to be deterministic.
-    ``size_name`` also attaches the group size."""
+                num_partitions: int | None = None, groups_bounded: bool | None = None) -> DataFrame:
+    """Add a 1-based rank (``row_number`` semantics) of each row within its
+    ``by`` group, ordered by ``order``. ``order`` must be a total order (end
+    it with a unique key). ``size_name`` also attaches the group size.
+
+    The tagged rows (narrow: the caller passes only keys and ids) are
+    written once to the reliable checkpoint folder, so the counts and the
+    positions are read from the same materialised rows. (Two reads of an
+    unmaterialised range shuffle may sample different range bounds.) The
+    statistics table has at most ``partitions + groups - 1`` rows; it is
+    broadcast when the number of groups is known to be small
+    (``groups_bounded``; default: only when ``by`` is empty), otherwise AQE
+    chooses the join from its measured size."""
     by = list(by)
     keys = [F.col(b).asc_nulls_first() for b in by] + list(order)
     ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
@@ -61,8 +64,8 @@ def rank_within(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
                          *[F.col(b).alias(r) for b, r in renamed.items()],
                          "_first", "_off", *([size_name] if size_name else []))
 
-    n_stats = stats.count()
-    right = F.broadcast(stats) if n_stats <= MAX_BROADCAST_STAT_ROWS else stats
+    small = (not by) if groups_bounded is None else groups_bounded
+    right = F.broadcast(stats) if small else stats
     cond = [F.col("_pid") == F.col("_spid")] + [F.col(b).eqNullSafe(F.col(r)) for b, r in renamed.items()]
     out = tagged.join(right, cond, "inner")
     out = out.withColumn(name, F.col("_off") + F.col("_loc") - F.col("_first") + 1)

@@ -84,15 +84,29 @@ def _scorer(bc, by: list[str], keep: list[str], vec_col: str, out_col: str):
 def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
                    id_col: str = "video_id", vec_col: str = "fea",
                    out_col: str = "similarity", strategy: str = "auto",
-                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+                   dim: int | None = None) -> DataFrame:
     """For every pool row: the largest cosine similarity to any anchor of the
     same ``by`` group, or -1 when the group has no anchors.
-    Output columns: ``by…, id_col, out_col`` (one row per pool row)."""
+    Output columns: ``by…, id_col, out_col`` (one row per pool row).
+
+    With ``dim`` (the vector width) known, the size check and the collection
+    are one bounded fetch: at most ``max_broadcast_bytes / (8 dim) + 1`` rows
+    are pulled; more than that means "too big" and switches to blocks."""
     by = list(by)
     spark = pool.sparkSession
     anc = anchors.select(*by, F.col(vec_col).cast("array<double>").alias(vec_col))
-    meta = anc.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-    n, d = int(meta["n"]), int(meta["d"] or 0)
+    fetched = None
+    if dim:
+        cap = max(1, max_broadcast_bytes // (8 * dim))
+        fetched = anc.limit(cap + 1).toPandas()
+        n, d = len(fetched), dim
+        if n > cap:
+            fetched = None
+            n = anc.count()
+    else:
+        meta = anc.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+        n, d = int(meta["n"]), int(meta["d"] or 0)
     est = n * max(d, 1) * 8
     keep = by + [id_col]
     fields = [pool.schema[c] for c in keep] + [T.StructField(out_col, T.DoubleType(), False)]
@@ -104,7 +118,8 @@ def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
     if strategy == "broadcast":
         if est > max_broadcast_bytes:
             raise ValueError(f"anchor matrix ~{est} bytes exceeds {max_broadcast_bytes}")
-        bc = spark.sparkContext.broadcast(_anchor_groups(anc.toPandas(), by, vec_col))
+        pdf = fetched if fetched is not None else anc.toPandas()
+        bc = spark.sparkContext.broadcast(_anchor_groups(pdf, by, vec_col))
         return src.mapInPandas(_scorer(bc, by, keep, vec_col, out_col), schema)
 
     # blocked: each block passes the broadcast size check on its own
@@ -136,9 +151,11 @@ def topk(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ())
 
 
 def top_fraction(df: DataFrame, fraction: float, order: Sequence[Column],
-                 by: Sequence[str] = (), rank_col: str = "rank") -> DataFrame:
+                 by: Sequence[str] = (), rank_col: str = "rank",
+                 groups_bounded: bool | None = None) -> DataFrame:
     """The ``floor(n * fraction)`` first rows of each group (``int(n*0.3)`` in
     the reference). The limit depends on the group size, so this uses the
     two-level rank rather than a window over whole groups."""
-    ranked = rank_within(df, order, by=by, name=rank_col, size_name="_gn")
+    ranked = rank_within(df, order, by=by, name=rank_col, size_name="_gn",
+                         groups_bounded=groups_bounded)
     return ranked.filter(F.col(rank_col) <= F.floor(F.col("_gn") * F.lit(fraction))).drop("_gn")

@@ -79,6 +79,7 @@ class ALData:
     test: DataFrame    # video_id, y, fea
     init_sums: DataFrame  # fold, y, n, vsum: model of each fold run before any selection
     k: int             # ids selected per round
+    dim: int | None = None  # width of the fused vector
     extra: dict = field(default_factory=dict)
 
 
@@ -97,7 +98,8 @@ def prepare(items: DataFrame, train_ids: DataFrame, test_ids: DataFrame,
     test = base.join(test_ids.select("video_id").distinct(), "video_id").select("video_id", "y", "fea")
     init = _mark(kfold_sums(train, cfg.k_folds), cfg)
     k = cfg.pool_size if cfg.pool_size is not None else int(_round_half_up(pool.count() * cfg.pool_share))
-    return ALData(train, pool, test, init, k)
+    first = pool.select(F.size("fea").alias("d")).first()
+    return ALData(train, pool, test, init, k, dim=int(first["d"]) if first else None)
 
 
 def _round_half_up(x: float) -> int:
@@ -118,12 +120,13 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
     val = _val_scores(data, sums, cfg)
     cur = binary_metrics(val, "y", "pred", ["fold"]).select("fold", F.col("f1").alias("cur_f1"))
     anchors = top_fraction(val.select("fold", "video_id", "entropy", "fea"), cfg.anchor_share,
-                           [F.col("entropy").desc(), F.col("video_id").asc()], by=["fold"])
+                           [F.col("entropy").desc(), F.col("video_id").asc()], by=["fold"],
+                           groups_bounded=True)
 
     cand = (data.pool.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
             .join(state.select("fold", "video_id").distinct(), ["fold", "video_id"], "left_anti"))
     sims = max_similarity(cand.select("fold", "video_id", "fea"), anchors.select("fold", "fea"),
-                          by=["fold"], max_broadcast_bytes=cfg.max_broadcast_bytes)
+                          by=["fold"], max_broadcast_bytes=cfg.max_broadcast_bytes, dim=data.dim)
     selected = topk(sims, data.k, [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
     selected = selected.withColumn("iteration", F.lit(iteration))
     selected = _mark(selected, cfg)
