@@ -90,12 +90,18 @@ def fx_history(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round(F.col("value") / (F.col("value") + 10), 4).alias("f1"))
 
 
+def n_users(spark: SparkSession, sf_dir: str) -> int:
+    """Number of event users (= fx_seq sequences); users are numbered densely."""
+    return int(read_table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0])
+
+
 def fx_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows (the reference's JSON-lines schema) for the stand-in
     items: materials are one to three clips of the fx_seq sequences."""
     it = fx_items(spark, sf_dir)
+    u = n_users(spark, sf_dir)
     v = F.col("vec_id")
-    src = lambda off: ((v + off) % 150).cast("string")
+    src = lambda off: ((v + off) % u).cast("string")
     def clip(off, s, e):
         return F.concat(src(off), F.lit("_S"), s.cast("string"), F.lit("_E"), e.cast("string"))
     m1 = clip(0, F.lit(0), (v % 40) + 5)
@@ -157,19 +163,21 @@ fx_history AS (
     round(value / (value + 10), 4) AS f1
   FROM events)"""
 
-FX_MANIFEST_SQL = FX_ITEMS_SQL + """,
+NU = "(SELECT count(DISTINCT user_id) FROM events)"
+
+FX_MANIFEST_SQL = FX_ITEMS_SQL + f""",
 fx_manifest AS (
   SELECT video_id, concat('title ', CAST(vec_id AS VARCHAR)) AS title,
     CASE WHEN vec_id % 4 = 0 THEN NULL ELSE concat('ocr ', CAST(vec_id AS VARCHAR)) END AS ocr,
     CASE vec_id % 3
-      WHEN 0 THEN [concat(CAST(vec_id % 150 AS VARCHAR), '_S0_E', CAST(vec_id % 40 + 5 AS VARCHAR))]
-      WHEN 1 THEN [concat(CAST(vec_id % 150 AS VARCHAR), '_S0_E', CAST(vec_id % 40 + 5 AS VARCHAR)),
-                   concat(CAST((vec_id + 7) % 150 AS VARCHAR), '_S', CAST(vec_id % 30 AS VARCHAR),
+      WHEN 0 THEN [concat(CAST(vec_id % {NU} AS VARCHAR), '_S0_E', CAST(vec_id % 40 + 5 AS VARCHAR))]
+      WHEN 1 THEN [concat(CAST(vec_id % {NU} AS VARCHAR), '_S0_E', CAST(vec_id % 40 + 5 AS VARCHAR)),
+                   concat(CAST((vec_id + 7) % {NU} AS VARCHAR), '_S', CAST(vec_id % 30 AS VARCHAR),
                           '_E', CAST(vec_id % 30 + 20 AS VARCHAR))]
-      ELSE [concat(CAST(vec_id % 150 AS VARCHAR), '_S0_E', CAST(vec_id % 40 + 5 AS VARCHAR)),
-            concat(CAST((vec_id + 7) % 150 AS VARCHAR), '_S', CAST(vec_id % 30 AS VARCHAR),
+      ELSE [concat(CAST(vec_id % {NU} AS VARCHAR), '_S0_E', CAST(vec_id % 40 + 5 AS VARCHAR)),
+            concat(CAST((vec_id + 7) % {NU} AS VARCHAR), '_S', CAST(vec_id % 30 AS VARCHAR),
                    '_E', CAST(vec_id % 30 + 20 AS VARCHAR)),
-            concat(CAST((vec_id + 13) % 150 AS VARCHAR), '_S', CAST(vec_id % 50 + 10 AS VARCHAR),
+            concat(CAST((vec_id + 13) % {NU} AS VARCHAR), '_S', CAST(vec_id % 50 + 10 AS VARCHAR),
                    '_E', CAST(vec_id % 50 + 60 AS VARCHAR))] END AS visual_materials,
     label, source
   FROM fx_items)"""

@@ -279,23 +279,24 @@ def q_clip_frames(spark, sf):
 def _stores(spark, sf, text_all: bool = True) -> dict[str, DataFrame]:
     seq = fx.fx_seq(spark, sf)
     it = fx.fx_items(spark, sf)
+    u = fx.n_users(spark, sf)
     t_items = it if text_all else it.filter(F.col("vec_id") % 3 != 2)
-    text = (t_items.select("video_id", (F.col("vec_id") % 150).cast("string").alias("_u"))
+    text = (t_items.select("video_id", (F.col("vec_id") % u).cast("string").alias("_u"))
             .join(seq, F.col("_u") == F.col("key")).select(F.col("video_id").alias("key"), "pos", "x"))
     motion = (it.filter(~F.col("video_id").contains("TMVO"))
-              .select("video_id", ((F.col("vec_id") * 7) % 150).cast("string").alias("_u"))
+              .select("video_id", ((F.col("vec_id") * 7) % u).cast("string").alias("_u"))
               .join(seq, F.col("_u") == F.col("key")).select(F.col("video_id").alias("key"), "pos", "x"))
     return {"text": text, "audio": seq, "frames": seq, "motion": motion}
 
 
 _STORES_SQL = """
 text_store AS (
-  SELECT i.video_id AS key, s.pos, s.x FROM fx_items i JOIN fx_seq s ON s.key = CAST(i.vec_id % 150 AS VARCHAR)),
+  SELECT i.video_id AS key, s.pos, s.x FROM fx_items i JOIN fx_seq s ON s.key = CAST(i.vec_id % (SELECT count(DISTINCT user_id) FROM events) AS VARCHAR)),
 human_text_store AS (
-  SELECT i.video_id AS key, s.pos, s.x FROM fx_items i JOIN fx_seq s ON s.key = CAST(i.vec_id % 150 AS VARCHAR)
+  SELECT i.video_id AS key, s.pos, s.x FROM fx_items i JOIN fx_seq s ON s.key = CAST(i.vec_id % (SELECT count(DISTINCT user_id) FROM events) AS VARCHAR)
   WHERE i.vec_id % 3 <> 2),
 motion_store AS (
-  SELECT i.video_id AS key, s.pos, s.x FROM fx_items i JOIN fx_seq s ON s.key = CAST((i.vec_id * 7) % 150 AS VARCHAR)
+  SELECT i.video_id AS key, s.pos, s.x FROM fx_items i JOIN fx_seq s ON s.key = CAST((i.vec_id * 7) % (SELECT count(DISTINCT user_id) FROM events) AS VARCHAR)
   WHERE NOT contains(i.video_id, 'TMVO'))"""
 
 
