@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import audio_key, motion_key
-from .sequences import AUDIO_LEN, FRAME_LEN, clip_frames, fixed_length
+from .sequences import AUDIO_LEN, FRAME_LEN, fixed_length_fetch, sampled_clip_frames
 
 MODALITIES = ("text", "audio", "frames", "motion")
 
@@ -71,13 +71,18 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
         st = stores[mod].withColumnRenamed(key, col)
         return keys.select(id_col, col).join(st, col).select(F.col(id_col).alias(key), pos, *vc)
 
+    def fetch(mod: str, col: str, length: int) -> DataFrame:
+        k = keys.select(F.col(id_col).alias(key), F.col(col).alias("lookup"))
+        return fixed_length_fetch(k, stores[mod], length, vc, key=key, lookup="lookup", pos=pos)
+
+    # text keeps its stored length; the other modalities are sampled from
+    # lengths first and only the kept rows are fetched
     text = lookup("text", "text_key").withColumn("mask", F.lit(1))
-    audio = fixed_length(lookup("audio", "audio_key"), AUDIO_LEN, vc, key, pos).drop("n")
-    motion = fixed_length(lookup("motion", "motion_key"), FRAME_LEN, vc, key, pos).drop("n")
+    audio = fetch("audio", "audio_key", AUDIO_LEN)
+    motion = fetch("motion", "motion_key", FRAME_LEN)
     clips = items.select(id_col, F.posexplode(materials).alias("_mp", "clip"))
-    frames_seq = clip_frames(clips, stores["frames"], item_col=id_col, order_col="_mp",
-                             clip_col="clip", key=key, pos=pos).withColumnRenamed(id_col, key)
-    frames = fixed_length(frames_seq, FRAME_LEN, vc, key, pos).drop("n")
+    frames = sampled_clip_frames(clips, stores["frames"], FRAME_LEN, vc, item_col=id_col, order_col="_mp",
+                                 clip_col="clip", key=key, pos=pos)
     parts = [(m, df) for m, df in zip(MODALITIES, (text, audio, frames, motion))]
     out = None
     for mod, df in parts:

@@ -97,6 +97,69 @@ def fixed_length(seq: DataFrame, length: int, value_cols: Sequence[str], key: st
     return pad_mask(stride_sample(seq, length, key, pos), length, value_cols, key, pos)
 
 
+def fixed_length_fetch(keys: DataFrame, store: DataFrame, length: int, value_cols: Sequence[str],
+                       key: str = "key", lookup: str = "lookup", pos: str = "pos") -> DataFrame:
+    """Sample before fetch for a keyed lookup. ``keys`` maps
+    an output ``key`` to a store key (``lookup``). Row counts come from the
+    store with the value columns pruned, the kept positions follow from the
+    counts (``pos * gap`` for ``pos < min(n, length)``), and only those rows
+    are fetched with an equi join on ``(store key, pos)``; short sequences
+    are padded. Same result as ``fixed_length`` on the joined sequences."""
+    vals = list(value_cols)
+    n = sequence_lengths(store.select(key), key).select(F.col(key).alias(lookup), "n")
+    lens = keys.select(key, lookup).join(n, lookup)
+    gap = F.greatest(F.floor(F.col("n") / length), F.lit(1)).cast("int")
+    m = F.least(F.col("n"), F.lit(length)).cast("int")
+    want = (lens.select(key, lookup, gap.alias("_gap"), F.explode(F.sequence(F.lit(0), m - 1)).alias(pos))
+            .select(key, lookup, F.col(pos).cast("int").alias(pos),
+                    (F.col(pos) * F.col("_gap")).cast("int").alias("_src_pos")))
+    fr = store.select(F.col(key).alias(lookup), F.col(pos).cast("int").alias("_src_pos"), *vals)
+    real = want.join(fr, [lookup, "_src_pos"]).select(key, pos, *vals)
+    return _pad_from_lengths(real, lens.select(key, "n"), length, vals, key, pos)
+
+
+def sampled_clip_frames(clips: DataFrame, frames: DataFrame, length: int, value_cols: Sequence[str],
+                        item_col: str = "item_id", order_col: str = "material_pos",
+                        clip_col: str = "clip", key: str = "key", pos: str = "pos") -> DataFrame:
+    """``fixed_length(clip_frames(...), length)`` without reading a vector
+    that the stride sampling drops (SURVEY §4 R1): clip lengths and offsets
+    come from frame counts only; per clip the kept output positions are a
+    ``sequence(start, stop, gap)``; only those ``(src, pos)`` rows are joined
+    for their values, then short items are padded. Output: item, pos,
+    values…, mask."""
+    cl = clip_lengths(clips, frames.select(key), item_col, order_col, clip_col, key)
+    # items whose clips are all empty still get `length` padding rows
+    tot = cl.groupBy(item_col).agg(F.sum("len").alias("_n"))
+    c = cl.filter(F.col("len") > 0).join(tot, item_col)
+    gap = F.greatest(F.floor(F.col("_n") / length), F.lit(1)).cast("long")
+    c = c.withColumn("_gap", gap)
+    # concatenated positions q in [offset, offset + len) with q % gap = 0 and q / gap < length
+    first = (F.ceil(F.col("clip_offset") / F.col("_gap")) * F.col("_gap")).cast("long")
+    last = F.least(F.col("clip_offset") + F.col("len") - 1, (F.lit(length) - 1) * F.col("_gap")).cast("long")
+    c = c.withColumn("_first", first).withColumn("_last", last).filter(F.col("_first") <= F.col("_last"))
+    q = c.select(item_col, "src", "s", "clip_offset", "_gap", "_n",
+                 F.explode(F.sequence("_first", "_last", "_gap")).alias("_q"))
+    want = q.select(item_col, F.col("src").alias("_fkey"),
+                    (F.col("s") + F.col("_q") - F.col("clip_offset")).cast("int").alias("_fpos"),
+                    (F.col("_q") / F.col("_gap")).cast("int").alias(pos), "_n")
+    vals = list(value_cols)
+    fr = frames.select(F.col(key).alias("_fkey"), F.col(pos).alias("_fpos"), *vals)
+    real = want.join(fr, ["_fkey", "_fpos"]).select(F.col(item_col).alias(key), pos, *vals,
+                                                     F.col("_n").alias("n"))
+    lens = tot.select(F.col(item_col).alias(key), F.col("_n").alias("n"))
+    return _pad_from_lengths(real, lens, length, vals, key, pos)
+
+
+def _pad_from_lengths(real: DataFrame, lens: DataFrame, length: int, value_cols: Sequence[str],
+                      key: str, pos: str, zero=0.0) -> DataFrame:
+    out = real.select(key, pos, *value_cols, F.lit(1).alias("mask"))
+    short = lens.filter(F.col("n") < length).select(
+        key, F.explode(F.sequence(F.col("n").cast("int"), F.lit(length - 1))).alias(pos))
+    pads = short.select(key, pos, *[F.lit(zero).cast(real.schema[c].dataType).alias(c) for c in value_cols],
+                        F.lit(0).alias("mask"))
+    return out.unionByName(pads)
+
+
 def head_pad(seq: DataFrame, length: int, value_cols: Sequence[str], keys: DataFrame | None = None,
              key: str = "key", pos: str = "pos", zero=0.0) -> DataFrame:
     """Keep the first ``length`` rows, zero-pad the rest, no mask. Keys in

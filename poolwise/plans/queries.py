@@ -300,10 +300,11 @@ motion_store AS (
   WHERE NOT contains(i.video_id, 'TMVO'))"""
 
 
-def _fixed_sql(name: str, src: str, L: int) -> str:
+def _fixed_sql(name: str, src: str, L: int, lengths: str | None = None) -> str:
     """Stride-sample / pad / mask of ``src(key, pos, x)`` to ``L`` rows."""
+    lengths = lengths or f"(SELECT key, count(*) AS n FROM {src} GROUP BY key)"
     return f"""
-{name}_n AS (SELECT key, count(*) AS n FROM {src} GROUP BY key),
+{name}_n AS {lengths},
 {name} AS (
   SELECT s.key, CAST(s.pos // greatest(n.n // {L}, 1) AS INTEGER) AS pos, s.x, 1 AS mask
   FROM {src} s JOIN {name}_n n USING (key)
@@ -339,7 +340,7 @@ frames_raw AS (
   SELECT o.item_id AS key, CAST(o.clip_offset + f.pos - o.s AS INTEGER) AS pos, f.x
   FROM moffs o JOIN fx_seq f ON f.key = o.src AND f.pos BETWEEN o.s AND o.e),""" + \
     _fixed_sql("audio_fx", "audio_raw", 50) + "," + _fixed_sql("motion_fx", "motion_raw", 83) + "," + \
-    _fixed_sql("frames_fx", "frames_raw", 83)
+    _fixed_sql("frames_fx", "frames_raw", 83, "(SELECT item_id AS key, CAST(sum(len) AS BIGINT) AS n FROM mlens GROUP BY item_id)")
 
 
 @query("feature_assemble", sql_out(
@@ -350,6 +351,7 @@ frames_raw AS (
     [("video_id", "s"), ("modality", "s"), ("pos", "i"), ("x", "d"), ("mask", "i")],
     _with(fx.FX_MANIFEST_SQL, fx.FX_SEQ_SQL, _STORES_SQL, _ASSEMBLE_SQL)))
 def q_feature_assemble(spark, sf):
+    """Lengths first, then only the kept frame rows are fetched."""
     out = feat.feature_assemble(fx.fx_manifest(spark, sf), _stores(spark, sf), ["x"])
     return finish(out.select("video_id", "modality", "pos", "x", "mask"))
 

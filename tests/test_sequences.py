@@ -72,3 +72,23 @@ def test_shot_segments(spark):
     df = spark.createDataFrame(rows, "key string, pos int, vec array<double>")
     got = sorted((r.key, r.segment, r.start_pos, r.end_pos, r.clip) for r in shot_segments(df, 0.5).collect())
     assert got == [("v", 0, 0, 1, "v_S0_E1"), ("v", 1, 2, 3, "v_S2_E3"), ("w", 0, 0, 0, "w_S0_E0")]
+
+
+@pytest.mark.parametrize("L", [4, 9])
+def test_sample_before_fetch_parity(spark, L):
+    from poolwise.operators.sequences import clip_frames, fixed_length_fetch, sampled_clip_frames
+    frames = _seq(spark, {"s1": 23, "s2": 6, "s3": 2})
+    clips = spark.createDataFrame([
+        (1, 0, "s1_S2_E20"), (1, 1, "s2_S0_E9"), (2, 0, "s3_S0_E1"), (3, 0, "s1_S30_E40"),
+        (4, 0, "s2_S1_E2"), (4, 1, "s1_S0_E22"), (4, 2, "s3_S1_E1"),
+    ], "item_id long, material_pos int, clip string")
+    direct = fixed_length(clip_frames(clips, frames).withColumnRenamed("item_id", "key"), L, ["x"])
+    fast = sampled_clip_frames(clips, frames, L, ["x"])
+    norm = lambda df: sorted((str(r.key), r.pos, r.x, r.mask) for r in df.collect())
+    got, ref = norm(fast), norm(direct)
+    # item 3 has only an empty clip: the reference pads it to L zero rows
+    assert [t for t in got if t[0] == "3"] == [("3", p, 0.0, 0) for p in range(L)]
+    assert [t for t in got if t[0] != "3"] == ref
+    keys = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", "s1")], "key string, lookup string")
+    seqs = keys.join(frames.withColumnRenamed("key", "lookup"), "lookup").drop("lookup")
+    assert norm(fixed_length_fetch(keys, frames, L, ["x"])) == norm(fixed_length(seqs, L, ["x"]))
