@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import REAL_VALUES, encode_label
 from ..operators.folds import drop_half, kfold
-from ..operators.metrics import binary_metrics
+from ..functions.vectors import dot
+from ..operators.metrics import binary_metrics, metrics_from_counts
 from ..operators.pool import generated_pool
 from ..operators.similarity import DEFAULT_MAX_BROADCAST_BYTES, max_similarity, top_fraction, topk
 from ..operators.training import (add_sums, centroids_from_sums, class_sums, kfold_sums,
-                                  score_centroids)
+                                  model_wide, score_centroids)
 from ..session import cut_lineage
 
 # --- fixed values of the reference's run ------------------------------------
@@ -80,6 +81,7 @@ class ALData:
     init_sums: DataFrame  # fold, y, n, vsum: model of each fold run before any selection
     k: int             # ids selected per round
     dim: int | None = None  # width of the fused vector
+    n_pool: int = 0
     extra: dict = field(default_factory=dict)
 
 
@@ -97,9 +99,10 @@ def prepare(items: DataFrame, train_ids: DataFrame, test_ids: DataFrame,
     pool = _mark(generated_pool(base, exclude_seed_ids).select("video_id", "y", "fea"), cfg)
     test = base.join(test_ids.select("video_id").distinct(), "video_id").select("video_id", "y", "fea")
     init = _mark(kfold_sums(train, cfg.k_folds), cfg)
-    k = cfg.pool_size if cfg.pool_size is not None else int(_round_half_up(pool.count() * cfg.pool_share))
+    n_pool = pool.count()
+    k = cfg.pool_size if cfg.pool_size is not None else int(_round_half_up(n_pool * cfg.pool_share))
     first = pool.select(F.size("fea").alias("d")).first()
-    return ALData(train, pool, test, init, k, dim=int(first["d"]) if first else None)
+    return ALData(train, pool, test, init, k, dim=int(first["d"]) if first else None, n_pool=n_pool)
 
 
 def _round_half_up(x: float) -> int:
@@ -118,7 +121,6 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
     Returns lazily defined frames: selected, decisions, new_sums, new_state."""
     folds = list(range(cfg.k_folds)) if folds is None else folds
     val = _val_scores(data, sums, cfg)
-    cur = binary_metrics(val, "y", "pred", ["fold"]).select("fold", F.col("f1").alias("cur_f1"))
     anchors = top_fraction(val.select("fold", "video_id", "entropy", "fea"), cfg.anchor_share,
                            [F.col("entropy").desc(), F.col("video_id").asc()], by=["fold"],
                            groups_bounded=True)
@@ -133,31 +135,60 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
 
     sel_rows = selected.join(data.pool, "video_id").select("fold", "video_id", "y", "fea")
     new_sums = add_sums(sums, class_sums(sel_rows, ["fold"]), ["fold"])
-    new_val = _val_scores(data, new_sums, cfg)
-    new = binary_metrics(new_val, "y", "pred", ["fold"]).select("fold", F.col("f1").alias("new_f1"))
+    dec = _decisions(data, sums, new_sums, selected, state, anchors, iteration, folds, cfg)
+    dec = _mark(dec, cfg)
+    return {"selected": selected, "decisions": dec, "new_sums": new_sums, "cur_sums": sums,
+            "state": state, "anchors": anchors}
+
 
-    counts = cand.groupBy("fold").agg(F.count(F.lit(1)).alias("n_candidates"))
+def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: DataFrame,
+               state: DataFrame, anchors: DataFrame, iteration: int, folds: list[int],
+               cfg: ALConfig) -> DataFrame:
+    """Per fold: validation F1 of the current and the retrained model, from
+    ONE pass over the validation rows (both models broadcast side by side,
+    folds x 2 rows) and ONE grouped aggregate of confusion counts; candidate
+    count = pool size - the fold's state rows (state is a subset of the pool)."""
+    old_w = model_wide(centroids_from_sums(sums, ["fold"]), ["fold"])
+    new_w = model_wide(centroids_from_sums(new_sums, ["fold"]), ["fold"]) \
+        .select("fold", F.col("c0").alias("n0"), F.col("c1").alias("n1"))
+    both = old_w.join(new_w, "fold", "full_outer")
+    x = F.col("fea")
+    logit = lambda c: F.coalesce(F.lit(cfg.scale) * dot(x, F.col(c)), F.lit(0.0))
+    vb = (data.train.join(F.broadcast(both), "fold", "left")
+          .withColumn("p_old", (logit("c1") > logit("c0")).cast("int"))
+          .withColumn("p_new", (logit("n1") > logit("n0")).cast("int")))
+    gate = cfg.anchor_gate == "candidate"
+    if gate:
+        flags = anchors.select("fold", "video_id", F.lit(True).alias("_anchor"))
+        vb = vb.join(flags, ["fold", "video_id"], "left")
+    aggs = []
+    for tag, p in (("o", "p_old"), ("n", "p_new")):
+        for a in (0, 1):
+            for b in (0, 1):
+                cond = (F.col("y") == a) & (F.col(p) == b)
+                aggs.append(F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(f"{tag}{a}{b}"))
+                if gate:
+                    aggs.append(F.sum(F.when(cond & F.col("_anchor").isNotNull(), 1).otherwise(0))
+                                .cast("long").alias(f"a{tag}{a}{b}"))
+    f1 = lambda t: metrics_from_counts(f"{t}00", f"{t}01", f"{t}10", f"{t}11")["f1"]
+    m = vb.groupBy("fold").agg(*aggs)
+    cols = [f1("o").alias("cur_f1"), f1("n").alias("new_f1")]
+    if gate:
+        cols.append(F.coalesce(f1("ano") <= f1("ao"), F.lit(True)).alias("gate"))
+    m = m.select("fold", *cols)
+
+    used = state.groupBy("fold").agg(F.count(F.lit(1)).alias("_used"))
     n_sel = selected.groupBy("fold").agg(F.count(F.lit(1)).alias("n_selected"))
     fold_list = data.train.sparkSession.createDataFrame([(f,) for f in folds], "fold int")
-    dec = (fold_list.join(cur, "fold", "left").join(new, "fold", "left")
-           .join(counts, "fold", "left").join(n_sel, "fold", "left")
-           .fillna(0, ["n_candidates", "n_selected"])
+    dec = (fold_list.join(m, "fold", "left").join(F.broadcast(used), "fold", "left")
+           .join(F.broadcast(n_sel), "fold", "left")
+           .fillna(0, ["_used", "n_selected"])
+           .withColumn("n_candidates", (F.lit(data.n_pool) - F.col("_used")).cast("long")).drop("_used")
            .withColumn("iteration", F.lit(iteration))
            .withColumn("accepted", (F.col("n_candidates") > 0) & (F.col("new_f1") > F.col("cur_f1"))))
-    if cfg.anchor_gate == "always":
+    if not gate:
         dec = dec.withColumn("gate", F.lit(True))
-    else:
-        anc_ids = anchors.select("fold", "video_id")
-        a_old = binary_metrics(val.join(anc_ids, ["fold", "video_id"]), "y", "pred", ["fold"]) \
-            .select("fold", F.col("f1").alias("_a_old"))
-        a_new = binary_metrics(new_val.join(anc_ids, ["fold", "video_id"]), "y", "pred", ["fold"]) \
-            .select("fold", F.col("f1").alias("_a_new"))
-        dec = (dec.join(a_old, "fold", "left").join(a_new, "fold", "left")
-               .withColumn("gate", F.coalesce(F.col("_a_new") <= F.col("_a_old"), F.lit(True)))
-               .drop("_a_old", "_a_new"))
-    dec = _mark(dec, cfg)
-    return {"selected": selected, "decisions": dec, "new_sums": new_sums, "cur_sums": sums,
-            "state": state, "anchors": anchors}
+    return dec
 
 
 def apply_decision(rnd: dict[str, DataFrame], cfg: ALConfig) -> tuple[DataFrame, DataFrame]:
