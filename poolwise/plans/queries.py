@@ -552,6 +552,19 @@ def q_uncertainty_scores(spark, sf):
                            F.col("probs")[1].alias("p1"), "entropy"))
 
 
+@query("model_scores", ORACLES["uncertainty_scores"])
+def q_model_scores(spark, sf):
+    """The pluggable scorer (J2): a numpy model object broadcast once and
+    applied per Arrow batch; same numbers as the JVM centroid scorer."""
+    items = _items(spark, sf)
+    model = tr.fit_centroids(items.filter(F.col("split") == "train"))
+    rows = sorted(model.select("y", "centroid").collect())  # classes x d: bounded
+    scored = tr.score_with(items.filter(F.col("split") != "train").select("video_id", "fea"),
+                           tr.CentroidArrayModel([r.centroid for r in rows]))
+    return finish(scored.select("video_id", F.col("logits")[0].alias("l0"), F.col("logits")[1].alias("l1"),
+                                F.col("probs")[1].alias("p1"), "entropy"))
+
+
 @query("predict_class", sql_out(
     "SELECT video_id, split, y, pred FROM oscored",
     [("video_id", "s"), ("split", "s"), ("y", "i"), ("pred", "i")], _with(_ITEMS_ONLY) + _TRAIN_MODEL_SQL))

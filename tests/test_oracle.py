@@ -36,6 +36,7 @@ def test_every_query_has_an_oracle_or_is_declared_rows_only():
     qs, ors = queries(), oracle_sql()
     assert set(ors) <= set(qs)
     assert set(qs) - set(ors) == {"logreg_fit"}
+    assert "model_scores" in ors
 
 
 @pytest.mark.parametrize("name", FAST)
