@@ -95,12 +95,15 @@ def sequence_mean_pool(seq: DataFrame, by: Sequence[str] = ("key",), vec: str =
                        masked: bool = False, mask: str = "mask") -> DataFrame:
     """Mean over positions, per dimension: by…, d, mean. With
     ``masked=False`` (the reference) padding rows count; with ``True`` only
-    rows whose mask is 1. A per-dimension partial aggregate; no vector is
-    collected."""
+    rows whose mask is 1. Whole vectors are averaged by Spark ML's
+    ``Summarizer`` (partial + final aggregate, no per-dimension explode);
+    only the pooled vector is unpivoted to long form."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     by = list(by)
     src = seq.filter(F.col(mask) == 1) if masked else seq
-    ex = src.select(*by, F.posexplode(F.col(vec).cast("array<double>")).alias("d", "_v"))
-    return ex.groupBy(*by, "d").agg(F.avg("_v").alias("mean"))
+    pooled = src.groupBy(*by).agg(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>"))).alias("_m"))
+    return pooled.select(*by, F.posexplode(vector_to_array("_m")).alias("d", "mean"))
 
 
 def modality_mean_fusion(pooled: Sequence[DataFrame], by: Sequence[str] = ("key",)) -> DataFrame:

@@ -24,16 +24,16 @@ CLASSES = (0, 1)
 
 
 def class_sums(df: DataFrame, by: Sequence[str] = (), y: str = "y", vec: str = "fea") -> DataFrame:
-    """by…, y, n, vsum (element-wise sum). Exploded per dimension with a
-    partial (map-side) aggregate, then re-assembled in dimension order."""
+    """by…, y, n, vsum (element-wise sum). Spark ML's vector ``Summarizer``
+    aggregates whole vectors in a partial (map-side) + final object hash
+    aggregate: one buffer per group, no per-dimension explode."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     by = list(by)
-    exploded = df.select(*by, y, F.posexplode(F.col(vec).cast("array<double>")).alias("_d", "_v"))
-    per_dim = exploded.groupBy(*by, y, "_d").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    return (per_dim.groupBy(*by, y)
-            .agg(F.max("_c").alias("n"),
-                 F.array_sort(F.collect_list(F.struct("_d", "_s"))).alias("_ds"))
-            .select(*by, y, F.col("n").cast("long").alias("n"),
-                    F.transform("_ds", lambda s: s["_s"]).alias("vsum")))
+    summ = Summarizer.metrics("sum", "count")
+    agg = df.groupBy(*by, y).agg(summ.summary(array_to_vector(F.col(vec).cast("array<double>"))).alias("_s"))
+    return agg.select(*by, y, F.col("_s.count").cast("long").alias("n"),
+                      vector_to_array(F.col("_s.sum")).alias("vsum"))
 
 
 def add_sums(a: DataFrame, b: DataFrame, by: Sequence[str] = (), y: str = "y") -> DataFrame:
