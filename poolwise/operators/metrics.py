@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: class names of the report, in label order ---------------
@@ -76,26 +76,35 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "p",
 
 
 def auc_scores(df: DataFrame, y: str = "y", score: str = "score",
-               keys: Sequence[str] = ()) -> DataFrame:
-    """ROC AUC of continuous scores with ties counted half
-    (``sum pos * (neg_below + neg_tied / 2) / (P * N)``), followed by the
+               keys: Sequence[str] = (), groups_bounded: bool | None = None) -> DataFrame:
+    """ROC AUC of continuous scores with ties counted half, followed by the
     hard metrics of the half-to-even rounded score, as the reference's
-    metric function does (AUC before rounding). keys…, auc, f1, …"""
-    lvl = df.groupBy(*keys, score).agg(_cnt(F.col(y) == 1).alias("_pos"),
-                                        _cnt(F.col(y) == 0).alias("_neg"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    lvl = lvl.withColumn("_negb", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
-    auc = lvl.groupBy(*keys).agg(
-        (F.sum(F.col("_pos") * (F.col("_negb") + F.col("_neg") / F.lit(2.0)))).alias("_num"),
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    auc = auc.select(*keys, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
-                                   F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auc"))
+    metric function does (AUC before rounding). keys…, n, acc, …, auc.
+
+    Mann-Whitney form without a running window: rows are ranked by score
+    within their group with the two-level rank (a big group is spread over
+    all tasks); per score level ``min(rank) - 1`` rows lie below, the level's
+    mid-rank is that plus ``(count + 1) / 2``, and
+    ``AUC = (sum over positives of mid-rank - P(P+1)/2) / (P N)``.
+    Everything after the rank is a grouped aggregate."""
+    from .ranking import rank_within
+    keys = list(keys)
+    ranked = rank_within(df.select(*keys, score, y), [F.col(score).asc()], by=keys, name="_r",
+                         groups_bounded=groups_bounded)
+    lvl = ranked.groupBy(*keys, score).agg(
+        F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_cnt"), _cnt(F.col(y) == 1).alias("_pos"))
+    mid = F.col("_first") - 1 + (F.col("_cnt") + 1) / F.lit(2.0)
+    auc = lvl.groupBy(*keys).agg(F.sum(F.col("_pos") * mid).alias("_rs"), F.sum("_pos").alias("_P"),
+                                 F.sum("_cnt").alias("_T"))
+    P, N = F.col("_P"), F.col("_T") - F.col("_P")
+    auc = auc.select(*keys, F.when((P > 0) & (N > 0),
+                                   (F.col("_rs") - P * (P + 1) / F.lit(2.0)) / (P * N)).alias("auc"))
     hard = binary_metrics(df.withColumn("_p", F.bround(F.col(score), 0).cast("int")),
                           y, "_p", keys).drop("auc")
     if not keys:  # single rows on both sides: join on a constant key
         return (hard.withColumn("_one", F.lit(1)).join(auc.withColumn("_one", F.lit(1)), "_one")
                 .drop("_one"))
-    return hard.join(auc, list(keys), "inner")
+    return hard.join(auc, keys, "inner")
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", p: str = "p",

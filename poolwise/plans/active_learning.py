@@ -126,7 +126,8 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
                            groups_bounded=True)
 
     cand = (data.pool.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
-            .join(state.select("fold", "video_id").distinct(), ["fold", "video_id"], "left_anti"))
+            # state holds at most rounds x k rows per fold: a bounded broadcast
+            .join(F.broadcast(state.select("fold", "video_id").distinct()), ["fold", "video_id"], "left_anti"))
     sims = max_similarity(cand.select("fold", "video_id", "fea"), anchors.select("fold", "fea"),
                           by=["fold"], max_broadcast_bytes=cfg.max_broadcast_bytes, dim=data.dim)
     selected = topk(sims, data.k, [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
@@ -194,8 +195,8 @@ def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: Dat
 def apply_decision(rnd: dict[str, DataFrame], cfg: ALConfig) -> tuple[DataFrame, DataFrame]:
     """(sums, state) after the round's accept / reject decisions."""
     dec = rnd["decisions"].select("fold", "accepted", "gate")
-    acc = dec.filter("accepted").select("fold")
-    rej = dec.filter("NOT accepted AND gate").select("fold")
+    acc = F.broadcast(dec.filter("accepted").select("fold"))        # <= k folds
+    rej = F.broadcast(dec.filter("NOT accepted AND gate").select("fold"))
     sums = (rnd["new_sums"].join(acc, "fold", "left_semi")
             .unionByName(rnd["cur_sums"].join(acc, "fold", "left_anti")))
     state = rnd["state"]
