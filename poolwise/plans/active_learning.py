@@ -115,21 +115,34 @@ def _val_scores(data: ALData, sums: DataFrame, cfg: ALConfig) -> DataFrame:
     return score_centroids(model, data.train, by=["fold"], scale=cfg.scale)
 
 
-def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
-             cfg: ALConfig, folds: list[int] | None = None) -> dict[str, DataFrame]:
-    """One round for all folds. ``state``: fold, video_id, status, iteration.
-    Returns lazily defined frames: selected, decisions, new_sums, new_state."""
-    folds = list(range(cfg.k_folds)) if folds is None else folds
+def round_anchors(data: ALData, sums: DataFrame, cfg: ALConfig) -> DataFrame:
+    """Per fold, the ``floor(0.3 n)`` most uncertain validation ids under the
+    fold's current model: fold, video_id, entropy, fea, rank."""
     val = _val_scores(data, sums, cfg)
-    anchors = top_fraction(val.select("fold", "video_id", "entropy", "fea"), cfg.anchor_share,
-                           [F.col("entropy").desc(), F.col("video_id").asc()], by=["fold"],
-                           groups_bounded=True)
+    return top_fraction(val.select("fold", "video_id", "entropy", "fea"), cfg.anchor_share,
+                        [F.col("entropy").desc(), F.col("video_id").asc()], by=["fold"],
+                        groups_bounded=True)
+
 
+def round_similarity(data: ALData, anchors: DataFrame, state: DataFrame, cfg: ALConfig,
+                     folds: list[int] | None = None) -> DataFrame:
+    """Max cosine similarity of every candidate of every fold to the fold's
+    anchors: fold, video_id, similarity."""
+    folds = list(range(cfg.k_folds)) if folds is None else folds
     cand = (data.pool.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
             # state holds at most rounds x k rows per fold: a bounded broadcast
             .join(F.broadcast(state.select("fold", "video_id").distinct()), ["fold", "video_id"], "left_anti"))
-    sims = max_similarity(cand.select("fold", "video_id", "fea"), anchors.select("fold", "fea"),
+    return max_similarity(cand.select("fold", "video_id", "fea"), anchors.select("fold", "fea"),
                           by=["fold"], max_broadcast_bytes=cfg.max_broadcast_bytes, dim=data.dim)
+
+
+def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
+             cfg: ALConfig, folds: list[int] | None = None) -> dict[str, DataFrame]:
+    """One round for all folds. ``state``: fold, video_id, status, iteration.
+    Returns lazily defined frames: selected, decisions, new_sums, new_state."""
+    folds = list(range(cfg.k_folds)) if folds is None else folds
+    anchors = round_anchors(data, sums, cfg)
+    sims = round_similarity(data, anchors, state, cfg, folds)
     selected = topk(sims, data.k, [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
     selected = selected.withColumn("iteration", F.lit(iteration))
     selected = _mark(selected, cfg)

@@ -61,9 +61,10 @@ def fx_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, material_pos (1-based), clip. An order has at most seven
-    lines, so the per-order window is bounded."""
-    li = read_table(spark, sf_dir, "lineitem").filter((F.col("l_orderkey") % 10) == 0)
+    """item_id, material_pos (1-based), clip: every line of every order is a
+    clip of the order's item. An order has at most seven lines, so the
+    per-order window is bounded."""
+    li = read_table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
                                                   "l_quantity", "l_extendedprice")
     s = (F.col("l_partkey") * 7) % 100
@@ -147,7 +148,7 @@ fx_clips AS (
                        l_quantity, l_extendedprice) AS material_pos,
     concat(CAST(l_suppkey AS VARCHAR), '_S', CAST((l_partkey * 7) % 100 AS VARCHAR),
            '_E', CAST((l_partkey * 7) % 100 + CAST(l_quantity AS INTEGER) AS VARCHAR)) AS clip
-  FROM lineitem WHERE l_orderkey % 10 = 0)"""
+  FROM lineitem)"""
 
 FX_PRED_SQL = """
 fx_pred AS (
@@ -182,6 +183,3 @@ fx_manifest AS (
     label, source
   FROM fx_items)"""
 
-
-def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",".join(c.strip() for c in ctes) + "\n" + body

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ids import fabrication_fields, motion_key, audio_key
+from ..functions.ids import audio_key, fabrication_fields, motion_key
 from ..operators import features as feat
 from ..operators import folds as fo
 from ..operators import metrics as me
@@ -81,9 +81,6 @@ def _items(spark, sf):
     return fx.fx_items(spark, sf).withColumn("y", F.when(F.col("label") == "real", 0).otherwise(1))
 
 
-_AL_CACHE: dict = {}
-
-
 def _al_data(spark, sf, cfg: al.ALConfig | None = None) -> tuple[al.ALData, al.ALConfig]:
     cfg = cfg or al.ALConfig()
     items = fx.fx_items(spark, sf)
@@ -131,9 +128,6 @@ def q_id_list_scan(spark, sf):
     return finish(io.read_id_list(spark, path))
 
 
-_FOLDS_SQL = AL_BASE
-
-
 @query("selected_ids_sink", sql_out(
     "SELECT fold, 0 AS iteration, video_id FROM folds",
     [("fold", "i"), ("iteration", "i"), ("video_id", "s")], _with(AL_BASE)))
@@ -753,17 +747,17 @@ _R1 = loop_sql(1)
     "count(*) OVER (PARTITION BY fold) AS nf FROM val_0) WHERE rn <= floor(nf * 0.3)",
     [("fold", "i"), ("video_id", "s"), ("entropy", "d"), ("rank", "i")], _R1))
 def q_uncertainty_anchors(spark, sf):
-    _, _, rnd = _round0(spark, sf)
-    return finish(rnd["anchors"].select("fold", "video_id", "entropy", "rank"))
+    data, cfg = _al_data(spark, sf)
+    anchors = al.round_anchors(data, data.init_sums, cfg)
+    return finish(anchors.select("fold", "video_id", "entropy", "rank"))
 
 
 @query("max_anchor_similarity", sql_out(
     "SELECT fold, video_id, similarity FROM sim_0", [("fold", "i"), ("video_id", "s"), ("similarity", "d")], _R1))
 def q_max_anchor_similarity(spark, sf):
-    from ..operators.similarity import max_similarity
-    data, cfg, rnd = _round0(spark, sf)
-    cand = data.pool.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(cfg.k_folds - 1))))
-    sims = max_similarity(cand, rnd["anchors"].select("fold", "fea"), by=["fold"])
+    data, cfg = _al_data(spark, sf)
+    anchors = al.round_anchors(data, data.init_sums, cfg)
+    sims = al.round_similarity(data, anchors, al.empty_state(spark), cfg)
     return finish(sims.select("fold", "video_id", "similarity"))
 
 

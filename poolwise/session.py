@@ -70,3 +70,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss of executors, unlike ``persist`` or local checkpoints)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                     target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings to size a cluster run from the input size (a starting point;
+    AQE coalesces and splits at run time). Shuffle partitions give ~128 MB
+    per partition and at least 2 waves of tasks; skewed partitions above 4x
+    the median (and 256 MB) are split by AQE; broadcasts stay below 64 MB."""
+    slots = max(1, executors * cores_per_executor)
+    parts = max(2 * slots, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.python.worker.reuse": "true",
+    }

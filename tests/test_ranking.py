@@ -35,3 +35,10 @@ def test_ntile_formula(spark):
         got = df.select("id", ntile_of_rank(F.col("r"), F.col("n"), k).alias("f"))
         ref = df.select("id", (F.ntile(k).over(Window.orderBy("id")) - 1).alias("f"))
         assert sorted(got.collect()) == sorted(ref.collect()), (n, k)
+
+
+def test_recommended_conf_scales_partitions():
+    from poolwise.session import recommended_conf
+    c = recommended_conf(100 << 40, 1000, 8)  # 100 TB on 1000 x 8 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
+    assert int(recommended_conf(1 << 20, 10, 4)["spark.sql.shuffle.partitions"]) == 80
