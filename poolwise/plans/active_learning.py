@@ -188,7 +188,7 @@ def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: Dat
     m = vb.groupBy("fold").agg(*aggs)
     cols = [f1("o").alias("cur_f1"), f1("n").alias("new_f1")]
     if gate:
-        cols.append(F.coalesce(f1("ano") <= f1("ao"), F.lit(True)).alias("gate"))
+        cols.append(F.coalesce(f1("an") <= f1("ao"), F.lit(True)).alias("gate"))
     m = m.select("fold", *cols)
 
     used = state.groupBy("fold").agg(F.count(F.lit(1)).alias("_used"))

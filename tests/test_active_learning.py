@@ -56,3 +56,52 @@ def test_config_validation():
         al.ALConfig(dataset="unknown")
     with pytest.raises(ValueError):
         al.ALConfig(anchor_gate="sometimes")
+
+
+def _tiny(spark, n_pool):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(40):  # human training ids, two classes
+        y = i % 2
+        v = rng.normal(size=4) + (2.0 if y else -2.0)
+        rows.append((f"h{i:02d}", "fake" if y else "real", "Human", [float(x) for x in v], "train"))
+    for i in range(n_pool):  # generated pool items, all fake
+        rows.append((f"g{i:02d}_TOVO_TOVM", "fake", "Generated_TOVO_TOVM",
+                     [float(x) for x in rng.normal(size=4) + 1.0], "gen"))
+    items = spark.createDataFrame(rows, "video_id string, label string, source string, fea array<double>, split string")
+    return items, items.filter("split = 'train'").select("video_id")
+
+
+def test_pool_exhaustion_stops_fold(spark):
+    """A pool smaller than k is taken whole; once every item is useful or
+    useless the fold has no candidates and nothing changes any more."""
+    items, train_ids = _tiny(spark, 3)
+    cfg = al.ALConfig(rounds=4, pool_size=5, k_folds=2)
+    data = al.prepare(items, train_ids, train_ids.limit(0), None, cfg)
+    out = al.al_loop(data, cfg)
+    dec = sorted(out["decisions"].collect(), key=lambda r: (r.fold, r.iteration))
+    for f in range(2):
+        rows = [r for r in dec if r.fold == f]
+        assert rows[0].n_candidates == 3 and rows[0].n_selected == 3
+        for a, b in zip(rows, rows[1:]):
+            if a.n_candidates == 0:  # stopped: stays stopped, never accepts
+                assert b.n_candidates == 0 and not b.accepted
+        assert all(r.n_selected <= r.n_candidates for r in rows)
+    st = out["state"].collect()
+    assert all(r.video_id.startswith("g") for r in st)
+
+
+def test_candidate_gate_runs(spark):
+    items = fx.fx_items(spark, SF001)
+    cfg = al.ALConfig(rounds=2, anchor_gate="candidate")
+    data = al.prepare(items, items.filter("split = 'train'").select("video_id"),
+                      items.filter("split = 'test'").select("video_id"), fx.fx_seed_ids(spark, SF001), cfg)
+    out = al.al_loop(data, cfg)
+    dec = out["decisions"].collect()
+    assert len(dec) == 10 and all(r.gate is not None for r in dec)
+    # useless rows only come from rejected rounds whose gate held
+    gates = {(r.fold, r.iteration): (r.accepted, r.gate) for r in dec}
+    for r in out["state"].filter("status = 'useless'").collect():
+        acc, gate = gates[(r.fold, r.iteration)]
+        assert not acc and gate

@@ -92,3 +92,22 @@ def test_sample_before_fetch_parity(spark, L):
     keys = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", "s1")], "key string, lookup string")
     seqs = keys.join(frames.withColumnRenamed("key", "lookup"), "lookup").drop("lookup")
     assert norm(fixed_length_fetch(keys, frames, L, ["x"])) == norm(fixed_length(seqs, L, ["x"]))
+
+
+def test_feature_assemble_fail_and_quarantine(spark):
+    from poolwise.operators.features import feature_assemble
+    seq = _seq(spark, {"s1": 100, "s2": 30, "v1": 5, "v2": 7})
+    items = spark.createDataFrame([("v1", ["s1_S0_E90"]), ("v2", ["s2_S5_E9", "s1_S3_E3"]), ("v3", ["s9_S0_E1"])],
+                                  "video_id string, visual_materials array<string>")
+    stores = {"text": seq, "audio": seq, "frames": seq, "motion": seq}
+    with pytest.raises(KeyError):
+        feature_assemble(items, stores)
+    out = feature_assemble(items, stores, on_missing="quarantine").collect()
+    assert {r.video_id for r in out} == {"v1", "v2"}
+    per = {}
+    for r in out:
+        per[(r.video_id, r.modality)] = per.get((r.video_id, r.modality), 0) + 1
+    assert per[("v1", "frames")] == 83 and per[("v1", "audio")] == 50 and per[("v2", "motion")] == 83
+    assert per[("v1", "text")] == 5 and per[("v2", "text")] == 7
+    v2f = sorted((r.pos, r.x, r.mask) for r in out if r.video_id == "v2" and r.modality == "frames")
+    assert [x for _, x, m in v2f if m] == [5.5, 6.5, 7.5, 8.5, 9.5, 3.5]
