@@ -83,7 +83,7 @@ def clip_fields(clip) -> dict[str, Column]:
 
 def audio_key(visual_materials) -> Column:
     """Audio features are keyed by the first material's source video."""
-    return F.split_part(F.element_at(_c(visual_materials), 1), F.lit("_"), F.lit(1))
+    return F.split_part(F.try_element_at(_c(visual_materials), F.lit(1)), F.lit("_"), F.lit(1))
 
 
 def motion_key(video_id) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import audio_key, motion_key
-from .sequences import AUDIO_LEN, FRAME_LEN, fixed_length_fetch, sampled_clip_frames
+from .sequences import AUDIO_LEN, FRAME_LEN, fixed_length_fetch, parse_clips, sampled_clip_frames
 
 MODALITIES = ("text", "audio", "frames", "motion")
 
@@ -39,12 +39,18 @@ def missing_features(items: DataFrame, stores: dict[str, DataFrame], id_col: str
         miss = keys.join(have, col, "left_anti").select(id_col, F.lit(mod).alias("modality"),
                                                         F.col(col).alias("missing_key"))
         out = miss if out is None else out.unionByName(miss)
-    srcs = (items.select(id_col, F.explode(materials).alias("_m"))
-            .select(id_col, F.split_part("_m", F.lit("_"), F.lit(1)).alias("missing_key")))
+    mats = items.select(id_col, F.explode_outer(materials).alias("clip"))
+    parsed = parse_clips(mats.filter(F.col("clip").isNotNull()))
+    srcs = parsed.filter("valid").select(id_col, F.col("src").alias("missing_key"))
     have = stores["frames"].select(F.col(key).alias("missing_key")).distinct()
     miss = srcs.join(have, "missing_key", "left_anti").select(id_col, F.lit("frames").alias("modality"),
                                                                "missing_key").distinct()
-    return out.unionByName(miss)
+    # a malformed clip or an empty material list fails the reference's frame
+    # loop: report it so the item fails or is quarantined, never half-built
+    bad = (parsed.filter(~F.col("valid")).select(id_col, F.col("clip").alias("missing_key"))
+           .unionByName(mats.filter(F.col("clip").isNull()).select(id_col, F.lit("").alias("missing_key")))
+           .select(id_col, F.lit("clip").alias("modality"), "missing_key"))
+    return out.unionByName(miss).unionByName(bad)
 
 
 def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols: Sequence[str] = ("x",),

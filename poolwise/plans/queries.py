@@ -326,6 +326,12 @@ mlens AS (
           TRY_CAST(substr(split_part(clip, '_', 2), 2) AS INTEGER) AS s,
           TRY_CAST(substr(split_part(clip, '_', 3), 2) AS INTEGER) AS e FROM mclips) c
   LEFT JOIN (SELECT key, count(*) AS n FROM fx_seq GROUP BY key) n ON n.key = c.src),
+mparsed AS (
+  SELECT item_id, clip, split_part(clip, '_', 1) AS src,
+    coalesce(TRY_CAST(substr(split_part(clip, '_', 2), 2) AS INTEGER) >= 0
+             AND TRY_CAST(substr(split_part(clip, '_', 3), 2) AS INTEGER) >= 0
+             AND length(split_part(clip, '_', 1)) > 0, false) AS ok
+  FROM mclips),
 moffs AS (
   SELECT *, coalesce(sum(len) OVER (PARTITION BY item_id ORDER BY material_pos
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clip_offset
@@ -356,8 +362,9 @@ def q_feature_assemble(spark, sf):
     "UNION ALL SELECT k.video_id, 'audio', k.audio_key FROM keys k WHERE k.audio_key NOT IN (SELECT key FROM fx_seq) "
     "UNION ALL SELECT k.video_id, 'motion', k.motion_key FROM keys k "
     "WHERE k.motion_key NOT IN (SELECT key FROM motion_store) "
-    "UNION ALL SELECT DISTINCT item_id, 'frames', split_part(clip, '_', 1) FROM mclips "
-    "WHERE split_part(clip, '_', 1) NOT IN (SELECT key FROM fx_seq)",
+    "UNION ALL SELECT DISTINCT item_id, 'frames', src FROM mparsed WHERE ok AND src NOT IN (SELECT key FROM fx_seq) "
+    "UNION ALL SELECT item_id, 'clip', clip FROM mparsed WHERE NOT ok "
+    "UNION ALL SELECT video_id, 'clip', '' FROM keys WHERE coalesce(len(visual_materials), 0) = 0",
     [("video_id", "s"), ("modality", "s"), ("missing_key", "s")],
     _with(fx.FX_MANIFEST_SQL, fx.FX_SEQ_SQL, _STORES_SQL, _ASSEMBLE_SQL)))
 def q_missing_features(spark, sf):

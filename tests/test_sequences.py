@@ -111,3 +111,15 @@ def test_feature_assemble_fail_and_quarantine(spark):
     assert per[("v1", "text")] == 5 and per[("v2", "text")] == 7
     v2f = sorted((r.pos, r.x, r.mask) for r in out if r.video_id == "v2" and r.modality == "frames")
     assert [x for _, x, m in v2f if m] == [5.5, 6.5, 7.5, 8.5, 9.5, 3.5]
+
+
+def test_malformed_clips_are_reported(spark):
+    from poolwise.operators.features import missing_features
+    seq = _seq(spark, {"s1": 10})
+    items = spark.createDataFrame([("a", ["s1_S0_E3"]), ("b", ["s1"]), ("c", []), ("d", ["s1_S1_E2", "s1_Sx_E2"])],
+                                  "video_id string, visual_materials array<string>")
+    seq_k = seq.withColumn("key", F.lit("a")).unionByName(seq.withColumn("key", F.lit("d")))
+    stores = {"text": seq_k, "audio": seq, "frames": seq, "motion": seq_k}
+    got = {(r.video_id, r.modality, r.missing_key) for r in missing_features(items, stores).collect()}
+    assert ("b", "clip", "s1") in got and ("c", "clip", "") in got and ("d", "clip", "s1_Sx_E2") in got
+    assert not any(v == "a" for v, _, _ in got)
