@@ -24,8 +24,23 @@ def as_double(v) -> Column:
     return _c(v).cast("array<double>")
 
 
+_DOT_CACHE: dict = {}
+
+
 def dot(x, y) -> Column:
-    prod = F.zip_with(_c(x), _c(y), lambda a, b: a * b)
+    """Left-to-right sum of products. Expressions over column *names* are
+    built once and reused (building a lambda expression costs JVM calls)."""
+    if isinstance(x, str) and isinstance(y, str):
+        from pyspark import SparkContext
+        key = (id(SparkContext._active_spark_context), x, y)  # JVM objects: one cache per context
+        if key not in _DOT_CACHE:
+            _DOT_CACHE[key] = _dot(F.col(x), F.col(y))
+        return _DOT_CACHE[key]
+    return _dot(_c(x), _c(y))
+
+
+def _dot(x: Column, y: Column) -> Column:
+    prod = F.zip_with(x, y, lambda a, b: a * b)
     return F.aggregate(prod, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 

@@ -89,13 +89,13 @@ def score_centroids(model: DataFrame, df: DataFrame, by: Sequence[str] = (),
     is broadcast. A class without training rows scores logit 0."""
     by = list(by)
     wide = model_wide(model, by, y)
-    x = F.col(vec).cast("array<double>")
     if by:
         j = df.join(F.broadcast(wide), by, "left")
     else:
         j = df.withColumn("_one", F.lit(1)).join(F.broadcast(wide), "_one", "left").drop("_one")
-    logit = lambda c: F.coalesce(F.lit(scale) * dot(x, F.col(c)), F.lit(0.0))
-    out = j.withColumn("logits", F.array(logit("c0"), logit("c1"))).drop("c0", "c1")
+    j = j.withColumn("_x", F.col(vec).cast("array<double>"))
+    logit = lambda c: F.coalesce(F.lit(scale) * dot("_x", c), F.lit(0.0))
+    out = j.withColumn("logits", F.array(logit("c0"), logit("c1"))).drop("c0", "c1", "_x")
     return with_prediction(out)
 
 

@@ -86,6 +86,7 @@ class ALData:
 
 
 def _mark(df: DataFrame, cfg: ALConfig) -> DataFrame:
+    """Reliable checkpoint: for state that outlives the round."""
     return df if not cfg.checkpoint else cut_lineage(df)
 
 
@@ -144,13 +145,11 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
     anchors = round_anchors(data, sums, cfg)
     sims = round_similarity(data, anchors, state, cfg, folds)
     selected = topk(sims, data.k, [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
-    selected = selected.withColumn("iteration", F.lit(iteration))
-    selected = _mark(selected, cfg)
+    selected = _mark(selected.withColumn("iteration", F.lit(iteration)), cfg)
 
     sel_rows = selected.join(data.pool, "video_id").select("fold", "video_id", "y", "fea")
     new_sums = add_sums(sums, class_sums(sel_rows, ["fold"]), ["fold"])
-    dec = _decisions(data, sums, new_sums, selected, state, anchors, iteration, folds, cfg)
-    dec = _mark(dec, cfg)
+    dec = _mark(_decisions(data, sums, new_sums, selected, state, anchors, iteration, folds, cfg), cfg)
     return {"selected": selected, "decisions": dec, "new_sums": new_sums, "cur_sums": sums,
             "state": state, "anchors": anchors}
 
@@ -166,8 +165,7 @@ def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: Dat
     new_w = model_wide(centroids_from_sums(new_sums, ["fold"]), ["fold"]) \
         .select("fold", F.col("c0").alias("n0"), F.col("c1").alias("n1"))
     both = old_w.join(new_w, "fold", "full_outer")
-    x = F.col("fea")
-    logit = lambda c: F.coalesce(F.lit(cfg.scale) * dot(x, F.col(c)), F.lit(0.0))
+    logit = lambda c: F.coalesce(F.lit(cfg.scale) * dot("fea", c), F.lit(0.0))
     vb = (data.train.join(F.broadcast(both), "fold", "left")
           .withColumn("p_old", (logit("c1") > logit("c0")).cast("int"))
           .withColumn("p_new", (logit("n1") > logit("n0")).cast("int")))
