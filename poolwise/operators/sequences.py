@@ -178,10 +178,38 @@ def shot_segments(seq: DataFrame, threshold: float, key: str = "key", pos: str =
                   vec: str = "vec") -> DataFrame:
     """Cut a frame sequence where the cosine similarity to the previous frame
     falls below ``threshold``; one row per segment with the clip reference
-    ``<key>_S<start>_E<end>``. Windows are per key (one video's frames)."""
+    ``<key>_S<start>_E<end>``.
+
+    No window over a whole sequence: frames get two-level ranks within their
+    key, the previous frame is an equi join on ``(key, rank - 1)``, segment
+    numbers are ranks of the cut frames, and a segment ends one frame before
+    the next cut (equi join on ``(key, segment + 1)``). A key holding a third
+    of all frames is still spread over every task."""
+    from .ranking import rank_within
+    r = rank_within(seq.select(key, pos, vec), [F.col(pos).asc()], by=[key], name="_rk", size_name="_n")
+    prev = r.select(key, (F.col("_rk") + 1).alias("_rk"), F.col(vec).alias("_prev"))
+    j = r.join(prev, [key, "_rk"], "left")
+    cut = F.col("_prev").isNull() | (cosine(F.col(vec), F.col("_prev")) < F.lit(threshold))
+    cuts = j.filter(cut).select(key, "_rk", F.col(pos).alias("start_pos"), "_n")
+    seg = rank_within(cuts, [F.col("_rk").asc()], by=[key], name="_seg")
+    nxt = seg.select(key, (F.col("_seg") - 1).alias("_seg"), F.col("_rk").alias("_next_rk"))
+    seg = seg.join(nxt, [key, "_seg"], "left").withColumn(
+        "_end_rk", F.coalesce(F.col("_next_rk") - 1, F.col("_n")))
+    ends = r.select(key, F.col("_rk").alias("_end_rk"), F.col(pos).alias("end_pos"))
+    out = seg.join(ends, [key, "_end_rk"])
+    return out.select(
+        key, (F.col("_seg") - 1).cast("int").alias("segment"), "start_pos", "end_pos",
+        (F.col("_end_rk") - F.col("_rk") + 1).alias("n_frames"),
+        F.concat(F.col(key).cast("string"), F.lit("_S"), F.col("start_pos").cast("string"),
+                 F.lit("_E"), F.col("end_pos").cast("string")).alias("clip"))
+
+
+def shot_segments_window(seq: DataFrame, threshold: float, key: str = "key", pos: str = "pos",
+                         vec: str = "vec") -> DataFrame:
+    """Window form of :func:`shot_segments` (one task per key); parity
+    reference for small inputs."""
     w = Window.partitionBy(key).orderBy(pos)
-    prev = F.lag(F.col(vec)).over(w)
-    s = seq.withColumn("_prev", prev)
+    s = seq.withColumn("_prev", F.lag(F.col(vec)).over(w))
     cut = F.when(F.col("_prev").isNull(), F.lit(1)) \
         .when(cosine(F.col(vec), F.col("_prev")) < F.lit(threshold), F.lit(1)).otherwise(F.lit(0))
     s = s.withColumn("_cut", cut)

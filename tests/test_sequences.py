@@ -123,3 +123,17 @@ def test_malformed_clips_are_reported(spark):
     got = {(r.video_id, r.modality, r.missing_key) for r in missing_features(items, stores).collect()}
     assert ("b", "clip", "s1") in got and ("c", "clip", "") in got and ("d", "clip", "s1_Sx_E2") in got
     assert not any(v == "a" for v, _, _ in got)
+
+
+def test_shot_segments_rank_form_equals_window_form(spark):
+    import numpy as np
+    from poolwise.operators.sequences import shot_segments_window
+    rng = np.random.default_rng(5)
+    rows = [(f"k{k}", int(p), [float(v) for v in rng.normal(size=3)])
+            for k in range(4) for p in rng.choice(200, size=40 + 10 * k, replace=False)]
+    df = spark.createDataFrame(rows, "key string, pos int, vec array<double>")
+    a = sorted(tuple(r) for r in shot_segments(df, 0.2).select("key", "segment", "start_pos", "end_pos",
+                                                               "n_frames", "clip").collect())
+    b = sorted(tuple(r) for r in shot_segments_window(df, 0.2).select("key", "segment", "start_pos", "end_pos",
+                                                                      "n_frames", "clip").collect())
+    assert a == b and len(a) > 8
