@@ -105,3 +105,23 @@ def test_candidate_gate_runs(spark):
     for r in out["state"].filter("status = 'useless'").collect():
         acc, gate = gates[(r.fold, r.iteration)]
         assert not acc and gate
+
+
+@pytest.mark.skipif(not __import__("os").environ.get("POOLWISE_SLOW"), reason="set POOLWISE_SLOW=1")
+@pytest.mark.parametrize("sf,k,pattern,anywhere,voted", [
+    ("/root/testdata/sf0.01", 20, {0: "AArrrr", 1: "rrrrrr", 2: "rrrArr", 3: "rArArA", 4: "rrrrrA"}, 96, 5),
+    ("/root/testdata/sf0.1", 80, {0: "rrrrrA", 1: "rrrrAr", 2: "rrrAAr", 3: "rrrrrr", 4: "rrrrrr"}, 257, 8),
+])
+def test_fixture_table_other_scales(spark, sf, k, pattern, anywhere, voted):
+    items = fx.fx_items(spark, sf)
+    cfg = al.ALConfig(rounds=6)
+    data = al.prepare(items, items.filter("split = 'train'").select("video_id"),
+                      items.filter("split = 'test'").select("video_id"), fx.fx_seed_ids(spark, sf), cfg)
+    out = al.al_loop(data, cfg)
+    got = {}
+    for r in out["decisions"].orderBy("fold", "iteration").collect():
+        got[r.fold] = got.get(r.fold, "") + ("A" if r.accepted else "r")
+    assert data.k == k and got == pattern
+    st = out["state"]
+    assert st.filter("status = 'useful'").select("video_id").distinct().count() == anywhere
+    assert al.majority_vote(st).count() == voted
