@@ -8,9 +8,13 @@ multiplied against it in numpy, emitting one row per pool item.
 
 * ``broadcast`` – anchors whose matrix is at most ``max_broadcast_bytes``
   (checked with a count before anything is shipped);
-* ``blocked`` – larger anchor sets are hash-split into blocks that each pass
-  the same check; every block is one broadcast pass over the (checkpointed)
-  pool producing a partial max, and a final ``groupBy().max`` merges them.
+* ``blocked`` – larger anchor sets are hash-split (on a materialised row id)
+  into blocks whose row counts are checked against the same bound, doubling
+  the block count until every block fits; each block is one broadcast pass
+  over the (checkpointed) pool producing a partial max per pool row, and a
+  final ``groupBy().max`` merges them. Exact all-pairs work is inherent to
+  the operator: shipping anchors to executors costs executors x anchors
+  bytes either way; per-task memory stays bounded by the block.
 """
 
 from __future__ import annotations
@@ -122,15 +126,25 @@ def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
         bc = spark.sparkContext.broadcast(_anchor_groups(pdf, by, vec_col))
         return src.mapInPandas(_scorer(bc, by, keep, vec_col, out_col), schema)
 
-    # blocked: each block passes the broadcast size check on its own
+    # blocked: split the anchors by hash until every block passes the
+    # broadcast size check on its own (block counts are B small rows)
     blocks = max(2, math.ceil(est * 1.5 / max_broadcast_bytes))
+    cap_rows = max(1, max_broadcast_bytes // (8 * max(d, 1)))
+    # a row id (materialised once) spreads even identical anchor vectors
+    anc = cut_lineage(anc.withColumn("_aid", F.monotonically_increasing_id()))
+    while True:
+        blk = F.pmod(F.xxhash64("_aid"), F.lit(blocks))
+        largest = anc.groupBy(blk.alias("_blk")).count().agg(F.max("count")).first()[0] or 0
+        if largest <= cap_rows:
+            break
+        blocks *= 2
     src = cut_lineage(src.withColumn("_row", F.monotonically_increasing_id()))
-    anc = anc.withColumn("_blk", F.pmod(F.xxhash64(*by, vec_col), F.lit(blocks)))
+    anc = anc.withColumn("_blk", blk)
     row_schema = T.StructType(fields[:-1] + [T.StructField("_row", T.LongType(), False),
                                              T.StructField(out_col, T.DoubleType(), False)])
     parts = []
     for b in range(blocks):
-        part_pdf = anc.filter(F.col("_blk") == b).drop("_blk").toPandas()
+        part_pdf = anc.filter(F.col("_blk") == b).drop("_blk", "_aid").toPandas()
         bc = spark.sparkContext.broadcast(_anchor_groups(part_pdf, by, vec_col))
         parts.append(src.mapInPandas(_scorer(bc, by, keep + ["_row"], vec_col, out_col), row_schema))
     merged = parts[0]

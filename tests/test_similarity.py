@@ -51,3 +51,11 @@ def test_topk_and_fraction(spark):
     small = top_fraction(df.filter("video_id IN ('v1','v2','v3')"), 0.3, [F.col("s").desc(), F.col("video_id")],
                          by=["fold"])
     assert small.count() == 0  # fewer than 4 ids -> no anchors
+
+
+def test_blocked_with_duplicate_anchors(spark):
+    pool = spark.createDataFrame([(0, f"p{i}", [1.0, float(i)]) for i in range(7)], "fold int, video_id string, fea array<double>")
+    anchors = spark.createDataFrame([(0, [1.0, 2.0])] * 12 + [(0, [0.0, 1.0])], "fold int, fea array<double>")
+    got = {r.video_id: r.similarity for r in max_similarity(pool, anchors, by=["fold"], max_broadcast_bytes=48).collect()}
+    ref = _ref([(0, f"p{i}", [1.0, float(i)]) for i in range(7)], [(0, [1.0, 2.0]), (0, [0.0, 1.0])])
+    assert all(math.isclose(got[k[1]], v, abs_tol=1e-12) for k, v in ref.items())
