@@ -157,16 +157,21 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
 def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: DataFrame,
                state: DataFrame, anchors: DataFrame, iteration: int, folds: list[int],
                cfg: ALConfig) -> DataFrame:
-    """Per fold: validation F1 of the current and the retrained model, from
-    ONE pass over the validation rows (both models broadcast side by side,
-    folds x 2 rows) and ONE grouped aggregate of confusion counts; candidate
-    count = pool size - the fold's state rows (state is a subset of the pool)."""
+    """Per fold: validation F1 (decides) and test F1 (reported) of the
+    current and the retrained model, from ONE pass over validation and test
+    rows (both models broadcast side by side, folds x 2 rows) and ONE grouped
+    aggregate of confusion counts; candidate count = pool size - the fold's
+    state rows (state is a subset of the pool)."""
     old_w = model_wide(centroids_from_sums(sums, ["fold"]), ["fold"])
     new_w = model_wide(centroids_from_sums(new_sums, ["fold"]), ["fold"]) \
         .select("fold", F.col("c0").alias("n0"), F.col("c1").alias("n1"))
     both = old_w.join(new_w, "fold", "full_outer")
     logit = lambda c: F.coalesce(F.lit(cfg.scale) * dot("fea", c), F.lit(0.0))
-    vb = (data.train.join(F.broadcast(both), "fold", "left")
+    # validation rows decide; test rows (one copy per fold) are only reported
+    rows = data.train.select("fold", "video_id", "y", "fea", F.lit(True).alias("_val")).unionByName(
+        data.test.select(F.explode(F.array(*[F.lit(f) for f in folds])).alias("fold"), "video_id", "y", "fea",
+                         F.lit(False).alias("_val")))
+    vb = (rows.join(F.broadcast(both), "fold", "left")
           .withColumn("p_old", (logit("c1") > logit("c0")).cast("int"))
           .withColumn("p_new", (logit("n1") > logit("n0")).cast("int")))
     gate = cfg.anchor_gate == "candidate"
@@ -178,13 +183,15 @@ def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: Dat
         for a in (0, 1):
             for b in (0, 1):
                 cond = (F.col("y") == a) & (F.col(p) == b)
-                aggs.append(F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(f"{tag}{a}{b}"))
+                cnt = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+                aggs.append(cnt(cond & F.col("_val")).alias(f"{tag}{a}{b}"))
+                aggs.append(cnt(cond & ~F.col("_val")).alias(f"t{tag}{a}{b}"))
                 if gate:
-                    aggs.append(F.sum(F.when(cond & F.col("_anchor").isNotNull(), 1).otherwise(0))
-                                .cast("long").alias(f"a{tag}{a}{b}"))
+                    aggs.append(cnt(cond & F.col("_val") & F.col("_anchor").isNotNull()).alias(f"a{tag}{a}{b}"))
     f1 = lambda t: metrics_from_counts(f"{t}00", f"{t}01", f"{t}10", f"{t}11")["f1"]
     m = vb.groupBy("fold").agg(*aggs)
-    cols = [f1("o").alias("cur_f1"), f1("n").alias("new_f1")]
+    cols = [f1("o").alias("cur_f1"), f1("n").alias("new_f1"),
+            f1("to").alias("cur_test_f1"), f1("tn").alias("new_test_f1")]
     if gate:
         cols.append(F.coalesce(f1("an") <= f1("ao"), F.lit(True)).alias("gate"))
     m = m.select("fold", *cols)

@@ -29,6 +29,8 @@ runs AS (SELECT CAST(range AS INTEGER) AS run FROM range({K_FOLDS})),
 train AS (SELECT f.fold, i.video_id, i.y, i.fea FROM items i JOIN folds f USING (video_id)),
 train_dims AS (
   SELECT fold, video_id, y, unnest(fea) AS v, unnest(generate_series(1, len(fea))) AS d FROM train),
+test_dims AS (
+  SELECT video_id, y, unnest(fea) AS v, unnest(generate_series(1, len(fea))) AS d FROM items WHERE split = 'test'),
 pool AS (
   SELECT video_id, y, fea FROM items
   WHERE source IS DISTINCT FROM 'Human'
@@ -65,6 +67,20 @@ def _score(name: str, model: str) -> str:
   SELECT fold, {f1_expr('y', 'pred')} AS f1 FROM {name} GROUP BY fold)"""
 
 
+def _score_test(name: str, model: str) -> str:
+    """Test F1 of every fold's ``model`` (reported, never decides)."""
+    return f""",
+{name}_dot AS (
+  SELECT m.fold, t.video_id, t.y, m.y AS cls, sum(t.v * (m.s / m.c)) AS dp
+  FROM test_dims t JOIN {model} m ON t.d = m.d GROUP BY m.fold, t.video_id, t.y, m.y),
+{name} AS (
+  SELECT fold, video_id, y,
+    CASE WHEN coalesce({SCALE} * max(CASE WHEN cls = 1 THEN dp END), 0.0)
+            > coalesce({SCALE} * max(CASE WHEN cls = 0 THEN dp END), 0.0) THEN 1 ELSE 0 END AS pred
+  FROM {name}_dot GROUP BY fold, video_id, y),
+{name}_f1 AS (SELECT fold, {f1_expr('y', 'pred')} AS f1 FROM {name} GROUP BY fold)"""
+
+
 def f1_expr(y: str, p: str) -> str:
     """Macro F1 over the classes present in truth or prediction."""
     c = lambda a, b: f"sum(CASE WHEN {y} = {a} AND {p} = {b} THEN 1 ELSE 0 END)"
@@ -113,9 +129,12 @@ newmodel_{r} AS (
     UNION ALL
     SELECT s.fold, p.y, p.d, sum(p.v) AS s, count(*) AS c
     FROM sel_{r} s JOIN pool_dims p USING (video_id) GROUP BY s.fold, p.y, p.d)
-  GROUP BY fold, y, d)""" + _score(f"nval_{r}", f"newmodel_{r}") + f""",
+  GROUP BY fold, y, d)""" + _score(f"nval_{r}", f"newmodel_{r}") + _score_test(f"tst_{r}", f"model_{r}") \
+        + _score_test(f"ntst_{r}", f"newmodel_{r}") + f""",
 dec_{r} AS (
   SELECT r.run AS fold, {r} AS iteration, c.f1 AS cur_f1, nv.f1 AS new_f1,
+    (SELECT f1 FROM tst_{r}_f1 x WHERE x.fold = r.run) AS cur_test_f1,
+    (SELECT f1 FROM ntst_{r}_f1 x WHERE x.fold = r.run) AS new_test_f1,
     coalesce((SELECT count(*) FROM cand_{r} x WHERE x.fold = r.run), 0) AS n_candidates,
     coalesce((SELECT count(*) FROM sel_{r} x WHERE x.fold = r.run), 0) AS n_selected,
     coalesce((SELECT count(*) FROM cand_{r} x WHERE x.fold = r.run), 0) > 0 AND nv.f1 > c.f1 AS accepted

@@ -801,20 +801,20 @@ def q_al_round(spark, sf):
 
 
 @query("accept_reject", sql_out(
-    "SELECT d.fold, d.cur_f1, d.new_f1, d.accepted, d.n_candidates, d.n_selected, "
+    "SELECT d.fold, d.cur_f1, d.new_f1, d.cur_test_f1, d.new_test_f1, d.accepted, d.n_candidates, d.n_selected, "
     "coalesce(u.n_useful, 0) AS n_useful, coalesce(u.n_useless, 0) AS n_useless FROM dec_0 d LEFT JOIN "
     "(SELECT fold, sum(CASE WHEN status = 'useful' THEN 1 ELSE 0 END) AS n_useful, "
     "sum(CASE WHEN status = 'useless' THEN 1 ELSE 0 END) AS n_useless FROM state_1 GROUP BY fold) u USING (fold)",
-    [("fold", "i"), ("cur_f1", "d"), ("new_f1", "d"), ("accepted", "b"), ("n_candidates", "i"),
-     ("n_selected", "i"), ("n_useful", "i"), ("n_useless", "i")], _R1))
+    [("fold", "i"), ("cur_f1", "d"), ("new_f1", "d"), ("cur_test_f1", "d"), ("new_test_f1", "d"),
+     ("accepted", "b"), ("n_candidates", "i"), ("n_selected", "i"), ("n_useful", "i"), ("n_useless", "i")], _R1))
 def q_accept_reject(spark, sf):
     _, cfg, rnd = _round0(spark, sf)
     _, state = al.apply_decision(rnd, cfg)
     u = state.groupBy("fold").agg(F.sum(F.when(F.col("status") == "useful", 1).otherwise(0)).alias("n_useful"),
                                   F.sum(F.when(F.col("status") == "useless", 1).otherwise(0)).alias("n_useless"))
     d = rnd["decisions"].join(u, "fold", "left").fillna(0, ["n_useful", "n_useless"])
-    return finish(d.select("fold", "cur_f1", "new_f1", "accepted", "n_candidates", "n_selected",
-                           "n_useful", "n_useless"))
+    return finish(d.select("fold", "cur_f1", "new_f1", "cur_test_f1", "new_test_f1", "accepted",
+                           "n_candidates", "n_selected", "n_useful", "n_useless"))
 
 
 @query("pool_counters", sql_out(
