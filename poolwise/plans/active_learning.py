@@ -232,23 +232,63 @@ def empty_state(spark) -> DataFrame:
     return spark.createDataFrame([], "fold int, video_id string, status string, iteration int")
 
 
-def al_loop(data: ALData, cfg: ALConfig, rounds: int | None = None) -> dict[str, DataFrame]:
+def al_loop(data: ALData, cfg: ALConfig, rounds: int | None = None,
+            state_dir: str | None = None) -> dict[str, DataFrame]:
     """``rounds`` rounds for all folds. Returns the final state, the final
-    model sums, the per-round decisions and the per-round selections."""
+    model sums, the per-round decisions and the per-round selections.
+
+    With ``state_dir`` (a shared folder), every round's model sums, pool
+    state, decisions and selections are written as tables under
+    ``<state_dir>/<table>/iteration=<r>`` and read back (lineage cut by a
+    written table), and a round is marked complete only after all four are
+    written. A restarted run resumes after the last complete round — it
+    survives the loss of the driver, not just of executors."""
     rounds = cfg.rounds if rounds is None else rounds
     spark = data.train.sparkSession
     sums, state = data.init_sums, empty_state(spark)
     decisions, selections = [], []
-    for it in range(rounds):
+    start = 0
+    if state_dir:
+        done = _completed_rounds(spark, state_dir)
+        if done:
+            last = min(max(done), rounds - 1)
+            sums = _read_round(spark, state_dir, "sums", last)
+            state = _read_round(spark, state_dir, "state", last)
+            decisions = [_read_round(spark, state_dir, "decisions", r) for r in range(last + 1)]
+            selections = [_read_round(spark, state_dir, "selections", r) for r in range(last + 1)]
+            start = last + 1
+    for it in range(start, rounds):
         rnd = al_round(data, sums, state, it, cfg)
-        decisions.append(rnd["decisions"])
-        selections.append(rnd["selected"])
         sums, state = apply_decision(rnd, cfg)
+        dec, sel = rnd["decisions"], rnd["selected"]
+        if state_dir:
+            sums, state, dec, sel = (_write_round(spark, state_dir, name, it, df) for name, df in
+                                     (("sums", sums), ("state", state), ("decisions", dec), ("selections", sel)))
+            spark.createDataFrame([(it,)], "iteration int").write.mode("append").parquet(f"{state_dir}/done")
+        decisions.append(dec)
+        selections.append(sel)
     dec = _union(decisions) if decisions else None
     sel = _union(selections) if selections else None
     return {"state": state, "sums": sums, "decisions": dec, "selections": sel}
 
 
+def _completed_rounds(spark, state_dir: str) -> list[int]:
+    try:
+        return [r.iteration for r in spark.read.parquet(f"{state_dir}/done").collect()]
+    except Exception:  # noqa: BLE001 - no round written yet
+        return []
+
+
+def _write_round(spark, state_dir: str, name: str, it: int, df: DataFrame) -> DataFrame:
+    path = f"{state_dir}/{name}/iteration={it}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _read_round(spark, state_dir: str, name: str, it: int) -> DataFrame:
+    return spark.read.parquet(f"{state_dir}/{name}/iteration={it}")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -125,3 +125,16 @@ def test_fixture_table_other_scales(spark, sf, k, pattern, anywhere, voted):
     st = out["state"]
     assert st.filter("status = 'useful'").select("video_id").distinct().count() == anywhere
     assert al.majority_vote(st).count() == voted
+
+
+def test_loop_resumes_from_written_rounds(spark, loop, tmpdir_path):
+    """Two rounds written, then a 6-round run on the same folder resumes at
+    round 2 and ends exactly where the uninterrupted run ended."""
+    data, cfg, out = loop
+    state_dir = tmpdir_path + "/al"
+    al.al_loop(data, cfg, rounds=2, state_dir=state_dir)
+    resumed = al.al_loop(data, cfg, rounds=6, state_dir=state_dir)
+    norm = lambda df: sorted(tuple(r) for r in df.select("fold", "video_id", "status", "iteration").collect())
+    assert norm(resumed["state"]) == norm(out["state"])
+    dec = lambda df: sorted((r.fold, r.iteration, r.accepted) for r in df.collect())
+    assert dec(resumed["decisions"]) == dec(out["decisions"])
