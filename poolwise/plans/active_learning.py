@@ -229,7 +229,8 @@ def apply_decision(rnd: dict[str, DataFrame], cfg: ALConfig) -> tuple[DataFrame,
 
 
 def empty_state(spark) -> DataFrame:
-    return spark.createDataFrame([], "fold int, video_id string, status string, iteration int")
+    from ..schemas import POOL_STATE
+    return spark.createDataFrame([], POOL_STATE)
 
 
 def al_loop(data: ALData, cfg: ALConfig, rounds: int | None = None,

@@ -17,7 +17,6 @@ from ..session import read_table
 # fabrication code of a generated item, by vec_id % 12
 FX_CODES = {2: "TOVN_TOVM", 5: "TNVO_TMVO", 8: "TOVO_TMVO"}
 FX_CODE_OTHER = "TOVO_TOVM"
-FX_SEED = 2025
 # ---------------------------------------------------------------------------
 
 
