@@ -69,6 +69,9 @@ def _scorer(bc, by: list[str], keep: list[str], vec_col: str, out_col: str):
             out = pdf[keep].copy()
             sim = np.full(len(pdf), -1.0)
             if len(pdf):
+                if pdf[vec_col].isna().any():
+                    raise ValueError("pool row without a feature vector (missing features must be "
+                                     "failed or quarantined before scoring)")
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].values])
                 nx = np.sqrt(np.einsum("ij,ij->i", x, x))
                 if by:
