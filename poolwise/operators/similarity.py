@@ -92,14 +92,22 @@ def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
                    id_col: str = "video_id", vec_col: str = "fea",
                    out_col: str = "similarity", strategy: str = "auto",
                    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-                   dim: int | None = None) -> DataFrame:
+                   dim: int | None = None, broadcasts: list | None = None) -> DataFrame:
     """For every pool row: the largest cosine similarity to any anchor of the
     same ``by`` group, or -1 when the group has no anchors.
     Output columns: ``by…, id_col, out_col`` (one row per pool row).
 
     With ``dim`` (the vector width) known, the size check and the collection
     are one bounded fetch: at most ``max_broadcast_bytes / (8 dim) + 1`` rows
-    are pulled; more than that means "too big" and switches to blocks."""
+    are pulled; more than that means "too big" and switches to blocks.
+    ``broadcasts`` collects the broadcast handles so the caller can destroy
+    them once the result is materialised."""
+    def ship(value):
+        bc = spark.sparkContext.broadcast(value)
+        if broadcasts is not None:
+            broadcasts.append(bc)
+        return bc
+
     by = list(by)
     spark = pool.sparkSession
     anc = anchors.select(*by, F.col(vec_col).cast("array<double>").alias(vec_col))
@@ -126,7 +134,7 @@ def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
         if est > max_broadcast_bytes:
             raise ValueError(f"anchor matrix ~{est} bytes exceeds {max_broadcast_bytes}")
         pdf = fetched if fetched is not None else anc.toPandas()
-        bc = spark.sparkContext.broadcast(_anchor_groups(pdf, by, vec_col))
+        bc = ship(_anchor_groups(pdf, by, vec_col))
         return src.mapInPandas(_scorer(bc, by, keep, vec_col, out_col), schema)
 
     # blocked: split the anchors by hash until every block passes the
@@ -148,7 +156,7 @@ def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
     parts = []
     for b in range(blocks):
         part_pdf = anc.filter(F.col("_blk") == b).drop("_blk", "_aid").toPandas()
-        bc = spark.sparkContext.broadcast(_anchor_groups(part_pdf, by, vec_col))
+        bc = ship(_anchor_groups(part_pdf, by, vec_col))
         parts.append(src.mapInPandas(_scorer(bc, by, keep + ["_row"], vec_col, out_col), row_schema))
     merged = parts[0]
     for p in parts[1:]:

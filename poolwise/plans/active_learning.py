@@ -126,7 +126,7 @@ def round_anchors(data: ALData, sums: DataFrame, cfg: ALConfig) -> DataFrame:
 
 
 def round_similarity(data: ALData, anchors: DataFrame, state: DataFrame, cfg: ALConfig,
-                     folds: list[int] | None = None) -> DataFrame:
+                     folds: list[int] | None = None, broadcasts: list | None = None) -> DataFrame:
     """Max cosine similarity of every candidate of every fold to the fold's
     anchors: fold, video_id, similarity."""
     folds = list(range(cfg.k_folds)) if folds is None else folds
@@ -134,7 +134,8 @@ def round_similarity(data: ALData, anchors: DataFrame, state: DataFrame, cfg: AL
             # state holds at most rounds x k rows per fold: a bounded broadcast
             .join(F.broadcast(state.select("fold", "video_id").distinct()), ["fold", "video_id"], "left_anti"))
     return max_similarity(cand.select("fold", "video_id", "fea"), anchors.select("fold", "fea"),
-                          by=["fold"], max_broadcast_bytes=cfg.max_broadcast_bytes, dim=data.dim)
+                          by=["fold"], max_broadcast_bytes=cfg.max_broadcast_bytes, dim=data.dim,
+                          broadcasts=broadcasts)
 
 
 def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
@@ -143,9 +144,13 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
     Returns lazily defined frames: selected, decisions, new_sums, new_state."""
     folds = list(range(cfg.k_folds)) if folds is None else folds
     anchors = round_anchors(data, sums, cfg)
-    sims = round_similarity(data, anchors, state, cfg, folds)
+    shipped: list = []
+    sims = round_similarity(data, anchors, state, cfg, folds, broadcasts=shipped)
     selected = topk(sims, data.k, [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
     selected = _mark(selected.withColumn("iteration", F.lit(iteration)), cfg)
+    if cfg.checkpoint:  # the selection is materialised: the anchor matrices can go
+        for bc in shipped:
+            bc.destroy()
 
     sel_rows = selected.join(data.pool, "video_id").select("fold", "video_id", "y", "fea")
     new_sums = add_sums(sums, class_sums(sel_rows, ["fold"]), ["fold"])
