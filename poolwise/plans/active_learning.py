@@ -16,10 +16,11 @@ All ``k`` folds run in one plan per round, keyed by a ``fold`` column
    useful, useless ids are cleared, the model is replaced; otherwise (anchor
    gate) a seeded half of the selection becomes useless.
 
-State lives in three small tables (model sums, pool state, decisions) that
-are checkpointed into the shared checkpoint folder every round, so lineage
-stays one round deep and a lost executor only recomputes the current round.
-One action per round collects the per-fold decision rows (k rows).
+State lives in two small tables (model sums, pool state) checkpointed into
+the shared checkpoint folder every round, so lineage stays one round deep and
+a lost executor only recomputes the current round. One small action per round
+brings the k per-fold decision rows to the driver; the update applies them as
+literal fold filters.
 """
 
 from __future__ import annotations
@@ -154,8 +155,11 @@ def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
 
     sel_rows = selected.join(data.pool, "video_id").select("fold", "video_id", "y", "fea")
     new_sums = add_sums(sums, class_sums(sel_rows, ["fold"]), ["fold"])
-    dec = _mark(_decisions(data, sums, new_sums, selected, state, anchors, iteration, folds, cfg), cfg)
-    return {"selected": selected, "decisions": dec, "new_sums": new_sums, "cur_sums": sums,
+    # the round's one small action: k decision rows come to the driver
+    dec_lazy = _decisions(data, sums, new_sums, selected, state, anchors, iteration, folds, cfg)
+    rows = dec_lazy.collect()
+    dec = data.train.sparkSession.createDataFrame(rows, dec_lazy.schema)
+    return {"selected": selected, "decisions": dec, "decision_rows": rows, "new_sums": new_sums, "cur_sums": sums,
             "state": state, "anchors": anchors}
 
 
@@ -216,18 +220,21 @@ def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: Dat
 
 
 def apply_decision(rnd: dict[str, DataFrame], cfg: ALConfig) -> tuple[DataFrame, DataFrame]:
-    """(sums, state) after the round's accept / reject decisions."""
-    dec = rnd["decisions"].select("fold", "accepted", "gate")
-    acc = F.broadcast(dec.filter("accepted").select("fold"))        # <= k folds
-    rej = F.broadcast(dec.filter("NOT accepted AND gate").select("fold"))
-    sums = (rnd["new_sums"].join(acc, "fold", "left_semi")
-            .unionByName(rnd["cur_sums"].join(acc, "fold", "left_anti")))
+    """(sums, state) after the round's accept / reject decisions. The k
+    decision rows are already on the driver, so the update is literal fold
+    filters and unions (no joins), checkpointed to cut lineage."""
+    rows = rnd["decision_rows"]
+    acc = [r["fold"] for r in rows if r["accepted"]]
+    rej = [r["fold"] for r in rows if not r["accepted"] and r["gate"]]
+    in_acc = F.col("fold").isin(acc) if acc else F.lit(False)
+    in_rej = F.col("fold").isin(rej) if rej else F.lit(False)
+    sums = rnd["new_sums"].filter(in_acc).unionByName(rnd["cur_sums"].filter(~in_acc))
     state = rnd["state"]
-    kept = state.join(acc, "fold", "left_anti").unionByName(
-        state.join(acc, "fold", "left_semi").filter(F.col("status") == "useful"))
+    # accept clears the fold's useless ids and keeps its useful ones
+    kept = state.filter(~in_acc | (F.col("status") == "useful"))
     sel = rnd["selected"].select("fold", "video_id", "iteration")
-    useful = sel.join(acc, "fold", "left_semi").withColumn("status", F.lit("useful"))
-    dropped = drop_half(sel.join(rej, "fold", "left_semi"), cfg.seed).withColumn("status", F.lit("useless"))
+    useful = sel.filter(in_acc).withColumn("status", F.lit("useful"))
+    dropped = drop_half(sel.filter(in_rej), cfg.seed).withColumn("status", F.lit("useless"))
     cols = ["fold", "video_id", "status", "iteration"]
     new_state = kept.select(*cols).unionByName(useful.select(*cols)).unionByName(dropped.select(*cols))
     return _mark(sums, cfg), _mark(new_state, cfg)
