@@ -142,7 +142,8 @@ def round_similarity(data: ALData, anchors: DataFrame, state: DataFrame, cfg: AL
 def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
              cfg: ALConfig, folds: list[int] | None = None) -> dict[str, DataFrame]:
     """One round for all folds. ``state``: fold, video_id, status, iteration.
-    Returns lazily defined frames: selected, decisions, new_sums, new_state."""
+    Returns: selected (checkpointed), decisions (the k collected rows, also as
+    ``decision_rows``), new_sums / cur_sums / state / anchors (lazy)."""
     folds = list(range(cfg.k_folds)) if folds is None else folds
     anchors = round_anchors(data, sums, cfg)
     shipped: list = []
