@@ -38,7 +38,7 @@ from ..operators.pool import generated_pool
 from ..operators.similarity import DEFAULT_MAX_BROADCAST_BYTES, max_similarity, top_fraction, topk
 from ..operators.training import (add_sums, centroids_from_sums, class_sums, kfold_sums,
                                   model_wide, score_centroids)
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # --- fixed values of the reference's run ------------------------------------
 K_FOLDS = 5          # folds
@@ -97,8 +97,10 @@ def prepare(items: DataFrame, train_ids: DataFrame, test_ids: DataFrame,
     base = items.select("video_id", encode_label("label", REAL_VALUES[cfg.dataset]).alias("y"),
                         "source", F.col("fea").cast("array<double>").alias("fea"))
     folds = kfold(train_ids, cfg.k_folds, cfg.seed)
+    # the pool feeds the similarity matrix work: spread a pool that arrives in
+    # a few small files over the cluster, then checkpoint once
     train = _mark(base.join(folds, "video_id").select("fold", "video_id", "y", "fea"), cfg)
-    pool = _mark(generated_pool(base, exclude_seed_ids).select("video_id", "y", "fea"), cfg)
+    pool = _mark(spread(generated_pool(base, exclude_seed_ids).select("video_id", "y", "fea"), "video_id"), cfg)
     test = base.join(test_ids.select("video_id").distinct(), "video_id").select("video_id", "y", "fea")
     init = _mark(kfold_sums(train, cfg.k_folds), cfg)
     n_pool = pool.count()
