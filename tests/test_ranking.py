@@ -42,3 +42,17 @@ def test_recommended_conf_scales_partitions():
     c = recommended_conf(100 << 40, 1000, 8)  # 100 TB on 1000 x 8 cores
     assert int(c["spark.sql.shuffle.partitions"]) == (100 << 40) // (128 << 20)
     assert int(recommended_conf(1 << 20, 10, 4)["spark.sql.shuffle.partitions"]) == 80
+
+
+def test_hot_group_is_spread_and_ranked_exactly(spark):
+    """One group holds 90% of the rows: range partitioning on (group, order)
+    still gives balanced partitions, and the ranks stay exact."""
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(F.lit(99)).alias("g"),
+        F.md5(F.col("id").cast("string")).alias("k"), F.col("id"))
+    sizes = [r["count"] for r in df.repartitionByRange(8, "g", "k", "id")
+             .groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * (20000 / 8)
+    a = rank_within(df, [F.col("k"), F.col("id")], by=["g"], name="r", num_partitions=8)
+    b = window_rank(df, [F.col("k"), F.col("id")], by=["g"], name="r")
+    assert sorted(a.select("id", "r").collect()) == sorted(b.select("id", "r").collect())
