@@ -95,13 +95,3 @@ def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.python.worker.reuse": "true",
     }
 
-
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Make sure ``df`` has at least ``min_partitions`` (default: the
-    cluster's default parallelism) partitions. A few small files scan as one
-    partition and would run every later per-row step in a single task; big
-    inputs already have many partitions and are left alone (no shuffle)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
