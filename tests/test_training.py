@@ -54,3 +54,23 @@ def test_early_stop_matches_loop(spark):
            for r in early_stop(df, patience=5, threshold=0.6).collect()}
     for r, fs in runs.items():
         assert got[r] == _ref_early_stop(fs, 5, 0.6), r
+
+
+class _Linear:
+    def __init__(self, w, b):
+        self.w, self.b = np.asarray(w), np.asarray(b)
+
+    def predict(self, x):
+        return x @ self.w.T + self.b
+
+
+def test_score_with_user_model_matches_linear_head(spark):
+    from poolwise.operators.training import linear_scores, score_with
+    w, b = [[0.5, -1.0, 2.0], [1.5, 0.25, -0.75]], [0.1, -0.2]
+    df = spark.createDataFrame([(f"v{i}", [float(i), 1.0 - i, 0.5 * i]) for i in range(9)],
+                               "video_id string, fea array<double>")
+    weights = spark.createDataFrame([(c, w[c], b[c]) for c in (0, 1)], "cls int, w array<double>, b double")
+    a = {r.video_id: r.logits for r in score_with(df, _Linear(w, b)).collect()}
+    ref = {r.video_id: r.logits for r in linear_scores(df, weights).collect()}
+    assert a.keys() == ref.keys()
+    assert all(np.allclose(a[k], ref[k]) for k in a)
