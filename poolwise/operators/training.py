@@ -187,13 +187,21 @@ def score_with(df: DataFrame, model, vec: str = "fea", keep: Sequence[str] | Non
     never row at a time). Adds ``logits`` plus ``probs``/``entropy``/``pred``."""
     import numpy as np
     from pyspark.sql import types as T
+    import sys
+    from pyspark import cloudpickle
     keep = list(keep) if keep is not None else [c for c in df.columns if c != vec]
-    bc = df.sparkSession.sparkContext.broadcast(model)
+    # ship the model with its class definition (executors need not import the
+    # module that defines it): cloudpickle by value, broadcast as bytes
+    mod = sys.modules.get(type(model).__module__)
+    if mod is not None and type(model).__module__ not in ("builtins", "__main__"):
+        cloudpickle.register_pickle_by_value(mod)
+    bc = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     schema = T.StructType([df.schema[c] for c in keep]
                           + [T.StructField("logits", T.ArrayType(T.DoubleType()), True)])
 
     def run(batches):
-        m = bc.value
+        from pyspark import cloudpickle as cp
+        m = cp.loads(bc.value)
         for pdf in batches:
             out = pdf[keep].copy()
             if len(pdf):
