@@ -3,7 +3,7 @@ DuckDB texts. Each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
-from . import cuckoo, decontam, sharding, simhash, warc
+from . import chat, cuckoo, decontam, lm, mixing, sharding, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -11,6 +11,10 @@ def op1_warc_revisits(spark, sf_dir):
     return warc.deduplicated_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_chat_transcripts(spark, sf_dir):
+    return chat.parsed_transcripts(table(spark, sf_dir, "conversations"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.simhash_table(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,25 @@ def op6_exact_dedup(spark, sf_dir):
     return cuckoo.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op3_simhash, op4_decontamination, op5_sharding, op6_exact_dedup)}
+def op7_mixing(spark, sf_dir):
+    return mixing.mixing_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_lm_scores(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark, sf_dir):
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc_revisits, op2_chat_transcripts, op3_simhash, op4_decontamination, op5_sharding, op6_exact_dedup, op7_mixing,
+    op8_lm_scores, op9_token_counts, op10_toxicity)}
 
 ORACLES = {
     "op1_warc_revisits": """
