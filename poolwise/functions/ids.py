@@ -22,6 +22,8 @@ STATE_NAMES = {"O": "original", "M": "manipulated", "N": "null"}
 REAL_VALUES = {"fakett": "real", "fakesv": "真"}
 # Marker in an id whose visual output is untouched: motion features come from the seed.
 UNTOUCHED_VISUAL = "TMVO"
+# Characters that Python's ``str.strip`` removes, as a regex class body.
+WHITE_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # ---------------------------------------------------------------------------
 
 
@@ -98,6 +100,6 @@ def encode_label(label, real_value: str = REAL_VALUES["fakett"]) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: leading and trailing whitespace of any kind
-    (``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: leading and trailing white space of any script
+    (``trim`` removes spaces only, Java's ``\\s`` ASCII only)."""
+    return F.regexp_replace(_c(c), f"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")

@@ -24,18 +24,8 @@ def as_double(v) -> Column:
     return _c(v).cast("array<double>")
 
 
-_DOT_CACHE: dict = {}
-
-
 def dot(x, y) -> Column:
-    """Left-to-right sum of products. Expressions over column *names* are
-    built once and reused (building a lambda expression costs JVM calls)."""
-    if isinstance(x, str) and isinstance(y, str):
-        from pyspark import SparkContext
-        key = (id(SparkContext._active_spark_context), x, y)  # JVM objects: one cache per context
-        if key not in _DOT_CACHE:
-            _DOT_CACHE[key] = _dot(F.col(x), F.col(y))
-        return _DOT_CACHE[key]
+    """Left-to-right sum of products."""
     return _dot(_c(x), _c(y))
 
 
@@ -77,13 +67,3 @@ def argmax(logits) -> Column:
 
 def relu(x) -> Column:
     return F.transform(_c(x), lambda v: F.greatest(v, F.lit(0.0)))
-
-
-def elementwise_mean(*vecs) -> Column:
-    """Mean of equally long vectors, position by position."""
-    cols = [_c(v) for v in vecs]
-    acc = cols[0]
-    for v in cols[1:]:
-        acc = F.zip_with(acc, v, lambda a, b: a + b)
-    n = float(len(cols))
-    return F.transform(acc, lambda a: a / F.lit(n))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# Field names of the published manifest format.
 MANIFEST = T.StructType([
     T.StructField("video_id", T.StringType(), False),
     T.StructField("title", T.StringType(), True),
@@ -11,8 +12,6 @@ MANIFEST = T.StructType([
     T.StructField("source", T.StringType(), True),
 ])
 
-ID_LIST = T.StructType([T.StructField("video_id", T.StringType(), True)])
-
 # long-form feature store: one row per (key, position)
 FEATURE_STORE = T.StructType([
     T.StructField("key", T.StringType(), False),
@@ -26,5 +25,3 @@ POOL_STATE = T.StructType([
     T.StructField("status", T.StringType(), False),
     T.StructField("iteration", T.IntegerType(), False),
 ])
-
-METRICS = ["auc", "f1", "recall", "precision", "acc"]

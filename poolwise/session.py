@@ -4,6 +4,7 @@ shared scratch folder a cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,15 +41,19 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a private one only when
-    the session has none (tests, local runs). A cluster names a shared folder
-    in ``spark.checkpoint.dir``; that setting always wins."""
+    """Return the session's checkpoint folder. A cluster names a shared folder
+    in ``spark.checkpoint.dir``; that setting always wins. Only a local session
+    (one machine) without the setting gets a private folder; anywhere else
+    a missing setting is an error, as executors would not see each other's
+    files."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="poolwise-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -61,15 +66,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/poolwise/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more, in whatever store
+    it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder (survives the
-    loss of executors, unlike ``persist`` or local checkpoints)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as a table under the checkpoint folder and read
+    back (survives the loss of executors, unlike ``persist``; a
+    ``Dataset.checkpoint`` would compute its input twice)."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind a :func:`cut_lineage` result that nothing reads
+    any more."""
+    for file in df.inputFiles()[:1]:
+        remove_path(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,

@@ -1,2 +1,2 @@
 from .io import (append_ids, load_model, overwrite_ids, read_feature_store, read_id_list,  # noqa: F401
-                 read_manifest, save_model, write_id_list)
+                 parse_manifest, read_manifest, save_model, write_id_list)

@@ -16,14 +16,31 @@ from ..functions.ids import strip_ws
 from ..schemas import FEATURE_STORE, MANIFEST
 
 
+def parse_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
+    """Every line of a JSON-lines manifest; ``_bad`` holds the text of a line
+    that is malformed or names no item, and is NULL for good ones."""
+    whole = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]
+                         + [T.StructField("_corrupt_record", T.StringType(), True)])
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    parsed = lines.select("value", F.from_json("value", whole, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_r"))
+    bad = F.col("_r").isNull() | F.col("_r._corrupt_record").isNotNull() | F.col("_r.video_id").isNull()
+    return parsed.select(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields],
+                         F.when(bad, F.col("value")).alias("_bad"))
+
+
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST,
-                  keep_corrupt: bool = False) -> DataFrame:
-    """JSON-lines manifest. Malformed lines become NULL rows (PERMISSIVE);
-    with ``keep_corrupt`` their raw text is kept in ``_corrupt_record``."""
-    if keep_corrupt:
-        schema = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
-    return (spark.read.schema(schema).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+                  on_bad: str = "fail") -> DataFrame:
+    """JSON-lines manifest. A malformed line never becomes a row: it raises
+    (``on_bad='fail'``) or is left out (``'quarantine'``; see
+    :func:`parse_manifest` for the lines themselves)."""
+    if on_bad not in ("fail", "quarantine"):
+        raise ValueError(on_bad)
+    parsed = parse_manifest(spark, path, schema)
+    if on_bad == "fail":
+        for row in parsed.filter(F.col("_bad").isNotNull()).select("_bad").limit(1).collect():
+            raise ValueError(f"malformed manifest line: {row['_bad'][:200]!r}")
+    return parsed.filter(F.col("_bad").isNull()).drop("_bad")
 
 
 def read_id_list(spark: SparkSession, path: str, col: str = "video_id") -> DataFrame:

@@ -19,12 +19,13 @@ from ..schemas import MANIFEST
 
 def pool_stream(spark: SparkSession, manifest_dir: str, exclude_seed_ids: DataFrame | None = None,
                 dataset: str = "fakett", max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of new pool items: video_id, y, source, seed_id."""
+    """Streaming DataFrame of new pool items: video_id, y, source, seed_id. A
+    malformed line, or one without an id, never becomes an item."""
     reader = spark.readStream.schema(MANIFEST)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     items = reader.json(manifest_dir)
-    pool = (items.filter(~F.col("source").eqNullSafe(F.lit("Human")))
+    pool = (items.filter(F.col("video_id").isNotNull() & ~F.col("source").eqNullSafe(F.lit("Human")))
             .withColumn("seed_id", seed_id("video_id")))
     if exclude_seed_ids is not None:
         seeds = exclude_seed_ids.select(F.col(exclude_seed_ids.columns[0]).alias("seed_id")).distinct()

@@ -39,7 +39,7 @@ def test_encode_label_null_is_fake(spark):
 
 
 def test_strip_ws_like_python(spark):
-    vals = ["  a\t", "\tb\r", "c", "   ", "d e "]
+    vals = ["  a\t", "\tb\r", "c", "   ", "d e ", "\u3000x\u00a0", "\x1cy\x1f", "\u2003z\u2029\x85", "\u200bk", "a\u3000b"]
     df = spark.createDataFrame([(v,) for v in vals], "v string")
     assert [r[0] for r in df.select(strip_ws("v")).collect()] == [v.strip() for v in vals]
     # trim() would keep the tab

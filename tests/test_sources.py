@@ -1,8 +1,9 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from poolwise.sources import append_ids, read_id_list, read_manifest
+from poolwise.sources import append_ids, parse_manifest, read_id_list, read_manifest
 
 
 def test_manifest_with_malformed_line(spark, tmpdir_path):
@@ -11,11 +12,39 @@ def test_manifest_with_malformed_line(spark, tmpdir_path):
         f.write('{"video_id": "a_TNVO_TMVO", "visual_materials": ["x_S0_E3"], "label": "fake", "source": "Generated_TNVO_TMVO"}\n')
         f.write('{"video_id": 123, "label": null}\n')
         f.write('not json\n')
-    df = read_manifest(spark, p, keep_corrupt=True)
-    rows = df.collect()
+    rows = read_manifest(spark, p, on_bad="quarantine").collect()
+    assert len(rows) == 2
     assert rows[0].video_id == "a_TNVO_TMVO" and rows[0].visual_materials == ["x_S0_E3"]
     assert rows[1].video_id == "123"  # ids are strings
-    assert rows[2]._corrupt_record == "not json"
+    bad = [r._bad for r in parse_manifest(spark, p).collect()]
+    assert bad == [None, None, "not json"]
+    with pytest.raises(ValueError, match="not json"):
+        read_manifest(spark, p)
+
+
+def test_manifest_line_without_id(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "m.jsonl")
+    with open(p, "w") as f:
+        f.write('{"title": "x"}\n\n{"video_id": "b_TOVO_TOVM", "source": null}\n')
+    assert [r.video_id for r in read_manifest(spark, p, on_bad="quarantine").collect()] == ["b_TOVO_TOVM"]
+
+
+def test_checkpoint_folder_is_never_chosen_silently(spark):
+    from poolwise.session import ensure_checkpoint_dir
+
+    class Far:
+        master = "spark://somewhere:7077"
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Far()
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
 
 
 def test_id_list_strip(spark, tmpdir_path):
