@@ -88,7 +88,7 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
     motion = fetch("motion", "motion_key", FRAME_LEN)
     clips = items.select(id_col, F.posexplode(materials).alias("_mp", "clip"))
     frames = sampled_clip_frames(clips, stores["frames"], FRAME_LEN, vc, item_col=id_col, order_col="_mp",
-                                 clip_col="clip", key=key, pos=pos)
+                                 clip_col="clip", key=key, pos=pos, on_bad="checked")
     parts = [(m, df) for m, df in zip(MODALITIES, (text, audio, frames, motion))]
     out = None
     for mod, df in parts:
@@ -112,13 +112,36 @@ def sequence_mean_pool(seq: DataFrame, by: Sequence[str] = ("key",), vec: str =
     return pooled.select(*by, F.posexplode(vector_to_array("_m")).alias("d", "mean"))
 
 
-def modality_mean_fusion(pooled: Sequence[DataFrame], by: Sequence[str] = ("key",)) -> DataFrame:
+def modality_mean_fusion(pooled: Sequence[DataFrame], by: Sequence[str] = ("key",),
+                         on_missing: str = "fail") -> DataFrame:
     """Element-wise mean of the pooled vectors of several modalities (long
     form ``by…, d, mean``): one union and one aggregate instead of a
-    multi-way join. Keys missing a modality average what they have."""
+    multi-way join. A key that lacks a modality raises (``'fail'``, when the
+    result is computed) or is left out whole (``'quarantine'``)."""
+    if on_missing not in ("fail", "quarantine"):
+        raise ValueError(on_missing)
     by = list(by)
     u = None
     for p in pooled:
         s = p.select(*by, "d", "mean")
         u = s if u is None else u.unionByName(s)
-    return u.groupBy(*by, "d").agg(F.avg("mean").alias("fused"), F.count(F.lit(1)).alias("n_modalities"))
+    fused = u.groupBy(*by, "d").agg(F.avg("mean").alias("fused"), F.count(F.lit(1)).alias("n_modalities"))
+    if on_missing == "quarantine":
+        short = fused.filter(F.col("n_modalities") != len(pooled)).select(*by).distinct()
+        return fused.join(short, by, "left_anti")
+    what = F.concat_ws(" ", F.lit("a modality is missing for"), *[F.col(b).cast("string") for b in by])
+    return fused.withColumn("n_modalities", F.when(F.col("n_modalities") == len(pooled), F.col("n_modalities"))
+                            .otherwise(F.raise_error(what).cast("long")))
+
+
+def fused_items(items: DataFrame, stores: dict[str, DataFrame], id_col: str = "video_id", materials: str = "visual_materials",
+                vec: str = "vec", on_missing: str = "fail") -> DataFrame:
+    """The data path of one item vector: assemble the four modalities, mean-pool
+    each (padding rows count, as in the reference) and average them element by
+    element. Output: id, fea."""
+    long = feature_assemble(items.select(id_col, materials).distinct(), stores, (vec,), id_col, materials, on_missing=on_missing)
+    pooled = sequence_mean_pool(long, [id_col, "modality"], vec)
+    parts = [pooled.filter(F.col("modality") == m).drop("modality") for m in MODALITIES]
+    fused = modality_mean_fusion(parts, [id_col], on_missing)
+    rows = fused.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("d", "fused", "n_modalities"))).alias("_f"))
+    return rows.select(id_col, F.col("_f.fused").alias("fea"))  # one vector: as many entries as dimensions

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import totals_before
+
 # --- fixed values: class names of the report, in label order ---------------
 CLASS_NAMES = ["real", "fake"]
 # ---------------------------------------------------------------------------
@@ -25,8 +27,13 @@ def _cnt(cond: Column) -> Column:
 
 
 def confusion_counts(df: DataFrame, y: str = "y", p: str = "p",
-                     keys: Sequence[str] = ()) -> DataFrame:
+                     keys: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """The four cells of labels 0 and 1. ``strict``: any other value raises."""
     yc, pc = F.col(y), F.col(p)
+    if strict:
+        known = lambda c: F.when(c.isin(0, 1), c).otherwise(
+            F.raise_error(F.concat(F.lit("not a binary label: "), F.coalesce(c.cast("string"), F.lit("null")))).cast("int"))
+        yc, pc = known(yc), known(pc)
     return df.groupBy(*keys).agg(
         _cnt((yc == 0) & (pc == 0)).alias("c00"), _cnt((yc == 0) & (pc == 1)).alias("c01"),
         _cnt((yc == 1) & (pc == 0)).alias("c10"), _cnt((yc == 1) & (pc == 1)).alias("c11"))
@@ -65,46 +72,75 @@ def metrics_from_counts(c00="c00", c01="c01", c10="c10", c11="c11") -> dict[str,
     }
 
 
+def class_metrics(df: DataFrame, y: str = "y", p: str = "p", keys: Sequence[str] = ()) -> DataFrame:
+    """keys…, n, acc, precision, recall, f1 for any number of classes: macro
+    averages over the classes seen in truth or prediction; every row counts.
+    Rows are reduced to (truth, prediction) cells first."""
+    keys = list(keys)
+    cells = df.groupBy(*keys, F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    hit = F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)
+    sides = cells.select(*keys, "_n", hit.alias("_hit"), F.explode(F.array(
+        F.struct(F.col("_y").cast("long").alias("c"), F.lit(1).alias("t")),
+        F.struct(F.col("_p").cast("long").alias("c"), F.lit(0).alias("t")))).alias("_s"))
+    per = sides.groupBy(*keys, F.col("_s.c").alias("_c")).agg(
+        F.sum(F.when(F.col("_s.t") == 1, F.col("_n")).otherwise(0)).alias("_true"),
+        F.sum(F.when(F.col("_s.t") == 0, F.col("_n")).otherwise(0)).alias("_pred"),
+        F.sum(F.when(F.col("_s.t") == 1, F.col("_hit")).otherwise(0)).alias("_tp"))
+    out = per.groupBy(*keys).agg(
+        F.sum("_true").cast("long").alias("n"), _div(F.sum("_tp"), F.sum("_true")).alias("acc"),
+        F.avg(_div(F.col("_tp"), F.col("_pred"))).alias("precision"),
+        F.avg(_div(F.col("_tp"), F.col("_true"))).alias("recall"),
+        F.avg(_div(2 * F.col("_tp"), F.col("_true") + F.col("_pred"))).alias("f1"))
+    if not keys:  # an aggregate without keys has a row even for no input
+        out = out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("acc", F.coalesce("acc", F.lit(0.0)))
+    return out
+
+
+def auc_of_levels(df: DataFrame, y: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys…, auc: Mann-Whitney AUC with ties counted half. Rows are reduced to
+    one per score level first (a score that most rows share costs one row), and
+    the negatives below a level come from two-level running totals. NULL when
+    the truth is not of both kinds."""
+    keys = list(keys)
+    levels = df.groupBy(*keys, F.col(score).alias("_score")).agg(
+        _cnt(F.col(y) == 1).alias("_pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("long").alias("_neg"))
+    below = totals_before(levels, [F.col("_score").asc_nulls_first()], ["_neg"], by=keys)
+    wins = F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / F.lit(2.0)))
+    P, N = F.sum("_pos"), F.sum("_neg")
+    return below.groupBy(*keys).agg(F.when((P > 0) & (N > 0), wins / (P * N)).alias("auc"))
+
+
+def _beside(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join two metric tables of one row per ``keys`` (null keys match)."""
+    if not keys:  # single rows on both sides: join on a constant key
+        return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    right = b.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return a.join(right, cond, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def binary_metrics(df: DataFrame, y: str = "y", p: str = "p",
                    keys: Sequence[str] = ()) -> DataFrame:
-    """keys…, n, acc, precision, recall, f1, auc."""
+    """keys…, n, acc, precision, recall, f1, auc of hard 0/1 predictions from
+    four counts per group. For more classes use :func:`class_metrics`; a row
+    that is neither 0 nor 1 raises here, so that none is lost."""
+    counts = confusion_counts(df, y, p, keys, strict=True)
     m = metrics_from_counts()
-    counts = confusion_counts(df, y, p, keys)
     return counts.select(*keys, m["n"].alias("n"), m["acc"].alias("acc"),
                          m["precision"].alias("precision"), m["recall"].alias("recall"),
                          m["f1"].alias("f1"), m["auc"].alias("auc"))
 
 
 def auc_scores(df: DataFrame, y: str = "y", score: str = "score",
-               keys: Sequence[str] = (), groups_bounded: bool | None = None) -> DataFrame:
+               keys: Sequence[str] = ()) -> DataFrame:
     """ROC AUC of continuous scores with ties counted half, followed by the
     hard metrics of the half-to-even rounded score, as the reference's
-    metric function does (AUC before rounding). keys…, n, acc, …, auc.
-
-    Mann-Whitney form without a running window: rows are ranked by score
-    within their group with the two-level rank (a big group is spread over
-    all tasks); per score level ``min(rank) - 1`` rows lie below, the level's
-    mid-rank is that plus ``(count + 1) / 2``, and
-    ``AUC = (sum over positives of mid-rank - P(P+1)/2) / (P N)``.
-    Everything after the rank is a grouped aggregate."""
-    from .ranking import rank_within
+    metric function does (AUC before rounding). keys…, n, acc, …, auc. A score
+    that rounds to a third class counts as one (:func:`class_metrics`)."""
     keys = list(keys)
-    ranked = rank_within(df.select(*keys, score, y), [F.col(score).asc()], by=keys, name="_r",
-                         groups_bounded=groups_bounded)
-    lvl = ranked.groupBy(*keys, score).agg(
-        F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_cnt"), _cnt(F.col(y) == 1).alias("_pos"))
-    mid = F.col("_first") - 1 + (F.col("_cnt") + 1) / F.lit(2.0)
-    auc = lvl.groupBy(*keys).agg(F.sum(F.col("_pos") * mid).alias("_rs"), F.sum("_pos").alias("_P"),
-                                 F.sum("_cnt").alias("_T"))
-    P, N = F.col("_P"), F.col("_T") - F.col("_P")
-    auc = auc.select(*keys, F.when((P > 0) & (N > 0),
-                                   (F.col("_rs") - P * (P + 1) / F.lit(2.0)) / (P * N)).alias("auc"))
-    hard = binary_metrics(df.withColumn("_p", F.bround(F.col(score), 0).cast("int")),
-                          y, "_p", keys).drop("auc")
-    if not keys:  # single rows on both sides: join on a constant key
-        return (hard.withColumn("_one", F.lit(1)).join(auc.withColumn("_one", F.lit(1)), "_one")
-                .drop("_one"))
-    return hard.join(auc, keys, "inner")
+    src = df.select(*keys, score, y)
+    hard = class_metrics(src.withColumn("_hard", F.bround(F.col(score), 0).cast("int")), y, "_hard", keys)
+    return _beside(hard, auc_of_levels(src, y, score, keys), keys)
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", p: str = "p",

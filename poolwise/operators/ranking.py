@@ -83,9 +83,20 @@ def ntile_of_rank(rank: Column, n: Column, k: int) -> Column:
             .otherwise(rem + F.floor((r - big) / F.greatest(q, F.lit(1))))).cast("int")
 
 
-def window_rank(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
-                name: str = "rank") -> DataFrame:
-    """Plain ``row_number`` window; for small inputs and as a parity check of
-    :func:`rank_within`."""
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
+def totals_before(df: DataFrame, order: Sequence[Column], values: Sequence[str], by: Sequence[str] = (),
+                  prefix: str = "before_") -> DataFrame:
+    """Per row, the sum of each of ``values`` over the rows that come before it
+    in its ``by`` group: running sums inside range partitions, plus the totals
+    of the partitions before. ``order`` must be a total order."""
+    by, values = list(by), list(values)
+    keys = [F.col(b).asc_nulls_first() for b in by] + list(order)
+    tagged = cut_lineage(df.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    prior = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = tagged.groupBy("_pid", *by).agg(*[F.sum(v).alias(v) for v in values])
+    stats = stats.select(F.col("_pid").alias("_spid"), *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)],
+                         *[F.coalesce(F.sum(v).over(prior), F.lit(0)).alias(f"_off_{v}") for v in values])
+    cond = [F.col("_pid") == F.col("_spid")] + [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    runs = tagged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{v}") for v in values])
+    out = runs.join(stats, cond, "inner")
+    return out.select(*df.columns, *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"{prefix}{v}") for v in values])

@@ -36,36 +36,78 @@ def sequence_lengths(seq: DataFrame, key: str = "key") -> DataFrame:
     return seq.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def bad_clips(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
+              clip_col: str = "clip", key: str = "key") -> DataFrame:
+    """item, clip, reason (``malformed`` / ``no frames``) for every clip that
+    cannot be cut out of its source."""
+    parsed = parse_clips(clips, clip_col)
+    have = frames.select(F.col(key).cast("string").alias("src")).distinct()
+    absent = parsed.filter("valid").join(have, "src", "left_anti").select(item_col, clip_col, F.lit("no frames").alias("reason"))
+    return parsed.filter(~F.col("valid")).select(item_col, clip_col, F.lit("malformed").alias("reason")).unionByName(absent)
+
+
 def clip_lengths(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
                  order_col: str = "material_pos", clip_col: str = "clip",
-                 key: str = "key") -> DataFrame:
+                 key: str = "key", on_bad: str = "fail") -> DataFrame:
     """Per clip: src, s, e, n (frames of the source), len = rows the clip
     contributes (``min(n, e) + 1 - min(n, s)`` clamped at 0) and offset = the
-    clip's first output position inside its item."""
-    parsed = parse_clips(clips, clip_col).filter("valid")
+    clip's first output position inside its item.
+
+    A malformed clip, or one whose source has no frames, never shortens its
+    item silently: ``on_bad='fail'`` raises, ``'quarantine'`` leaves the whole
+    item out, ``'checked'`` is for callers that have looked already."""
+    if on_bad not in ("fail", "quarantine", "checked"):
+        raise ValueError(on_bad)
     lens = sequence_lengths(frames, key).withColumnRenamed(key, "src")
-    j = parsed.join(lens, "src", "left").fillna(0, ["n"])
+    j = parse_clips(clips, clip_col).join(lens, "src", "left")
+    if on_bad != "checked":
+        ok = F.col("valid") & F.col("n").isNotNull()
+        if on_bad == "fail":
+            for row in j.filter(~ok).select(item_col, clip_col).limit(1).collect():
+                raise ValueError(f"clip {row[clip_col]!r} of item {row[item_col]!r} has no frames")
+        else:
+            j = j.join(j.filter(~ok).select(item_col).distinct(), item_col, "left_anti")
+    j = j.fillna(0, ["n"])
     j = j.withColumn("len", F.greatest(F.lit(0), F.least("n", F.col("e") + 1) - F.least("n", "s")))
     w = Window.partitionBy(item_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     return j.withColumn("clip_offset", F.coalesce(F.sum("len").over(w), F.lit(0)).cast("long"))
 
 
+#: Positions per bucket of the clip join.
+CLIP_BUCKET = 64
+
+
 def clip_frames(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
                 order_col: str = "material_pos", clip_col: str = "clip",
-                key: str = "key", pos: str = "pos") -> DataFrame:
+                key: str = "key", pos: str = "pos", on_bad: str = "fail") -> DataFrame:
     """Concatenate the frames of an item's clips in material order.
     Slice ``[min(n,s) : min(n,e)+1)`` of the source equals ``pos BETWEEN s
-    AND e`` (positions are < n). Equi join on the source key + range
-    predicate; output position = clip offset + (pos - s).
+    AND e`` (positions are < n). A clip is exploded into the few position
+    buckets it covers and joined on (source, bucket) with the range as the
+    residual, so it never meets frames far from it, and a popular source is
+    spread over its buckets. Output position = clip offset + (pos - s).
     Output: item, pos, and the frame value columns."""
-    lens = clip_lengths(clips, frames, item_col, order_col, clip_col, key) \
-        .filter(F.col("len") > 0).select(item_col, "src", "s", "e", "clip_offset")
+    lens = clip_lengths(clips, frames, item_col, order_col, clip_col, key, on_bad) \
+        .filter(F.col("len") > 0).select(item_col, "src", "s", "clip_offset", (F.col("s") + F.col("len") - 1).alias("e"))
+    cell = lambda c: F.floor(c / CLIP_BUCKET)
+    lens = lens.withColumn("_cell", F.explode(F.sequence(cell(F.col("s")), cell(F.col("e")))))
     vals = [c for c in frames.columns if c not in (key, pos)]
-    fr = frames.withColumnRenamed(key, "_fkey").withColumnRenamed(pos, "_fpos")
-    j = lens.join(fr, (F.col("src") == F.col("_fkey")) & F.col("_fpos").between(F.col("s"), F.col("e")))
+    fr = frames.withColumnRenamed(key, "_fkey").withColumnRenamed(pos, "_fpos").withColumn("_fcell", cell(F.col("_fpos")))
+    j = lens.join(fr, (F.col("src") == F.col("_fkey")) & (F.col("_cell") == F.col("_fcell"))
+                  & F.col("_fpos").between(F.col("s"), F.col("e")))
     return j.select(item_col, (F.col("clip_offset") + F.col("_fpos") - F.col("s")).cast("int").alias(pos), *vals)
 
 
+def _zero(df: DataFrame, col: str, zero=0.0):
+    """A padding value of the column's type: for vectors, zeros of the width
+    that the column's first row has."""
+    kind = df.schema[col].dataType
+    if kind.typeName() != "array":
+        return F.lit(zero).cast(kind)
+    row = df.select(F.size(col).alias("d")).first()
+    return F.array_repeat(F.lit(zero), int(row["d"]) if row else 0).cast(kind)
+
+
 def stride_sample(seq: DataFrame, length: int, key: str = "key", pos: str = "pos") -> DataFrame:
     """Sequences of at least ``length`` rows: every ``gap = n // length``-th
     row, the first ``length`` of them (the tail past ``gap * length`` is
@@ -85,7 +127,7 @@ def pad_mask(sampled: DataFrame, length: int, value_cols: Sequence[str], key: st
     real = sampled.select(key, pos, *value_cols, F.lit(1).alias("mask"))
     short = (sampled.select(key, n_col).distinct().filter(F.col(n_col) < length)
              .select(key, F.explode(F.sequence(F.col(n_col).cast("int"), F.lit(length - 1))).alias(pos)))
-    pads = short.select(key, pos, *[F.lit(zero).cast(sampled.schema[c].dataType).alias(c) for c in value_cols],
+    pads = short.select(key, pos, *[_zero(sampled, c, zero).alias(c) for c in value_cols],
                         F.lit(0).alias("mask"))
     return real.unionByName(pads)
 
@@ -93,8 +135,9 @@ def pad_mask(sampled: DataFrame, length: int, value_cols: Sequence[str], key: st
 def fixed_length(seq: DataFrame, length: int, value_cols: Sequence[str], key: str = "key",
                  pos: str = "pos") -> DataFrame:
     """Reference collation of one modality: stride-sample long sequences,
-    pad short ones, mask the padding."""
-    return pad_mask(stride_sample(seq, length, key, pos), length, value_cols, key, pos)
+    pad short ones, mask the padding. Only the kept rows' values move."""
+    keys = seq.select(key).distinct().withColumn("lookup", F.col(key))
+    return fixed_length_fetch(keys, seq, length, value_cols, key=key, pos=pos)
 
 
 def fixed_length_fetch(keys: DataFrame, store: DataFrame, length: int, value_cols: Sequence[str],
@@ -115,19 +158,20 @@ def fixed_length_fetch(keys: DataFrame, store: DataFrame, length: int, value_col
                     (F.col(pos) * F.col("_gap")).cast("int").alias("_src_pos")))
     fr = store.select(F.col(key).alias(lookup), F.col(pos).cast("int").alias("_src_pos"), *vals)
     real = want.join(fr, [lookup, "_src_pos"]).select(key, pos, *vals)
-    return _pad_from_lengths(real, lens.select(key, "n"), length, vals, key, pos)
+    return _pad_from_lengths(real, lens.select(key, "n"), length, {c: _zero(store, c) for c in vals}, key, pos)
 
 
 def sampled_clip_frames(clips: DataFrame, frames: DataFrame, length: int, value_cols: Sequence[str],
                         item_col: str = "item_id", order_col: str = "material_pos",
-                        clip_col: str = "clip", key: str = "key", pos: str = "pos") -> DataFrame:
+                        clip_col: str = "clip", key: str = "key", pos: str = "pos",
+                        on_bad: str = "fail") -> DataFrame:
     """``fixed_length(clip_frames(...), length)`` without reading a vector
     that the stride sampling drops (SURVEY §4 R1): clip lengths and offsets
     come from frame counts only; per clip the kept output positions are a
     ``sequence(start, stop, gap)``; only those ``(src, pos)`` rows are joined
     for their values, then short items are padded. Output: item, pos,
     values…, mask."""
-    cl = clip_lengths(clips, frames.select(key), item_col, order_col, clip_col, key)
+    cl = clip_lengths(clips, frames.select(key), item_col, order_col, clip_col, key, on_bad)
     # items whose clips are all empty still get `length` padding rows
     tot = cl.groupBy(item_col).agg(F.sum("len").alias("_n"))
     c = cl.filter(F.col("len") > 0).join(tot, item_col)
@@ -147,16 +191,16 @@ def sampled_clip_frames(clips: DataFrame, frames: DataFrame, length: int, value_
     real = want.join(fr, ["_fkey", "_fpos"]).select(F.col(item_col).alias(key), pos, *vals,
                                                      F.col("_n").alias("n"))
     lens = tot.select(F.col(item_col).alias(key), F.col("_n").alias("n"))
-    return _pad_from_lengths(real, lens, length, vals, key, pos)
+    return _pad_from_lengths(real, lens, length, {c: _zero(frames, c) for c in vals}, key, pos)
 
 
-def _pad_from_lengths(real: DataFrame, lens: DataFrame, length: int, value_cols: Sequence[str],
-                      key: str, pos: str, zero=0.0) -> DataFrame:
-    out = real.select(key, pos, *value_cols, F.lit(1).alias("mask"))
+def _pad_from_lengths(real: DataFrame, lens: DataFrame, length: int, zeros: dict,
+                      key: str, pos: str) -> DataFrame:
+    """Pad with ``zeros`` (value column -> padding value)."""
+    out = real.select(key, pos, *zeros, F.lit(1).alias("mask"))
     short = lens.filter(F.col("n") < length).select(
         key, F.explode(F.sequence(F.col("n").cast("int"), F.lit(length - 1))).alias(pos))
-    pads = short.select(key, pos, *[F.lit(zero).cast(real.schema[c].dataType).alias(c) for c in value_cols],
-                        F.lit(0).alias("mask"))
+    pads = short.select(key, pos, *[z.alias(c) for c, z in zeros.items()], F.lit(0).alias("mask"))
     return out.unionByName(pads)
 
 
@@ -170,7 +214,7 @@ def head_pad(seq: DataFrame, length: int, value_cols: Sequence[str], keys: DataF
         n = keys.select(key).distinct().join(n, key, "left").fillna(0, ["n"])
     short = n.filter(F.col("n") < length).select(
         key, F.explode(F.sequence(F.col("n").cast("int"), F.lit(length - 1))).alias(pos))
-    pads = short.select(key, pos, *[F.lit(zero).cast(seq.schema[c].dataType).alias(c) for c in value_cols])
+    pads = short.select(key, pos, *[_zero(seq, c, zero).alias(c) for c in value_cols])
     return head.unionByName(pads)
 
 
@@ -180,17 +224,30 @@ def shot_segments(seq: DataFrame, threshold: float, key: str = "key", pos: str =
     falls below ``threshold``; one row per segment with the clip reference
     ``<key>_S<start>_E<end>``.
 
-    No window over a whole sequence: frames get two-level ranks within their
-    key, the previous frame is an equi join on ``(key, rank - 1)``, segment
-    numbers are ranks of the cut frames, and a segment ends one frame before
-    the next cut (equi join on ``(key, segment + 1)``). A key holding a third
-    of all frames is still spread over every task."""
+    Vectors move once, in the range shuffle that orders the frames: inside
+    a range partition the previous frame is the row before, and only the first
+    row of each partition asks for the last vector of the one before it (a row
+    per partition). Everything after works on (key, pos, cut) rows: segment
+    numbers and ends are running totals and ranks of narrow rows. A key holding
+    a third of all frames is spread over every task."""
+    from ..session import cut_lineage
     from .ranking import rank_within
-    r = rank_within(seq.select(key, pos, vec), [F.col(pos).asc()], by=[key], name="_rk", size_name="_n")
-    prev = r.select(key, (F.col("_rk") + 1).alias("_rk"), F.col(vec).alias("_prev"))
-    j = r.join(prev, [key, "_rk"], "left")
-    cut = F.col("_prev").isNull() | (cosine(F.col(vec), F.col("_prev")) < F.lit(threshold))
-    cuts = j.filter(cut).select(key, "_rk", F.col(pos).alias("start_pos"), "_n")
+    order = [F.col(key).asc_nulls_first(), F.col(pos).asc()]
+    ranged = seq.select(key, pos, vec).repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    w = Window.partitionBy("_pid").orderBy(*order)  # one range partition
+    near = ranged.withColumn("_prev", F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), F.lag(vec).over(w))) \
+        .withColumn("_first", F.row_number().over(w) == 1)
+    edge = ranged.groupBy("_pid").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(vec).alias("v")),
+                                               F.struct(F.col(key), F.col(pos))).alias("_last"))
+    before = Window.orderBy("_pid")  # a row per range partition
+    edge = edge.select(F.col("_pid").alias("_epid"), F.lag("_last").over(before).alias("_edge"))
+    j = near.join(edge, F.col("_pid") == F.col("_epid"))
+    prev = F.when(F.col("_first") & F.col("_edge.k").eqNullSafe(F.col(key)), F.col("_edge.v")).otherwise(F.col("_prev"))
+    cut = prev.isNull() | (cosine(F.col(vec), prev) < F.lit(threshold))
+    marks = j.select(key, F.col(pos), cut.alias("_cut"))
+    r = rank_within(marks, [F.col(pos).asc()], by=[key], name="_rk", size_name="_n")
+    cuts = r.filter("_cut").select(key, "_rk", F.col(pos).alias("start_pos"), "_n")
     seg = rank_within(cuts, [F.col("_rk").asc()], by=[key], name="_seg")
     nxt = seg.select(key, (F.col("_seg") - 1).alias("_seg"), F.col("_rk").alias("_next_rk"))
     seg = seg.join(nxt, [key, "_seg"], "left").withColumn(
@@ -202,19 +259,3 @@ def shot_segments(seq: DataFrame, threshold: float, key: str = "key", pos: str =
         (F.col("_end_rk") - F.col("_rk") + 1).alias("n_frames"),
         F.concat(F.col(key).cast("string"), F.lit("_S"), F.col("start_pos").cast("string"),
                  F.lit("_E"), F.col("end_pos").cast("string")).alias("clip"))
-
-
-def shot_segments_window(seq: DataFrame, threshold: float, key: str = "key", pos: str = "pos",
-                         vec: str = "vec") -> DataFrame:
-    """Window form of :func:`shot_segments` (one task per key); parity
-    reference for small inputs."""
-    w = Window.partitionBy(key).orderBy(pos)
-    s = seq.withColumn("_prev", F.lag(F.col(vec)).over(w))
-    cut = F.when(F.col("_prev").isNull(), F.lit(1)) \
-        .when(cosine(F.col(vec), F.col("_prev")) < F.lit(threshold), F.lit(1)).otherwise(F.lit(0))
-    s = s.withColumn("_cut", cut)
-    s = s.withColumn("segment", (F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
-    g = s.groupBy(key, "segment").agg(F.min(pos).alias("start_pos"), F.max(pos).alias("end_pos"),
-                                      F.count(F.lit(1)).alias("n_frames"))
-    return g.withColumn("clip", F.concat(F.col(key).cast("string"), F.lit("_S"), F.col("start_pos").cast("string"),
-                                         F.lit("_E"), F.col("end_pos").cast("string")))

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from poolwise.operators.metrics import (auc_scores, binary_metrics, classification_report,
                                         confusion_matrix, mean_log_loss)
 
@@ -51,6 +53,27 @@ def test_auc_scores_ties_and_half_even_rounding(spark):
     assert math.isclose(r.acc, acc)
 
 
+def test_a_third_class_counts(spark):
+    y, s = [1, 1, 0, 0], [0.9, 1.6, 0.2, 0.4]  # 1.6 rounds to class 2
+    df = spark.createDataFrame(list(zip(y, s)), "y int, score double")
+    r = auc_scores(df).first()
+    acc, pr, rc, f1 = _ref(y, [1, 2, 0, 0])
+    assert r.n == 4 and math.isclose(r.acc, 0.75) and math.isclose(r.precision, pr)
+    assert math.isclose(r.recall, rc) and math.isclose(r.f1, f1) and math.isclose(acc, 0.75)
+    with pytest.raises(Exception, match="not a binary label"):
+        binary_metrics(df.withColumn("p", df.y + 1)).collect()
+
+
+def test_auc_with_one_hot_score(spark):
+    """Nine rows in ten share a score: it is one level."""
+    rows = [(i % 2, 0.5) for i in range(900)] + [(i % 3 == 0, i / 100) for i in range(100)]
+    rows = [(int(a), float(b)) for a, b in rows]
+    r = auc_scores(spark.createDataFrame(rows, "y int, score double").repartition(4)).first()
+    pos, neg = [b for a, b in rows if a], [b for a, b in rows if not a]
+    ref = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert math.isclose(r.auc, ref)
+
+
 def test_confusion_and_report(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (1, 0)], "y int, p int")
     cm = sorted(tuple(r) for r in confusion_matrix(df).collect())

@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from poolwise.operators.ranking import ntile_of_rank, rank_within, window_rank
+from plain import window_rank
+from poolwise.operators.ranking import ntile_of_rank, rank_within, totals_before
 
 
 def test_two_level_rank_equals_window(spark):
@@ -56,3 +57,14 @@ def test_hot_group_is_spread_and_ranked_exactly(spark):
     a = rank_within(df, [F.col("k"), F.col("id")], by=["g"], name="r", num_partitions=8)
     b = window_rank(df, [F.col("k"), F.col("id")], by=["g"], name="r")
     assert sorted(a.select("id", "r").collect()) == sorted(b.select("id", "r").collect())
+
+
+def test_totals_before(spark):
+    rows = [(g, k, (k * 7 + g) % 5, 1) for g in range(3) for k in range(0 if g == 2 else 400, 500)]
+    df = spark.createDataFrame(rows, "g int, k int, a int, b int").repartition(5)
+    got = {(r.g, r.k): (r.before_a, r.before_b) for r in totals_before(df, [F.col("k").asc()], ["a", "b"], by=["g"]).collect()}
+    for g in range(3):
+        a = b = 0
+        for _, k, x, y in sorted(r for r in rows if r[0] == g):
+            assert got[(g, k)] == (a, b)
+            a, b = a + x, b + y

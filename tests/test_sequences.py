@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from poolwise.operators.sequences import (clip_frames, clip_lengths, fixed_length, head_pad,
+from poolwise.operators.sequences import (bad_clips, clip_frames, clip_lengths, fixed_length, head_pad,
                                           shot_segments, stride_sample)
 
 
@@ -59,13 +59,35 @@ def test_clip_frames_edge_cases(spark):
     def ref(src_n, s, e):  # the reference's slice of a source with src_n frames
         return list(range(src_n))[min(src_n, s):min(src_n, e) + 1]
     expect = [p + 0.5 for p in ref(10, 2, 4)] + [p + 0.5 for p in ref(4, 3, 9)] + [0.5]
-    got = sorted((r.pos, r.x) for r in clip_frames(clips, frames).collect() if r.item_id == 1)
+    with pytest.raises(ValueError, match="bad"):
+        clip_frames(clips, frames)
+    got = sorted((r.pos, r.x) for r in clip_frames(clips, frames, on_bad="quarantine").collect())
     assert [x for _, x in got] == expect
     assert [p for p, _ in got] == list(range(len(expect)))
-    lens = {r.material_pos: r.len for r in clip_lengths(clips, frames).collect() if r.item_id == 1}
+    lens = {r.material_pos: r.len for r in clip_lengths(clips, frames, on_bad="quarantine").collect() if r.item_id == 1}
     assert lens == {1: 3, 2: 1, 3: 0, 4: 0, 5: 1}
 
 
+def test_a_bad_clip_takes_its_whole_item_out(spark):
+    frames = _seq(spark, {"s1": 10})
+    clips = spark.createDataFrame([(1, 1, "s1_S0_E1"), (1, 2, "s1_Sx_E3"), (1, 3, "s1_S4_E5"), (2, 1, "gone_S0_E1"),
+                                   (2, 2, "s1_S0_E0"), (3, 1, "s1_S9_E9")], "item_id long, material_pos int, clip string")
+    assert sorted((r.item_id, r.clip, r.reason) for r in bad_clips(clips, frames).collect()) == [
+        (1, "s1_Sx_E3", "malformed"), (2, "gone_S0_E1", "no frames")]
+    assert {r.item_id for r in clip_frames(clips, frames, on_bad="quarantine").collect()} == {3}
+
+
+def test_clip_join_of_a_popular_source(spark):
+    """Nine clips in ten cut the same long source: right rows, and no clip
+    meets frames outside its buckets."""
+    frames = _seq(spark, {"hot": 2000, "s": 300})
+    clips = spark.createDataFrame([(i, 0, f"{'hot' if i % 10 else 's'}_S{i * 3 % 290}_E{i * 3 % 290 + 70}") for i in range(200)],
+                                  "item_id long, material_pos int, clip string")
+    got = sorted((r.item_id, r.pos, r.x) for r in clip_frames(clips, frames).collect())
+    want = [(i, p, i * 3 % 290 + p + 0.5) for i in range(200) for p in range(min(71, (2000 if i % 10 else 300) - i * 3 % 290))]
+    assert got == want
+
+
 def test_shot_segments(spark):
     rows = [("v", 0, [1.0, 0.0]), ("v", 1, [0.9, 0.1]), ("v", 2, [0.0, 1.0]), ("v", 3, [0.1, 0.9]),
             ("w", 0, [0.0, 0.0])]
@@ -127,7 +149,7 @@ def test_malformed_clips_are_reported(spark):
 
 def test_shot_segments_rank_form_equals_window_form(spark):
     import numpy as np
-    from poolwise.operators.sequences import shot_segments_window
+    from plain import shot_segments_window
     rng = np.random.default_rng(5)
     rows = [(f"k{k}", int(p), [float(v) for v in rng.normal(size=3)])
             for k in range(4) for p in rng.choice(200, size=40 + 10 * k, replace=False)]
