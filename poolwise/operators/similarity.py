@@ -2,24 +2,21 @@
 top-fraction selections (C7, D8, E2, E6, F1, SURVEY §4 P3).
 
 The similarity is an all-pairs computation reduced to one number per pool
-item. It never materialises pairs as rows (no cross join): the anchors are
-shipped to every task as one matrix and each Arrow batch of pool rows is
-multiplied against it in numpy, emitting one row per pool item.
-
-* ``broadcast`` – anchors whose matrix is at most ``max_broadcast_bytes``
-  (checked with a count before anything is shipped);
-* ``blocked`` – larger anchor sets are hash-split (on a materialised row id)
-  into blocks whose row counts are checked against the same bound, doubling
-  the block count until every block fits; each block is one broadcast pass
-  over the (checkpointed) pool producing a partial max per pool row, and a
-  final ``groupBy().max`` merges them. Exact all-pairs work is inherent to
-  the operator: shipping anchors to executors costs executors x anchors
-  bytes either way; per-task memory stays bounded by the block.
+item. Pairs never become rows: both sides are packed into matrix blocks by the
+executors, every pool block meets every anchor block once, and a task keeps the
+running maxima of the block it works on. One plan serves every size:
+
+* a pool row is packed once, with the list of groups (folds) it is open in;
+* anchor blocks are copied to ``spread`` salts, pool blocks take one salt each,
+  and the two are joined on the salt - the anchors are a stated query set, in
+  blocks. Spark chooses the join from the sizes; nothing passes through the
+  driver and nothing is broadcast by hint;
+* what a task emits is one narrow row per pool item and group; a final grouped
+  max merges blocks that Spark may have split.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,140 +26,109 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import COSINE_EPS
-from ..session import cut_lineage
 from .ranking import rank_within
 
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-# pool rows x anchor columns multiplied at once inside a task
-_CELLS_PER_CHUNK = 1 << 24
+#: Target size of a packed block.
+BLOCK_BYTES = 2 << 20
 
 
-def _anchor_groups(pdf: pd.DataFrame, by: list[str], vec_col: str) -> dict:
-    groups = {}
-    if pdf.empty:
-        return groups
-    keyed = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-    for key, g in keyed:
-        key = key if isinstance(key, tuple) else (key,)
-        a = np.stack([np.asarray(v, dtype=np.float64) for v in g[vec_col].values])
-        groups[tuple(key)] = (a, np.sqrt(np.einsum("ij,ij->i", a, a)))
-    return groups
+def _matrix(vectors) -> np.ndarray:
+    if any(v is None for v in vectors):
+        raise ValueError("a row without a feature vector (missing features must be "
+                         "failed or quarantined before scoring)")
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _max_cosine(x: np.ndarray, nx: np.ndarray, a: np.ndarray, na: np.ndarray) -> np.ndarray:
+def _blocks(x: np.ndarray, block_bytes: int):
+    step = max(16, block_bytes // max(8, 8 * x.shape[1]))
+    return ((lo, min(lo + step, len(x))) for lo in range(0, len(x), step))
+
+
+def _max_cosine(x: np.ndarray, nx: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Row-wise max of ``x.a / max(|x||a|, eps)`` over anchors; NaN never
-    wins; starts from -1 (so no anchors gives -1)."""
-    best = np.full(x.shape[0], -np.inf)
-    step = max(1, _CELLS_PER_CHUNK // max(1, x.shape[0]))
-    for lo in range(0, a.shape[0], step):
-        aa, nn = a[lo:lo + step], na[lo:lo + step]
-        sims = (x @ aa.T) / np.maximum(np.outer(nx, nn), COSINE_EPS)
-        sims[np.isnan(sims)] = -np.inf
-        best = np.maximum(best, sims.max(axis=1))
-    return np.maximum(best, -1.0)
-
-
-def _scorer(bc, by: list[str], keep: list[str], vec_col: str, out_col: str):
+    wins; at least -1."""
+    na = np.sqrt(np.einsum("ij,ij->i", a, a))
+    sims = (x @ a.T) / np.maximum(np.outer(nx, na), COSINE_EPS)
+    sims[np.isnan(sims)] = -np.inf
+    return np.maximum(sims.max(axis=1), -1.0)
+
+
+def _pack_pool(block_bytes: int):
     def run(batches):
-        groups = bc.value
         for pdf in batches:
-            out = pdf[keep].copy()
-            sim = np.full(len(pdf), -1.0)
             if len(pdf):
-                if pdf[vec_col].isna().any():
-                    raise ValueError("pool row without a feature vector (missing features must be "
-                                     "failed or quarantined before scoring)")
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].values])
-                nx = np.sqrt(np.einsum("ij,ij->i", x, x))
-                if by:
-                    codes = pdf.groupby(by, dropna=False, sort=False).indices
-                    items = [((k if isinstance(k, tuple) else (k,)), idx) for k, idx in codes.items()]
-                else:
-                    items = [((), np.arange(len(pdf)))]
-                for key, idx in items:
-                    g = groups.get(tuple(key))
-                    if g is not None and g[0].shape[0]:
-                        sim[idx] = _max_cosine(x[idx], nx[idx], g[0], g[1])
-            out[out_col] = sim
-            yield out
+                x = _matrix(pdf["_vec"].values)
+                for lo, hi in _blocks(x, block_bytes):
+                    yield pd.DataFrame({"ids": [pdf["_id"].iloc[lo:hi].tolist()], "n": [hi - lo],
+                                        "open": [[list(o) for o in pdf["_open"].iloc[lo:hi]]], "mat": [x[lo:hi].tobytes()]})
     return run
 
 
-def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
-                   id_col: str = "video_id", vec_col: str = "fea",
-                   out_col: str = "similarity", strategy: str = "auto",
-                   max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-                   dim: int | None = None, broadcasts: list | None = None) -> DataFrame:
-    """For every pool row: the largest cosine similarity to any anchor of the
-    same ``by`` group, or -1 when the group has no anchors.
-    Output columns: ``by…, id_col, out_col`` (one row per pool row).
-
-    With ``dim`` (the vector width) known, the size check and the collection
-    are one bounded fetch: at most ``max_broadcast_bytes / (8 dim) + 1`` rows
-    are pulled; more than that means "too big" and switches to blocks.
-    ``broadcasts`` collects the broadcast handles so the caller can destroy
-    them once the result is materialised."""
-    def ship(value):
-        bc = spark.sparkContext.broadcast(value)
-        if broadcasts is not None:
-            broadcasts.append(bc)
-        return bc
+def _pack_anchors(block_bytes: int):
+    def run(batches):
+        for pdf in batches:
+            for group, rows in pdf.groupby("_group", sort=True):
+                x = _matrix(rows["_vec"].values)
+                for lo, hi in _blocks(x, block_bytes):
+                    yield pd.DataFrame({"grp": [group], "m": [hi - lo], "anchors": [x[lo:hi].tobytes()]})
+    return run
+
+
+def _running_max(batches):
+    """Joined (pool block, anchor block) rows; those of one pool block come
+    together, its maxima are emitted when the next one begins."""
+    block, best = None, {}
+
+    def flush():
+        ids, opened = block[1], block[2]
+        rows = [(i, g, best[g][k]) for k, i in enumerate(ids) for g in opened[k]]
+        return pd.DataFrame(rows, columns=["_id", "_group", "_sim"])
+
+    for pdf in batches:
+        for r in pdf.itertuples():
+            if block is None or block[0] != r.block:
+                if block is not None:
+                    yield flush()
+                opened = [[str(g) for g in o] for o in r.open]
+                x = np.frombuffer(r.mat, dtype=np.float64).reshape(r.n, -1)
+                block = (r.block, list(r.ids), opened, x, np.sqrt(np.einsum("ij,ij->i", x, x)))
+                best = {g: np.full(r.n, -1.0) for o in opened for g in o}
+            if isinstance(r.grp, str) and r.grp in best:
+                a = np.frombuffer(r.anchors, dtype=np.float64).reshape(int(r.m), -1)
+                best[r.grp] = np.maximum(best[r.grp], _max_cosine(block[3], block[4], a))
+    if block is not None:
+        yield flush()
+
 
+def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
+                   id_col: str = "video_id", vec_col: str = "fea", out_col: str = "similarity",
+                   open_col: str | None = None, spread: int | None = None,
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """For every pool id and group: the largest cosine similarity to any anchor
+    of the group, or -1 when it has none. ``by`` is at most one group column of
+    the anchors; a pool row belongs to the groups in its ``open_col`` (an
+    array), or to the one in its own ``by`` column. Output: ``by…, id_col,
+    out_col``, one row per id and group."""
     by = list(by)
+    if len(by) > 1:
+        raise ValueError("at most one group column")
     spark = pool.sparkSession
-    anc = anchors.select(*by, F.col(vec_col).cast("array<double>").alias(vec_col))
-    fetched = None
-    if dim:
-        cap = max(1, max_broadcast_bytes // (8 * dim))
-        fetched = anc.limit(cap + 1).toPandas()
-        n, d = len(fetched), dim
-        if n > cap:
-            fetched = None
-            n = anc.count()
-    else:
-        meta = anc.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("d")).first()
-        n, d = int(meta["n"]), int(meta["d"] or 0)
-    est = n * max(d, 1) * 8
-    keep = by + [id_col]
-    fields = [pool.schema[c] for c in keep] + [T.StructField(out_col, T.DoubleType(), False)]
-    schema = T.StructType(fields)
-    src = pool.select(*keep, F.col(vec_col).cast("array<double>").alias(vec_col))
-
-    if strategy == "auto":
-        strategy = "broadcast" if est <= max_broadcast_bytes else "blocked"
-    if strategy == "broadcast":
-        if est > max_broadcast_bytes:
-            raise ValueError(f"anchor matrix ~{est} bytes exceeds {max_broadcast_bytes}")
-        pdf = fetched if fetched is not None else anc.toPandas()
-        bc = ship(_anchor_groups(pdf, by, vec_col))
-        return src.mapInPandas(_scorer(bc, by, keep, vec_col, out_col), schema)
-
-    # blocked: split the anchors by hash until every block passes the
-    # broadcast size check on its own (block counts are B small rows)
-    blocks = max(2, math.ceil(est * 1.5 / max_broadcast_bytes))
-    cap_rows = max(1, max_broadcast_bytes // (8 * max(d, 1)))
-    # a row id (materialised once) spreads even identical anchor vectors
-    anc = cut_lineage(anc.withColumn("_aid", F.monotonically_increasing_id()))
-    while True:
-        blk = F.pmod(F.xxhash64("_aid"), F.lit(blocks))
-        largest = anc.groupBy(blk.alias("_blk")).count().agg(F.max("count")).first()[0] or 0
-        if largest <= cap_rows:
-            break
-        blocks *= 2
-    src = cut_lineage(src.withColumn("_row", F.monotonically_increasing_id()))
-    anc = anc.withColumn("_blk", blk)
-    row_schema = T.StructType(fields[:-1] + [T.StructField("_row", T.LongType(), False),
-                                             T.StructField(out_col, T.DoubleType(), False)])
-    parts = []
-    for b in range(blocks):
-        part_pdf = anc.filter(F.col("_blk") == b).drop("_blk", "_aid").toPandas()
-        bc = ship(_anchor_groups(part_pdf, by, vec_col))
-        parts.append(src.mapInPandas(_scorer(bc, by, keep + ["_row"], vec_col, out_col), row_schema))
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    return (merged.groupBy("_row", *keep).agg(F.max(out_col).alias(out_col))
-            .drop("_row"))
+    spread = spread or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group = F.col(by[0]).cast("string") if by else F.lit("")
+    opened = F.col(open_col) if open_col else F.array(group)
+    left = pool.select(F.col(id_col).cast("string").alias("_id"), opened.cast("array<string>").alias("_open"),
+                       F.col(vec_col).cast("array<double>").alias("_vec"))
+    right = anchors.select(F.coalesce(group, F.lit("")).alias("_group"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    salt = F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("salt")
+    packed = (left.mapInPandas(_pack_pool(block_bytes), "ids array<string>, n int, open array<array<string>>, mat binary")
+              .withColumn("block", F.monotonically_increasing_id()).select("*", salt))
+    queries = (right.mapInPandas(_pack_anchors(block_bytes), "grp string, m int, anchors binary")
+               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))))
+    joined = packed.join(queries, "salt", "left").select("block", "ids", "n", "open", "mat", "grp", "m", "anchors")
+    parts = joined.mapInPandas(_running_max, "_id string, _group string, _sim double")
+    out = parts.groupBy("_id", "_group").agg(F.max("_sim").alias(out_col))
+    cols = [F.col("_group").cast(anchors.schema[by[0]].dataType).alias(by[0])] if by else []
+    return out.select(*cols, F.col("_id").cast(pool.schema[id_col].dataType).alias(id_col), out_col)
 
 
 def topk(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
@@ -175,6 +141,14 @@ def topk(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ())
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
+def top_ranked(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = (),
+               rank_col: str = "rank") -> DataFrame:
+    """First ``k`` rows by ``order`` per group where ``k`` grows with the data:
+    a two-level rank instead of a window that would sort whole groups. Pass
+    narrow rows."""
+    return rank_within(df, order, by=by, name=rank_col, groups_bounded=True).filter(F.col(rank_col) <= k)
+
+
 def top_fraction(df: DataFrame, fraction: float, order: Sequence[Column],
                  by: Sequence[str] = (), rank_col: str = "rank",
                  groups_bounded: bool | None = None) -> DataFrame:

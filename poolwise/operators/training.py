@@ -120,16 +120,42 @@ def linear_scores(df: DataFrame, weights: DataFrame, vec: str = "fea", relu_inpu
     return j.withColumn("logits", F.transform("_w", lambda r: dot(x, r["w"]) + r["b"])).drop("_w")
 
 
-def fit_logreg(train: DataFrame, vec: str = "fea", y: str = "y", max_iter: int = 50, reg: float = 0.0):
-    """Spark ML multinomial logistic regression on the fused vector; returns
-    the fitted model (``model.transform`` scores a DataFrame)."""
+def fit_logreg(train: DataFrame, vec: str = "fea", y: str = "y", max_iter: int = 200, reg: float = 0.01,
+               tol: float = 1e-6):
+    """Spark ML multinomial logistic regression on the fused vector with an L2
+    penalty (without one, separable data have no optimum); returns the fitted
+    model (``model.transform`` scores a DataFrame). Raises if the optimiser
+    stops at ``max_iter`` without having converged."""
+    if reg <= 0:
+        raise ValueError("reg must be positive")
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
     data = train.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
                         F.col(y).cast("double").alias("label"))
     lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter,
-                            regParam=reg, family="multinomial")
-    return lr.fit(data)
+                            regParam=reg, family="multinomial", standardization=False, tol=tol)
+    model = lr.fit(data)
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"not converged in {max_iter} iterations")
+    return model
+
+
+def logreg_gradient(model, df: DataFrame, vec: str = "fea", y: str = "y", reg: float = 0.01) -> DataFrame:
+    """cls, d, gradient of the mean penalised log loss at the fitted point
+    (dimension ``len(vec)`` is the intercept, which has no penalty): zero at
+    the optimum. One grouped sum of whole vectors per class."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    spark = df.sparkSession
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    heads = spark.createDataFrame([(c, [float(v) for v in w[c]], float(b[c])) for c in range(len(b))], "cls int, w array<double>, b double")
+    scored = linear_scores(df.select(F.col(vec).cast("array<double>").alias("_x"), y), heads, "_x")
+    slope = F.transform(softmax("logits"), lambda p, c: p - F.when(F.col(y) == c, 1.0).otherwise(0.0))
+    each = scored.select(F.concat("_x", F.array(F.lit(1.0))).alias("_x1"), F.posexplode(slope).alias("cls", "_s"))
+    each = each.select("cls", array_to_vector(F.transform("_x1", lambda v: v * F.col("_s"))).alias("_g"))
+    g = each.groupBy("cls").agg(Summarizer.mean(F.col("_g")).alias("_m"))  # one row a class
+    g = g.select("cls", F.posexplode(vector_to_array("_m")).alias("d", "_v")).join(heads, "cls")
+    return g.select("cls", "d", (F.col("_v") + F.when(F.col("d") < F.size("w"), reg * F.get("w", F.col("d"))).otherwise(0.0)).alias("gradient"))
 
 
 def logreg_scores(model, df: DataFrame, vec: str = "fea") -> DataFrame:
@@ -181,33 +207,76 @@ class CentroidArrayModel:
         return self.scale * (x @ self.c.T)
 
 
-def score_with(df: DataFrame, model, vec: str = "fea", keep: Sequence[str] | None = None) -> DataFrame:
-    """Score ``df`` with a Python model shipped once per executor (broadcast)
-    and applied to whole Arrow batches (``mapInPandas``, vectorised numpy —
-    never row at a time). Adds ``logits`` plus ``probs``/``entropy``/``pred``."""
-    import numpy as np
-    from pyspark.sql import types as T
+def shipped(spark, model, max_model_bytes: int):
+    """A Python model with its class definition as a broadcast of checked
+    size (executors need not import the module that defines it)."""
     import sys
     from pyspark import cloudpickle
-    keep = list(keep) if keep is not None else [c for c in df.columns if c != vec]
-    # ship the model with its class definition (executors need not import the
-    # module that defines it): cloudpickle by value, broadcast as bytes
     mod = sys.modules.get(type(model).__module__)
     if mod is not None and type(model).__module__ not in ("builtins", "__main__"):
         cloudpickle.register_pickle_by_value(mod)
-    bc = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    schema = T.StructType([df.schema[c] for c in keep]
-                          + [T.StructField("logits", T.ArrayType(T.DoubleType()), True)])
+    data = cloudpickle.dumps(model)
+    if len(data) > max_model_bytes:
+        raise ValueError(f"the model has {len(data)} bytes; the bound is {max_model_bytes}")
+    return spark.sparkContext.broadcast(data)
+
+
+def _load(data: bytes):
+    """The shipped model, unpickled once per worker."""
+    import hashlib
+    from pyspark import cloudpickle
+    key = hashlib.sha1(data).digest()
+    if _LOADED.get("key") != key:
+        _LOADED.update(key=key, model=cloudpickle.loads(data))
+    return _LOADED["model"]
+
+
+_LOADED: dict = {}
+
+
+def map_vectors(df: DataFrame, project, vec: str = "fea", max_model_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with ``vec`` replaced by ``project(rows)``, a Python function of
+    a numpy matrix applied to whole Arrow batches."""
+    import numpy as np
+    from pyspark.sql import types as T
+    bc = shipped(df.sparkSession, project, max_model_bytes)
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == vec else f for f in df.schema])
 
     def run(batches):
-        from pyspark import cloudpickle as cp
-        m = cp.loads(bc.value)
+        f = _load(bc.value)
         for pdf in batches:
-            out = pdf[keep].copy()
             if len(pdf):
                 x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
-                out["logits"] = list(np.asarray(m.predict(x), dtype=np.float64))
+                pdf[vec] = list(np.asarray(f(x), dtype=np.float64))
+            yield pdf
+    return df.withColumn(vec, F.col(vec).cast("array<double>")).mapInPandas(run, schema)
+
+
+def score_with(df: DataFrame, model, vec: str = "fea", keep: Sequence[str] | None = None,
+               max_model_bytes: int = 64 << 20) -> DataFrame:
+    """Score ``df`` with a Python model shipped once per executor (broadcast of
+    checked size) and applied to whole Arrow batches (``mapInPandas``,
+    vectorised numpy — never row at a time). ``model.predict(x)`` gives the
+    logits, or (logits, vectors). Adds ``logits``, ``out`` (the vectors; the
+    input where the model gives none) and ``probs``/``entropy``/``pred``."""
+    import numpy as np
+    from pyspark.sql import types as T
+    keep = list(keep) if keep is not None else [c for c in df.columns if c != vec]
+    bc = shipped(df.sparkSession, model, max_model_bytes)
+    schema = T.StructType([df.schema[c] for c in keep]
+                          + [T.StructField(c, T.ArrayType(T.DoubleType()), True) for c in ("logits", "out")])
+
+    def run(batches):
+        m = _load(bc.value)
+        for pdf in batches:
+            result = pdf[keep].copy()
+            if not len(pdf):
+                result["logits"], result["out"] = [], []
             else:
-                out["logits"] = []
-            yield out
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].values])
+                got = m.predict(x)
+                logits, out = got if isinstance(got, tuple) else (got, x)
+                result["logits"] = list(np.asarray(logits, dtype=np.float64))
+                result["out"] = list(np.asarray(out, dtype=np.float64))
+            yield result
     return with_prediction(df.select(*keep, F.col(vec).cast("array<double>").alias(vec)).mapInPandas(run, schema))

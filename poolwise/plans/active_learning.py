@@ -3,42 +3,52 @@
 All ``k`` folds run in one plan per round, keyed by a ``fold`` column
 (the reference runs them one after another). Per round:
 
-1. score each fold's validation ids with the fold's current model
-   (entropy, class) and take the fold's validation macro-F1;
-2. anchors = the ``floor(0.3 n)`` most uncertain validation ids per fold;
-3. candidates = pool ids not yet marked useful/useless in the fold
-   (hash anti join);
-4. max cosine similarity of every candidate to the fold's anchors
-   (broadcast anchor matrix, size checked) and the top ``k`` per fold;
-5. the new model = old class sums + sums of the selected rows (only the
-   selected rows are aggregated, never the whole training set again);
-6. accept iff the new validation F1 is strictly larger: selected ids become
-   useful, useless ids are cleared, the model is replaced; otherwise (anchor
-   gate) a seeded half of the selection becomes useless.
-
-State lives in two small tables (model sums, pool state) checkpointed into
-the shared checkpoint folder every round, so lineage stays one round deep and
-a lost executor only recomputes the current round. One small action per round
-brings the k per-fold decision rows to the driver; the update applies them as
-literal fold filters.
+1. anchors = the ``floor(0.3 n)`` most uncertain validation ids per fold, from
+   the score table that the round before left (every model scores the
+   validation rows once);
+2. candidates = pool ids not yet marked useful/useless in the fold; a pool row
+   travels once, with the list of folds it is open in;
+3. max cosine similarity of every candidate to the fold's anchors and the top
+   ``k`` per fold, ranked on narrow rows;
+4. the new model = the head extended by the selected rows;
+5. accept iff the new validation F1 is strictly larger: selected ids become
+   useful, useless ids are cleared, the model and its scores are kept;
+   otherwise (anchor gate) a seeded half of the selection becomes useless.
+
+A score dictionary has one entry per id, so ids are unique wherever they are
+ranked or counted; training and metrics use every row of an id, as a
+restriction by id does.
+
+The model is a *head*: ``start`` (fit on a fold's training rows), ``extend``
+(fit with selected rows added), ``keep`` (per fold the new or the old model)
+and ``score`` (adds ``logits`` and the vector ``out`` that similarities are
+taken on). :class:`CentroidHead` is the default; :class:`ProjectedHead` runs a
+user's vector model in front of it, so pool and anchor vectors are recomputed.
+
+State lives in small tables (model, pool state, scores) written to the shared
+checkpoint folder every round, so lineage stays one round deep and a lost
+executor only recomputes the current round. One small action per round brings
+the k per-fold decision rows to the driver.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import REAL_VALUES, encode_label
-from ..operators.folds import drop_half, kfold
 from ..functions.vectors import dot
-from ..operators.metrics import binary_metrics, metrics_from_counts
+from ..operators.folds import drop_half, kfold
+from ..operators.metrics import binary_metrics, confusion_counts, metrics_from_counts
 from ..operators.pool import generated_pool
-from ..operators.similarity import DEFAULT_MAX_BROADCAST_BYTES, max_similarity, top_fraction, topk
+from ..operators.similarity import max_similarity, top_fraction, top_ranked
 from ..operators.training import (add_sums, centroids_from_sums, class_sums, kfold_sums,
-                                  model_wide, score_centroids)
-from ..session import cut_lineage
+                                  map_vectors, model_wide, score_centroids)
+from ..session import cut_lineage, release
 
 # --- fixed values of the reference's run ------------------------------------
 K_FOLDS = 5          # folds
@@ -61,8 +71,6 @@ class ALConfig:
     scale: float = 10.0
     anchor_gate: str = "always"       # 'always' (reference behaviour) or 'candidate'
     dataset: str = "fakett"
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES
-    checkpoint: bool = True
 
     def __post_init__(self):
         if self.dataset not in REAL_VALUES:
@@ -72,39 +80,96 @@ class ALConfig:
         if self.rounds < 0 or self.k_folds < 2:
             raise ValueError("rounds >= 0 and k_folds >= 2 required")
 
+    def fingerprint(self) -> str:
+        """The settings that a resumed run must share (not ``rounds``)."""
+        return json.dumps({k: v for k, v in sorted(vars(self).items()) if k != "rounds"})
+
+
+class CentroidHead:
+    """Nearest centroids per fold, kept as class sums: extending adds the sums
+    of the selected rows, so the training set is never scanned again."""
+
+    def __init__(self, scale: float = 10.0):
+        self.scale = scale
+
+    def start(self, train: DataFrame, k: int) -> DataFrame:
+        return kfold_sums(train, k)
+
+    def extend(self, model: DataFrame, rows: DataFrame) -> DataFrame:
+        return add_sums(model, class_sums(rows, ["fold"]), ["fold"])
+
+    def keep(self, new: DataFrame, old: DataFrame, in_new) -> DataFrame:
+        return new.filter(in_new).unionByName(old.filter(~in_new))
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        """``df`` with the vectors that similarities are taken on."""
+        return df
+
+    def score(self, model: DataFrame, df: DataFrame) -> DataFrame:
+        return score_centroids(centroids_from_sums(model, ["fold"]), df, by=["fold"], scale=self.scale)
+
+    def predict_all(self, model: DataFrame, df: DataFrame) -> DataFrame:
+        """(fold, y, pred) of every row under every fold's model. The models
+        (folds x classes rows) travel as one row; a row of ``df`` is read once
+        and only narrow rows are multiplied."""
+        wide = model_wide(centroids_from_sums(model, ["fold"]), ["fold"])
+        one = wide.agg(F.collect_list(F.struct("fold", "c0", "c1")).alias("_models")).withColumn("_one", F.lit(1))
+        logit = lambda c: F.coalesce(F.lit(self.scale) * dot(F.col("fea"), c), F.lit(0.0))
+        scored = df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
+        return scored.select("y", F.explode(F.transform("_models", lambda m: F.struct(
+            m["fold"].alias("fold"), (logit(m["c1"]) > logit(m["c0"])).cast("int").alias("pred")))).alias("_p")) \
+            .select("_p.fold", "y", "_p.pred")
+
+
+class ProjectedHead(CentroidHead):
+    """A user's vector model (``project(x) -> out`` on numpy rows) with the
+    centroid head on top of its output."""
+
+    def __init__(self, project, scale: float = 10.0, max_model_bytes: int = 64 << 20):
+        super().__init__(scale)
+        self.project, self.max_model_bytes = project, max_model_bytes
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        return map_vectors(df, self.project, max_model_bytes=self.max_model_bytes)
+
 
 @dataclass
 class ALData:
-    """Prepared inputs; every frame is read once and checkpointed."""
-    train: DataFrame   # fold, video_id, y, fea  (fold = the fold the id validates)
-    pool: DataFrame    # video_id, y, fea
-    test: DataFrame    # video_id, y, fea
-    init_sums: DataFrame  # fold, y, n, vsum: model of each fold run before any selection
-    k: int             # ids selected per round
-    dim: int | None = None  # width of the fused vector
-    n_pool: int = 0
-    extra: dict = field(default_factory=dict)
+    """Prepared inputs; every frame is read once and written."""
+    train: DataFrame    # fold, video_id, y, fea  (fold = the fold the id validates)
+    pool: DataFrame     # video_id, y, fea: every manifest row of the pool
+    test: DataFrame     # video_id, y, fea
+    init_sums: DataFrame  # model of each fold run before any selection
+    k: int              # ids selected per round
+    val_ids: DataFrame | None = None   # fold, video_id, fea: one row per id
+    pool_ids: DataFrame | None = None  # video_id, fea: one row per id
+    n_pool: int = 0     # distinct pool ids
+    head: CentroidHead = field(default_factory=CentroidHead)
 
 
-def _mark(df: DataFrame, cfg: ALConfig) -> DataFrame:
-    """Reliable checkpoint: for state that outlives the round."""
-    return df if not cfg.checkpoint else cut_lineage(df)
+def _one_per_id(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One vector per id. Rows of an id have no order in a table, so the
+    largest (class, vector) stands for 'the last one'."""
+    return df.groupBy(*keys).agg(F.max(F.struct("y", "fea")).alias("_r")).select(*keys, F.col("_r.fea").alias("fea"))
 
 
 def prepare(items: DataFrame, train_ids: DataFrame, test_ids: DataFrame,
-            exclude_seed_ids: DataFrame | None, cfg: ALConfig) -> ALData:
-    """``items``: video_id, label, source, fea (one row per id)."""
+            exclude_seed_ids: DataFrame | None, cfg: ALConfig, head: CentroidHead | None = None) -> ALData:
+    """``items``: video_id, label, source, fea (an id may have several rows)."""
+    head = head or CentroidHead(cfg.scale)
     base = items.select("video_id", encode_label("label", REAL_VALUES[cfg.dataset]).alias("y"),
                         "source", F.col("fea").cast("array<double>").alias("fea"))
-    folds = kfold(train_ids, cfg.k_folds, cfg.seed)
-    train = _mark(base.join(folds, "video_id").select("fold", "video_id", "y", "fea"), cfg)
-    pool = _mark(generated_pool(base, exclude_seed_ids).select("video_id", "y", "fea"), cfg)
-    test = base.join(test_ids.select("video_id").distinct(), "video_id").select("video_id", "y", "fea")
-    init = _mark(kfold_sums(train, cfg.k_folds), cfg)
-    n_pool = pool.count()
+    folds = kfold(train_ids.select("video_id").distinct(), cfg.k_folds, cfg.seed)
+    train = cut_lineage(head.vectors(base.join(folds, "video_id").select("fold", "video_id", "y", "fea")))
+    pool = cut_lineage(head.vectors(generated_pool(base, exclude_seed_ids).select("video_id", "y", "fea")))
+    test = cut_lineage(head.vectors(base.join(test_ids.select("video_id").distinct(), "video_id")
+                                    .select("video_id", "y", "fea")))
+    init = cut_lineage(head.start(train, cfg.k_folds))
+    val_ids = cut_lineage(_one_per_id(train, ["fold", "video_id"]))
+    pool_ids = cut_lineage(_one_per_id(pool, ["video_id"]))
+    n_pool = pool_ids.count()
     k = cfg.pool_size if cfg.pool_size is not None else int(_round_half_up(n_pool * cfg.pool_share))
-    first = pool.select(F.size("fea").alias("d")).first()
-    return ALData(train, pool, test, init, k, dim=int(first["d"]) if first else None, n_pool=n_pool)
+    return ALData(train, pool, test, init, k, val_ids, pool_ids, n_pool, head)
 
 
 def _round_half_up(x: float) -> int:
@@ -112,133 +177,128 @@ def _round_half_up(x: float) -> int:
     return int(math.floor(x + 0.5))
 
 
-def _val_scores(data: ALData, sums: DataFrame, cfg: ALConfig) -> DataFrame:
-    model = centroids_from_sums(sums, ["fold"])
-    return score_centroids(model, data.train, by=["fold"], scale=cfg.scale)
+def val_scores(data: ALData, model: DataFrame) -> DataFrame:
+    """fold, video_id, y, pred, entropy of every validation row."""
+    return data.head.score(model, data.train).select("fold", "video_id", "y", "pred", "entropy")
 
 
-def round_anchors(data: ALData, sums: DataFrame, cfg: ALConfig) -> DataFrame:
-    """Per fold, the ``floor(0.3 n)`` most uncertain validation ids under the
-    fold's current model: fold, video_id, entropy, fea, rank."""
-    val = _val_scores(data, sums, cfg)
-    return top_fraction(val.select("fold", "video_id", "entropy", "fea"), cfg.anchor_share,
-                        [F.col("entropy").desc(), F.col("video_id").asc()], by=["fold"],
-                        groups_bounded=True)
+def anchor_ids(scores: DataFrame, cfg: ALConfig) -> DataFrame:
+    """fold, video_id, entropy, rank: the ``floor(0.3 n)`` most uncertain ids
+    of each fold (an id with several rows counts once)."""
+    per_id = scores.groupBy("fold", "video_id").agg(F.max("entropy").alias("entropy"))
+    return top_fraction(per_id, cfg.anchor_share, [F.col("entropy").desc(), F.col("video_id").asc()],
+                        by=["fold"], groups_bounded=True)
+
+
+def round_anchors(data: ALData, sums: DataFrame, cfg: ALConfig, scores: DataFrame | None = None) -> DataFrame:
+    """The anchors with their vectors: ranked narrow, joined after."""
+    ids = anchor_ids(val_scores(data, sums) if scores is None else scores, cfg)
+    return ids.join(data.val_ids, ["fold", "video_id"])
 
 
 def round_similarity(data: ALData, anchors: DataFrame, state: DataFrame, cfg: ALConfig,
-                     folds: list[int] | None = None, broadcasts: list | None = None) -> DataFrame:
+                     folds: list[int] | None = None) -> DataFrame:
     """Max cosine similarity of every candidate of every fold to the fold's
     anchors: fold, video_id, similarity."""
     folds = list(range(cfg.k_folds)) if folds is None else folds
-    cand = (data.pool.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
-            # state holds at most rounds x k rows per fold: a bounded broadcast
-            .join(F.broadcast(state.select("fold", "video_id").distinct()), ["fold", "video_id"], "left_anti"))
-    return max_similarity(cand.select("fold", "video_id", "fea"), anchors.select("fold", "fea"),
-                          by=["fold"], max_broadcast_bytes=cfg.max_broadcast_bytes, dim=data.dim,
-                          broadcasts=broadcasts)
-
-
-def al_round(data: ALData, sums: DataFrame, state: DataFrame, iteration: int,
-             cfg: ALConfig, folds: list[int] | None = None) -> dict[str, DataFrame]:
-    """One round for all folds. ``state``: fold, video_id, status, iteration.
-    Returns: selected (checkpointed), decisions (the k collected rows, also as
-    ``decision_rows``), new_sums / cur_sums / state / anchors (lazy)."""
+    used = state.groupBy("video_id").agg(F.collect_set("fold").alias("_used"))  # at most k folds an id
+    every = F.array(*[F.lit(f) for f in folds])
+    cand = (data.pool_ids.join(used, "video_id", "left")
+            .withColumn("_open", F.when(F.col("_used").isNull(), every).otherwise(F.array_except(every, "_used")))
+            .filter(F.size("_open") > 0))
+    return max_similarity(cand, anchors.select("fold", "fea"), by=["fold"], open_col="_open")
+
+
+@dataclass
+class Current:
+    """What a round starts from: the model, the pool state, each fold's score
+    table and the figures of the current model."""
+    model: DataFrame
+    state: DataFrame
+    scores: DataFrame
+    f1: dict[int, tuple[float | None, float | None]]  # fold: validation, test
+
+
+def begin(data: ALData, cfg: ALConfig, model: DataFrame | None = None, state: DataFrame | None = None) -> Current:
+    model = data.init_sums if model is None else model
+    scores = cut_lineage(val_scores(data, model))
+    return Current(model, empty_state(data.train.sparkSession) if state is None else state, scores,
+                   _f1s(data, model, scores))
+
+
+def _f1s(data: ALData, model: DataFrame, scores: DataFrame, *more) -> dict:
+    """Per fold the macro F1 of validation and test rows (and what ``more``
+    aggregates say), in one grouped pass over narrow rows."""
+    rows = scores.select("fold", "y", "pred", F.lit("v").alias("part")).unionByName(
+        data.head.predict_all(model, data.test).select("fold", "y", "pred", F.lit("t").alias("part")))
+    m = confusion_counts(rows, "y", "pred", ["fold", "part"]).select("fold", "part", metrics_from_counts()["f1"].alias("f1"))
+    out: dict[int, list] = {}
+    for r in m.collect():
+        out.setdefault(r.fold, [None, None])[r.part == "t"] = r.f1
+    return {f: tuple(v) for f, v in out.items()}
+
+
+def al_round(data: ALData, cur: Current, iteration: int, cfg: ALConfig,
+             folds: list[int] | None = None) -> dict:
+    """One round for all folds. Returns the selection and the new model and
+    scores (written), and the decisions (k rows, also as ``decision_rows``)."""
+    spark = data.train.sparkSession
     folds = list(range(cfg.k_folds)) if folds is None else folds
-    anchors = round_anchors(data, sums, cfg)
-    shipped: list = []
-    sims = round_similarity(data, anchors, state, cfg, folds, broadcasts=shipped)
-    selected = topk(sims, data.k, [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
-    selected = _mark(selected.withColumn("iteration", F.lit(iteration)), cfg)
-    if cfg.checkpoint:  # the selection is materialised: the anchor matrices can go
-        for bc in shipped:
-            bc.destroy()
-
-    sel_rows = selected.join(data.pool, "video_id").select("fold", "video_id", "y", "fea")
-    new_sums = add_sums(sums, class_sums(sel_rows, ["fold"]), ["fold"])
-    # the round's one small action: k decision rows come to the driver
-    dec_lazy = _decisions(data, sums, new_sums, selected, state, anchors, iteration, folds, cfg)
-    rows = dec_lazy.collect()
-    dec = data.train.sparkSession.createDataFrame(rows, dec_lazy.schema)
-    return {"selected": selected, "decisions": dec, "decision_rows": rows, "new_sums": new_sums, "cur_sums": sums,
-            "state": state, "anchors": anchors}
-
-
-def _decisions(data: ALData, sums: DataFrame, new_sums: DataFrame, selected: DataFrame,
-               state: DataFrame, anchors: DataFrame, iteration: int, folds: list[int],
-               cfg: ALConfig) -> DataFrame:
-    """Per fold: validation F1 (decides) and test F1 (reported) of the
-    current and the retrained model, from ONE pass over validation and test
-    rows (both models broadcast side by side, folds x 2 rows) and ONE grouped
-    aggregate of confusion counts; candidate count = pool size - the fold's
-    state rows (state is a subset of the pool)."""
-    old_w = model_wide(centroids_from_sums(sums, ["fold"]), ["fold"])
-    new_w = model_wide(centroids_from_sums(new_sums, ["fold"]), ["fold"]) \
-        .select("fold", F.col("c0").alias("n0"), F.col("c1").alias("n1"))
-    both = old_w.join(new_w, "fold", "full_outer")
-    logit = lambda c: F.coalesce(F.lit(cfg.scale) * dot("fea", c), F.lit(0.0))
-    # validation rows decide; test rows (one copy per fold) are only reported
-    rows = data.train.select("fold", "video_id", "y", "fea", F.lit(True).alias("_val")).unionByName(
-        data.test.select(F.explode(F.array(*[F.lit(f) for f in folds])).alias("fold"), "video_id", "y", "fea",
-                         F.lit(False).alias("_val")))
-    vb = (rows.join(F.broadcast(both), "fold", "left")
-          .withColumn("p_old", (logit("c1") > logit("c0")).cast("int"))
-          .withColumn("p_new", (logit("n1") > logit("n0")).cast("int")))
-    gate = cfg.anchor_gate == "candidate"
-    if gate:
-        flags = anchors.select("fold", "video_id", F.lit(True).alias("_anchor"))
-        vb = vb.join(flags, ["fold", "video_id"], "left")
-    aggs = []
-    for tag, p in (("o", "p_old"), ("n", "p_new")):
-        for a in (0, 1):
-            for b in (0, 1):
-                cond = (F.col("y") == a) & (F.col(p) == b)
-                cnt = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-                aggs.append(cnt(cond & F.col("_val")).alias(f"{tag}{a}{b}"))
-                aggs.append(cnt(cond & ~F.col("_val")).alias(f"t{tag}{a}{b}"))
-                if gate:
-                    aggs.append(cnt(cond & F.col("_val") & F.col("_anchor").isNotNull()).alias(f"a{tag}{a}{b}"))
-    f1 = lambda t: metrics_from_counts(f"{t}00", f"{t}01", f"{t}10", f"{t}11")["f1"]
-    m = vb.groupBy("fold").agg(*aggs)
-    cols = [f1("o").alias("cur_f1"), f1("n").alias("new_f1"),
-            f1("to").alias("cur_test_f1"), f1("tn").alias("new_test_f1")]
-    if gate:
-        cols.append(F.coalesce(f1("an") <= f1("ao"), F.lit(True)).alias("gate"))
-    m = m.select("fold", *cols)
-
-    used = state.groupBy("fold").agg(F.count(F.lit(1)).alias("_used"))
-    n_sel = selected.groupBy("fold").agg(F.count(F.lit(1)).alias("n_selected"))
-    fold_list = data.train.sparkSession.createDataFrame([(f,) for f in folds], "fold int")
-    dec = (fold_list.join(m, "fold", "left").join(F.broadcast(used), "fold", "left")
-           .join(F.broadcast(n_sel), "fold", "left")
-           .fillna(0, ["_used", "n_selected"])
-           .withColumn("n_candidates", (F.lit(data.n_pool) - F.col("_used")).cast("long")).drop("_used")
-           .withColumn("iteration", F.lit(iteration))
-           .withColumn("accepted", (F.col("n_candidates") > 0) & (F.col("new_f1") > F.col("cur_f1"))))
-    if not gate:
-        dec = dec.withColumn("gate", F.lit(True))
-    return dec
-
-
-def apply_decision(rnd: dict[str, DataFrame], cfg: ALConfig) -> tuple[DataFrame, DataFrame]:
-    """(sums, state) after the round's accept / reject decisions. The k
-    decision rows are already on the driver, so the update is literal fold
-    filters and unions (no joins), checkpointed to cut lineage."""
-    rows = rnd["decision_rows"]
+    anchors = round_anchors(data, cur.model, cfg, cur.scores)
+    sims = round_similarity(data, anchors, cur.state, cfg, folds)
+    selected = top_ranked(sims, data.k, [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
+    selected = cut_lineage(selected.withColumn("iteration", F.lit(iteration)))
+    rows = selected.join(data.pool, "video_id").select("fold", "video_id", "y", "fea")
+    new_model = cut_lineage(data.head.extend(cur.model, rows))
+    new_scores = cut_lineage(val_scores(data, new_model))
+    f1 = _f1s(data, new_model, new_scores)
+    gates = _anchor_gates(anchors, cur.scores, new_scores) if cfg.anchor_gate == "candidate" else {}
+    used = {r.fold: r.n for r in cur.state.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = {r.fold: r.n for r in selected.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = []
+    for fold in folds:
+        (old, old_test), (new, new_test) = cur.f1.get(fold, (None, None)), f1.get(fold, (None, None))
+        n = data.n_pool - used.get(fold, 0)
+        accepted = bool(n > 0 and new > old) if None not in (new, old) else None
+        out.append((fold, old, new, old_test, new_test, chosen.get(fold, 0), n, iteration, accepted, gates.get(fold, True)))
+    decisions = spark.createDataFrame(out, "fold int, cur_f1 double, new_f1 double, cur_test_f1 double, new_test_f1 double, "
+                                      "n_selected long, n_candidates long, iteration int, accepted boolean, gate boolean")
+    return {"selected": selected, "decisions": decisions, "decision_rows": [r.asDict() for r in decisions.collect()],
+            "new_model": new_model, "new_scores": new_scores, "new_f1": f1, "anchors": anchors, "current": cur}
+
+
+def _anchor_gates(anchors: DataFrame, old: DataFrame, new: DataFrame) -> dict[int, bool]:
+    """Per fold: the new model is no better on the anchors than the old."""
+    flags = anchors.select("fold", "video_id")
+    both = old.select("fold", "video_id", "y", "pred", F.lit("o").alias("part")).unionByName(
+        new.select("fold", "video_id", "y", "pred", F.lit("n").alias("part"))).join(flags, ["fold", "video_id"], "left_semi")
+    m = confusion_counts(both, "y", "pred", ["fold", "part"]).select("fold", "part", metrics_from_counts()["f1"].alias("f1"))
+    f1 = {(r.fold, r.part): r.f1 for r in m.collect()}
+    return {f: f1[(f, "n")] <= f1[(f, "o")] for f, p in f1 if p == "n"}
+
+
+def apply_decision(rnd: dict, cfg: ALConfig, head: CentroidHead | None = None) -> Current:
+    """The next round's start after the accept / reject decisions. The k
+    decision rows are on the driver, so the update is literal fold filters
+    and unions (no joins), written to cut lineage."""
+    cur, rows = rnd["current"], rnd["decision_rows"]
+    head = head or CentroidHead(cfg.scale)
     acc = [r["fold"] for r in rows if r["accepted"]]
     rej = [r["fold"] for r in rows if not r["accepted"] and r["gate"]]
     in_acc = F.col("fold").isin(acc) if acc else F.lit(False)
     in_rej = F.col("fold").isin(rej) if rej else F.lit(False)
-    sums = rnd["new_sums"].filter(in_acc).unionByName(rnd["cur_sums"].filter(~in_acc))
-    state = rnd["state"]
     # accept clears the fold's useless ids and keeps its useful ones
-    kept = state.filter(~in_acc | (F.col("status") == "useful"))
+    kept = cur.state.filter(~in_acc | (F.col("status") == "useful"))
     sel = rnd["selected"].select("fold", "video_id", "iteration")
     useful = sel.filter(in_acc).withColumn("status", F.lit("useful"))
     dropped = drop_half(sel.filter(in_rej), cfg.seed).withColumn("status", F.lit("useless"))
     cols = ["fold", "video_id", "status", "iteration"]
-    new_state = kept.select(*cols).unionByName(useful.select(*cols)).unionByName(dropped.select(*cols))
-    return _mark(sums, cfg), _mark(new_state, cfg)
+    state = cut_lineage(kept.select(*cols).unionByName(useful.select(*cols)).unionByName(dropped.select(*cols)))
+    if not acc:
+        return Current(cur.model, state, cur.scores, cur.f1)
+    model = cut_lineage(head.keep(rnd["new_model"], cur.model, in_acc))
+    scores = cut_lineage(rnd["new_scores"].filter(in_acc).unionByName(cur.scores.filter(~in_acc)))
+    return Current(model, state, scores, {**cur.f1, **{f: rnd["new_f1"][f] for f in acc}})
 
 
 def empty_state(spark) -> DataFrame:
@@ -247,56 +307,76 @@ def empty_state(spark) -> DataFrame:
 
 
 def al_loop(data: ALData, cfg: ALConfig, rounds: int | None = None,
-            state_dir: str | None = None) -> dict[str, DataFrame]:
+            state_dir: str | None = None, ids_path: str | None = None) -> dict[str, DataFrame]:
     """``rounds`` rounds for all folds. Returns the final state, the final
-    model sums, the per-round decisions and the per-round selections.
-
-    With ``state_dir`` (a shared folder), every round's model sums, pool
-    state, decisions and selections are written as tables under
-    ``<state_dir>/<table>/iteration=<r>`` and read back (lineage cut by a
-    written table), and a round is marked complete only after all four are
-    written. A restarted run resumes after the last complete round — it
-    survives the loss of the driver, not just of executors."""
+    model, the per-round decisions and the per-round selections.
+
+    With ``state_dir`` (a shared folder), every round's model, pool state,
+    decisions and selections are written as tables under
+    ``<state_dir>/<table>/iteration=<r>`` and read back, and a round is marked
+    complete, with the run's settings, only after all four are written. A
+    restarted run resumes after the last complete round; other settings, or a
+    gap in the rounds, are an error. With ``ids_path`` the ids accepted in each
+    round are recorded there by fold and round (idempotent)."""
+    from ..sources.io import append_ids
+
     rounds = cfg.rounds if rounds is None else rounds
     spark = data.train.sparkSession
-    sums, state = data.init_sums, empty_state(spark)
+    cur, start = None, 0
     decisions, selections = [], []
-    start = 0
     if state_dir:
-        done = _completed_rounds(spark, state_dir)
+        done = completed_rounds(spark, state_dir, cfg)
         if done:
-            last = min(max(done), rounds - 1)
-            sums = _read_round(spark, state_dir, "sums", last)
-            state = _read_round(spark, state_dir, "state", last)
+            last = min(done, rounds) - 1
             decisions = [_read_round(spark, state_dir, "decisions", r) for r in range(last + 1)]
             selections = [_read_round(spark, state_dir, "selections", r) for r in range(last + 1)]
+            cur = begin(data, cfg, _read_round(spark, state_dir, "model", last), _read_round(spark, state_dir, "state", last))
             start = last + 1
+    cur = cur or begin(data, cfg)
     for it in range(start, rounds):
-        rnd = al_round(data, sums, state, it, cfg)
-        sums, state = apply_decision(rnd, cfg)
+        rnd = al_round(data, cur, it, cfg)
+        after = apply_decision(rnd, cfg, data.head)
         dec, sel = rnd["decisions"], rnd["selected"]
+        if ids_path:
+            acc = [r["fold"] for r in rnd["decision_rows"] if r["accepted"]]
+            if acc:
+                append_ids(sel.filter(F.col("fold").isin(acc)).select("fold", "iteration", "video_id"), ids_path)
         if state_dir:
-            sums, state, dec, sel = (_write_round(spark, state_dir, name, it, df) for name, df in
-                                     (("sums", sums), ("state", state), ("decisions", dec), ("selections", sel)))
-            spark.createDataFrame([(it,)], "iteration int").write.mode("append").parquet(f"{state_dir}/done")
+            for name, df in (("model", after.model), ("state", after.state), ("decisions", dec), ("selections", sel)):
+                _write_round(state_dir, name, it, df)
+            dec, sel = (_read_round(spark, state_dir, name, it) for name in ("decisions", "selections"))
+            spark.createDataFrame([(it, cfg.fingerprint())], "iteration int, config string") \
+                .write.mode("append").parquet(f"{state_dir}/done")
+        for old, new in ((rnd["new_model"], after.model), (rnd["new_scores"], after.scores),
+                         (cur.model, after.model), (cur.scores, after.scores), (cur.state, after.state)):
+            if old is not new and old is not data.init_sums:
+                release(old)
         decisions.append(dec)
         selections.append(sel)
+        cur = after
     dec = _union(decisions) if decisions else None
     sel = _union(selections) if selections else None
-    return {"state": state, "sums": sums, "decisions": dec, "selections": sel}
+    return {"state": cur.state, "sums": cur.model, "decisions": dec, "selections": sel}
 
 
-def _completed_rounds(spark, state_dir: str) -> list[int]:
+def completed_rounds(spark, state_dir: str, cfg: ALConfig) -> int:
+    """How many rounds a state folder holds: 0 if it is not there yet."""
     try:
-        return [r.iteration for r in spark.read.parquet(f"{state_dir}/done").collect()]
-    except Exception:  # noqa: BLE001 - no round written yet
-        return []
+        rows = spark.read.parquet(f"{state_dir}/done").collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return 0
+        raise
+    if {r.config for r in rows} != {cfg.fingerprint()}:
+        raise ValueError("the state folder belongs to a run with other settings")
+    seen = sorted({r.iteration for r in rows})
+    if seen != list(range(len(seen))):
+        raise ValueError(f"rounds are missing in the state folder: it has {seen}")
+    return len(seen)
 
 
-def _write_round(spark, state_dir: str, name: str, it: int, df: DataFrame) -> DataFrame:
-    path = f"{state_dir}/{name}/iteration={it}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _write_round(state_dir: str, name: str, it: int, df: DataFrame) -> None:
+    df.write.mode("overwrite").parquet(f"{state_dir}/{name}/iteration={it}")
 
 
 def _read_round(spark, state_dir: str, name: str, it: int) -> DataFrame:
@@ -325,13 +405,20 @@ def final_train(data: ALData, voted: DataFrame) -> DataFrame:
     return base.unionByName(extra)
 
 
-def cross_validated_selection(data: ALData, cfg: ALConfig) -> dict[str, DataFrame]:
+def cross_validated_selection(data: ALData, cfg: ALConfig, val: DataFrame | None = None,
+                              ids_path: str | None = None) -> dict[str, DataFrame]:
     """K5 per fold (fold-parallel) -> majority vote -> final training set ->
-    final model -> test metrics."""
+    final model -> test metrics, and metrics on the original validation list
+    ``val`` (video_id, y, fea). The voted ids replace the table at ``ids_path``."""
+    from ..sources.io import overwrite_ids
+
     loop = al_loop(data, cfg)
     voted = majority_vote(loop["state"], cfg.min_votes)
     train = final_train(data, voted)
     model = centroids_from_sums(class_sums(train))
-    scored = score_centroids(model, data.test, scale=cfg.scale)
-    metrics = binary_metrics(scored, "y", "pred")
-    return {**loop, "voted": voted, "final_train": train, "test_metrics": metrics}
+    metrics = {"test_metrics": binary_metrics(score_centroids(model, data.test, scale=cfg.scale), "y", "pred")}
+    if val is not None:
+        metrics["val_metrics"] = binary_metrics(score_centroids(model, val, scale=cfg.scale), "y", "pred")
+    if ids_path:
+        overwrite_ids(voted, ids_path)
+    return {**loop, "voted": voted, "final_train": train, **metrics}

@@ -115,9 +115,31 @@ def fx_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         mats.alias("visual_materials"), "label", "source")
 
 
+def fx_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, pos, vec: wide frame sequences, one per embedding label."""
+    e = read_table(spark, sf_dir, "embeddings")
+    r = rank_within(e.select("label", "vec_id"), [F.col("vec_id").asc()], by=["label"], name="_r")
+    return (r.select("vec_id", (F.col("_r") - 1).cast("int").alias("pos")).join(e, "vec_id")
+            .select(F.col("label").cast("string").alias("key"), "pos", F.col("embedding").alias("vec")))
+
+
+def fx_wide_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest rows whose materials are clips of :func:`fx_wide`."""
+    n = int(read_table(spark, sf_dir, "embeddings").agg(F.countDistinct("label")).first()[0])
+    v = F.col("vec_id")
+    clip = lambda off, s, e: F.concat(((v + off) % n).cast("string"), F.lit("_S"), s.cast("string"),
+                                      F.lit("_E"), e.cast("string"))
+    one, two = clip(0, v % 5, v % 5 + 3), clip(3, F.lit(0), v % 90)
+    mats = F.when(v % 3 == 1, F.array(one, two)).otherwise(F.array(one))
+    it = fx_items(spark, sf_dir)
+    return it.select("video_id", F.concat(F.lit("title "), v.cast("string")).alias("title"),
+                     F.lit(None).cast("string").alias("ocr"), mats.alias("visual_materials"), "label", "source")
+
+
 # ---------------------------------------------------------------------------
 # SQL text of the same fixtures, for the DuckDB oracles.
 
+# fixed values: the fabrication codes, as in FX_CODES
 _CODE_SQL = ("CASE vec_id % 12 WHEN 2 THEN 'TOVN_TOVM' WHEN 5 THEN 'TNVO_TMVO' "
              "WHEN 8 THEN 'TOVO_TMVO' ELSE 'TOVO_TOVM' END")
 
@@ -182,3 +204,33 @@ fx_manifest AS (
     label, source
   FROM fx_items)"""
 
+
+NL = "(SELECT count(DISTINCT label) FROM embeddings)"
+
+#: fx_items with ``fea`` replaced by the fused vector of the assembled modalities.
+FX_FUSED_SQL = FX_ITEMS_SQL.replace("fx_items AS", "fx_plain AS", 1) + f""",
+wide AS (
+  SELECT CAST(label AS VARCHAR) AS key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
+    CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+wide_n AS (SELECT key, count(*) AS n FROM wide GROUP BY key),
+wclips AS (
+  SELECT video_id, 0 AS mp, CAST(vec_id % {NL} AS VARCHAR) AS src, vec_id % 5 AS s, vec_id % 5 + 3 AS e FROM fx_plain
+  UNION ALL SELECT video_id, 1, CAST((vec_id + 3) % {NL} AS VARCHAR), 0, vec_id % 90 FROM fx_plain WHERE vec_id % 3 = 1),
+wlens AS (SELECT c.*, greatest(0, least(n, e + 1) - least(n, s)) AS len FROM wclips c JOIN wide_n ON key = src),
+woffs AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY video_id ORDER BY mp ROWS BETWEEN UNBOUNDED PRECEDING
+                                            AND 1 PRECEDING), 0) AS off FROM wlens),
+wseq AS (SELECT video_id, 'frames' AS m, off + pos - s AS pos, vec FROM woffs JOIN wide ON key = src AND pos BETWEEN s AND e
+  UNION ALL SELECT video_id, 'audio', pos, vec FROM fx_plain JOIN wide ON key = CAST(vec_id % {NL} AS VARCHAR)
+  UNION ALL SELECT video_id, 'text', 0, fea FROM fx_plain
+  UNION ALL SELECT i.video_id, 'motion', 0, k.fea FROM fx_plain i JOIN fx_plain k ON k.video_id =
+    CASE WHEN contains(i.video_id, 'TMVO') THEN split_part(i.video_id, '_', 1) ELSE i.video_id END),
+wlong AS (SELECT m, video_id, count(*) OVER (PARTITION BY m, video_id) AS n, pos, vec,
+    CASE m WHEN 'frames' THEN 83 WHEN 'motion' THEN 83 WHEN 'audio' THEN 50 END AS want FROM wseq),
+wkept AS (SELECT *, coalesce(want, n) AS rows FROM wlong
+  WHERE want IS NULL OR pos % greatest(n // want, 1) = 0 AND pos // greatest(n // want, 1) < want),
+wdims AS (SELECT video_id, m, rows, unnest(vec) AS v, unnest(generate_series(1, len(vec))) AS d FROM wkept),
+wmeans AS (SELECT video_id, m, d, sum(v) / any_value(rows) AS mean FROM wdims GROUP BY video_id, m, d),
+wfused AS (SELECT video_id, d, sum(mean) / 4 AS x FROM wmeans GROUP BY video_id, d),
+wvec AS (SELECT video_id, list(x ORDER BY d) AS fused FROM wfused GROUP BY video_id),
+fx_items AS (
+  SELECT vec_id, video_id, source, label, split, fused AS fea FROM fx_plain JOIN wvec USING (video_id))"""

@@ -91,7 +91,7 @@ def _al_data(spark, sf, cfg: al.ALConfig | None = None) -> tuple[al.ALData, al.A
 
 def _round0(spark, sf):
     data, cfg = _al_data(spark, sf)
-    rnd = al.al_round(data, data.init_sums, al.empty_state(spark), 0, cfg)
+    rnd = al.al_round(data, al.begin(data, cfg), 0, cfg)
     return data, cfg, rnd
 
 
@@ -111,15 +111,36 @@ def q_manifest_scan(spark, sf):
                            F.array_join("visual_materials", "|").alias("materials"), "label", "source"))
 
 
+@query("manifest_quarantine", sql_out(
+    "SELECT 'good' AS kind, video_id AS line FROM fx_manifest UNION ALL "
+    "SELECT 'bad', concat('{\"video_id\": \"', video_id, '\", \"title\": ') FROM fx_items WHERE vec_id % 9 = 4 UNION ALL "
+    "SELECT 'bad', concat('{\"title\": \"', video_id, '\"}') FROM fx_items WHERE vec_id % 9 = 7",
+    [("kind", "s"), ("line", "s")], _with(fx.FX_MANIFEST_SQL)))
+def q_manifest_quarantine(spark, sf):
+    """Cut-off lines and lines without an id never become items."""
+    it = fx.fx_items(spark, sf)
+    v = F.col("vec_id")
+    cut = it.filter(v % 9 == 4).select(F.concat(F.lit('{"video_id": "'), "video_id", F.lit('", "title": ')).alias("value"))
+    anon = it.filter(v % 9 == 7).select(F.concat(F.lit('{"title": "'), "video_id", F.lit('"}')).alias("value"))
+    m = fx.fx_manifest(spark, sf)
+    path = scratch_path(spark, "manifest")
+    m.select(F.to_json(F.struct(*m.columns)).alias("value")).unionByName(cut).unionByName(anon).write.text(path)
+    good = io.read_manifest(spark, path, on_bad="quarantine").select(F.lit("good").alias("kind"), F.col("video_id").alias("line"))
+    bad = io.parse_manifest(spark, path).filter("_bad IS NOT NULL").select(F.lit("bad").alias("kind"), F.col("_bad").alias("line"))
+    return finish(good.unionByName(bad))
+
+
 @query("id_list_scan", sql_out(
     "SELECT video_id FROM fx_items UNION ALL SELECT '' AS video_id FROM fx_items WHERE vec_id % 50 = 7",
     [("video_id", "s")], _with(fx.FX_ITEMS_SQL)))
 def q_id_list_scan(spark, sf):
     it = fx.fx_items(spark, sf)
     v = F.col("vec_id")
-    pad = (F.when(v % 4 == 1, F.concat(F.lit(" "), "video_id", F.lit("\t")))
-           .when(v % 4 == 2, F.concat(F.lit("\t"), "video_id", F.lit("  ")))
-           .when(v % 4 == 3, F.concat("video_id", F.lit("\r")))
+    pad = (F.when(v % 6 == 1, F.concat(F.lit(" "), "video_id", F.lit("\t")))
+           .when(v % 6 == 2, F.concat(F.lit("\t"), "video_id", F.lit("  ")))
+           .when(v % 6 == 3, F.concat("video_id", F.lit("\r")))
+           .when(v % 6 == 4, F.concat(F.lit("\u3000"), "video_id", F.lit("\u00a0")))
+           .when(v % 6 == 5, F.concat(F.lit("\x1c\u2003"), "video_id", F.lit("\x85")))
            .otherwise(F.col("video_id")))
     lines = it.select(pad.alias("video_id")).unionByName(
         it.filter(v % 50 == 7).select(F.lit("   ").alias("video_id")))
@@ -185,11 +206,12 @@ def q_label_encode(spark, sf):
     [("fold", "i"), ("video_id", "s")], loop_sql(1)))
 def q_candidate_pool(spark, sf):
     data, cfg, rnd = _round0(spark, sf)
-    _, state = al.apply_decision(rnd, cfg)
+    state = al.apply_decision(rnd, cfg).state
     pool = data.pool.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(cfg.k_folds - 1))))
     return finish(po.candidates(pool, state).select("fold", "video_id"))
 
 
+# fixed values: codes, states and type names of functions/ids.py
 _FAB_SQL = """
 SELECT video_id, seed_id, fabrication_code,
   CASE WHEN ok THEN CASE substr(fabrication_code, 2, 1) WHEN 'O' THEN 'original' WHEN 'M' THEN 'manipulated' WHEN 'N' THEN 'null' END END AS in_text,
@@ -262,6 +284,29 @@ def q_clip_lengths(spark, sf):
     return finish(cl.select("item_id", "material_pos", "src", "s", "e", "n", "len", "clip_offset"))
 
 
+_BAD_CLIP_SQL = """
+bclips AS (
+  SELECT item_id, material_pos,
+    CASE WHEN item_id % 11 = 3 AND material_pos = 2 THEN concat(split_part(clip, '_', 1), '_Sx_E9')
+         WHEN item_id % 13 = 5 AND material_pos = 1 THEN concat('none', clip) ELSE clip END AS clip
+  FROM fx_clips),
+bad AS (SELECT DISTINCT item_id FROM bclips WHERE item_id % 11 = 3 AND material_pos = 2 OR item_id % 13 = 5)"""
+
+
+@query("clip_quarantine", sql_out(
+    "SELECT item_id, material_pos, src, s, e, n, len, clip_offset FROM offs WHERE item_id NOT IN (SELECT item_id FROM bad)",
+    [("item_id", "i"), ("material_pos", "i"), ("src", "s"), ("s", "i"), ("e", "i"), ("n", "i"),
+     ("len", "i"), ("clip_offset", "i")], _with(fx.FX_CLIPS_SQL, fx.FX_SEQ_SQL, _LEN_SQL, _BAD_CLIP_SQL)))
+def q_clip_quarantine(spark, sf):
+    """A malformed clip or a source without frames takes its whole item out."""
+    c = fx.fx_clips(spark, sf)
+    item, at = F.col("item_id"), F.col("material_pos")
+    clip = (F.when((item % 11 == 3) & (at == 2), F.concat(F.split_part("clip", F.lit("_"), F.lit(1)), F.lit("_Sx_E9")))
+            .when((item % 13 == 5) & (at == 1), F.concat(F.lit("none"), "clip")).otherwise(F.col("clip")))
+    cl = sq.clip_lengths(c.withColumn("clip", clip), fx.fx_seq(spark, sf), on_bad="quarantine")
+    return finish(cl.select("item_id", "material_pos", "src", "s", "e", "n", "len", "clip_offset"))
+
+
 @query("clip_frames", sql_out(
     "SELECT o.item_id, o.clip_offset + f.pos - o.s AS pos, f.x FROM offs o "
     "JOIN fx_seq f ON f.key = o.src AND f.pos BETWEEN o.s AND o.e",
@@ -467,6 +512,24 @@ def q_auc_scores(spark, sf):
                   .select("lang", "n", "acc", "precision", "recall", "f1", "auc"))
 
 
+@query("metrics_three_classes", sql_out(
+    """SELECT lang, n, acc, (SELECT avg(CASE WHEN pr > 0 THEN tp / pr ELSE 0 END) FROM per p WHERE p.lang = t.lang) AS precision,
+         (SELECT avg(CASE WHEN tr > 0 THEN tp / tr ELSE 0 END) FROM per p WHERE p.lang = t.lang) AS recall,
+         (SELECT avg(2 * tp / (pr + tr)) FROM per p WHERE p.lang = t.lang) AS f1
+       FROM (SELECT lang, count(*) AS n, avg(CASE WHEN y = p3 THEN 1.0 ELSE 0.0 END) AS acc FROM three GROUP BY lang) t""",
+    [("lang", "s"), ("n", "i"), ("acc", "d"), ("precision", "d"), ("recall", "d"), ("f1", "d")], _PRED_CTE + """,
+three AS (SELECT lang, y, CAST(round_even(3 * score, 0) AS INTEGER) AS p3 FROM fx_pred),
+cls AS (SELECT DISTINCT lang, y AS c FROM three UNION SELECT DISTINCT lang, p3 FROM three),
+per AS (SELECT c.lang, c.c, CAST(sum(CASE WHEN t.y = c.c AND t.p3 = c.c THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+          sum(CASE WHEN t.p3 = c.c THEN 1 ELSE 0 END) AS pr, sum(CASE WHEN t.y = c.c THEN 1 ELSE 0 END) AS tr
+        FROM cls c JOIN three t ON t.lang = c.lang GROUP BY c.lang, c.c)"""))
+def q_metrics_three_classes(spark, sf):
+    """Scores stretched so that they round to four values: rows outside the two
+    classes count too."""
+    pred = fx.fx_pred(spark, sf).withColumn("p3", F.bround(F.lit(3) * F.col("score"), 0).cast("int"))
+    return finish(me.class_metrics(pred, "y", "p3", ["lang"]))
+
+
 @query("confusion_matrix", sql_out(
     "SELECT g.lang, c.y, c.p, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT lang FROM fx_pred) g "
     "CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(y, p) "
@@ -591,14 +654,21 @@ def q_linear_scores(spark, sf):
     return finish(s.select("video_id", F.col("logits")[0].alias("l0"), F.col("logits")[1].alias("l1")))
 
 
-@query("logreg_fit")
+_LOGREG_REG = 0.1
+
+
+@query("logreg_fit", sql_out(
+    "SELECT c.cls, d.d, 0.0 AS gradient FROM (SELECT CAST(range AS INTEGER) AS cls FROM range(2)) c CROSS JOIN "
+    "(SELECT DISTINCT unnest(range(len(fea) + 1)) AS d FROM fx_items WHERE split <> 'train') d",
+    [("cls", "i"), ("d", "i"), ("gradient", "d")], _with(fx.FX_ITEMS_SQL)))
 def q_logreg_fit(spark, sf):
-    """Spark ML multinomial logistic regression (rows-only check: an
-    iterative optimiser has no SQL twin)."""
-    items = _items(spark, sf)
-    model = tr.fit_logreg(items.filter(F.col("split") == "train"), max_iter=30)
-    s = tr.logreg_scores(model, items.filter(F.col("split") == "test"))
-    return finish(s.select("video_id", "y", "pred", F.col("probs")[1].alias("p1")))
+    """Multinomial logistic regression on every non-train item. The optimum is
+    where the penalised loss has no slope: per class and dimension (the last
+    one is the intercept) the gradient at the fitted point, to 3 decimals."""
+    items = _items(spark, sf).filter(F.col("split") != "train")
+    model = tr.fit_logreg(items, max_iter=500, reg=_LOGREG_REG, tol=1e-9)
+    g = tr.logreg_gradient(model, items, reg=_LOGREG_REG)
+    return finish(g.select("cls", "d", (F.round("gradient", 3) + F.lit(0.0)).alias("gradient")))
 
 
 @query("sequence_mean_pool", sql_out(
@@ -636,6 +706,17 @@ def q_fabrication_stats(spark, sf):
     return finish(st.fabrication_stats(fx.fx_items(spark, sf)))
 
 
+@query("fabrication_stats_by_dataset", sql_out(
+    "SELECT dataset, coalesce(fabrication_type, 'Total') AS fabrication_type, count(*) AS n FROM ("
+    "SELECT CASE WHEN vec_id % 2 = 0 THEN 'fakett' ELSE 'fakesv' END AS dataset, fabrication_type FROM fx_items JOIN ("
+    + _FAB_SQL.strip() + ") USING (video_id) WHERE fabrication_type IS NOT NULL) "
+    "GROUP BY GROUPING SETS ((dataset, fabrication_type), (dataset))",
+    [("dataset", "s"), ("fabrication_type", "s"), ("n", "i")], _with(fx.FX_ITEMS_SQL)))
+def q_fabrication_stats_by_dataset(spark, sf):
+    it = fx.fx_items(spark, sf).withColumn("dataset", F.when(F.col("vec_id") % 2 == 0, F.lit("fakett")).otherwise(F.lit("fakesv")))
+    return finish(st.fabrication_stats(it, ["dataset"]))
+
+
 @query("category_share", sql_out(
     "SELECT user_id, event_type, n, n / sum(n) OVER (PARTITION BY user_id) AS share FROM "
     "(SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)",
@@ -772,11 +853,8 @@ def q_max_anchor_similarity(spark, sf):
     "SELECT fold, video_id, similarity, rn AS rank FROM sel_0",
     [("fold", "i"), ("video_id", "s"), ("similarity", "d"), ("rank", "i")], _R1))
 def q_topk_similarity(spark, sf):
-    from pyspark.sql import Window
     _, _, rnd = _round0(spark, sf)
-    w = Window.partitionBy("fold").orderBy(F.col("similarity").desc(), "video_id")
-    return finish(rnd["selected"].withColumn("rank", F.row_number().over(w))
-                  .select("fold", "video_id", "similarity", "rank"))
+    return finish(rnd["selected"].select("fold", "video_id", "similarity", "rank"))
 
 
 @query("drop_half", sql_out(
@@ -800,6 +878,79 @@ def q_al_round(spark, sf):
                                                          "cur_f1", "new_f1"))
 
 
+@query("al_round_duplicate_ids", sql_out(
+    "SELECT s.fold, s.video_id, s.similarity, d.accepted, d.new_f1, d.n_candidates FROM sel_0 s JOIN dec_0 d USING (fold)",
+    [("fold", "i"), ("video_id", "s"), ("similarity", "d"), ("accepted", "b"), ("new_f1", "d"), ("n_candidates", "i")],
+    _R1.replace("sel_0 s JOIN pool_dims p USING (video_id)", "sel_0 s JOIN (SELECT * FROM pool_dims UNION ALL "
+                "SELECT * FROM pool_dims) p USING (video_id)")))
+def q_al_round_duplicate_ids(spark, sf):
+    """Every pool item twice in the manifest: an id is a candidate once and
+    selected once, but both of its rows train the next model."""
+    items = fx.fx_items(spark, sf)
+    twice = items.unionByName(items.filter(F.col("split") == "gen"))
+    ids = lambda split: items.filter(F.col("split") == split).select("video_id")
+    cfg = al.ALConfig()
+    data = al.prepare(twice, ids("train"), ids("test"), fx.fx_seed_ids(spark, sf), cfg)
+    rnd = al.al_round(data, al.begin(data, cfg), 0, cfg)
+    d = rnd["decisions"].select("fold", "accepted", "new_f1", "n_candidates")
+    return finish(rnd["selected"].join(d, "fold").select("fold", "video_id", "similarity", "accepted", "new_f1", "n_candidates"))
+
+
+_PROJECTED = ("list_transform(range(1, 33), lambda i: greatest(embedding[CAST(i AS INTEGER)] :: DOUBLE "
+              "- 0.5 * (embedding[CAST(i + 32 AS INTEGER)] :: DOUBLE), 0.0))")
+
+
+def half_difference(x):
+    """A small user model: a linear projection to half the width, then ReLU."""
+    import numpy as np
+    d = x.shape[1] // 2
+    return np.maximum(x[:, :d] - 0.5 * x[:, d:2 * d], 0.0)
+
+
+@query("al_round_model", sql_out(
+    "SELECT s.fold, s.video_id, s.similarity, d.accepted, d.cur_f1, d.new_f1 FROM sel_0 s JOIN dec_0 d USING (fold)",
+    [("fold", "i"), ("video_id", "s"), ("similarity", "d"), ("accepted", "b"), ("cur_f1", "d"), ("new_f1", "d")],
+    _R1.replace("CAST(embedding AS DOUBLE[]) AS fea", f"{_PROJECTED} AS fea")))
+def q_al_round_model(spark, sf):
+    """A round under a user's vector model: anchors, pool and test vectors all
+    come from it."""
+    items = fx.fx_items(spark, sf)
+    ids = lambda split: items.filter(F.col("split") == split).select("video_id")
+    cfg = al.ALConfig()
+    data = al.prepare(items, ids("train"), ids("test"), fx.fx_seed_ids(spark, sf), cfg, al.ProjectedHead(half_difference, cfg.scale))
+    rnd = al.al_round(data, al.begin(data, cfg), 0, cfg)
+    d = rnd["decisions"].select("fold", "accepted", "cur_f1", "new_f1")
+    return finish(rnd["selected"].join(d, "fold").select("fold", "video_id", "similarity", "accepted", "cur_f1", "new_f1"))
+
+
+@query("assemble_round", sql_out(
+    "SELECT s.fold, s.video_id, round(s.similarity, 4) AS similarity, d.accepted FROM sel_0 s JOIN dec_0 d USING (fold)",
+    [("fold", "i"), ("video_id", "s"), ("similarity", "d"), ("accepted", "b")],
+    _R1.replace(fx.FX_ITEMS_SQL.strip(), fx.FX_FUSED_SQL.strip(), 1)))
+def q_assemble_round(spark, sf):
+    """The whole data path: manifest and stores written and read, four
+    modalities assembled, pooled and fused, then a selection round."""
+    m, wide = fx.fx_wide_manifest(spark, sf), fx.fx_wide(spark, sf)
+    path = scratch_path(spark, "manifest")
+    m.write.json(path)
+    items = io.read_manifest(spark, path)
+    own = fx.fx_items(spark, sf).select(F.col("video_id").alias("key"), F.lit(0).alias("pos"),
+                                       F.col("fea").cast("array<float>").alias("vec"))
+    stores = {}
+    for name, df in (("text", own), ("audio", wide), ("frames", wide), ("motion", own)):
+        at = scratch_path(spark, f"store-{name}")
+        df.write.parquet(at)
+        stores[name] = io.read_feature_store(spark, at)
+    fused = feat.fused_items(items, stores)
+    base = fx.fx_items(spark, sf)
+    ids = lambda split: base.filter(F.col("split") == split).select("video_id")
+    cfg = al.ALConfig()
+    data = al.prepare(items.join(fused, "video_id"), ids("train"), ids("test"), fx.fx_seed_ids(spark, sf), cfg)
+    rnd = al.al_round(data, al.begin(data, cfg), 0, cfg)
+    d = rnd["decisions"].select("fold", "accepted")
+    return finish(rnd["selected"].join(d, "fold").select("fold", "video_id", F.round("similarity", 4).alias("similarity"), "accepted"))
+
+
 @query("accept_reject", sql_out(
     "SELECT d.fold, d.cur_f1, d.new_f1, d.cur_test_f1, d.new_test_f1, d.accepted, d.n_candidates, d.n_selected, "
     "coalesce(u.n_useful, 0) AS n_useful, coalesce(u.n_useless, 0) AS n_useless FROM dec_0 d LEFT JOIN "
@@ -809,7 +960,7 @@ def q_al_round(spark, sf):
      ("accepted", "b"), ("n_candidates", "i"), ("n_selected", "i"), ("n_useful", "i"), ("n_useless", "i")], _R1))
 def q_accept_reject(spark, sf):
     _, cfg, rnd = _round0(spark, sf)
-    _, state = al.apply_decision(rnd, cfg)
+    state = al.apply_decision(rnd, cfg).state
     u = state.groupBy("fold").agg(F.sum(F.when(F.col("status") == "useful", 1).otherwise(0)).alias("n_useful"),
                                   F.sum(F.when(F.col("status") == "useless", 1).otherwise(0)).alias("n_useless"))
     d = rnd["decisions"].join(u, "fold", "left").fillna(0, ["n_useful", "n_useless"])
@@ -825,7 +976,8 @@ def q_accept_reject(spark, sf):
     [("fold", "i"), ("train_size", "i"), ("valid_pool_size", "i")], _R1))
 def q_pool_counters(spark, sf):
     data, cfg, rnd = _round0(spark, sf)
-    sums, state = al.apply_decision(rnd, cfg)
+    after = al.apply_decision(rnd, cfg)
+    sums, state = after.model, after.state
     train_size = sums.groupBy("fold").agg(F.sum("n").alias("train_size"))
     used = po.pool_counters(state).withColumnRenamed("n", "_used")
     n_pool = data.pool.count()
@@ -875,20 +1027,46 @@ voted AS (SELECT video_id FROM state_{_LOOP_ROUNDS} WHERE status = 'useful'
 ftrain AS (SELECT video_id, y, fea FROM train UNION ALL SELECT p.video_id, p.y, p.fea FROM pool p JOIN voted USING (video_id)),
 fdims AS (SELECT y, unnest(fea) AS v, unnest(generate_series(1, len(fea))) AS d FROM ftrain),
 fmodel AS (SELECT y, d, sum(v) / count(*) AS c FROM fdims GROUP BY y, d),
-tstd AS (SELECT video_id, y, unnest(fea) AS v, unnest(generate_series(1, len(fea))) AS d FROM items WHERE split = 'test'),
-tdot AS (SELECT t.video_id, t.y, m.y AS cls, sum(t.v * m.c) AS dp FROM tstd t JOIN fmodel m USING (d)
-         GROUP BY t.video_id, t.y, m.y),
-tpred AS (SELECT video_id, y, CASE WHEN coalesce(max(CASE WHEN cls = 1 THEN dp END), 0.0)
+tstd AS (SELECT split, video_id, y, unnest(fea) AS v, unnest(generate_series(1, len(fea))) AS d FROM items
+         WHERE split IN ('test', 'val')),
+tdot AS (SELECT t.split, t.video_id, t.y, m.y AS cls, sum(t.v * m.c) AS dp FROM tstd t JOIN fmodel m USING (d)
+         GROUP BY t.split, t.video_id, t.y, m.y),
+tpred AS (SELECT split, video_id, y, CASE WHEN coalesce(max(CASE WHEN cls = 1 THEN dp END), 0.0)
                                       > coalesce(max(CASE WHEN cls = 0 THEN dp END), 0.0) THEN 1 ELSE 0 END AS p
-          FROM tdot GROUP BY video_id, y)"""
+          FROM tdot GROUP BY split, video_id, y)"""
 
 
 @query("final_metrics", sql_out(
-    f"SELECT (SELECT count(*) FROM voted) AS n_voted, {_metrics_sql('p')} FROM tpred",
-    [("n_voted", "i")] + _MCOLS, _R6 + _FINAL_SQL))
+    f"SELECT split, (SELECT count(*) FROM voted) AS n_voted, {_metrics_sql('p')} FROM tpred GROUP BY split",
+    [("split", "s"), ("n_voted", "i")] + _MCOLS, _R6 + _FINAL_SQL))
 def q_final_metrics(spark, sf):
+    """The final fit's figures on the test ids and on the original validation
+    list, which no fold has used."""
     data, cfg = _al_data(spark, sf)
-    res = al.cross_validated_selection(data, cfg)
+    val = _items(spark, sf).filter(F.col("split") == "val").select("video_id", "y", "fea")
+    res = al.cross_validated_selection(data, cfg, val)
     n_voted = res["voted"].count()
-    return finish(res["test_metrics"].withColumn("n_voted", F.lit(n_voted))
-                  .select("n_voted", "n", "acc", "precision", "recall", "f1", "auc"))
+    both = res["test_metrics"].withColumn("split", F.lit("test")).unionByName(
+        res["val_metrics"].withColumn("split", F.lit("val")))
+    return finish(both.withColumn("n_voted", F.lit(n_voted))
+                  .select("split", "n_voted", "n", "acc", "precision", "recall", "f1", "auc"))
+
+
+@query("voted_ids_sink", sql_out(
+    f"SELECT 'voted' AS kind, -1 AS fold, -1 AS iteration, video_id FROM voted UNION ALL "
+    f"SELECT 'accepted', fold, iteration, video_id FROM ("
+    + " UNION ALL ".join(f"SELECT s.fold, {r} AS iteration, s.video_id FROM sel_{r} s JOIN dec_{r} d USING (fold) WHERE d.accepted"
+                         for r in range(_LOOP_ROUNDS)) + ")",
+    [("kind", "s"), ("fold", "i"), ("iteration", "i"), ("video_id", "s")], _R6 + _FINAL_SQL))
+def q_voted_ids_sink(spark, sf):
+    """The loop's sinks: accepted ids by fold and round, voted ids; both
+    written and read back."""
+    data, cfg = _al_data(spark, sf)
+    accepted, voted = scratch_path(spark, "accepted"), scratch_path(spark, "voted")
+    out = al.al_loop(data, cfg, _LOOP_ROUNDS, ids_path=accepted)
+    io.overwrite_ids(al.majority_vote(out["state"], cfg.min_votes), voted)
+    v = spark.read.parquet(voted).select(F.lit("voted").alias("kind"), F.lit(-1).alias("fold"), F.lit(-1).alias("iteration"), "video_id")
+    if not any(r.accepted for r in out["decisions"].collect()):
+        return finish(v)
+    a = spark.read.parquet(accepted).select(F.lit("accepted").alias("kind"), "fold", "iteration", "video_id")
+    return finish(v.unionByName(a))

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,10 +109,12 @@ def test_candidate_gate_runs(spark):
         assert not acc and gate
 
 
-@pytest.mark.skipif(not __import__("os").environ.get("POOLWISE_SLOW"), reason="set POOLWISE_SLOW=1")
+SLOW = pytest.mark.skipif(not os.environ.get("POOLWISE_SLOW"), reason="set POOLWISE_SLOW=1")
+
+
 @pytest.mark.parametrize("sf,k,pattern,anywhere,voted", [
     ("/root/testdata/sf0.01", 20, {0: "AArrrr", 1: "rrrrrr", 2: "rrrArr", 3: "rArArA", 4: "rrrrrA"}, 96, 5),
-    ("/root/testdata/sf0.1", 80, {0: "rrrrrA", 1: "rrrrAr", 2: "rrrAAr", 3: "rrrrrr", 4: "rrrrrr"}, 257, 8),
+    pytest.param("/root/testdata/sf0.1", 80, {0: "rrrrrA", 1: "rrrrAr", 2: "rrrAAr", 3: "rrrrrr", 4: "rrrrrr"}, 257, 8, marks=SLOW),
 ])
 def test_fixture_table_other_scales(spark, sf, k, pattern, anywhere, voted):
     items = fx.fx_items(spark, sf)
@@ -138,3 +142,69 @@ def test_loop_resumes_from_written_rounds(spark, loop, tmpdir_path):
     assert norm(resumed["state"]) == norm(out["state"])
     dec = lambda df: sorted((r.fold, r.iteration, r.accepted) for r in df.collect())
     assert dec(resumed["decisions"]) == dec(out["decisions"])
+
+
+def test_resume_refuses_other_settings_and_gaps(spark, loop, tmpdir_path):
+    data, cfg, _ = loop
+    state_dir = tmpdir_path + "/al"
+    assert al.completed_rounds(spark, state_dir, cfg) == 0
+    al.al_loop(data, cfg, rounds=1, state_dir=state_dir)
+    assert al.completed_rounds(spark, state_dir, cfg) == 1
+    with pytest.raises(ValueError, match="other settings"):
+        al.al_loop(data, al.ALConfig(seed=7), rounds=2, state_dir=state_dir)
+    spark.createDataFrame([(5, cfg.fingerprint())], "iteration int, config string").write.mode("append").parquet(f"{state_dir}/done")
+    with pytest.raises(ValueError, match="missing"):
+        al.al_loop(data, cfg, rounds=7, state_dir=state_dir)
+    broken = tmpdir_path + "/broken"
+    os.makedirs(f"{broken}/done")
+    with open(f"{broken}/done/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):  # damage is not taken for 'no round yet'
+        al.completed_rounds(spark, broken, cfg)
+
+
+def test_an_id_with_two_rows_is_chosen_once(spark):
+    items, train_ids = _tiny(spark, 8)
+    twice = items.unionByName(items.filter("video_id IN ('g00_TOVO_TOVM', 'g01_TOVO_TOVM', 'g02_TOVO_TOVM', 'g03_TOVO_TOVM')"))
+    cfg = al.ALConfig(rounds=1, pool_size=4, k_folds=2)
+    data = al.prepare(twice, train_ids, train_ids.limit(0), None, cfg)
+    assert data.n_pool == 8 and data.pool.count() == 12
+    rnd = al.al_round(data, al.begin(data, cfg), 0, cfg)
+    for f in range(2):
+        ids = [r.video_id for r in rnd["selected"].filter(f"fold = {f}").collect()]
+        assert len(ids) == len(set(ids)) == 4
+    assert all(r["n_candidates"] == 8 for r in rnd["decision_rows"])
+
+
+def test_selected_rows_move_no_vectors_and_nothing_is_collected(spark, loop):
+    """The ranks of a round see ids and numbers only."""
+    data, cfg, _ = loop
+    cur = al.begin(data, cfg)
+    plan = al.anchor_ids(cur.scores, cfg)._jdf.queryExecution().optimizedPlan().toString()
+    assert "fea" not in plan
+
+
+def test_projected_head_equals_projected_items(spark):
+    import numpy as np
+    from poolwise.plans.queries import half_difference
+
+    items, train_ids = _tiny(spark, 12)
+    cfg = al.ALConfig(rounds=2, pool_size=3, k_folds=2)
+    data = al.prepare(items, train_ids, train_ids.limit(5), None, cfg, al.ProjectedHead(half_difference, cfg.scale))
+    rows = [(r.video_id, r.label, r.source, half_difference(np.array([r.fea]))[0].tolist()) for r in items.collect()]
+    plain = spark.createDataFrame(rows, "video_id string, label string, source string, fea array<double>")
+    other = al.prepare(plain, train_ids, train_ids.limit(5), None, cfg)
+    norm = lambda out: sorted(map(tuple, out["state"].collect()))
+    assert norm(al.al_loop(data, cfg)) == norm(al.al_loop(other, cfg))
+    with pytest.raises(ValueError, match="bytes"):
+        al.ProjectedHead(half_difference, max_model_bytes=10).vectors(plain.select("video_id", "fea"))
+
+
+def test_final_fit_reports_validation_and_writes_ids(spark, tmpdir_path):
+    items, train_ids = _tiny(spark, 10)
+    cfg = al.ALConfig(rounds=2, pool_size=3, k_folds=2, min_votes=1)
+    data = al.prepare(items, train_ids, train_ids.limit(6), None, cfg)
+    val = data.test.select("video_id", "y", "fea")
+    out = al.cross_validated_selection(data, cfg, val, ids_path=tmpdir_path + "/voted")
+    assert out["val_metrics"].collect() == out["test_metrics"].collect()
+    assert spark.read.parquet(tmpdir_path + "/voted").count() == out["voted"].count()

@@ -22,8 +22,8 @@ def _ref(pool, anchors):
     return out
 
 
-@pytest.mark.parametrize("strategy,limit", [("auto", 256 << 20), ("auto", 200)])
-def test_max_similarity_matches_brute_force(spark, strategy, limit):
+@pytest.mark.parametrize("spread,block", [(None, 2 << 20), (3, 1), (1, 1)])
+def test_max_similarity_matches_brute_force(spark, spread, block):
     rng = np.random.default_rng(3)
     pool = [(int(g), f"p{i}", [float(v) for v in rng.normal(size=4)]) for i, g in enumerate(rng.integers(0, 3, 60))]
     pool.append((0, "zero", [0.0, 0.0, 0.0, 0.0]))
@@ -32,7 +32,7 @@ def test_max_similarity_matches_brute_force(spark, strategy, limit):
     pdf = spark.createDataFrame(pool, "fold int, video_id string, fea array<double>")
     adf = spark.createDataFrame(anchors, "fold int, fea array<double>")
     got = {(r.fold, r.video_id): r.similarity
-           for r in max_similarity(pdf, adf, by=["fold"], strategy=strategy, max_broadcast_bytes=limit).collect()}
+           for r in max_similarity(pdf, adf, by=["fold"], spread=spread, block_bytes=block).collect()}
     ref = _ref(pool, anchors)
     assert got.keys() == ref.keys()
     for k in ref:
@@ -53,9 +53,34 @@ def test_topk_and_fraction(spark):
     assert small.count() == 0  # fewer than 4 ids -> no anchors
 
 
-def test_blocked_with_duplicate_anchors(spark):
+def test_many_blocks_and_open_lists(spark):
+    """Many blocks on both sides: same result, same plan; a pool row is packed
+    once whatever the number of groups it is open in."""
+    rng = np.random.default_rng(5)
+    pool = [(f"p{i}", [g for g in range(3) if rng.random() < 0.7], [float(v) for v in rng.normal(size=3)]) for i in range(150)]
+    anchors = [(int(g), [float(v) for v in rng.normal(size=3)]) for g in rng.integers(0, 3, 120)]
+    pdf = spark.createDataFrame(pool, "video_id string, open array<int>, fea array<double>")
+    adf = spark.createDataFrame(anchors, "fold int, fea array<double>")
+    ref = _ref([(g, i, x) for i, o, x in pool for g in o], anchors)
+    plans = set()
+    for block in (1, 2 << 20):
+        df = max_similarity(pdf, adf, by=["fold"], open_col="open", block_bytes=block)
+        got = {(r.fold, r.video_id): r.similarity for r in df.collect()}
+        assert got.keys() == ref.keys() and all(math.isclose(got[k], ref[k], abs_tol=1e-9) for k in ref)
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        plans.add(tuple(line.strip(" :+-").split(" ")[0] for line in text.splitlines()))
+    assert len(plans) == 1
+
+
+def test_missing_vector_is_an_error(spark):
+    pool = spark.createDataFrame([("p", None)], "video_id string, fea array<double>")
+    with pytest.raises(Exception, match="without a feature vector"):
+        max_similarity(pool, pool).collect()
+
+
+def test_duplicate_anchors(spark):
     pool = spark.createDataFrame([(0, f"p{i}", [1.0, float(i)]) for i in range(7)], "fold int, video_id string, fea array<double>")
     anchors = spark.createDataFrame([(0, [1.0, 2.0])] * 12 + [(0, [0.0, 1.0])], "fold int, fea array<double>")
-    got = {r.video_id: r.similarity for r in max_similarity(pool, anchors, by=["fold"], max_broadcast_bytes=48).collect()}
+    got = {r.video_id: r.similarity for r in max_similarity(pool, anchors, by=["fold"], block_bytes=1).collect()}
     ref = _ref([(0, f"p{i}", [1.0, float(i)]) for i in range(7)], [(0, [1.0, 2.0]), (0, [0.0, 1.0])])
     assert all(math.isclose(got[k[1]], v, abs_tol=1e-12) for k, v in ref.items())
