@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import ntile_of_rank, rank_within
@@ -54,24 +54,20 @@ def seeded_order(df: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "video_i
 def random_sample(df: DataFrame, n: int, seed: int = DEFAULT_SEED, id_col: str = "video_id",
                   by: Sequence[str] = ()) -> DataFrame:
     """Random-selection baseline: the first ``n`` rows of the seeded shuffle
-    (per ``by`` group when given). Top-n: TakeOrderedAndProject, or a window
-    with a constant limit that Spark turns into a partial ``WindowGroupLimit``
-    before the shuffle."""
+    (per ``by`` group when given). Globally a top-n (TakeOrderedAndProject);
+    per group a two-level rank, since ``n`` may be a share of the pool and
+    groups are few; pass narrow rows."""
     keyed = df.withColumn("_h", hash_key(seed, *by, id_col))
     if not by:
         return keyed.orderBy("_h", id_col).limit(n).drop("_h")
-    w = Window.partitionBy(*by).orderBy("_h", id_col)
-    return keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_h", "_rn")
+    ranked = rank_within(keyed, [F.col("_h").asc(), F.col(id_col).asc()], by=by, name="_rn", groups_bounded=True)
+    return ranked.filter(F.col("_rn") <= n).select(*df.columns)
 
 
 def drop_half(selected: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "video_id",
               by: Sequence[str] = ("fold", "iteration")) -> DataFrame:
-    """A seeded ``len // 2`` of each group's selection (groups hold at most
-    ``al_pool_size`` rows, so a window per group is bounded)."""
+    """A seeded ``len // 2`` of each group's selection, by a two-level rank (a
+    selection may be a share of the pool)."""
     keyed = selected.withColumn("_h", hash_key(seed, *by, id_col))
-    w = Window.partitionBy(*by).orderBy("_h", id_col)
-    wn = Window.partitionBy(*by)
-    return (keyed.withColumn("_rn", F.row_number().over(w))
-            .withColumn("_n", F.count(F.lit(1)).over(wn))
-            .filter(F.col("_rn") <= F.floor(F.col("_n") / 2))
-            .drop("_h", "_rn", "_n"))
+    ranked = rank_within(keyed, [F.col("_h").asc(), F.col(id_col).asc()], by=by, name="_rn", size_name="_n", groups_bounded=True)
+    return ranked.filter(F.col("_rn") <= F.floor(F.col("_n") / 2)).select(*selected.columns)

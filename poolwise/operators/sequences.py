@@ -111,13 +111,18 @@ def _zero(df: DataFrame, col: str, zero=0.0):
 def stride_sample(seq: DataFrame, length: int, key: str = "key", pos: str = "pos") -> DataFrame:
     """Sequences of at least ``length`` rows: every ``gap = n // length``-th
     row, the first ``length`` of them (the tail past ``gap * length`` is
-    dropped). Shorter ones: unchanged. Adds ``n`` (original length)."""
-    n = sequence_lengths(seq, key)
-    j = seq.join(n, key)
-    gap = F.greatest(F.floor(F.col("n") / length), F.lit(1)).cast("long")
-    keep = ((F.col(pos) % gap) == 0) & (F.floor(F.col(pos) / gap) < length)
-    return (j.withColumn("_gap", gap).filter(keep)
-            .withColumn(pos, F.floor(F.col(pos) / F.col("_gap")).cast("int")).drop("_gap"))
+    dropped). Shorter ones: unchanged. Adds ``n`` (original length). The kept
+    positions follow from the lengths and are joined on (key, position), so a
+    hot key is spread and no row meets its whole sequence."""
+    lens = sequence_lengths(seq.select(key), key)
+    gap = F.greatest(F.floor(F.col("n") / length), F.lit(1)).cast("int")
+    last = F.least(F.col("n"), F.lit(length)).cast("int") - 1
+    want = (lens.select(key, "n", gap.alias("_gap"), F.explode(F.sequence(F.lit(0), last)).alias("_out"))
+            .select(key, "n", F.col("_out").cast("int").alias("_out"), (F.col("_out") * F.col("_gap")).cast("int").alias("_at")))
+    vals = [c for c in seq.columns if c not in (key, pos)]
+    fr = seq.select(key, F.col(pos).cast("int").alias("_at"), *vals)
+    out = want.join(fr, [key, "_at"]).withColumnRenamed("_out", pos)
+    return out.select(*seq.columns, "n")
 
 
 def pad_mask(sampled: DataFrame, length: int, value_cols: Sequence[str], key: str = "key",

@@ -818,7 +818,7 @@ def q_seeded_order(spark, sf):
     [("fold", "i"), ("video_id", "s")], _with(AL_BASE)))
 def q_random_baseline(spark, sf):
     data, cfg = _al_data(spark, sf)
-    pool = data.pool.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(cfg.k_folds - 1))))
+    pool = data.pool.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(cfg.k_folds - 1))).alias("fold"))
     return finish(fo.random_sample(pool, data.k, 2025, by=["fold"]).select("fold", "video_id"))
 
 
