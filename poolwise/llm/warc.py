@@ -77,7 +77,7 @@ def _http(n_bytes: Column) -> Column:
 
 
 def _write(records: DataFrame, path: str) -> str:
-    (records.write.option("lineSep", END).option("compression", "gzip")
+    (records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
      .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
     return path
 
@@ -107,26 +107,33 @@ def _hex(digest: str) -> str:
 
 
 def _records(pieces):
-    """Records from a file's pieces, as split at the record terminator."""
-    sep, head, need, block = END.encode(), None, 0, []
+    """Records from a file's pieces, as split at the record terminator: the
+    pieces with terminators between them are the file again, and lengths say
+    where records end, so payloads may hold or end with parts of one."""
+    sep, head, need, held = END.encode(), None, 0, bytearray()
     for piece in pieces:
-        if head is None:
-            if not piece.startswith(b"WARC/"):
-                if piece:
+        held += piece
+        held += sep
+        while True:
+            if head is None:
+                if held.startswith(sep):  # what the end of the file is short of
+                    del held[:len(sep)]
+                at = held.find(sep)
+                if at < 0:
+                    break
+                if not held.startswith(b"WARC/"):
                     raise ValueError("not at the start of a WARC record")
-                continue
-            head, block = _parse(piece), []
-            need = int(head["content-length"])
-            have = -len(sep)
-            continue
-        block.append(piece)
-        have += len(piece) + len(sep)
-        if have == need:
-            yield head, sep.join(block)
+                head = _parse(bytes(held[:at]))
+                need = int(head["content-length"])
+                del held[:at + len(sep)]
+            if len(held) < need + len(sep):
+                break
+            if held[need:need + len(sep)] != sep:
+                raise ValueError("a record's block is longer than its Content-Length")
+            yield head, bytes(held[:need])
+            del held[:need + len(sep)]
             head = None
-        elif have > need:
-            raise ValueError("a record's block is longer than its Content-Length")
-    if head is not None:
+    if head is not None or held.strip(b"\r\n"):
         raise ValueError("the archive ends within a record")
 
 

@@ -60,10 +60,18 @@ def test_files_are_gzip_warc(spark, pages):
 def test_damage_is_noticed():
     record = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9", b"head", b"x"]
     assert [b for _, b in warc._records(iter(record))] == [b"head\r\n\r\nx"]
-    with pytest.raises(ValueError):
-        list(warc._records(iter(record[:2])))
-    with pytest.raises(ValueError):
-        list(warc._records(iter([b"junk"])))
+    for bad in (record[:2], [b"junk"], [record[0], b"head", b"xyz", b"more"], record + [b"WARC/1.1"]):
+        with pytest.raises((ValueError, KeyError)):
+            list(warc._records(iter(bad)))
+
+
+def test_payloads_that_end_in_parts_of_the_terminator(spark):
+    ends = ["a\r", "a\r\n", "a\r\n\r", "a\r\n\r\n", "\n", "\r\n", "\r\n\r\n\r\n", ""]
+    rows = [(i, "http://x/", e) for i, e in enumerate(ends * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = warc.write_archive(df, scratch_path(spark, "w"))
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archive(spark, path, with_payload=True).collect()}
+    assert got == {i: e for i, _, e in rows}
 
 
 def test_empty(spark):
