@@ -24,6 +24,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,23 +198,53 @@ def numbered(lines: DataFrame) -> DataFrame:
     return written(ranked.withColumn("n", F.col("n") - 1).withColumn("chunk", F.floor(F.col("n") / CHUNK)), "transcript-lines")
 
 
+def per_chunk(lines: DataFrame, fn, schema: str) -> DataFrame:
+    """Apply ``fn`` (a frame of one chunk's lines, in order -> a frame) to every
+    chunk. Chunks are dealt out by key and come sorted, so a task walks through
+    many of them with one frame in memory."""
+    def applied(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(pdf).assign(_none=bool(pdf["_none"].iloc[0]))
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            keys = np.stack([pdf[c].to_numpy().astype(np.int64) for c in ("conv_id", "_none", "chunk")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            done = [applied(pdf.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            rest = pdf.iloc[cuts[-1]:].reset_index(drop=True)
+        if rest is not None:
+            yield applied(rest)
+
+    # null ids travel as a flag: a null would turn pandas' integers into floats
+    safe = lines.withColumn("_none", F.col("conv_id").isNull()).withColumn("conv_id", F.coalesce("conv_id", F.lit(0)).cast("long"))
+    dealt = safe.repartition("conv_id", "_none", "chunk").sortWithinPartitions("conv_id", "_none", "chunk", "n")
+    out = dealt.mapInPandas(run, f"{schema}, _none boolean")
+    if "conv_id" in out.columns:
+        out = out.withColumn("conv_id", F.when(~F.col("_none"), F.col("conv_id")))
+    return out.drop("_none")
+
+
 def train(lines: DataFrame) -> Hmm:
     """Count starts, moves and emissions of numbered lines with their true
     ``role``, chunk by chunk (moves across chunk borders aside)."""
     known = lines.filter(F.col("role").isin(*ROLES))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
         obs = observe(pdf["line"].tolist())
         state = np.array([STATES.index((r, k == 0)) for r, k in zip(pdf["role"], pdf["no"])])
         rows = [("start", int(state[0]), 0)] if pdf["n"].iloc[0] == 0 else []
         n = pdf["n"].to_numpy()
         rows += [("move", int(a), int(b)) for a, b, gap in zip(state[:-1], state[1:], np.diff(n)) if gap == 1]
         rows += [(str(k), int(s), int(o[k])) for s, o in zip(state, obs) for k in range(len(SIZES))]
-        out = pd.DataFrame(rows, columns=["kind", "a", "b"])
-        return out.groupby(["kind", "a", "b"], as_index=False).size().rename(columns={"size": "n"})
+        found = Counter(rows)
+        return pd.DataFrame([(*key, n) for key, n in found.items()], columns=["kind", "a", "b", "n"])
 
-    summed = (known.groupBy("conv_id", "chunk").applyInPandas(count, "kind string, a int, b int, n long")
+    summed = (per_chunk(known.select("conv_id", "chunk", "n", "no", "role", "line"), count, "kind string, a int, b int, n long")
               .groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))  # at most a few hundred rows
     return Hmm.from_counts({(r.kind, r.a, r.b): float(r.n) for r in summed.collect()})
 
@@ -222,7 +253,6 @@ def boundaries(lines: DataFrame, hmm: Hmm, fan: int = FAN) -> DataFrame:
     """(conv_id, chunk, before, end): the states around every chunk on its
     transcript's best path."""
     def transfers(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
         m = hmm.transfer(observe(pdf["line"].tolist()))
         return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "at": [int(pdf["chunk"].iloc[0])], "m": [m.ravel().tolist()]})
 
@@ -242,8 +272,7 @@ def boundaries(lines: DataFrame, hmm: Hmm, fan: int = FAN) -> DataFrame:
         return pd.DataFrame({"conv_id": pdf["conv_id"], "at": pdf["at"], "before": [a for a, _ in pairs], "end": [b for _, b in pairs]})
 
     schema = "conv_id long, at long, m array<double>"
-    levels = [written(lines.select("conv_id", "chunk", "n", "line").groupBy("conv_id", "chunk").applyInPandas(transfers, schema),
-                      "transfers")]
+    levels = [written(per_chunk(lines.select("conv_id", "chunk", "n", "line"), transfers, schema), "transfers")]
     group = F.floor(F.col("at") / fan).alias("up")
     while (levels[-1].agg(F.max("at")).first()[0] or 0) >= fan:
         levels.append(written(levels[-1].groupBy("conv_id", group).applyInPandas(combine, schema), "transfers"))
@@ -260,13 +289,16 @@ def boundaries(lines: DataFrame, hmm: Hmm, fan: int = FAN) -> DataFrame:
 
 def decode(lines: DataFrame, hmm: Hmm, fan: int = FAN) -> DataFrame:
     """Numbered lines with the recovered ``role``, whether the line opens a
-    turn, and the text after its marker; written."""
-    sides = boundaries(lines, hmm, fan).withColumnRenamed("conv_id", "_c").withColumnRenamed("chunk", "_chunk")
+    turn, and the text after its marker; written. A transcript of one chunk
+    has nothing before it and no given end."""
+    several = written(lines.filter("chunk > 0").select(F.col("conv_id").alias("_m")).distinct(), "long-transcripts")
+    long = lines.join(several, F.col("conv_id").eqNullSafe(F.col("_m")), "left_semi")
+    sides = boundaries(long, hmm, fan).withColumnRenamed("conv_id", "_c").withColumnRenamed("chunk", "_chunk")
     joined = lines.select("conv_id", "chunk", "n", "line").join(
-        sides, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_chunk"))).drop("_c", "_chunk")
+        sides, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("chunk") == F.col("_chunk")), "left").select(
+        "conv_id", "chunk", "n", "line", F.coalesce("before", F.lit(S)).alias("before"), F.coalesce("end", F.lit(-1)).alias("end"))
 
     def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
         lines_here = [x or "" for x in pdf["line"]]
         path = hmm.path(observe(lines_here), int(pdf["before"].iloc[0]), int(pdf["end"].iloc[0]))
         first = [STATES[s][1] for s in path]
@@ -274,8 +306,8 @@ def decode(lines: DataFrame, hmm: Hmm, fan: int = FAN) -> DataFrame:
         return pd.DataFrame({"conv_id": pdf["conv_id"], "chunk": pdf["chunk"], "n": pdf["n"],
                              "role": [STATES[s][0] for s in path], "opens": first, "body": body})
 
-    return written(joined.groupBy("conv_id", "chunk").applyInPandas(
-        paths, "conv_id long, chunk long, n long, role string, opens boolean, body string"), "decoded-lines")
+    return written(per_chunk(joined, paths, "conv_id long, chunk long, n long, role string, opens boolean, body string"),
+                   "decoded-lines")
 
 
 def turns(decoded: DataFrame, part: int = PART) -> DataFrame:
