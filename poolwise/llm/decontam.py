@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, drop_written, written
 
 #: Words are maximal runs of lower-case a-z, digits and everything outside ASCII.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -135,7 +135,9 @@ def document_hits(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
              .groupBy("_k", "_t").agg(F.count(F.lit(1)).alias("n_hit")))
     named = (matches.select("_k", "_t", "wid").distinct().join(owners, "wid").select("_k", "_t", "item_id").distinct()
              .groupBy("_k", "_t").agg(F.sort_array(F.collect_list(F.coalesce("item_id", F.lit("")))).alias("items")))
-    return written(spots.join(named, ["_k", "_t"]), "document-hits")
+    hits = written(spots.join(named, ["_k", "_t"]), "document-hits")
+    drop_written(index)  # as large as all other tables together
+    return hits
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import with_row_key, written
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 MAX_DOMAINS = 64
 
 
@@ -53,7 +53,7 @@ def featurise(text: str | None) -> tuple[np.ndarray, int]:
             b3 = (b[:-2] * 31 + b[1:-1]) * 31 + b[2:]
             b5 = (b3[:-2] * 31 + b[3:-1]) * 31 + b[4:]
             for h, seed in ((b3, 2654435761), (b5, 2246822519)):
-                counts += np.bincount((h * np.uint32(seed)) >> np.uint32(32 - 13), minlength=BUCKETS)
+                counts += np.bincount((h * np.uint32(seed)) >> np.uint32(32 - 12), minlength=BUCKETS)
     return np.sqrt(counts / max(1, counts.sum())).astype(np.float32), n_tokens
 
 
@@ -92,7 +92,8 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 250, rate
 
 def fit_domains(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3000) -> Domains:
     """Learn the domains ``lang:label`` from at most ``max_rows`` labelled
-    documents, drawn by a hash of the id."""
+    documents, drawn by a hash of the id. What reaches the driver is a vector of
+    8 kB per sampled document."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
         F.min(label).cast("string").alias("_label"))
     there = docs.select(F.col("doc_id").alias("_have")).distinct()
@@ -107,38 +108,44 @@ def fit_domains(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
         for batch in batches:
             x = [featurise(t.as_py())[0] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"),
-                                              pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "domain", "x"])
+                                              pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())],
+                                             names=["doc_id", "domain", "x"])
 
     got = rows.mapInArrow(featured, "doc_id string, domain string, x binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.domain, bytes(r.x)))[:max_rows]
     names = sorted({r.domain for r in got}) or ["all"]
     if len(names) > MAX_DOMAINS:
         raise ValueError(f"{len(names)} domains: more than {MAX_DOMAINS}")
-    x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in got]) if got else np.zeros((0, BUCKETS), np.float32)
-    return train(x, np.array([names.index(r.domain) for r in got], dtype=int), names)
+    x = np.zeros((len(got), BUCKETS), np.float32)
+    y = np.array([names.index(r.domain) for r in got], dtype=int)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r.x, np.float16)
+    return train(x, y, names)
 
 
-def with_posteriors(docs: DataFrame, model: Domains, carry: bool = False) -> DataFrame:
-    """doc_id (with ``carry``, all columns), ``_rid``, ``_tokens`` and
-    ``_post``, written once."""
-    rows = with_row_key(docs if carry else docs.select("doc_id", "text"))
-    keep = [f for f in rows.schema if carry or f.name != "text"]
-    names = [f.name for f in keep]
-    schema = T.StructType([*keep, T.StructField("_tokens", T.LongType()), T.StructField("_post", T.ArrayType(T.FloatType()))])
+def _each(rows: DataFrame, model: Domains, keep: list[str], more: dict[str, T.DataType], values) -> DataFrame:
+    """``keep`` columns of ``rows`` and the columns ``more`` that ``values``
+    makes of (tokens, posteriors) of up to 256 texts at a time."""
+    schema = T.StructType([*[rows.schema[c] for c in keep], *[T.StructField(c, t) for c, t in more.items()]])
 
     def run(batches):
-        for batch in batches:
-            tokens, post = [], []
-            texts = batch.column("text")
-            for at in range(0, len(texts), 256):  # features of 256 texts at a time
-                got = [featurise(t.as_py()) for t in texts[at:at + 256]]
-                tokens += [n for _, n in got]
-                post += model.posteriors(np.array([x for x, _ in got])).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(tokens, pa.int64()), pa.array(post, pa.list_(pa.float32()))],
-                names=[*names, "_tokens", "_post"])
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                got = [featurise(t.as_py()) for t in batch.column("text")]
+                tokens = np.array([n for _, n in got], dtype=np.int64)
+                new = values(tokens, model.posteriors(np.array([x for x, _ in got])))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], names=[*keep, *more])
+
+    return rows.mapInArrow(run, schema)
 
-    return written(rows.mapInArrow(run, schema), "posteriors")
+
+def with_posteriors(docs: DataFrame, model: Domains) -> DataFrame:
+    """doc_id, ``_rid``, ``_tokens`` and ``_post`` of every row, written once."""
+    rows = with_row_key(docs.select("doc_id", "text"))
+    kinds = {"_tokens": T.LongType(), "_post": T.ArrayType(T.FloatType())}
+    return written(_each(rows, model, ["doc_id", "_rid"], kinds, lambda n, p: [
+        pa.array(n, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float32()))]), "posteriors")
 
 
 def rates_of(post: np.ndarray, history: list[np.ndarray], start: float, least: float, step: float, ridge: float) -> np.ndarray:
@@ -185,25 +192,24 @@ def fit_rates(rows: DataFrame, model: Domains, shares: dict[str, float] | None =
     target share of the corpus's total by domain."""
     k = len(model.names)
 
-    def summed(values) -> np.ndarray:
-        """Sum over all rows of ``values(tokens, posteriors)``, an array."""
+    def summed(values, size: int) -> np.ndarray:
+        """Sum over all rows of ``values(tokens, posteriors)``, ``size``
+        numbers: a row per partition, then one aggregate."""
         def run(batches):
-            total = None
+            total = np.zeros(size)
             for batch in batches:
                 t = np.asarray(batch.column("_tokens"), dtype=np.float64)
                 p = np.asarray(batch.column("_post").flatten(), dtype=np.float64).reshape(-1, k)
-                part = values(t, p)
-                total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())],
-                                                 names=["i", "v"])
-        got = rows.select("_tokens", "_post").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        return np.array([r.v for r in sorted(got.collect(), key=lambda r: r.i)])
-
-    both = summed(lambda t, p: np.concatenate([(t @ p)[None], (p * t[:, None]).T @ p]))
-    if not both.size:
-        both = np.zeros((k + 1) * k)
-    mass, gram = both[:k], both[k:].reshape(k, k)
+                total = total + values(t, p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        parts = rows.select("_tokens", "_post").mapInArrow(run, "v array<double>")
+        got = parts.agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(size)]).first()
+        return np.array([v or 0.0 for v in got])
+
+    mass = summed(lambda t, p: t @ p, k)
+    gram = np.stack([summed(lambda t, p, i=i: (p[:, i] * t) @ p, k) for i in range(k)]) if k > 16 else summed(
+        lambda t, p: (p * t[:, None]).T @ p, k * k).reshape(k, k)
     if shares:
         named = np.array([shares.get(n, -1.0) for n in model.names])
         rest = max(0.0, 1 - named[named >= 0].sum())
@@ -223,8 +229,7 @@ def fit_rates(rows: DataFrame, model: Domains, shares: dict[str, float] | None =
         def totals(t, p):
             both_r = rates_of(p, history, mix.start, mix.least, mix.step, mix.ridge)
             return (both_r * t[:, None]).T @ p
-        now = summed(totals)
-        now = now.reshape(2, k) if now.size else np.zeros((2, k))
+        now = summed(totals, 2 * k).reshape(2, k)
         mix.reached = now[0]
         if np.abs(now[0] - targets).max() <= tolerance * max(targets.sum(), 1e-9):
             break
@@ -233,7 +238,7 @@ def fit_rates(rows: DataFrame, model: Domains, shares: dict[str, float] | None =
 
 
 def with_rates(rows: DataFrame, mix: Mixture) -> DataFrame:
-    """``rows`` with ``_rate`` and ``_copies``."""
+    """``rows`` of :func:`with_posteriors` with ``_rate``."""
     schema = T.StructType([*rows.schema, T.StructField("_rate", T.DoubleType())])
 
     def run(batches):
@@ -241,9 +246,13 @@ def with_rates(rows: DataFrame, mix: Mixture) -> DataFrame:
             p = np.asarray(batch.column("_post").flatten(), dtype=np.float64).reshape(-1, len(mix.names))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mix.rates(p))], names=[*batch.schema.names, "_rate"])
 
-    chance = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.col("_rid"), F.lit("copies")), 11) / float(1 << 53)
-    rated = rows.mapInArrow(run, schema)
-    return rated.withColumn("_copies", (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
+    return rows.mapInArrow(run, schema)
+
+
+def copies(key: Column) -> Column:
+    """How often a row of rate ``_rate`` is emitted."""
+    chance = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), key, F.lit("copies")), 11) / float(1 << 53)
+    return (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
 
 
 def _number(c: Column) -> Column:
@@ -261,16 +270,17 @@ def mixing_table(docs: DataFrame, labels: DataFrame, label: str = "quality", **s
     at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), best)
     return with_rates(rows, mix).select(
         "doc_id", F.element_at(names, best).alias("domain"), _number(F.array_max("_post")).alias("posterior"),
-        F.col("_tokens").alias("n_tokens"), _number(F.col("_rate")).alias("rate"), F.col("_copies").alias("copies"),
+        F.col("_tokens").alias("n_tokens"), _number(F.col("_rate")).alias("rate"), copies(F.col("_rid")).alias("copies"),
         at(mix.targets).alias("domain_target"), at(mix.reached).alias("domain_reached"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, label: str = "quality", **settings) -> DataFrame:
-    """``docs`` with every row repeated as often as its rate says."""
+    """``docs`` with every row repeated as often as its rate says. The rates
+    are fitted on the narrow table of posteriors; the texts are then read once
+    more, and each row's rate computed beside it, rather than copied or joined."""
     model = fit_domains(docs, labels, label)
-    rows = with_posteriors(docs, model, carry=True)
-    mix = fit_rates(rows, model, **settings)
-    # rates are fixed before rows are repeated; only the narrow table meets the fit
-    copies = with_rates(rows, mix)
-    return (copies.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*docs.columns))
+    mix = fit_rates(with_posteriors(docs, model), model, **settings)
+    rated = _each(with_row_key(docs), model, [*docs.columns, "_rid"], {"_rate": T.DoubleType()}, lambda n, p: [
+        pa.array(mix.rates(p.astype(np.float32).astype(np.float64)))])
+    return (rated.withColumn("_copies", copies(F.col("_rid"))).filter("_copies > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns))

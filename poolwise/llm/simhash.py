@@ -19,8 +19,8 @@ small-star steps, each written to the shared folder.
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; fewer words than a shingle give one shingle of all words; a null
 doc_id never becomes a component's id unless all of its rows have none;
-repeated rows give repeated results; other columns are ignored or, with
-``carry``, passed through.
+repeated rows give repeated results (the filter keeps one of them); other
+columns are ignored or, in the filter, passed through.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import with_row_key, written
+from .common import drop_written, with_row_key, written
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -58,25 +57,26 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, carry: bool = False) -> DataFrame:
-    """``docs`` keyed by ``_rid`` with ``_fp``, written once; only doc_id is
-    kept beside them unless ``carry``."""
-    if not carry:
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = with_row_key(docs)
-    keep = [f for f in keyed.schema if carry or f.name != "text"]
-    schema = T.StructType([*keep, T.StructField("_fp", T.LongType())])
-    names = [f.name for f in keep]
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """A narrow row per row of ``docs``: doc_id, ``_tag`` (a hash of the text,
+    which with the id says which document it is), ``_rid`` and ``_fp``; written
+    once."""
+    keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag(), "text"))
+    schema = "doc_id long, _tag long, _rid long, _fp long"
 
     def hashed(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(fps, pa.int64())],
-                                             names=[*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "_tag", "_rid")], pa.array(fps, pa.int64())],
+                                             names=["doc_id", "_tag", "_rid", "_fp"])
 
     return written(keyed.mapInArrow(hashed, schema), "fingerprints")
 
 
+def _tag():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tag")
+
+
 def _variants(fps: DataFrame) -> DataFrame:
     """64 rows a fingerprint: key = half (1 bit), wild bit (5 bits), the half
     with that bit cleared (32 bits)."""
@@ -131,7 +131,10 @@ def links(fps: DataFrame, max_bits: int = 2, max_bucket: int = 64) -> DataFrame:
     small = _links_of_small(members.filter(F.col("n") <= max_bucket), max_bits)
     large = _links_of_large(members.filter(F.col("n") > max_bucket), max_bits)
     every = of_two.unionByName(small).unionByName(large)
-    return written(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    out = written(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    for used in (shared, members):
+        drop_written(used)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -187,8 +190,19 @@ def simhash_table(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataF
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs`` with one row of each group of near copies."""
-    rows = fingerprints(docs, shingle, carry=True)
-    ids = near_duplicates(rows.select("doc_id", "_rid", "_fp"), max_bits)
-    gone = written(ids.filter("_rid <> _keep_rid").select("_rid"), "near-copies")
-    return rows.join(gone, "_rid", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of near copies. Texts are not copied:
+    the narrow table says which (doc_id, text) stay, and of rows that repeat
+    one of those the largest stays."""
+    ids = near_duplicates(fingerprints(docs, shingle), max_bits)
+    firsts = ids.filter("_rid = _keep_rid").select(F.col("_rid").alias("_keep_rid"), F.col("doc_id").alias("_kd"), F.col("_tag").alias("_kt"))
+    other = ids.filter("_rid <> _keep_rid").join(firsts, "_keep_rid").select(
+        "doc_id", "_tag", (F.col("doc_id").eqNullSafe(F.col("_kd")) & (F.col("_tag") == F.col("_kt"))).alias("same")).distinct()
+    other = written(other.select(F.col("doc_id").alias("_d"), F.col("_tag").alias("_g"), "same"), "near-copies")
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_g"))
+    left = docs.withColumn("_tag", _tag()).join(other.filter("not same"), match, "left_anti")
+    repeated = other.filter("same")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    alone = left.join(repeated, match, "left_anti").select(*docs.columns)
+    first = left.join(repeated, match, "left_semi").groupBy("doc_id", "_tag").agg(F.max(F.struct(*docs.columns)).alias("_r"))
+    return alone.unionByName(first.select("_r.*"))

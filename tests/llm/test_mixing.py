@@ -19,7 +19,7 @@ def rows_of(n, seed):
 
 
 def frames(spark, rows):
-    docs = spark.createDataFrame([(r[0], r[1], r[2], "x") for r in rows], "doc_id long, text string, lang string, _copies string")
+    docs = spark.createDataFrame([(r[0], r[1], r[2], "x") for r in rows], "doc_id long, text string, lang string, domain string")
     labels = spark.createDataFrame([(r[0], r[3], 0) for r in rows], "doc_id long, quality int, toxic int")
     return docs, labels
 
@@ -46,7 +46,7 @@ def test_rates_reach_targets_and_match_a_dense_solver(spark):
     model = mx.fit_domains(docs, labels)
     table = mx.with_posteriors(docs, model)
     shares = dict(zip(model.names, np.arange(1, len(model.names) + 1) / sum(range(1, len(model.names) + 1))))
-    mix = mx.fit_rates(table, model, shares, steps=400, tolerance=1e-5)
+    mix = mx.fit_rates(table, model, shares, steps=80, tolerance=1e-5)
     got = table.select("_tokens", "_post").collect()
     t, p = np.array([r[0] for r in got], float), np.array([r[1] for r in got], float)
     r = mix.rates(p)

@@ -63,8 +63,7 @@ def test_fingerprints(spark):
     assert got == {i: f"{slow_fingerprint(t):016x}" for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("max_bucket", [1, 3, 64])
-@pytest.mark.parametrize("max_bits", [0, 1, 2])
+@pytest.mark.parametrize("max_bucket,max_bits", [(1, 2), (3, 1), (64, 2), (3, 0)])
 def test_classes_with_hot_keys(spark, max_bucket, max_bits):
     rnd = random.Random(max_bucket)
     fps = {rnd.getrandbits(64) for _ in range(40)} | {0, 1, 2 ** 64 - 1, 2 ** 63}
