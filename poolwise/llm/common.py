@@ -3,7 +3,7 @@ conventions that several operators have in common."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -47,3 +47,16 @@ def with_row_key(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Tag rows so that repeated rows stay apart. The key is only stable once
     the tagged table is written."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def sample_of_texts(df: DataFrame, order: Column, max_bytes: int) -> list[Row]:
+    """The rows of a sample (with ``text``; its number of rows is bounded by
+    the caller) that reach the driver: in ``order``, whole texts while they fit
+    into ``max_bytes`` altogether."""
+    rows = written(with_row_key(df.withColumn("_order", order)), "text-sample")
+    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    narrow = rows.select("_rid", "_order", size.alias("_size"))
+    running = F.sum("_size").over(Window.orderBy("_order", "_rid"))  # a row per sampled text
+    fits = narrow.withColumn("_upto", running).filter(F.col("_upto") <= max_bytes).select("_rid")
+    got = rows.join(fits, "_rid", "left_semi").collect()
+    return sorted(got, key=lambda r: (r["_order"], r["_rid"]))

@@ -26,7 +26,6 @@ filter, passed through.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import sample_of_texts, written
 
 DEFAULT_THRESHOLD = 0.7
 BUCKETS = 1 << 15
@@ -51,15 +50,21 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def gram_buckets(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def gram_buckets(tokens: list[bytes], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all words, one word after the other, and how many each
     has: the word itself and its 3- to 6-byte pieces, with marks at its ends."""
+    parts = [_chunk_buckets(tokens[at:at + chunk]) for at in range(0, len(tokens), chunk)]
+    return (np.concatenate([np.zeros(0, np.uint16), *[b for b, _ in parts]]),
+            np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]]))
+
+
+def _chunk_buckets(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     from zlib import crc32
 
     size = np.array([len(w) + 2 for w in tokens], dtype=np.int64)
     raw = np.frombuffer(b"".join(b"<%b>" % w for w in tokens), dtype=np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(tokens)), size)
-    found = [np.array([crc32(w) & (BUCKETS - 1) for w in tokens], dtype=np.int64)]
+    found = [np.array([crc32(w) & (BUCKETS - 1) for w in tokens], dtype=np.uint16)]
     owners = [np.arange(len(tokens))]
     roll = raw
     for n in range(2, 7):
@@ -68,7 +73,7 @@ def gram_buckets(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         roll = roll[:-1] * np.uint32(31) + raw[n - 1:]
         if n > 2:
             inside = owner[:len(roll)] == owner[n - 1:]
-            found.append((((roll + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)[inside])
+            found.append((((roll + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.uint16)[inside])
             owners.append(owner[:len(roll)][inside])
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -242,10 +247,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Convnet:
-    """Train on at most ``max_rows`` labelled documents, half of them toxic if
-    there are so many, drawn by a hash of the id from the rows that
-    :func:`held_out` leaves; a fifth of them calibrates the thresholds."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int = 32 << 20) -> Convnet:
+    """Train on at most ``max_rows`` labelled documents of ``max_bytes``
+    altogether, half of them toxic if there are so many, drawn by a hash of
+    the id from the rows that :func:`held_out` leaves; a fifth of them
+    calibrates the thresholds."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
@@ -254,9 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Convnet:
     known = written(known.join(there, F.col("doc_id") == F.col("_have"), "left_semi"), "toxic-labels")
     half = [known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(max_rows // 2) for t in (0, 1)]
     drawn = written(half[0].unionByName(half[1]), "toxic-sample").withColumnRenamed("doc_id", "_want")
-    rows = docs.join(drawn, docs["doc_id"] == F.col("_want")).select(
-        F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "toxic").collect()
-    rows = [r for r in sorted(rows, key=lambda r: (hashlib.md5(r.doc_id.encode()).digest(), r.text or ""))][: max_rows]
+    rows = docs.join(drawn, docs["doc_id"] == F.col("_want")).select("doc_id", "text", "lang", "toxic")
+    rows = sample_of_texts(rows, F.md5(F.col("doc_id").cast("string")), max_bytes)[:max_rows]
     cut = len(rows) // 5
     seen, unseen = rows[cut:], rows[:cut]
     net = train([r.text for r in seen], [r.toxic for r in seen])
@@ -285,7 +290,7 @@ class Scorer:
             at = len(self.number)
             while at + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            for lo in range(0, len(new), 20_000):
+            for lo in range(0, len(new), 20_000):  # bounded scratch
                 part = new[lo:lo + 20_000]
                 self.rows[at + lo:at + lo + len(part)] = self.net.project(self.net.embed(*gram_buckets(part)))
             self.number.update(zip(new, range(at, at + len(new))))
