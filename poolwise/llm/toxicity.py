@@ -251,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int
     """Train on at most ``max_rows`` labelled documents of ``max_bytes``
     altogether, half of them toxic if there are so many, drawn by a hash of
     the id from the rows that :func:`held_out` leaves; a fifth of them
-    calibrates the thresholds."""
+    calibrates the thresholds. Of very long texts only the beginning is read
+    (see :func:`sample_of_texts`). A sample that lost a label is an error."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
@@ -261,9 +262,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int
     half = [known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(max_rows // 2) for t in (0, 1)]
     drawn = written(half[0].unionByName(half[1]), "toxic-sample").withColumnRenamed("doc_id", "_want")
     rows = docs.join(drawn, docs["doc_id"] == F.col("_want")).select("doc_id", "text", "lang", "toxic")
-    rows = sample_of_texts(rows, F.md5(F.col("doc_id").cast("string")), max_bytes)[:max_rows]
-    cut = len(rows) // 5
-    seen, unseen = rows[cut:], rows[:cut]
+    rows = sample_of_texts(rows, F.md5(F.col("doc_id").cast("string")), max_bytes, by="toxic")
+    seen, unseen = [], []
+    for t in (0, 1):
+        mine = [r for r in rows if r.toxic == t][:max_rows // 2]
+        unseen += mine[:len(mine) // 5]
+        seen += mine[len(mine) // 5:]
+    wanted, got = sorted(r.toxic for r in drawn.select("toxic").distinct().collect()), sorted({r.toxic for r in seen})
+    if got != wanted:
+        raise ValueError(f"labelled documents have {wanted} as toxic, the drawn sample only {got}")
     net = train([r.text for r in seen], [r.toxic for r in seen])
     if unseen:
         scorer = Scorer(net)

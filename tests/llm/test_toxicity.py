@@ -1,12 +1,15 @@
 """The classifier: gradients' effect as held-out accuracy, whole-text scoring
 against a plain loop, and the defined cases."""
+import hashlib
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolwise.llm import toxicity as tx
+from poolwise.llm.common import sample_of_texts
 
 
 def made_up(n, seed):
@@ -102,3 +105,28 @@ def test_no_labels_and_empty(spark):
     assert tx.toxicity(docs.limit(0), labels).collect() == []
     one = {round(r.score, 6) for r in tx.toxicity(docs, labels.filter("toxic = 0")).collect()}
     assert one == {0.01}
+
+
+def test_a_very_long_text_does_not_end_the_sample(spark):
+    rows = made_up(60, 6)
+    order = F.md5(F.col("doc_id").cast("string"))
+    df = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id long, text string, toxic int")
+    first = df.orderBy(order).first().doc_id
+    long = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("éx "), 100_000)).otherwise(F.col("text")))
+    got = sample_of_texts(long, order, 200_000, by="toxic")
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert sum(len((r.text or "").encode()) for r in got) <= 200_000
+    assert {r.doc_id: r.text for r in got if r.doc_id != first} == {r[0]: r[1] for r in rows if r[0] != first}
+    piece = next(r.text for r in got if r.doc_id == first)
+    assert piece and ("éx " * 100_000).startswith(piece)
+
+
+def test_training_with_a_very_long_first_text(spark):
+    rows = made_up(300, 7)
+    ids = sorted((r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, "word " * 60_000 if i == ids[0] else t, lang, y) for i, t, lang, y in rows]
+    docs, labels = table(spark, rows)
+    net = tx.fit(docs.drop("_score"), labels, max_bytes=200_000)
+    scorer, rest = tx.Scorer(net), made_up(100, 8)
+    s = net.score(np.array([scorer.pooled(r[1]) for r in rest]))
+    assert np.mean((s >= 0.5) == np.array([r[3] == 1 for r in rest])) > 0.8
