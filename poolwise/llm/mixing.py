@@ -8,11 +8,11 @@ even as the targets allow:
 
     minimise  1/2 sum_k w_k (sum_i r_i t_i p_ik - T_k)^2 + ridge/2 sum_i t_i (r_i - r0)^2
 
-by accelerated projected gradient steps, preconditioned by 1/t_i. One step is
-one distributed sum of K numbers. A rate depends on its posteriors and the K
-residuals of each past step only, so steps keep no table: the rates are
-recomputed from the residuals' history, in one numpy pass per step over the
-written posteriors.
+by Newton's method on the dual: at the optimum a rate is max(least, r0 - p_i x)
+with one price x_k a domain, so steps keep no table. One step is one distributed
+sum of K + K^2 numbers over the written posteriors. The ridge falls until every
+domain is within the tolerance of its own target, or the prices prove that no
+rates can reach all targets; such a miss is warned of.
 
 Taking effect, a document is emitted floor(r_i) times, and once more with the
 chance of the rest (a hash of the document decides, so it is repeatable).
@@ -27,6 +27,7 @@ through.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,8 @@ from pyspark.sql import types as T
 from .common import with_row_key, written
 
 BUCKETS = 1 << 12
+#: Numbers in one piece of a distributed sum.
+SLICE = 4096
 MAX_DOMAINS = 64
 
 
@@ -148,33 +151,29 @@ def with_posteriors(docs: DataFrame, model: Domains) -> DataFrame:
         pa.array(n, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float32()))]), "posteriors")
 
 
-def rates_of(post: np.ndarray, history: list[np.ndarray], start: float, least: float, step: float, ridge: float) -> np.ndarray:
-    """Rates (and the extrapolated point the next step starts from) after the
-    residuals in ``history``; a row depends on its posteriors alone."""
-    r = np.full(len(post), max(start, least))
-    y = r
-    momentum = 1.0
-    for e in history:
-        new = np.maximum(least, y - step * (post @ e + ridge * (y - start)))
-        after = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        y = new + (momentum - 1) / after * (new - r)
-        r, momentum = new, after
-    return np.stack([r, y], axis=1)
+def rates_of(post: np.ndarray, prices: np.ndarray, start: float, least: float) -> np.ndarray:
+    """Rates under the domains' ``prices``; a row depends on its posteriors
+    alone."""
+    return np.maximum(least, start - post @ prices)
 
 
 @dataclass
 class Mixture:
     names: list[str]
     targets: np.ndarray
-    history: list[np.ndarray]
+    prices: np.ndarray
     reached: np.ndarray
     step: float
     ridge: float
     start: float
     least: float
+    #: Which domains' targets are reached within the tolerance, and whether
+    #: it is proved that no rates reach all of them.
+    met: np.ndarray
+    infeasible: bool
 
     def rates(self, post: np.ndarray) -> np.ndarray:
-        return rates_of(post, self.history, self.start, self.least, self.step, self.ridge)[:, 0]
+        return rates_of(post, self.prices, self.start, self.least)
 
 
 def default_targets(mass: np.ndarray, power: float, least: float) -> np.ndarray:
@@ -186,30 +185,50 @@ def default_targets(mass: np.ndarray, power: float, least: float) -> np.ndarray:
     return share * max(mass.sum(), need)
 
 
+def total_of(rows: DataFrame, k: int, values) -> np.ndarray:
+    """Sum over all rows of ``values(tokens, posteriors)``, any count of
+    numbers: partitions' sums travel in pieces, which tasks add up."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            t = np.asarray(batch.column("_tokens"), dtype=np.float64)
+            p = np.asarray(batch.column("_post").flatten(), dtype=np.float64).reshape(-1, k)
+            if len(t):
+                now = values(t, p).ravel()
+                total = now if total is None else total + now
+        if total is not None:
+            parts = [total[at:at + SLICE] for at in range(0, len(total), SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([v.tobytes() for v in parts], pa.binary())],
+                                             names=["part", "v"])
+
+    def add(batches):  # sorted, so sums are the same in every run
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, v in zip(batch.column("part").to_pylist(), batch.column("v").to_pylist()):
+                held[part] = held.get(part, 0.0) + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())],
+                                         names=["part", "v"])
+
+    schema = "part int, v binary"
+    parts = rows.select("_tokens", "_post").mapInArrow(run, schema).repartition("part").sortWithinPartitions("part", "v")
+    got = sorted(parts.mapInArrow(add, schema).collect(), key=lambda r: r.part)
+    if not got:
+        return values(np.zeros(0), np.zeros((0, k))).ravel()
+    return np.concatenate([np.frombuffer(r.v) for r in got])
+
+
 def fit_rates(rows: DataFrame, model: Domains, shares: dict[str, float] | None = None, power: float = 0.7,
-              least: float = 0.0, ridge: float = 1e-3, steps: int = 40, tolerance: float = 2e-3) -> Mixture:
+              least: float = 0.0, ridge: float = 1e-3, steps: int = 100, tolerance: float = 2e-3) -> Mixture:
     """Fit the rates of ``rows`` (of :func:`with_posteriors`). ``shares``:
-    target share of the corpus's total by domain."""
+    target share of the corpus's total by domain. The ridge falls until every
+    domain is within ``tolerance`` of its *own* target, or until the prices
+    prove that no rates can reach all targets; the latter, or ``steps`` passes
+    over the rows without either, is warned of and marked in the result."""
     k = len(model.names)
-
-    def summed(values, size: int) -> np.ndarray:
-        """Sum over all rows of ``values(tokens, posteriors)``, ``size``
-        numbers: a row per partition, then one aggregate."""
-        def run(batches):
-            total = np.zeros(size)
-            for batch in batches:
-                t = np.asarray(batch.column("_tokens"), dtype=np.float64)
-                p = np.asarray(batch.column("_post").flatten(), dtype=np.float64).reshape(-1, k)
-                total = total + values(t, p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
-
-        parts = rows.select("_tokens", "_post").mapInArrow(run, "v array<double>")
-        got = parts.agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(size)]).first()
-        return np.array([v or 0.0 for v in got])
-
-    mass = summed(lambda t, p: t @ p, k)
-    gram = np.stack([summed(lambda t, p, i=i: (p[:, i] * t) @ p, k) for i in range(k)]) if k > 16 else summed(
-        lambda t, p: (p * t[:, None]).T @ p, k * k).reshape(k, k)
+    if unknown := sorted(set(shares or {}) - set(model.names)):
+        raise ValueError(f"shares of unknown domains: {', '.join(unknown)}")
+    mass = total_of(rows, k, lambda t, p: t @ p)
+    gram = total_of(rows, k, lambda t, p: (p * t[:, None]).T @ p).reshape(k, k)
     if shares:
         named = np.array([shares.get(n, -1.0) for n in model.names])
         rest = max(0.0, 1 - named[named >= 0].sum())
@@ -217,24 +236,72 @@ def fit_rates(rows: DataFrame, model: Domains, shares: dict[str, float] | None =
         targets = np.where(named >= 0, named, rest * free / max(free.sum(), 1e-9)) * mass.sum()
     else:
         targets = default_targets(mass, power, least)
-    weight = 1 / np.maximum(targets, 1e-6 * max(mass.sum(), 1)) ** 2 * max(mass.sum(), 1)
+    scale = np.maximum(targets, 1e-6 * max(mass.sum(), 1))
+    weight = 1 / scale ** 2 * max(mass.sum(), 1)
     half = np.sqrt(weight)
-    top = float(np.linalg.eigvalsh(half[:, None] * gram * half[None]).max()) if k else 1.0
-    step = 1 / (max(top, 1e-9) * (1 + ridge))
+    top = max(float(np.linalg.eigvalsh(half[:, None] * gram * half[None]).max()), 1e-9)
     start = float(targets.sum() / max(mass.sum(), 1e-9))
-    mix = Mixture(model.names, targets, [], np.zeros(k), step, ridge * top, start, least)
-    for _ in range(steps):
-        history = list(mix.history)
-
-        def totals(t, p):
-            both_r = rates_of(p, history, mix.start, mix.least, mix.step, mix.ridge)
-            return (both_r * t[:, None]).T @ p
-        now = summed(totals, 2 * k).reshape(2, k)
-        mix.reached = now[0]
-        if np.abs(now[0] - targets).max() <= tolerance * max(targets.sum(), 1e-9):
+    prices, passes, soft, near = np.zeros(k), 0, ridge * top, tolerance * scale
+    met, infeasible = np.zeros(k, bool), False
+
+    def look(prices):
+        """The dual's data part, the domains' totals, and the curvature."""
+        def values(t, p):
+            u = start - p @ prices
+            r = np.maximum(u, least)
+            moves = np.where(u > least, t, 0.0)
+            dual = (t * np.where(u > least, u * u / 2, least * u - least * least / 2)).sum()
+            return np.concatenate([[dual], (r * t) @ p, ((p * moves[:, None]).T @ p).ravel()])
+        got = total_of(rows, k, values)
+        return got[0], got[1:k + 1], got[k + 1:].reshape(k, k)
+
+    def proved(prices) -> bool:
+        """Farkas: whether no rates >= ``least`` come within the tolerance
+        of all targets, as no document pays less than ``low``."""
+        if not prices.any():
+            return False
+        lows = rows.select("_post").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([float((np.asarray(
+            b.column("_post").flatten(), dtype=np.float64).reshape(-1, k) @ prices).min())])], names=["low"])
+            for b in batches if len(b)), "low double")
+        low = min(0.0, lows.agg(F.min("low")).first()[0] or 0.0)
+        worth = (targets - least * mass) @ prices + near @ np.abs(prices)
+        return bool(worth < low * max(0.0, targets.sum() + near.sum() - least * mass.sum()))
+
+    dual, reached, curve = look(prices)
+    while passes < steps:
+        met = np.abs(reached - targets) <= near
+        if met.all():
             break
-        mix.history.append(weight * (now[1] - targets))
-    return mix
+        # Newton's method on the convex dual of the module's problem, with one price a domain
+        pull = soft / weight
+        value = dual + prices @ targets + (pull * prices) @ prices / 2
+        slope = targets - reached + pull * prices
+        if (np.abs(slope) <= 0.01 * near).all():  # solved for this ridge, but short of the targets
+            infeasible = proved(prices)
+            if infeasible:
+                break
+            soft /= 10
+            continue_from = soft / ridge / top
+            if continue_from < 1e-14:
+                break
+            continue
+        unit = 1 / scale  # in units of the targets: rare domains count as much as others
+        move = -unit * np.linalg.solve((unit[:, None] * curve * unit[None]) + np.diag(pull * unit * unit), unit * slope)
+        size = 1.0
+        while passes < steps:
+            tried = prices + size * move
+            found = look(tried)
+            passes += 1
+            if found[0] + tried @ targets + (pull * tried) @ tried / 2 <= value + 1e-4 * size * (slope @ move) + 1e-12 * abs(value):
+                break
+            size /= 2
+        prices = tried
+        dual, reached, curve = found
+    met = np.abs(reached - targets) <= near
+    if not met.all():
+        missed = ", ".join(f"{n}: {r:.6g} of {t:.6g}" for n, r, t, ok in zip(model.names, reached, targets, met) if not ok)
+        warnings.warn(f"targets {'that no rates can reach together' if infeasible else f'not reached in {passes} steps'}: {missed}")
+    return Mixture(model.names, targets, prices, reached, 1 / (top * (1 + ridge)), soft, start, least, met, infeasible)
 
 
 def with_rates(rows: DataFrame, mix: Mixture) -> DataFrame:

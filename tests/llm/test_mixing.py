@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from poolwise.llm import mixing as mx
 
@@ -80,3 +81,33 @@ def test_table_and_empty(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
     assert mx.mixing_table(docs.limit(0), labels).collect() == []
     assert {r.domain for r in mx.mixing_table(docs, labels.limit(0)).collect()} == {"all"}
+
+
+def test_rare_domains_reach_their_own_targets(spark):
+    """A domain of a thousandth of the tokens is held to its own target."""
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(50, 150, 4000)
+    kind = np.where(np.arange(4000) % 1000 == 0, 2, np.arange(4000) % 3 == 0)
+    post = np.full((4000, 3), 0.01)
+    post[np.arange(4000), kind] = 0.98
+    post[kind != 2, 2] = 1e-5
+    post /= post.sum(1, keepdims=True)
+    table = spark.createDataFrame([(i, i, int(t), p.tolist()) for i, (t, p) in enumerate(zip(tokens, post))],
+                                  "doc_id long, _rid long, _tokens long, _post array<float>")
+    model = mx.Domains(["a", "b", "rare"], np.zeros((mx.BUCKETS, 3), np.float32), np.zeros(3, np.float32))
+    mix = mx.fit_rates(table, model, {"rare": 0.0018})
+    assert mix.met.all() and not mix.infeasible
+    assert (np.abs(mix.reached / mix.targets - 1) < 2e-3 + 1e-9).all()
+    p = np.array([r[0] for r in table.orderBy("doc_id").select("_post").collect()], float)
+    assert np.allclose((mix.rates(p) * tokens) @ p, mix.reached)
+
+
+def test_unreachable_targets_are_proved_and_warned_of(spark):
+    table = spark.createDataFrame([(i, i, 100, [0.5, 0.5] if i % 2 else [0.75, 0.25]) for i in range(40)],
+                                  "doc_id long, _rid long, _tokens long, _post array<float>")
+    model = mx.Domains(["a", "b"], np.zeros((mx.BUCKETS, 2), np.float32), np.zeros(2, np.float32))
+    with pytest.warns(UserWarning, match="no rates can reach"):
+        mix = mx.fit_rates(table, model, {"a": 0.1, "b": 0.9})
+    assert mix.infeasible and not mix.met.all()
+    with pytest.raises(ValueError, match="c:1"):
+        mx.fit_rates(table, model, {"a": 0.5, "c:1": 0.5})
