@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,6 @@ from .common import with_row_key, written
 BUCKETS = 1 << 12
 #: Numbers in one piece of a distributed sum.
 SLICE = 4096
-MAX_DOMAINS = 64
 
 
 def featurise(text: str | None) -> tuple[np.ndarray, int]:
@@ -73,17 +72,21 @@ class Domains:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 250, rate: float = 0.3, ridge: float = 1e-5) -> Domains:
-    """Softmax regression by Adam on the whole sample."""
+def train(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 250, rate: float = 0.3, ridge: float = 1e-5,
+          weight: np.ndarray | None = None) -> Domains:
+    """Softmax regression by Adam on the whole sample; ``weight``: how many
+    rows of the corpus a row of the sample stands for."""
     k = len(names)
-    prior = np.log(np.bincount(y, minlength=k) + 1.0)
+    weight = np.ones(len(y)) if weight is None else weight * len(y) / weight.sum()
+    prior = np.log(np.bincount(y, weights=weight, minlength=k) + 1.0)
     w, b = np.zeros((BUCKETS, k), np.float32), (prior - prior.max()).astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     hot = np.eye(k, dtype=np.float32)[y]
+    share = (weight / max(1, len(x))).astype(np.float32)[:, None]
     for step in range(steps if k > 1 else 0):
         z = x @ w + b
         e = np.exp(z - z.max(axis=1, keepdims=True))
-        gap = (e / e.sum(axis=1, keepdims=True) - hot) / len(x)
+        gap = (e / e.sum(axis=1, keepdims=True) - hot) * share
         g = x.T @ gap + ridge * w
         b -= 2 * gap.sum(axis=0)
         m += 0.1 * (g - m)
@@ -93,19 +96,40 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 250, rate
     return Domains(names, w, b)
 
 
+def draw(labelled: DataFrame, sizes: dict[str, int], max_rows: int, least: int = 20) -> DataFrame:
+    """Of ``labelled`` (_want, _domain), about ``max_rows`` rows by a hash of
+    the id, from each domain its share, but ``least`` rows (fewer if the
+    domains are so many that these exceed ``max_rows``, one at least) or all it
+    has. A hashed thinning leaves a bounded table, in which rows are counted
+    off."""
+    spark, total = labelled.sparkSession, max(1, sum(sizes.values()))
+    least = max(1, min(least, max_rows // max(1, len(sizes))))
+    quota = {d: max(least, -(-max_rows * n // total)) for d, n in sizes.items()}
+    rows = [(d, quota[d], min(1.0, (2 * quota[d] + 40) / n)) for d, n in sizes.items()]
+    quotas = spark.createDataFrame(rows, "_domain string, _quota long, _odds double")
+    order = F.xxhash64(F.col("_want").cast("string"), F.lit("mixing"))
+    chance = F.shiftrightunsigned(F.xxhash64(F.col("_want").cast("string"), F.lit("mixing-odds")), 11) / float(1 << 53)
+    thin = written(labelled.join(F.broadcast(quotas), "_domain").filter(chance < F.col("_odds")).withColumn("_o", order), "mix-thinned")
+    counted = thin.withColumn("_n", F.row_number().over(Window.partitionBy("_domain").orderBy("_o", "_want")))
+    return counted.filter(F.col("_n") <= F.col("_quota")).select("_want", "_domain")
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3000) -> Domains:
-    """Learn the domains ``lang:label`` from at most ``max_rows`` labelled
-    documents, drawn by a hash of the id. What reaches the driver is a vector of
-    8 kB per sampled document."""
+    """Learn the domains ``lang:label``. The domains are those of all labelled
+    documents; the classifier learns from about ``max_rows`` of them, drawn by
+    domain (see :func:`draw`) and weighted by the rows they stand for. What
+    reaches the driver is a vector of 8 kB per sampled document."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
-        F.min(label).cast("string").alias("_label"))
-    there = docs.select(F.col("doc_id").alias("_have")).distinct()
-    known = known.join(there, F.col("doc_id") == F.col("_have"), "left_semi")
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mixing"))
-    drawn = written(known.orderBy(order, "doc_id").limit(max_rows).withColumnRenamed("doc_id", "_want"), "mix-sample")
+        F.min(label).cast("string").alias("_label")).withColumnRenamed("doc_id", "_want")
     domain = F.concat_ws(":", F.coalesce("lang", F.lit("?")), "_label")
-    rows = docs.join(drawn, F.col("doc_id") == F.col("_want")).select(
-        F.col("doc_id").cast("string").alias("doc_id"), domain.alias("domain"), "text")
+    labelled = written(docs.select("doc_id", "lang").join(known, F.col("doc_id") == F.col("_want"))
+                       .groupBy("_want", domain.alias("_domain")).agg(F.count(F.lit(1)).alias("_rows")), "mix-labelled")
+    found = labelled.groupBy("_domain").agg(F.count(F.lit(1)).alias("ids"), F.sum("_rows").alias("rows")).orderBy("_domain").collect()
+    names = [r._domain for r in found] or ["all"]
+    drawn = written(draw(labelled, {r._domain: r.ids for r in found}, max_rows), "mix-sample")
+    wanted = drawn.join(known.select("_want", "_label"), "_want")
+    rows = docs.join(wanted, (F.col("doc_id") == F.col("_want")) & (domain == F.col("_domain"))).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("_domain").alias("domain"), "text")
 
     def featured(batches):
         for batch in batches:
@@ -115,15 +139,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
                                              names=["doc_id", "domain", "x"])
 
     got = rows.mapInArrow(featured, "doc_id string, domain string, x binary").collect()
-    got = sorted(got, key=lambda r: (r.doc_id, r.domain, bytes(r.x)))[:max_rows]
-    names = sorted({r.domain for r in got}) or ["all"]
-    if len(names) > MAX_DOMAINS:
-        raise ValueError(f"{len(names)} domains: more than {MAX_DOMAINS}")
+    got = sorted(got, key=lambda r: (r.doc_id, r.domain, bytes(r.x)))
+    number = {name: i for i, name in enumerate(names)}
     x = np.zeros((len(got), BUCKETS), np.float32)
-    y = np.array([names.index(r.domain) for r in got], dtype=int)
+    y = np.array([number[r.domain] for r in got], dtype=int)
     for i, r in enumerate(got):
         x[i] = np.frombuffer(r.x, np.float16)
-    return train(x, y, names)
+    if not got:
+        return train(x, y, names)
+    stands = np.array([r.rows for r in found]) / np.maximum(1, np.bincount(y, minlength=len(names)))
+    return train(x, y, names, weight=stands[y])
 
 
 def _each(rows: DataFrame, model: Domains, keep: list[str], more: dict[str, T.DataType], values) -> DataFrame:

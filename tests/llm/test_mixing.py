@@ -111,3 +111,18 @@ def test_unreachable_targets_are_proved_and_warned_of(spark):
     assert mix.infeasible and not mix.met.all()
     with pytest.raises(ValueError, match="c:1"):
         mx.fit_rates(table, model, {"a": 0.5, "c:1": 0.5})
+
+
+def test_rare_and_many_domains(spark):
+    """Domains come from all labelled rows, however rare or many."""
+    rows = rows_of(400, 6)
+    rows += [(1000 + i, f"nur {i} selten", "rare", 1) for i in range(2)]
+    rows += [(2000 + i, f"wort{i} " * 9, f"l{i:02}", 1) for i in range(70)]
+    docs, labels = frames(spark, rows)
+    model = mx.fit_domains(docs, labels, max_rows=60)
+    assert model.names == sorted({f"{r[2]}:{r[3]}" for r in rows}) and len(model.names) > 64
+    table = mx.with_posteriors(docs, model)
+    mix = mx.fit_rates(table, model)
+    assert mix.targets.shape == (len(model.names),) and (mix.targets > 0).all()
+    p = model.posteriors(np.array([mx.featurise("nur 0 selten")[0]]))[0]
+    assert p[model.names.index("rare:1")] > 10 * 2 / len(rows)
