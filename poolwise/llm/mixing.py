@@ -97,7 +97,7 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], steps: int = 250, rate
 
 
 def draw(labelled: DataFrame, sizes: dict[str, int], max_rows: int, least: int = 20) -> DataFrame:
-    """Of ``labelled`` (_want, _domain), about ``max_rows`` rows by a hash of
+    """Of ``labelled`` (_want, _label, _domain), about ``max_rows`` rows by a hash of
     the id, from each domain its share, but ``least`` rows (fewer if the
     domains are so many that these exceed ``max_rows``, one at least) or all it
     has. A hashed thinning leaves a bounded table, in which rows are counted
@@ -111,25 +111,26 @@ def draw(labelled: DataFrame, sizes: dict[str, int], max_rows: int, least: int =
     chance = F.shiftrightunsigned(F.xxhash64(F.col("_want").cast("string"), F.lit("mixing-odds")), 11) / float(1 << 53)
     thin = written(labelled.join(F.broadcast(quotas), "_domain").filter(chance < F.col("_odds")).withColumn("_o", order), "mix-thinned")
     counted = thin.withColumn("_n", F.row_number().over(Window.partitionBy("_domain").orderBy("_o", "_want")))
-    return counted.filter(F.col("_n") <= F.col("_quota")).select("_want", "_domain")
+    return counted.filter(F.col("_n") <= F.col("_quota")).select("_want", "_label", "_domain")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3000) -> Domains:
     """Learn the domains ``lang:label``. The domains are those of all labelled
     documents; the classifier learns from about ``max_rows`` of them, drawn by
-    domain (see :func:`draw`) and weighted by the rows they stand for. What
+    domain (see :func:`draw`) and weighted by the rows they stand for; of an
+    id's rows in a domain, the one with the least text is read. What
     reaches the driver is a vector of 8 kB per sampled document."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(
         F.min(label).cast("string").alias("_label")).withColumnRenamed("doc_id", "_want")
     domain = F.concat_ws(":", F.coalesce("lang", F.lit("?")), "_label")
     labelled = written(docs.select("doc_id", "lang").join(known, F.col("doc_id") == F.col("_want"))
-                       .groupBy("_want", domain.alias("_domain")).agg(F.count(F.lit(1)).alias("_rows")), "mix-labelled")
+                       .groupBy("_want", "_label", domain.alias("_domain")).agg(F.count(F.lit(1)).alias("_rows")), "mix-labelled")
     found = labelled.groupBy("_domain").agg(F.count(F.lit(1)).alias("ids"), F.sum("_rows").alias("rows")).orderBy("_domain").collect()
     names = [r._domain for r in found] or ["all"]
     drawn = written(draw(labelled, {r._domain: r.ids for r in found}, max_rows), "mix-sample")
-    wanted = drawn.join(known.select("_want", "_label"), "_want")
-    rows = docs.join(wanted, (F.col("doc_id") == F.col("_want")) & (domain == F.col("_domain"))).select(
+    rows = docs.join(drawn, (F.col("doc_id") == F.col("_want")) & (domain == F.col("_domain"))).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("_domain").alias("domain"), "text")
+    rows = rows.groupBy("doc_id", "domain").agg(F.min("text").alias("text"))  # of repeated ids one row, before they travel
 
     def featured(batches):
         for batch in batches:

@@ -126,3 +126,14 @@ def test_rare_and_many_domains(spark):
     assert mix.targets.shape == (len(model.names),) and (mix.targets > 0).all()
     p = model.posteriors(np.array([mx.featurise("nur 0 selten")[0]]))[0]
     assert p[model.names.index("rare:1")] > 10 * 2 / len(rows)
+
+
+def test_repeated_ids_are_one_training_row(spark, monkeypatch):
+    rows = rows_of(30, 7) + [(3, f"noch {i}", "en", 1) for i in range(200)]
+    docs, _ = frames(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    sizes = []
+    plain = mx.train
+    monkeypatch.setattr(mx, "train", lambda x, y, names, **k: sizes.append(len(x)) or plain(x, y, names, **k))
+    model = mx.fit_domains(docs, labels)
+    assert sizes == [len({(r[0], r[2]) for r in rows})] and "en:1" in model.names
