@@ -3,21 +3,31 @@ top-fraction selections (C7, D8, E2, E6, F1, SURVEY §4 P3).
 
 The similarity is an all-pairs computation reduced to one number per pool
 item. Pairs never become rows: both sides are packed into matrix blocks by the
-executors, every pool block meets every anchor block once, and a task keeps the
-running maxima of the block it works on. One plan serves every size:
-
-* a pool row is packed once, with the list of groups (folds) it is open in;
-* anchor blocks are copied to ``spread`` salts, pool blocks take one salt each,
-  and the two are joined on the salt - the anchors are a stated query set, in
-  blocks. Spark chooses the join from the sizes; nothing passes through the
-  driver and nothing is broadcast by hint;
-* what a task emits is one narrow row per pool item and group; a final grouped
-  max merges blocks that Spark may have split.
+executors, and a task keeps the running maxima of the pool block it works on.
+It is exact, and skips what cannot win:
+
+* ``PIVOTS`` vectors (a bounded sample of the anchors) stand for directions. An
+  anchor belongs to its nearest pivot; anchors are sorted by pivot and angle, so
+  a block is a ring around a pivot between two angles. Angles between
+  directions obey the triangle inequality: from a pool row's own angle to the
+  pivot follow the largest similarity the ring can hold and one it must reach.
+* The rings of each group (fold) and pivot are a table of at most groups x
+  pivots rows. A pool block that no row of which can find its maximum in a ring
+  never meets the ring's blocks; a block that can't beat the running maxima is
+  skipped when its turn comes.
+* Pool rows are laid out by nearest pivot and dealt to ``spread`` parts (the
+  cores of the cluster, whatever ``spark.sql.shuffle.partitions`` says). Anchor
+  blocks travel only to parts that need them - a stated query set, in blocks.
+  Nothing large passes through the driver and nothing is broadcast by hint.
+
+Vectors without a usable direction (zero, tiny, not a number) are compared
+without shortcuts. A pool packed once (:func:`pack_pool`) serves many rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,10 +36,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import COSINE_EPS
+from ..session import cut_lineage, release
 from .ranking import rank_within
 
 #: Target size of a packed block.
 BLOCK_BYTES = 2 << 20
+#: Directions that anchors are grouped by.
+PIVOTS = 16
+#: Shorter vectors have no direction to rely on.
+LEAST_NORM = 1e-3
+#: Slack for rounding in the bounds.
+MARGIN = 1e-9
+#: The pivot of vectors without a direction.
+LOOSE = -1
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -44,66 +63,226 @@ def _blocks(x: np.ndarray, block_bytes: int):
     return ((lo, min(lo + step, len(x))) for lo in range(0, len(x), step))
 
 
-def _max_cosine(x: np.ndarray, nx: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Row-wise max of ``x.a / max(|x||a|, eps)`` over anchors; NaN never
-    wins; at least -1."""
-    na = np.sqrt(np.einsum("ij,ij->i", a, a))
-    sims = (x @ a.T) / np.maximum(np.outer(nx, na), COSINE_EPS)
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles of rows to the (unit) pivots; NaN for rows without a direction."""
+    n = _norms(x)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = np.arccos(np.clip((x @ pivots.T) / n[:, None], -1.0, 1.0))
+    out[~(n >= LEAST_NORM) | ~np.isfinite(n)] = np.nan
+    return out
+
+
+def _nearest(angles: np.ndarray) -> np.ndarray:
+    loose = np.isnan(angles).any(axis=1) if angles.shape[1] else np.ones(len(angles), dtype=bool)
+    out = np.full(len(angles), LOOSE)
+    out[~loose] = angles[~loose].argmin(axis=1) if (~loose).any() else LOOSE
+    return out
+
+
+def _max_cosine(x: np.ndarray, nx: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row-wise max of ``x.a / max(|x||a|, eps)`` over anchors and the anchor
+    that has it; NaN never wins."""
+    sims = (x @ a.T) / np.maximum(np.outer(nx, _norms(a)), COSINE_EPS)
     sims[np.isnan(sims)] = -np.inf
-    return np.maximum(sims.max(axis=1), -1.0)
+    at = sims.argmax(axis=1)
+    return sims[np.arange(len(x)), at], at
 
 
-def _pack_pool(block_bytes: int):
-    def run(batches):
+def _most(angles, low, high):
+    """The largest cosine that a ring between angles ``low`` and ``high``
+    around a pivot can have with a row at ``angles`` to the pivot."""
+    return np.cos(np.maximum(0.0, np.maximum(angles - high, low - angles)))
+
+
+@dataclass
+class PackedPool:
+    """Pool rows in blocks, laid out by nearest pivot; written once."""
+    blocks: DataFrame   # salt, block, ids, open, n, mat, angles
+    pivots: np.ndarray  # unit vectors
+    spread: int
+
+    def release(self) -> None:
+        release(self.blocks)
+
+
+def draw_pivots(vectors: DataFrame, vec_col: str = "fea", pivots: int = PIVOTS) -> np.ndarray:
+    """At most ``pivots`` unit vectors, drawn by hash (any vectors would do:
+    they only decide how much is skipped)."""
+    x = F.col(vec_col).cast("array<double>")
+    rows = vectors.select(x.alias("v")).filter("v is not null").orderBy(F.xxhash64("v")).limit(pivots).collect()
+    if not rows:
+        return np.zeros((0, 1))
+    m = _matrix([r.v for r in rows])
+    n = _norms(m)
+    keep = (n >= LEAST_NORM) & np.isfinite(n)
+    return m[keep] / n[keep, None]
+
+
+def pack_pool(pool: DataFrame, pivots: np.ndarray, id_col: str = "video_id", vec_col: str = "fea", open_col: str | Column | None = None,
+              spread: int | None = None, block_bytes: int = BLOCK_BYTES) -> PackedPool:
+    """``pool`` in blocks. ``open_col``: the groups (array of strings) a row
+    asks for; none: it asks for all."""
+    spread = spread or max(1, pool.sparkSession.sparkContext.defaultParallelism)
+    opened = F.lit(None).cast("array<string>") if open_col is None else (F.col(open_col) if isinstance(open_col, str) else open_col)
+    rows = pool.select(F.col(id_col).cast("string").alias("id"), opened.cast("array<string>").alias("open"),
+                       F.col(vec_col).cast("array<double>").alias("vec"))
+    near = T.StructType([*rows.schema, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def placed(batches):
         for pdf in batches:
             if len(pdf):
-                x = _matrix(pdf["_vec"].values)
-                for lo, hi in _blocks(x, block_bytes):
-                    yield pd.DataFrame({"ids": [pdf["_id"].iloc[lo:hi].tolist()], "n": [hi - lo],
-                                        "open": [[list(o) for o in pdf["_open"].iloc[lo:hi]]], "mat": [x[lo:hi].tobytes()]})
-    return run
+                angles = _angles(_matrix(pdf["vec"].values), pivots) if len(pivots) else np.full((len(pdf), 1), np.nan)
+                pivot = _nearest(angles)
+                yield pdf.assign(pivot=pivot, angle=[0.0 if p == LOOSE else a[p] for p, a in zip(pivot, angles)])
 
+    def packed(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _matrix(pdf["vec"].values)
+            for lo, hi in _blocks(x, block_bytes):
+                part = x[lo:hi]
+                angles = _angles(part, pivots) if len(pivots) else np.zeros((hi - lo, 0))
+                opens = [None if o is None else list(o) for o in pdf["open"].iloc[lo:hi]]
+                yield pd.DataFrame({"salt": [int(pdf["salt"].iloc[lo])], "ids": [pdf["id"].iloc[lo:hi].tolist()], "open": [opens],
+                                    "n": [hi - lo], "mat": [part.tobytes()], "angles": [angles.tobytes()]})
 
-def _pack_anchors(block_bytes: int):
-    def run(batches):
+    laid = rows.mapInPandas(placed, near).repartitionByRange(spread, "pivot", "angle", F.xxhash64("id")).sortWithinPartitions("pivot", "angle")
+    blocks = (laid.select(F.spark_partition_id().alias("salt"), "id", "open", "vec")
+              .mapInPandas(packed, "salt int, ids array<string>, open array<array<string>>, n int, mat binary, angles binary")
+              .withColumn("block", F.monotonically_increasing_id()))
+    return PackedPool(cut_lineage(blocks), pivots, spread)
+
+
+def _pack_anchors(anchors: DataFrame, pivots: np.ndarray, block_bytes: int) -> DataFrame:
+    """Anchor blocks: grp, pivot, low and high (angles to the pivot), ids, m,
+    anchors; ``anchors`` has grp, id, vec."""
+    near = T.StructType([*anchors.schema, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def placed(batches):
+        for pdf in batches:
+            if len(pdf):
+                angles = _angles(_matrix(pdf["vec"].values), pivots) if len(pivots) else np.full((len(pdf), 1), np.nan)
+                pivot = _nearest(angles)
+                yield pdf.assign(pivot=pivot, angle=[0.0 if p == LOOSE else a[p] for p, a in zip(pivot, angles)])
+
+    def packed(batches):
         for pdf in batches:
-            for group, rows in pdf.groupby("_group", sort=True):
-                x = _matrix(rows["_vec"].values)
+            for (grp, pivot), rows in pdf.groupby(["grp", "pivot"], sort=False):
+                x, angle = _matrix(rows["vec"].values), rows["angle"].to_numpy()
                 for lo, hi in _blocks(x, block_bytes):
-                    yield pd.DataFrame({"grp": [group], "m": [hi - lo], "anchors": [x[lo:hi].tobytes()]})
-    return run
+                    yield pd.DataFrame({"grp": [grp], "pivot": [int(pivot)], "low": [angle[lo:hi].min()], "high": [angle[lo:hi].max()],
+                                        "names": [rows["id"].iloc[lo:hi].tolist()], "m": [hi - lo], "anchors": [x[lo:hi].tobytes()]})
+
+    laid = anchors.mapInPandas(placed, near).repartitionByRange("grp", "pivot", "angle").sortWithinPartitions("grp", "pivot", "angle")
+    return cut_lineage(laid.mapInPandas(packed, "grp string, pivot int, low double, high double, names array<string>, m int, anchors binary"))
+
 
+def _needed(opens, n: int, angles: np.ndarray, rings: dict) -> list[str]:
+    """Which rings (``grp|pivot``) some row of a pool block may find a maximum
+    in. ``rings``: grp -> pivot -> (low, high)."""
+    out = []
+    loose = np.isnan(angles).any(axis=1) if angles.shape[1] else np.ones(n, dtype=bool)
+    for grp, own in rings.items():
+        asks = np.asarray([o is None or grp in o for o in opens])
+        if not asks.any():
+            continue
+        turned = [p for p in own if p != LOOSE]
+        sure = np.full(n, -1.0)  # a similarity that each row surely reaches
+        for p in turned:
+            sure = np.maximum(sure, np.cos(np.minimum(np.pi, angles[:, p] + own[p][0])))
+        for p in own:
+            if p == LOOSE or (asks & (loose | ~(_most(angles[:, p], *own[p]) < sure - MARGIN))).any():
+                out.append(f"{grp}|{p}")
+    return out
 
-def _running_max(batches):
+
+def _running_max(pivots: np.ndarray, groups: list[str], met=None, skipped=None):
     """Joined (pool block, anchor block) rows; those of one pool block come
     together, its maxima are emitted when the next one begins."""
-    block, best = None, {}
-
-    def flush():
-        ids, opened = block[1], block[2]
-        rows = [(i, g, best[g][k]) for k, i in enumerate(ids) for g in opened[k]]
-        return pd.DataFrame(rows, columns=["_id", "_group", "_sim"])
-
-    for pdf in batches:
-        for r in pdf.itertuples():
-            if block is None or block[0] != r.block:
-                if block is not None:
-                    yield flush()
-                opened = [[str(g) for g in o] for o in r.open]
-                x = np.frombuffer(r.mat, dtype=np.float64).reshape(r.n, -1)
-                block = (r.block, list(r.ids), opened, x, np.sqrt(np.einsum("ij,ij->i", x, x)))
-                best = {g: np.full(r.n, -1.0) for o in opened for g in o}
-            if isinstance(r.grp, str) and r.grp in best:
+    def run(batches):
+        block, best = None, {}
+
+        def flush():
+            ids, opens = block["ids"], block["opens"]
+            rows = [(i, g, max(float(best[g][0][k]), -1.0), best[g][1][k]) for g in groups for k, (i, o) in enumerate(zip(ids, opens))
+                    if o is None or g in o]
+            return pd.DataFrame(rows, columns=["id", "grp", "sim", "name"])
+
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if block is None or block["block"] != r.block:
+                    if block is not None:
+                        yield flush()
+                    x = np.frombuffer(r.mat, dtype=np.float64).reshape(r.n, -1)
+                    angles = np.frombuffer(r.angles, dtype=np.float64).reshape(r.n, -1)
+                    opens = [None if o is None else set(o) for o in r.open]
+                    block = {"block": r.block, "ids": list(r.ids), "opens": opens, "x": x, "norms": _norms(x), "angles": angles,
+                             "loose": np.isnan(angles).any(axis=1) if angles.shape[1] else np.ones(r.n, dtype=bool)}
+                    best = {g: (np.full(r.n, -np.inf), np.full(r.n, None, dtype=object)) for g in groups}
+                if not isinstance(r.grp, str):
+                    continue
+                top, names = best[r.grp]
+                may = np.ones(r.n, dtype=bool)
+                if r.pivot != LOOSE:
+                    may = block["loose"] | ~(_most(block["angles"][:, int(r.pivot)], r.low, r.high) < top - MARGIN)
+                may &= np.asarray([o is None or r.grp in o for o in block["opens"]])
+                if not may.any():
+                    if skipped is not None:
+                        skipped.add(1)
+                    continue
+                if met is not None:
+                    met.add(1)
                 a = np.frombuffer(r.anchors, dtype=np.float64).reshape(int(r.m), -1)
-                best[r.grp] = np.maximum(best[r.grp], _max_cosine(block[3], block[4], a))
-    if block is not None:
-        yield flush()
+                rows = np.flatnonzero(may)
+                sims, at = _max_cosine(block["x"][rows], block["norms"][rows], a)
+                won = sims > top[rows]
+                top[rows[won]] = sims[won]
+                names[rows[won]] = np.asarray(list(r.names), dtype=object)[at[won]]
+        if block is not None:
+            yield flush()
+    return run
+
+
+def best_anchors(pool: PackedPool, anchors: DataFrame, groups: Sequence[str], block_bytes: int = BLOCK_BYTES, met=None, skipped=None) -> DataFrame:
+    """(id, grp, sim, name): for every pool row and each of ``groups`` that it
+    asks for, the largest similarity to the group's ``anchors`` (grp, id, vec)
+    and the anchor that has it; -1 and null without any. ``met`` and
+    ``skipped`` are accumulators that count block pairs."""
+    groups, pivots = list(groups), pool.pivots
+    blocks = _pack_anchors(anchors.filter(F.col("grp").isin(groups)), pivots, block_bytes)
+    rings: dict = {}
+    for r in blocks.groupBy("grp", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # groups x pivots rows
+        rings.setdefault(r.grp, {})[r.pivot] = (r.low, r.high)
+
+    def asked(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"salt": pdf["salt"], "block": pdf["block"], "needs": [
+                    _needed(list(o), n, np.frombuffer(a, dtype=np.float64).reshape(n, -1), rings)
+                    for o, n, a in zip(pdf["open"], pdf["n"], pdf["angles"])]})
+
+    needs = cut_lineage(pool.blocks.select("salt", "block", "open", "n", "angles").mapInPandas(asked, "salt int, block long, needs array<string>"))
+    ring = F.concat_ws("|", "grp", F.col("pivot").cast("string"))
+    parts = needs.select("salt", F.explode("needs").alias("ring")).distinct()  # at most spread x groups x pivots rows
+    sent = blocks.withColumn("ring", ring).join(parts, "ring")
+    asking = pool.blocks.join(needs.select("block", "needs"), "block").alias("p")
+    s = sent.alias("s")
+    joined = asking.join(s, (F.col("p.salt") == F.col("s.salt")) & F.array_contains("p.needs", F.col("s.ring")), "left").select(
+        "p.block", "p.ids", "p.open", "p.n", "p.mat", "p.angles", "s.grp", "s.pivot", "s.low", "s.high", "s.names", "s.m", "s.anchors")
+    got = joined.mapInPandas(_running_max(pivots, groups, met, skipped), "id string, grp string, sim double, name string")
+    best = F.max(F.struct("sim", "name"))  # blocks that Spark may have split
+    return got.groupBy("id", "grp").agg(best.alias("b")).select("id", "grp", "b.sim", "b.name")
 
 
 def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
                    id_col: str = "video_id", vec_col: str = "fea", out_col: str = "similarity",
                    open_col: str | None = None, spread: int | None = None,
-                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, pivots: int = PIVOTS, met=None, skipped=None) -> DataFrame:
     """For every pool id and group: the largest cosine similarity to any anchor
     of the group, or -1 when it has none. ``by`` is at most one group column of
     the anchors; a pool row belongs to the groups in its ``open_col`` (an
@@ -112,23 +291,15 @@ def max_similarity(pool: DataFrame, anchors: DataFrame, by: Sequence[str] = (),
     by = list(by)
     if len(by) > 1:
         raise ValueError("at most one group column")
-    spark = pool.sparkSession
-    spread = spread or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.col(by[0]).cast("string") if by else F.lit("")
     opened = F.col(open_col) if open_col else F.array(group)
-    left = pool.select(F.col(id_col).cast("string").alias("_id"), opened.cast("array<string>").alias("_open"),
-                       F.col(vec_col).cast("array<double>").alias("_vec"))
-    right = anchors.select(F.coalesce(group, F.lit("")).alias("_group"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    salt = F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("salt")
-    packed = (left.mapInPandas(_pack_pool(block_bytes), "ids array<string>, n int, open array<array<string>>, mat binary")
-              .withColumn("block", F.monotonically_increasing_id()).select("*", salt))
-    queries = (right.mapInPandas(_pack_anchors(block_bytes), "grp string, m int, anchors binary")
-               .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))))
-    joined = packed.join(queries, "salt", "left").select("block", "ids", "n", "open", "mat", "grp", "m", "anchors")
-    parts = joined.mapInPandas(_running_max, "_id string, _group string, _sim double")
-    out = parts.groupBy("_id", "_group").agg(F.max("_sim").alias(out_col))
-    cols = [F.col("_group").cast(anchors.schema[by[0]].dataType).alias(by[0])] if by else []
-    return out.select(*cols, F.col("_id").cast(pool.schema[id_col].dataType).alias(id_col), out_col)
+    queries = anchors.select(F.coalesce(group, F.lit("")).alias("grp"), F.lit("").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    packed = pack_pool(pool, draw_pivots(queries, "vec", pivots), id_col, vec_col, opened, spread, block_bytes)
+    asked = packed.blocks.select(F.explode(F.flatten("open")).alias("g")).distinct()
+    groups = [r.g for r in asked.collect()]  # the groups (folds) that rows ask for
+    out = best_anchors(packed, queries, groups, block_bytes, met, skipped)
+    cols = [F.col("grp").cast(anchors.schema[by[0]].dataType).alias(by[0])] if by else []
+    return out.select(*cols, F.col("id").cast(pool.schema[id_col].dataType).alias(id_col), F.col("sim").alias(out_col))
 
 
 def topk(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:

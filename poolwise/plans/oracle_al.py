@@ -93,12 +93,11 @@ def f1_expr(y: str, p: str) -> str:
             f"WHEN {pr1} THEN {f1} END)")
 
 
-def round_sql(r: int) -> str:
-    """CTEs of round ``r``: reads model_r, state_r; defines sel_r, dec_r,
-    model_{r+1}, state_{r+1}."""
-    n = r + 1
+def selection_sql(r: int) -> str:
+    """Anchors, candidates, similarities and the selection of round ``r`` from
+    the scores val_r."""
     ent = "-(p0 * ln(p0 + 1e-10) + p1 * ln(p1 + 1e-10))"
-    return _score(f"val_{r}", f"model_{r}") + f""",
+    return f""",
 anc_{r} AS (
   SELECT fold, video_id FROM (
     SELECT fold, video_id,
@@ -122,7 +121,14 @@ sel_{r} AS (
   SELECT fold, video_id, similarity, rn FROM (
     SELECT fold, video_id, similarity,
       row_number() OVER (PARTITION BY fold ORDER BY similarity DESC, video_id) AS rn
-    FROM sim_{r}) WHERE rn <= (SELECT k FROM kpar)),
+    FROM sim_{r}) WHERE rn <= (SELECT k FROM kpar))"""
+
+
+def round_sql(r: int) -> str:
+    """CTEs of round ``r``: reads model_r, state_r; defines sel_r, dec_r,
+    model_{r+1}, state_{r+1}."""
+    n = r + 1
+    return _score(f"val_{r}", f"model_{r}") + selection_sql(r) + f""",
 newmodel_{r} AS (
   SELECT fold, y, d, sum(s) AS s, sum(c) AS c FROM (
     SELECT fold, y, d, s, c FROM model_{r}
@@ -163,3 +169,56 @@ state_{n} AS (
 def loop_sql(rounds: int) -> str:
     """All CTEs up to state_{rounds} / model_{rounds}, without a final SELECT."""
     return "WITH " + BASE.strip() + "".join(round_sql(r) for r in range(rounds))
+
+
+def softmax_sql(name: str, start: str, tset: str, epochs: int, lr: float, clip: float) -> str:
+    """CTEs of ``epochs`` full-batch softmax epochs of every fold. ``start``
+    (fold, d, w0, w1) are the first weights, ``tset`` (fold, rid, y) the
+    training rows; xdims (rid, d, v) holds the vectors with d = 0 for the bias.
+    Defines {name}_best(fold, epoch, f1) and {name}_w(fold, d, w0, w1)."""
+    out, w = "", start
+    for e in range(1, epochs + 1):
+        out += f""",
+{name}_z{e} AS MATERIALIZED (
+  SELECT t.fold, t.rid, t.y, 1.0 / (1.0 + exp(-sum(x.v * (w.w1 - w.w0)))) AS p1
+  FROM {tset} t JOIN xdims x USING (rid) JOIN {w} w ON w.fold = t.fold AND w.d = x.d GROUP BY t.fold, t.rid, t.y),
+{name}_g{e} AS MATERIALIZED (
+  SELECT z.fold, x.d, avg((z.p1 - z.y) * x.v) AS g FROM {name}_z{e} z JOIN xdims x USING (rid) GROUP BY z.fold, x.d),
+{name}_s{e} AS (SELECT fold, least(1.0, {clip} / (sqrt(2 * sum(g * g)) + 1e-6)) AS s FROM {name}_g{e} GROUP BY fold),
+{name}_w{e} AS MATERIALIZED (
+  SELECT w.fold, w.d, w.w0 + {lr} * s.s * g.g AS w0, w.w1 - {lr} * s.s * g.g AS w1
+  FROM {w} w JOIN {name}_g{e} g ON g.fold = w.fold AND g.d = w.d JOIN {name}_s{e} s ON s.fold = w.fold),
+{name}_f{e} AS (
+  SELECT fold, {e} AS epoch, {f1_expr('y', 'pred')} AS f1 FROM (
+    SELECT t.fold, t.rid, t.y, CASE WHEN sum(x.v * (w.w1 - w.w0)) > 0 THEN 1 ELSE 0 END AS pred
+    FROM vset t JOIN xdims x USING (rid) JOIN {name}_w{e} w ON w.fold = t.fold AND w.d = x.d GROUP BY t.fold, t.rid, t.y)
+  GROUP BY fold)"""
+        w = f"{name}_w{e}"
+    every = " UNION ALL ".join(f"SELECT * FROM {name}_f{e}" for e in range(1, epochs + 1))
+    weights = " UNION ALL ".join(f"SELECT {e} AS epoch, * FROM {name}_w{e}" for e in range(1, epochs + 1))
+    return out + f""",
+{name}_best AS (
+  SELECT fold, epoch, f1 FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, epoch) AS rn FROM ({every}))
+  WHERE rn = 1),
+{name}_w AS MATERIALIZED (SELECT w.fold, w.d, w.w0, w.w1 FROM ({weights}) w JOIN {name}_best b USING (fold, epoch))"""
+
+
+def iterative_round_sql(epochs: int, lr: float, clip: float) -> str:
+    """A first round under the softmax head: fit on the training folds, select,
+    fit again from there with the selection."""
+    score = """
+SELECT fold, video_id, y, l0, l1, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS pred,
+  exp(l0 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p0,
+  exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p1
+FROM (SELECT t.fold, t.rid AS video_id, t.y, sum(x.v * w.w0) AS l0, sum(x.v * w.w1) AS l1
+      FROM vset t JOIN xdims x USING (rid) JOIN first_w w ON w.fold = t.fold AND w.d = x.d GROUP BY t.fold, t.rid, t.y)"""
+    return "WITH " + BASE.strip() + """,
+vset AS (SELECT fold, video_id AS rid, y FROM train),
+xdims AS MATERIALIZED (
+  SELECT video_id AS rid, unnest(generate_series(0, len(fea))) AS d, unnest(list_prepend(1.0, fea)) AS v FROM items),
+zero_w AS (SELECT r.run AS fold, d, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1 FROM runs r, (SELECT DISTINCT d FROM xdims)),
+tset_0 AS (SELECT r.run AS fold, t.video_id AS rid, t.y FROM train t JOIN runs r ON t.fold <> r.run)""" \
+        + softmax_sql("first", "zero_w", "tset_0", epochs, lr, clip) + f""",
+val_0 AS ({score})""" + selection_sql(0) + """,
+tset_1 AS (SELECT * FROM tset_0 UNION ALL SELECT s.fold, s.video_id, p.y FROM sel_0 s JOIN pool p USING (video_id))""" \
+        + softmax_sql("second", "first_w", "tset_1", epochs, lr, clip)

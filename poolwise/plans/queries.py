@@ -23,7 +23,7 @@ from ..session import read_table, scratch_path
 from ..sources import io
 from . import active_learning as al
 from . import fixtures as fx
-from .oracle_al import BASE as AL_BASE, f1_expr, loop_sql
+from .oracle_al import BASE as AL_BASE, f1_expr, iterative_round_sql, loop_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -923,6 +923,34 @@ def q_al_round_model(spark, sf):
     return finish(rnd["selected"].join(d, "fold").select("fold", "video_id", "similarity", "accepted", "cur_f1", "new_f1"))
 
 
+_EPOCHS, _LR, _CLIP = 5, 4.0, 1.0
+
+
+@query("al_round_iterative", sql_out(
+    "SELECT s.fold, s.video_id, s.similarity, n.f1 > c.f1 AS accepted, c.f1 AS cur_f1, n.f1 AS new_f1, "
+    "c.epoch AS first_epoch, n.epoch AS best_epoch FROM sel_0 s JOIN first_best c USING (fold) JOIN second_best n USING (fold)",
+    [("fold", "i"), ("video_id", "s"), ("similarity", "d"), ("accepted", "b"), ("cur_f1", "d"), ("new_f1", "d"),
+     ("first_epoch", "i"), ("best_epoch", "i")], iterative_round_sql(_EPOCHS, _LR, _CLIP)))
+def q_al_round_iterative(spark, sf):
+    """A round under the head with epochs: fitted on the training folds, then
+    from the accepted weights with the selection added; each fold keeps its
+    best epoch by validation F1, as :func:`early_stop` finds it in the
+    history."""
+    items = fx.fx_items(spark, sf)
+    ids = lambda split: items.filter(F.col("split") == split).select("video_id")
+    cfg, head = al.ALConfig(), al.SoftmaxHead(al.EpochParams(epochs=_EPOCHS, lr=_LR, clip=_CLIP))
+    data = al.prepare(items, ids("train"), ids("test"), fx.fx_seed_ids(spark, sf), cfg, head)
+    rnd = al.al_round(data, al.begin(data, cfg), 0, cfg)
+    best = []
+    for i, name in ((0, "first_epoch"), (-1, "best_epoch")):
+        history = spark.createDataFrame(head.histories[i], "run_id int, epoch int, loss double, f1 double")
+        best.append(tr.early_stop(history, head.params.patience, head.params.threshold)
+                    .select(F.col("run_id").alias("fold"), F.col("best_epoch").alias(name)))
+    d = rnd["decisions"].select("fold", "accepted", "cur_f1", "new_f1").join(best[0], "fold").join(best[1], "fold")
+    return finish(rnd["selected"].join(d, "fold").select("fold", "video_id", "similarity", "accepted", "cur_f1", "new_f1",
+                                                         "first_epoch", "best_epoch"))
+
+
 @query("assemble_round", sql_out(
     "SELECT s.fold, s.video_id, round(s.similarity, 4) AS similarity, d.accepted FROM sel_0 s JOIN dec_0 d USING (fold)",
     [("fold", "i"), ("video_id", "s"), ("similarity", "d"), ("accepted", "b")],

@@ -7,8 +7,10 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -63,7 +65,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for tables that cut
     lineage or round-trip through a sink."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/poolwise/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/poolwise/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+#: Scratch paths made inside each open :func:`scratch_scope`, outermost first.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes, at its end, every scratch table made inside it (also after an
+    error), but those given to the function it yields: ``keep(df)`` hands the
+    tables that ``df`` reads on to the scope around it. Results must be written
+    inside the scope, as lazy plans over removed tables can't run."""
+    made: list[str] = []
+    _SCOPES.append(made)
+
+    def keep(*frames):
+        for df in frames:
+            files = df if isinstance(df, list) else df.inputFiles()
+            for path in [p for p in made if any(f"{p.split('://')[-1].split(':')[-1]}/" in f"{f}/" for f in files)]:
+                made.remove(path)
+                if len(_SCOPES) > 1:
+                    _SCOPES[_SCOPES.index(made) - 1].append(path)
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -93,6 +127,45 @@ def release(df: DataFrame) -> None:
         remove_path(df.sparkSession, file.rsplit("/", 1)[0])
 
 
+class FoldTables:
+    """A table with a ``fold`` column kept as one folder a fold. Replacing some
+    folds writes these and refers to the folders of the others, so a round
+    copies nothing that it leaves as it was."""
+
+    def __init__(self, spark: SparkSession, schema, paths: dict[int, str]):
+        self.spark, self.schema, self.paths = spark, schema, paths
+
+    @classmethod
+    def write(cls, df: DataFrame, name: str = "folds") -> "FoldTables":
+        spark = df.sparkSession
+        root = scratch_path(spark, name)
+        df.withColumn("_folder", F.col("fold")).write.partitionBy("_folder").parquet(root)
+        target = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [str(x.getPath()) for x in store.listStatus(target) if x.isDirectory()]
+        return cls(spark, df.schema, {int(p.rsplit("_folder=", 1)[1]): p for p in found if "_folder=" in p})
+
+    def frame(self, folds=None) -> DataFrame:
+        """The rows of ``folds`` (default: all)."""
+        paths = [p for f, p in sorted(self.paths.items()) if folds is None or f in folds]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def replaced(self, other: "FoldTables", folds) -> "FoldTables":
+        """This table with ``folds`` as they are in ``other`` (a fold without
+        rows there has none)."""
+        kept = {f: p for f, p in self.paths.items() if f not in folds}
+        return FoldTables(self.spark, self.schema, {**kept, **{f: p for f, p in other.paths.items() if f in folds}})
+
+    def release(self, *still_used: "FoldTables") -> None:
+        """Remove the folders that none of ``still_used`` refers to."""
+        used = {p for t in still_used if t is not None for p in t.paths.values()}
+        for path in self.paths.values():
+            if path not in used:
+                remove_path(self.spark, path)
+
+
 def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int,
                      target_partition_bytes: int = 128 << 20) -> dict[str, str]:
     """Settings to size a cluster run from the input size (a starting point;

@@ -180,7 +180,7 @@ def test_selected_rows_move_no_vectors_and_nothing_is_collected(spark, loop):
     """The ranks of a round see ids and numbers only."""
     data, cfg, _ = loop
     cur = al.begin(data, cfg)
-    plan = al.anchor_ids(cur.scores, cfg)._jdf.queryExecution().optimizedPlan().toString()
+    plan = al.anchor_ids(cur.scores.frame(), cfg)._jdf.queryExecution().optimizedPlan().toString()
     assert "fea" not in plan
 
 
@@ -208,3 +208,82 @@ def test_final_fit_reports_validation_and_writes_ids(spark, tmpdir_path):
     out = al.cross_validated_selection(data, cfg, val, ids_path=tmpdir_path + "/voted")
     assert out["val_metrics"].collect() == out["test_metrics"].collect()
     assert spark.read.parquet(tmpdir_path + "/voted").count() == out["voted"].count()
+
+
+def _files(table):
+    return {f: sorted(os.listdir(p.split(":", 1)[-1])) for f, p in table.paths.items()}
+
+
+def test_rounds_copy_only_accepted_folds_and_leave_no_scratch(spark, loop):
+    """A fold that rejects keeps its score, anchor and similarity files."""
+    data, cfg, _ = loop
+    cur = al.begin(data, cfg)
+    root = spark.sparkContext.getCheckpointDir().split(":", 1)[-1] + "/poolwise"
+    seen = 0
+    for it in range(3):
+        before = set(os.listdir(root))
+        rnd = al.al_round(data, cur, it, cfg)
+        acc = {r["fold"] for r in rnd["decision_rows"] if r["accepted"]}
+        mid, after = rnd["current"], al.apply_decision(rnd, cfg, data.head)
+        for f in range(cfg.k_folds):
+            same = mid.scores.paths[f] == after.scores.paths[f]
+            assert same == (f not in acc)
+        if cur.sims is not None:
+            for f in set(range(cfg.k_folds)) - set(cur.stale):
+                assert mid.sims.paths[f] == cur.sims.paths[f] and mid.anchors.paths[f] == cur.anchors.paths[f]
+                seen += 1
+        made = set(os.listdir(root)) - before  # what the round has left behind
+        assert len(made) <= 8, made
+        assert all(_files(after.scores).values())
+        cur = after
+    assert seen
+
+
+def test_kept_similarities_equal_new_ones(spark, loop):
+    """Maxima kept across rounds against a full computation, fold by fold."""
+    data, cfg, _ = loop
+    cur, accepted = al.begin(data, cfg), 0
+    for it in range(5):
+        rnd = al.al_round(data, cur, it, cfg)
+        mid = rnd["current"]
+        anchors = al.anchor_ids(mid.scores.frame(), cfg).join(data.val_ids, ["fold", "video_id"])
+        full = al.round_similarity(data, anchors, al.empty_state(spark), cfg)
+        norm = lambda df: sorted((r.fold, r.video_id, round(r.similarity, 12)) for r in df.collect())
+        assert norm(mid.sims.frame()) == norm(full)
+        accepted += sum(bool(r["accepted"]) for r in rnd["decision_rows"])
+        cur = al.apply_decision(rnd, cfg, data.head)
+    assert accepted
+
+
+@pytest.mark.parametrize("anew", [0.0, 1.0])
+def test_lost_maxima_are_found_again(spark, loop, monkeypatch, anew):
+    """Both ways of renewing a changed fold: anew for all, or for the lost."""
+    data, cfg, out = loop
+    monkeypatch.setattr(al, "ANEW_SHARE", anew)
+    got = al.al_loop(data, cfg, rounds=4)
+    dec = lambda df: sorted((r.fold, r.iteration, r.accepted) for r in df.collect() if r.iteration < 4)
+    assert dec(got["decisions"]) == dec(out["decisions"])
+
+
+def test_a_run_that_dies_resumes_as_a_whole(spark, loop, tmpdir_path, monkeypatch):
+    data, cfg, out = loop
+    val = data.test.select("video_id", "y", "fea")
+    whole = al.cross_validated_selection(data, cfg, val)
+    real, calls = al.al_round, []
+
+    def dying(*args, **kw):
+        calls.append(1)
+        if len(calls) == 4:
+            raise RuntimeError("lost")
+        return real(*args, **kw)
+
+    monkeypatch.setattr(al, "al_round", dying)
+    paths = dict(state_dir=tmpdir_path + "/state", accepted_path=tmpdir_path + "/accepted", ids_path=tmpdir_path + "/voted")
+    with pytest.raises(RuntimeError, match="lost"):
+        al.cross_validated_selection(data, cfg, val, **paths)
+    monkeypatch.setattr(al, "al_round", real)
+    again = al.cross_validated_selection(data, cfg, val, **paths)
+    assert sorted(map(tuple, again["state"].collect())) == sorted(map(tuple, whole["state"].collect()))
+    assert again["test_metrics"].collect() == whole["test_metrics"].collect()
+    accepted = {(r.fold, r.iteration) for r in out["decisions"].collect() if r.accepted}
+    assert {(r.fold, r.iteration) for r in spark.read.parquet(tmpdir_path + "/accepted").collect()} == accepted

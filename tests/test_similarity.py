@@ -84,3 +84,45 @@ def test_duplicate_anchors(spark):
     got = {r.video_id: r.similarity for r in max_similarity(pool, anchors, by=["fold"], block_bytes=1).collect()}
     ref = _ref([(0, f"p{i}", [1.0, float(i)]) for i in range(7)], [(0, [1.0, 2.0]), (0, [0.0, 1.0])])
     assert all(math.isclose(got[k[1]], v, abs_tol=1e-12) for k, v in ref.items())
+
+
+def _clusters(spark, n=3000, d=16, seed=4):
+    """Rows around a few directions, as item vectors are."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, d))
+    x = centres[rng.integers(0, 6, n)] + 0.05 * rng.normal(size=(n, d))
+    return x
+
+
+def test_blocks_that_cannot_win_are_skipped(spark):
+    """Exact all the same, with few of the block pairs compared."""
+    x, a = _clusters(spark), _clusters(spark, 600, seed=4)
+    pool = spark.createDataFrame([(f"p{i}", [float(u) for u in v]) for i, v in enumerate(x)], "video_id string, fea array<double>")
+    anchors = spark.createDataFrame([(0, [float(u) for u in v]) for v in a], "fold int, fea array<double>")
+    met, skipped = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = {r.video_id: r.similarity for r in max_similarity(pool.withColumn("fold", F.lit(0)), anchors, by=["fold"], block_bytes=16 * 16 * 8,
+                                                            met=met, skipped=skipped).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = (unit(x) @ unit(a).T).max(axis=1)
+    assert max(abs(got[f"p{i}"] - w) for i, w in enumerate(want)) < 1e-12
+    pairs = -(-len(x) // 16) * -(-len(a) // 16)
+    assert 0 < met.value < pairs / 3
+
+
+def test_spread_follows_the_cores_not_the_shuffle_partitions(spark):
+    from poolwise.operators.similarity import draw_pivots, pack_pool
+    x = _clusters(spark, 400)
+    pool = spark.createDataFrame([(f"p{i}", [float(u) for u in v]) for i, v in enumerate(x)], "video_id string, fea array<double>")
+    pivots = draw_pivots(pool)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        seen = []
+        for n in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            packed = pack_pool(pool, pivots)
+            seen.append(packed.blocks.select("salt").distinct().count())
+            assert packed.spread == spark.sparkContext.defaultParallelism
+            packed.release()
+        assert seen[0] == seen[1] <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
