@@ -30,8 +30,10 @@ give no shard and no row; other columns are ignored.
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ SHARD_IDS = 1 << 21
 #: Pairs that occur less often in a shard stay as they are.
 MIN_COUNT = 16
 #: A round takes pairs with at least this share of its highest count.
-ROUND_SHARE = 0.05
+ROUND_SHARE = 0.01
 MAGIC, STEP = b"RPG1", 1024
 #: Marks behind a word that the tokenizer never joins to its letters.
 MARKS = ".,;:!?"
@@ -59,7 +61,7 @@ MARKS = ".,;:!?"
 class Encoder:
     """Token ids of texts, chunk by chunk; ``keep`` bounds the chunks held."""
 
-    def __init__(self, path: str | None = None, end: int = END, keep: int = 1_000_000):
+    def __init__(self, path: str | None = None, end: int = END, keep: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -137,10 +139,12 @@ class Encoder:
         lists = pc.ascii_split_whitespace(lower)
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.known]
-        if new:
+        codes = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        missing = np.flatnonzero(codes < 0).tolist()
+        if missing:
+            new = [distinct[i] for i in missing]
             self.learn(new)
-        codes = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            codes[missing] = [self.known[c] for c in new]
         # the ids of this piece's chunks side by side, then those of its texts
         own = self.lengths[codes]
         begin = np.cumsum(own) - own
@@ -160,6 +164,15 @@ class Encoder:
         return np.insert(ids, np.cumsum(sizes), np.uint32(self.end)), sizes + 1
 
 
+def worker_encoder(path: str | None = None) -> Encoder:
+    """An encoder that its worker process keeps, with the chunks it has
+    learned, for the tasks that come after."""
+    kept = sys.modules.setdefault("_poolwise_worker", types.ModuleType("_poolwise_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 # ---- grammar -------------------------------------------------------------------------------------------------------
 
 def _chosen(pairs: np.ndarray, counts: np.ndarray, shift: int, least: int, room: int) -> np.ndarray:
@@ -342,7 +355,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     piece = 8 << 20  # bytes of text encoded at once
 
     def packed(batches):
-        encoder = Encoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         part, shard = None, 0
         ids, lengths, names = [], [], []
 
