@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import audio_key, motion_key
-from .sequences import AUDIO_LEN, FRAME_LEN, fixed_length_fetch, parse_clips, sampled_clip_frames
+from ..sources.store import BucketedStore
+from .sequences import (AUDIO_LEN, FRAME_LEN, fixed_length_fetch, parse_clips, sampled_clip_frames, sequence_proof,
+                        whole_fetch)
 
 MODALITIES = ("text", "audio", "frames", "motion")
 
@@ -30,19 +32,21 @@ def missing_features(items: DataFrame, stores: dict[str, DataFrame], id_col: str
                      materials: str = "visual_materials", key: str = "key") -> DataFrame:
     """video_id, modality, missing_key for every lookup that finds nothing
     (the reference dies on the first one). Anti joins against the distinct
-    store keys."""
+    store keys, which a bucketed store has at hand."""
+    spark = items.sparkSession
+    have_keys = lambda s: s.lengths(spark).select(key) if isinstance(s, BucketedStore) else s.select(key).distinct()
     keys = item_keys(items, id_col, materials)
     out = None
     lookups = {"text": "text_key", "audio": "audio_key", "motion": "motion_key"}
     for mod, col in lookups.items():
-        have = stores[mod].select(F.col(key).alias(col)).distinct()
+        have = have_keys(stores[mod]).withColumnRenamed(key, col)
         miss = keys.join(have, col, "left_anti").select(id_col, F.lit(mod).alias("modality"),
                                                         F.col(col).alias("missing_key"))
         out = miss if out is None else out.unionByName(miss)
     mats = items.select(id_col, F.explode_outer(materials).alias("clip"))
     parsed = parse_clips(mats.filter(F.col("clip").isNotNull()))
     srcs = parsed.filter("valid").select(id_col, F.col("src").alias("missing_key"))
-    have = stores["frames"].select(F.col(key).alias("missing_key")).distinct()
+    have = have_keys(stores["frames"]).withColumnRenamed(key, "missing_key")
     miss = srcs.join(have, "missing_key", "left_anti").select(id_col, F.lit("frames").alias("modality"),
                                                                "missing_key").distinct()
     # a malformed clip or an empty material list fails the reference's frame
@@ -59,36 +63,50 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
     """All four modalities of each item in long form. Text keeps its stored
     length; audio is fixed to 50 rows, frames and motion to 83 (stride
     sampling / zero padding with a mask). ``on_missing='fail'`` raises like
-    the reference when any lookup misses; ``'quarantine'`` drops such items."""
+    the reference when any lookup misses; ``'quarantine'`` drops such items. A
+    sequence with gaps or repeats raises when it is read, or takes the items
+    that read it out. A store is a DataFrame or a :class:`BucketedStore`, whose
+    vectors stay where they lie."""
     vc = list(value_cols)
     if on_missing not in ("fail", "quarantine"):
         raise ValueError(on_missing)
-    miss = missing_features(items, stores, id_col, materials, key)
     if on_missing == "fail":
+        miss = missing_features(items, stores, id_col, materials, key)
         bad = miss.limit(1).collect()
         if bad:
             raise KeyError(f"missing {bad[0]['modality']} features for {bad[0][id_col]!r} "
                            f"(key {bad[0]['missing_key']!r})")
     else:
+        # a sequence whose positions prove nothing is as good as missing
+        proofs = {id(s): s for s in stores.values() if not isinstance(s, BucketedStore)}  # modalities may share a store
+        sound = {i: s.join(sequence_proof(s.select(key, pos), key, pos).filter("dense").select(key), key, "left_semi") for i, s in proofs.items()}
+        stores = {m: sound.get(id(s), s) for m, s in stores.items()}
+        miss = missing_features(items, stores, id_col, materials, key)
         items = items.join(miss.select(id_col).distinct(), id_col, "left_anti")
     keys = item_keys(items, id_col, materials)
+    spark = items.sparkSession
+    lengths = {m: s.lengths(spark) if isinstance(s, BucketedStore) else None for m, s in stores.items()}
+    rows = {m: s.rows(spark) if isinstance(s, BucketedStore) else s for m, s in stores.items()}
 
-    def lookup(mod: str, col: str) -> DataFrame:
-        st = stores[mod].withColumnRenamed(key, col)
-        return keys.select(id_col, col).join(st, col).select(F.col(id_col).alias(key), pos, *vc)
+    def asked(col: str) -> DataFrame:
+        return keys.select(F.col(id_col).alias(key), F.col(col).alias("lookup"))
 
     def fetch(mod: str, col: str, length: int) -> DataFrame:
-        k = keys.select(F.col(id_col).alias(key), F.col(col).alias("lookup"))
-        return fixed_length_fetch(k, stores[mod], length, vc, key=key, lookup="lookup", pos=pos)
+        return fixed_length_fetch(asked(col), rows[mod], length, vc, key=key, lookup="lookup", pos=pos, lengths=lengths[mod])
 
     # text keeps its stored length; the other modalities are sampled from
     # lengths first and only the kept rows are fetched
-    text = lookup("text", "text_key").withColumn("mask", F.lit(1))
+    if lengths["text"] is None:
+        st = rows["text"].withColumnRenamed(key, "text_key")
+        text = keys.select(id_col, "text_key").join(st, "text_key").select(F.col(id_col).alias(key), pos, *vc)
+    else:
+        text = whole_fetch(asked("text_key"), rows["text"], lengths["text"], vc, key=key, pos=pos)
+    text = text.withColumn("mask", F.lit(1))
     audio = fetch("audio", "audio_key", AUDIO_LEN)
     motion = fetch("motion", "motion_key", FRAME_LEN)
     clips = items.select(id_col, F.posexplode(materials).alias("_mp", "clip"))
-    frames = sampled_clip_frames(clips, stores["frames"], FRAME_LEN, vc, item_col=id_col, order_col="_mp",
-                                 clip_col="clip", key=key, pos=pos, on_bad="checked")
+    frames = sampled_clip_frames(clips, rows["frames"], FRAME_LEN, vc, item_col=id_col, order_col="_mp", clip_col="clip",
+                                 key=key, pos=pos, on_bad="checked", lengths=lengths["frames"])
     parts = [(m, df) for m, df in zip(MODALITIES, (text, audio, frames, motion))]
     out = None
     for mod, df in parts:

@@ -145,9 +145,9 @@ def auc_scores(df: DataFrame, y: str = "y", score: str = "score",
 
 def confusion_matrix(df: DataFrame, y: str = "y", p: str = "p",
                      keys: Sequence[str] = ()) -> DataFrame:
-    """keys…, y, p, n for the four cells of labels [0, 1]; empty cells kept.
-    Built by unpivoting the four counts, so no grid join is needed."""
-    c = confusion_counts(df, y, p, keys)
+    """keys…, y, p, n for the four cells of labels [0, 1]; empty cells kept. A
+    row that is neither 0 nor 1 raises, so that none is lost. Built by unpivoting the four counts, so no grid join is needed."""
+    c = confusion_counts(df, y, p, keys, strict=True)
     return c.select(*keys, F.expr("stack(4, 0, 0, c00, 0, 1, c01, 1, 0, c10, 1, 1, c11) AS (y, p, n)"))
 
 
@@ -155,15 +155,23 @@ def classification_report(df: DataFrame, y: str = "y", p: str = "p",
                           keys: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """Per class precision / recall / F1 / support for labels [0, 1] with
     names real / fake, then accuracy, macro avg, weighted avg rows, rounded
-    to ``digits``. Columns: keys…, label, precision, recall, f1, support."""
-    c = confusion_counts(df, y, p, keys)
-    c00, c01, c10, c11 = (F.col(x) for x in ("c00", "c01", "c10", "c11"))
-    s0, s1 = c00 + c01, c10 + c11
-    n = s0 + s1
-    prec0, prec1 = _div(c00, c00 + c10), _div(c11, c11 + c01)
+    to ``digits``. Columns: keys…, label, precision, recall, f1, support.
+
+    Every row counts, whatever its truth or prediction: a third class lowers
+    the precision or recall it takes part in and the accuracy (of all rows).
+    If there are such rows, a row ``outside`` says how many."""
+    yc, pc = F.col(y), F.col(p)
+    known = yc.eqNullSafe(F.lit(0)) | yc.eqNullSafe(F.lit(1))
+    other = ~known | ~(pc.eqNullSafe(F.lit(0)) | pc.eqNullSafe(F.lit(1)))
+    c = df.groupBy(*keys).agg(
+        *[_cnt(yc.eqNullSafe(F.lit(k)) & pc.eqNullSafe(F.lit(k))).alias(f"c{k}{k}") for k in (0, 1)],
+        *[_cnt(yc.eqNullSafe(F.lit(k))).alias(f"s{k}") for k in (0, 1)], *[_cnt(pc.eqNullSafe(F.lit(k))).alias(f"p{k}") for k in (0, 1)],
+        _cnt(yc.eqNullSafe(pc) & yc.isNotNull()).alias("hits"), _cnt(other).alias("outside"), F.count(F.lit(1)).alias("rows"))
+    c00, c11, s0, s1, n = (F.col(x) for x in ("c00", "c11", "s0", "s1", "rows"))
+    prec0, prec1 = _div(c00, F.col("p0")), _div(c11, F.col("p1"))
     rec0, rec1 = _div(c00, s0), _div(c11, s1)
-    f0 = _div(2 * c00, 2 * c00 + c10 + c01)
-    f1 = _div(2 * c11, 2 * c11 + c01 + c10)
+    f0 = _div(2 * c00, s0 + F.col("p0"))
+    f1 = _div(2 * c11, s1 + F.col("p1"))
     r = lambda v: F.round(v, digits)
     nul = F.lit(None).cast("double")
     row = lambda name, pr, rc, f, s: F.struct(F.lit(name).alias("label"), r(pr).alias("precision"),
@@ -172,12 +180,13 @@ def classification_report(df: DataFrame, y: str = "y", p: str = "p",
     rows = F.array(
         row(CLASS_NAMES[0], prec0, rec0, f0, s0),
         row(CLASS_NAMES[1], prec1, rec1, f1, s1),
-        row("accuracy", nul, nul, _div(c00 + c11, n), n),
-        row("macro avg", (prec0 + prec1) / 2, (rec0 + rec1) / 2, (f0 + f1) / 2, n),
-        row("weighted avg", _div(prec0 * s0 + prec1 * s1, n), _div(rec0 * s0 + rec1 * s1, n),
-            _div(f0 * s0 + f1 * s1, n), n),
+        row("accuracy", nul, nul, _div(F.col("hits"), n), n),
+        row("macro avg", (prec0 + prec1) / 2, (rec0 + rec1) / 2, (f0 + f1) / 2, s0 + s1),
+        row("weighted avg", _div(prec0 * s0 + prec1 * s1, s0 + s1), _div(rec0 * s0 + rec1 * s1, s0 + s1),
+            _div(f0 * s0 + f1 * s1, s0 + s1), s0 + s1),
+        row("outside", nul, nul, nul, F.col("outside")),
     )
-    return c.select(*keys, F.inline(rows))
+    return c.select(*keys, F.inline(rows)).filter((F.col("label") != "outside") | (F.col("support") > 0))
 
 
 def logsumexp(logits) -> Column:

@@ -36,6 +36,60 @@ def sequence_lengths(seq: DataFrame, key: str = "key") -> DataFrame:
     return seq.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sequence_proof(seq: DataFrame, key: str = "key", pos: str = "pos") -> DataFrame:
+    """key, n, dense: the row count, and whether the positions are exactly 0 to
+    n - 1. One aggregate on (key, position), then on the key, so a hot key is
+    spread over its positions."""
+    p = F.col(pos)
+    return seq.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("_lo"), F.max(p).alias("_hi"), F.count_distinct(p).alias("_d")) \
+        .select(key, "n", F.coalesce((F.col("_lo") == 0) & (F.col("_hi") == F.col("n") - 1) & (F.col("_d") == F.col("n")), F.lit(False)).alias("dense"))
+
+
+def proved_lengths(seq: DataFrame, key: str = "key", pos: str = "pos", on_bad: str = "fail") -> DataFrame:
+    """:func:`sequence_lengths` of sequences whose positions are proved to be 0
+    to n - 1. A gap or a repeat raises when the result is computed (``'fail'``)
+    or leaves the key out (``'quarantine'``)."""
+    proof = sequence_proof(seq, key, pos)
+    if on_bad == "quarantine":
+        return proof.filter("dense").select(key, "n")
+    if on_bad != "fail":
+        raise ValueError(on_bad)
+    what = F.concat(F.lit("positions with gaps or repeats in the sequence of "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return proof.select(key, F.when(F.col("dense"), F.col("n")).otherwise(F.raise_error(what).cast("long")).alias("n"))
+
+
+#: Reasons of :func:`sequence_faults`.
+FAULTS = ("repeat", "gap", "no vector", "width", "not a number")
+
+
+def sequence_faults(seq: DataFrame, key: str = "key", pos: str = "pos", vec: str = "vec", width: int | None = None) -> DataFrame:
+    """key, reason for every sequence that can't be used: positions that
+    repeat, or are not 0 to the last; a row without a vector; vectors of other
+    than one width (or not of ``width``); entries that are not finite. Several
+    reasons give several rows. One pass: rows are reduced to one per (key,
+    position) first."""
+    x = F.col(vec)
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = seq.select(key, F.col(pos).alias("_p"), x.isNull().cast("int").alias("_null"), F.when(x.isNotNull(), F.size(x)).alias("_w"),
+                      F.coalesce((~finite).cast("int"), F.lit(0)).alias("_nan"))
+    at = rows.groupBy(key, "_p").agg(F.count(F.lit(1)).alias("_n"), F.max("_null").alias("_null"), F.min("_w").alias("_lo"),
+                                     F.max("_w").alias("_hi"), F.max("_nan").alias("_nan"))
+    each = at.groupBy(key).agg(F.max("_n").alias("_n"), F.count("_p").alias("_d"), F.count(F.lit(1)).alias("_rows"), F.min("_p").alias("_first"),
+                               F.max("_p").alias("_last"), F.max("_null").alias("_null"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+                               F.max("_nan").alias("_nan"))
+    dense = (F.col("_first") == 0) & (F.col("_last") == F.col("_d") - 1) & (F.col("_rows") == F.col("_d"))
+    mixed = (F.col("_lo") != F.col("_hi")) if width is None else (F.col("_lo") != width) | (F.col("_hi") != width)
+    bad = (F.col("_n") > 1, ~F.coalesce(dense, F.lit(False)), F.col("_null") > 0, F.coalesce(mixed, F.lit(False)), F.col("_nan") > 0)
+    found = F.filter(F.array(*[F.when(b, F.lit(name)) for b, name in zip(bad, FAULTS)]), lambda r: r.isNotNull())
+    return each.select(key, F.explode(found).alias("reason"))
+
+
+def sound_sequences(seq: DataFrame, key: str = "key", pos: str = "pos", vec: str = "vec", width: int | None = None) -> DataFrame:
+    """The rows of sequences without faults (a null key has no sequence)."""
+    bad = sequence_faults(seq, key, pos, vec, width).select(key).distinct()
+    return seq.filter(F.col(key).isNotNull()).join(bad, key, "left_anti")
+
+
 def bad_clips(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
               clip_col: str = "clip", key: str = "key") -> DataFrame:
     """item, clip, reason (``malformed`` / ``no frames``) for every clip that
@@ -48,9 +102,9 @@ def bad_clips(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
 
 def clip_lengths(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
                  order_col: str = "material_pos", clip_col: str = "clip",
-                 key: str = "key", on_bad: str = "fail") -> DataFrame:
-    """Per clip: src, s, e, n (frames of the source), len = rows the clip
-    contributes (``min(n, e) + 1 - min(n, s)`` clamped at 0) and offset = the
+                 key: str = "key", on_bad: str = "fail", pos: str = "pos", lengths: DataFrame | None = None) -> DataFrame:
+    """Per clip: src, s, e, n (frames of the source, whose positions must be 0
+    to n - 1: see :func:`proved_lengths`), len = rows the clip contributes (``min(n, e) + 1 - min(n, s)`` clamped at 0) and offset = the
     clip's first output position inside its item.
 
     A malformed clip, or one whose source has no frames, never shortens its
@@ -58,7 +112,9 @@ def clip_lengths(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
     item out, ``'checked'`` is for callers that have looked already."""
     if on_bad not in ("fail", "quarantine", "checked"):
         raise ValueError(on_bad)
-    lens = sequence_lengths(frames, key).withColumnRenamed(key, "src")
+    if lengths is None:
+        lengths = proved_lengths(frames, key, pos, "quarantine" if on_bad == "quarantine" else "fail")
+    lens = lengths.withColumnRenamed(key, "src")
     j = parse_clips(clips, clip_col).join(lens, "src", "left")
     if on_bad != "checked":
         ok = F.col("valid") & F.col("n").isNotNull()
@@ -87,7 +143,7 @@ def clip_frames(clips: DataFrame, frames: DataFrame, item_col: str = "item_id",
     residual, so it never meets frames far from it, and a popular source is
     spread over its buckets. Output position = clip offset + (pos - s).
     Output: item, pos, and the frame value columns."""
-    lens = clip_lengths(clips, frames, item_col, order_col, clip_col, key, on_bad) \
+    lens = clip_lengths(clips, frames, item_col, order_col, clip_col, key, on_bad, pos) \
         .filter(F.col("len") > 0).select(item_col, "src", "s", "clip_offset", (F.col("s") + F.col("len") - 1).alias("e"))
     cell = lambda c: F.floor(c / CLIP_BUCKET)
     lens = lens.withColumn("_cell", F.explode(F.sequence(cell(F.col("s")), cell(F.col("e")))))
@@ -108,13 +164,14 @@ def _zero(df: DataFrame, col: str, zero=0.0):
     return F.array_repeat(F.lit(zero), int(row["d"]) if row else 0).cast(kind)
 
 
-def stride_sample(seq: DataFrame, length: int, key: str = "key", pos: str = "pos") -> DataFrame:
+def stride_sample(seq: DataFrame, length: int, key: str = "key", pos: str = "pos", on_bad: str = "fail") -> DataFrame:
     """Sequences of at least ``length`` rows: every ``gap = n // length``-th
     row, the first ``length`` of them (the tail past ``gap * length`` is
     dropped). Shorter ones: unchanged. Adds ``n`` (original length). The kept
     positions follow from the lengths and are joined on (key, position), so a
-    hot key is spread and no row meets its whole sequence."""
-    lens = sequence_lengths(seq.select(key), key)
+    hot key is spread and no row meets its whole sequence. Positions are proved
+    first (:func:`proved_lengths`)."""
+    lens = proved_lengths(seq.select(key, pos), key, pos, on_bad)
     gap = F.greatest(F.floor(F.col("n") / length), F.lit(1)).cast("int")
     last = F.least(F.col("n"), F.lit(length)).cast("int") - 1
     want = (lens.select(key, "n", gap.alias("_gap"), F.explode(F.sequence(F.lit(0), last)).alias("_out"))
@@ -138,23 +195,26 @@ def pad_mask(sampled: DataFrame, length: int, value_cols: Sequence[str], key: st
 
 
 def fixed_length(seq: DataFrame, length: int, value_cols: Sequence[str], key: str = "key",
-                 pos: str = "pos") -> DataFrame:
+                 pos: str = "pos", on_bad: str = "fail") -> DataFrame:
     """Reference collation of one modality: stride-sample long sequences,
     pad short ones, mask the padding. Only the kept rows' values move."""
     keys = seq.select(key).distinct().withColumn("lookup", F.col(key))
-    return fixed_length_fetch(keys, seq, length, value_cols, key=key, pos=pos)
+    return fixed_length_fetch(keys, seq, length, value_cols, key=key, pos=pos, on_bad=on_bad)
 
 
 def fixed_length_fetch(keys: DataFrame, store: DataFrame, length: int, value_cols: Sequence[str],
-                       key: str = "key", lookup: str = "lookup", pos: str = "pos") -> DataFrame:
+                       key: str = "key", lookup: str = "lookup", pos: str = "pos", on_bad: str = "fail",
+                       lengths: DataFrame | None = None) -> DataFrame:
     """Sample before fetch for a keyed lookup. ``keys`` maps
     an output ``key`` to a store key (``lookup``). Row counts come from the
     store with the value columns pruned, the kept positions follow from the
     counts (``pos * gap`` for ``pos < min(n, length)``), and only those rows
     are fetched with an equi join on ``(store key, pos)``; short sequences
-    are padded. Same result as ``fixed_length`` on the joined sequences."""
+    are padded. Same result as ``fixed_length`` on the joined sequences.
+    Positions of the store are proved first (:func:`proved_lengths`), unless
+    its proved ``lengths`` (key, n) are given."""
     vals = list(value_cols)
-    n = sequence_lengths(store.select(key), key).select(F.col(key).alias(lookup), "n")
+    n = (proved_lengths(store.select(key, pos), key, pos, on_bad) if lengths is None else lengths).select(F.col(key).alias(lookup), "n")
     lens = keys.select(key, lookup).join(n, lookup)
     gap = F.greatest(F.floor(F.col("n") / length), F.lit(1)).cast("int")
     m = F.least(F.col("n"), F.lit(length)).cast("int")
@@ -166,17 +226,27 @@ def fixed_length_fetch(keys: DataFrame, store: DataFrame, length: int, value_col
     return _pad_from_lengths(real, lens.select(key, "n"), length, {c: _zero(store, c) for c in vals}, key, pos)
 
 
+def whole_fetch(keys: DataFrame, store: DataFrame, lengths: DataFrame, value_cols: Sequence[str], key: str = "key",
+                lookup: str = "lookup", pos: str = "pos") -> DataFrame:
+    """Every row of the sequences that ``keys`` (key, lookup) look up, by
+    (store key, position): with a store laid out by both, no value moves."""
+    n = lengths.select(F.col(key).alias(lookup), "n")
+    want = keys.select(key, lookup).join(n, lookup).select(key, lookup, F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("_src_pos"))
+    fr = store.select(F.col(key).alias(lookup), F.col(pos).cast("int").alias("_src_pos"), *value_cols)
+    return want.join(fr, [lookup, "_src_pos"]).select(key, F.col("_src_pos").alias(pos), *value_cols)
+
+
 def sampled_clip_frames(clips: DataFrame, frames: DataFrame, length: int, value_cols: Sequence[str],
                         item_col: str = "item_id", order_col: str = "material_pos",
                         clip_col: str = "clip", key: str = "key", pos: str = "pos",
-                        on_bad: str = "fail") -> DataFrame:
+                        on_bad: str = "fail", lengths: DataFrame | None = None) -> DataFrame:
     """``fixed_length(clip_frames(...), length)`` without reading a vector
     that the stride sampling drops (SURVEY §4 R1): clip lengths and offsets
     come from frame counts only; per clip the kept output positions are a
     ``sequence(start, stop, gap)``; only those ``(src, pos)`` rows are joined
     for their values, then short items are padded. Output: item, pos,
     values…, mask."""
-    cl = clip_lengths(clips, frames.select(key), item_col, order_col, clip_col, key, on_bad)
+    cl = clip_lengths(clips, frames.select(key, pos), item_col, order_col, clip_col, key, on_bad, pos, lengths)
     # items whose clips are all empty still get `length` padding rows
     tot = cl.groupBy(item_col).agg(F.sum("len").alias("_n"))
     c = cl.filter(F.col("len") > 0).join(tot, item_col)
@@ -210,11 +280,13 @@ def _pad_from_lengths(real: DataFrame, lens: DataFrame, length: int, zeros: dict
 
 
 def head_pad(seq: DataFrame, length: int, value_cols: Sequence[str], keys: DataFrame | None = None,
-             key: str = "key", pos: str = "pos", zero=0.0) -> DataFrame:
+             key: str = "key", pos: str = "pos", zero=0.0, on_bad: str = "fail") -> DataFrame:
     """Keep the first ``length`` rows, zero-pad the rest, no mask. Keys in
     ``keys`` without any row get ``length`` zero rows."""
     head = seq.filter(F.col(pos) < length).select(key, pos, *value_cols)
-    n = sequence_lengths(seq, key)
+    n = proved_lengths(seq.select(key, pos), key, pos, on_bad)
+    if on_bad == "quarantine":
+        head = head.join(n.select(key), key, "left_semi")
     if keys is not None:
         n = keys.select(key).distinct().join(n, key, "left").fillna(0, ["n"])
     short = n.filter(F.col("n") < length).select(

@@ -20,7 +20,7 @@ from ..operators import sequences as sq
 from ..operators import stats as st
 from ..operators import training as tr
 from ..session import read_table, scratch_path
-from ..sources import io
+from ..sources import io, store
 from . import active_learning as al
 from . import fixtures as fx
 from .oracle_al import BASE as AL_BASE, f1_expr, iterative_round_sql, loop_sql
@@ -158,7 +158,37 @@ def q_selected_ids_sink(spark, sf):
     path = scratch_path(spark, "selected")
     io.append_ids(folds, path)
     io.append_ids(folds, path)  # a re-run of the same round must not duplicate rows
-    return finish(spark.read.parquet(path).select("fold", "iteration", "video_id"))
+    return finish(io.read_version(spark, path).select("fold", "iteration", "video_id"))
+
+
+@query("versioned_ids_sink", sql_out(
+    "SELECT 'first' AS state, 0 AS version, fold, 0 AS iteration, video_id FROM folds UNION ALL "
+    "SELECT 'after a lost write', 0, fold, 0, video_id FROM folds UNION ALL "
+    "SELECT 'last', 2, fold, 0, video_id FROM folds WHERE fold <> 2 UNION ALL "
+    "SELECT 'last', 2, fold, 0, video_id FROM folds WHERE fold = 2 AND video_id LIKE '%1' UNION ALL "
+    "SELECT 'last', 2, fold, 1, video_id FROM folds WHERE fold = 1",
+    [("state", "s"), ("version", "i"), ("fold", "i"), ("iteration", "i"), ("video_id", "s")], _with(AL_BASE)))
+def q_versioned_ids_sink(spark, sf):
+    """A sink through its versions: all folds written; a write that dies half
+    way, which readers never see; a new round of fold 1; fold 2 replaced."""
+    it = fx.fx_items(spark, sf).filter(F.col("split") == "train").select("video_id")
+    folds = fo.kfold(it, 5, 2025).withColumn("iteration", F.lit(0))
+    path = scratch_path(spark, "versions")
+    io.append_ids(folds, path)
+    seen = [io.read_version(spark, path).withColumn("state", F.lit("first")).withColumn("version", F.lit(0))]
+    dies = F.when(F.crc32("video_id") % 2 == 0, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("video_id"))
+    try:
+        io.append_ids(folds.withColumn("video_id", dies), path)
+    except Exception as lost:  # what the query is about
+        if "lost" not in str(lost):
+            raise
+    number = io.version_record(spark, path)["version"]
+    seen.append(io.read_version(spark, path).withColumn("state", F.lit("after a lost write")).withColumn("version", F.lit(number)))
+    io.append_ids(folds.filter("fold = 1").withColumn("iteration", F.lit(1)), path)
+    io.append_ids(folds.filter((F.col("fold") == 2) & F.col("video_id").endswith("1")), path)
+    number = io.version_record(spark, path)["version"]
+    seen.append(io.read_version(spark, path).withColumn("state", F.lit("last")).withColumn("version", F.lit(number)))
+    return finish(seen[0].unionByName(seen[1]).unionByName(seen[2]).select("state", "version", "fold", "iteration", "video_id"))
 
 
 @query("centroid_fit", sql_out(
@@ -401,6 +431,21 @@ def q_feature_assemble(spark, sf):
     return finish(out.select("video_id", "modality", "pos", "x", "mask"))
 
 
+@query("bucketed_assemble", ORACLES["feature_assemble"])
+def q_bucketed_assemble(spark, sf):
+    """The assembly from stores written as bucketed tables: positions are sent
+    to the vectors' buckets, the vectors stay."""
+    stores, made = {}, {}
+    for name, df in _stores(spark, sf).items():
+        if name == "frames":  # the same rows as audio
+            continue
+        at = scratch_path(spark, f"store-{name}")
+        made[name] = store.write_store(df, "poolwise_" + at.rsplit("/", 1)[1].replace("-", "_"), at)
+    stores = {**made, "frames": made["audio"]}
+    out = feat.feature_assemble(fx.fx_manifest(spark, sf), stores, ["x"])
+    return finish(out.select("video_id", "modality", "pos", "x", "mask"))
+
+
 @query("missing_features", sql_out(
     "SELECT k.video_id, 'text' AS modality, k.video_id AS missing_key FROM keys k "
     "WHERE k.video_id NOT IN (SELECT key FROM human_text_store) "
@@ -445,6 +490,41 @@ def q_head_pad(spark, sf):
     return finish(sq.head_pad(fx.fx_seq(spark, sf), 50, ["x"]))
 
 
+_FAULTY_SEQ_SQL = """
+fseq AS (
+  SELECT key, CASE WHEN CAST(key AS BIGINT) % 7 = 2 AND pos >= 3 THEN pos + 2 ELSE pos END AS pos,
+    CASE WHEN CAST(key AS BIGINT) % 11 = 4 AND pos = 1 THEN NULL WHEN CAST(key AS BIGINT) % 13 = 5 AND pos = 2 THEN [x, x, x]
+         WHEN CAST(key AS BIGINT) % 17 = 6 AND pos = 0 THEN [x, 'nan'::DOUBLE] ELSE [x, -x] END AS vec FROM fx_seq
+  UNION ALL SELECT key, pos, [x, x] FROM fx_seq WHERE CAST(key AS BIGINT) % 5 = 1 AND pos = 4),
+stats AS (
+  SELECT key, max(n) AS n, count(*) AS d, min(pos) AS lo, max(pos) AS hi, max(nul) AS nul, min(wlo) AS wlo, max(whi) AS whi, max(bad) AS bad
+  FROM (SELECT key, pos, count(*) AS n, max(CASE WHEN vec IS NULL THEN 1 ELSE 0 END) AS nul, min(len(vec)) AS wlo, max(len(vec)) AS whi,
+          max(CASE WHEN len(list_filter(vec, lambda v: isnan(v))) > 0 THEN 1 ELSE 0 END) AS bad FROM fseq GROUP BY key, pos) GROUP BY key),
+faults AS (
+  SELECT key, 'repeat' AS reason FROM stats WHERE n > 1 UNION ALL SELECT key, 'gap' FROM stats WHERE lo <> 0 OR hi <> d - 1
+  UNION ALL SELECT key, 'no vector' FROM stats WHERE nul > 0 UNION ALL SELECT key, 'width' FROM stats WHERE wlo <> whi
+  UNION ALL SELECT key, 'not a number' FROM stats WHERE bad > 0)"""
+
+
+@query("sequence_quarantine", sql_out(
+    "SELECT key, reason, CAST(NULL AS BIGINT) AS pos FROM faults UNION ALL "
+    "SELECT key, 'sound', pos FROM fseq WHERE key NOT IN (SELECT key FROM faults)",
+    [("key", "s"), ("reason", "s"), ("pos", "i")], _with(fx.FX_SEQ_SQL, _FAULTY_SEQ_SQL)))
+def q_sequence_quarantine(spark, sf):
+    """Stored sequences with gaps, repeats, missing vectors, mixed widths and
+    entries that are not numbers: what is wrong with each, and the rows of
+    those that can be used."""
+    s = fx.fx_seq(spark, sf)
+    k, p, x = F.col("key").cast("long"), F.col("pos"), F.col("x").cast("double")
+    vec = (F.when((k % 11 == 4) & (p == 1), F.lit(None)).when((k % 13 == 5) & (p == 2), F.array(x, x, x))
+           .when((k % 17 == 6) & (p == 0), F.array(x, F.lit(float("nan")))).otherwise(F.array(x, -x)))
+    faulty = s.select("key", F.when((k % 7 == 2) & (p >= 3), p + 2).otherwise(p).alias("pos"), vec.alias("vec"))
+    faulty = faulty.unionByName(s.filter((k % 5 == 1) & (p == 4)).select("key", "pos", F.array(x, x).alias("vec")))
+    bad = sq.sequence_faults(faulty).withColumn("pos", F.lit(None).cast("long"))
+    good = sq.sound_sequences(faulty).select("key", F.lit("sound").alias("reason"), F.col("pos").cast("long").alias("pos"))
+    return finish(bad.unionByName(good))
+
+
 @query("shot_segments", sql_out(
     """SELECT key, segment, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS n_frames,
          concat(key, '_S', CAST(min(pos) AS VARCHAR), '_E', CAST(max(pos) AS VARCHAR)) AS clip
@@ -572,6 +652,39 @@ def q_classification_report(spark, sf):
     return finish(me.classification_report(fx.fx_pred(spark, sf), "y", "p", ["lang"]))
 
 
+def _report_three_sql() -> str:
+    div = lambda a, b: f"(CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END)"
+    figures = lambda k: (div(f"c{k}", f"p{k}"), div(f"c{k}", f"s{k}"), div(f"2 * c{k}", f"s{k} + p{k}"))
+    (p0, r0, f0), (p1, r1, f1) = figures(0), figures(1)
+    r = lambda v: f"round({v}, 4)"
+    w = lambda a, b: div(f"({a} * s0 + {b} * s1)", "s0 + s1")
+    rows = [f"SELECT lang, 'real' AS label, {r(p0)} AS precision, {r(r0)} AS recall, {r(f0)} AS f1, s0 AS support FROM cc",
+            f"SELECT lang, 'fake', {r(p1)}, {r(r1)}, {r(f1)}, s1 FROM cc",
+            f"SELECT lang, 'accuracy', NULL, NULL, {r(div('hits', 'n'))}, n FROM cc",
+            f"SELECT lang, 'macro avg', {r(f'({p0} + {p1}) / 2')}, {r(f'({r0} + {r1}) / 2')}, {r(f'({f0} + {f1}) / 2')}, s0 + s1 FROM cc",
+            f"SELECT lang, 'weighted avg', {r(w(p0, p1))}, {r(w(r0, r1))}, {r(w(f0, f1))}, s0 + s1 FROM cc",
+            "SELECT lang, 'outside', NULL, NULL, NULL, outside FROM cc WHERE outside > 0"]
+    return " UNION ALL ".join(rows)
+
+
+_CC_THREE_SQL = """
+cc AS (SELECT lang, sum(CASE WHEN y = 0 AND p3 = 0 THEN 1 ELSE 0 END) AS c0, sum(CASE WHEN y = 1 AND p3 = 1 THEN 1 ELSE 0 END) AS c1,
+         sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS s0, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS s1,
+         sum(CASE WHEN p3 = 0 THEN 1 ELSE 0 END) AS p0, sum(CASE WHEN p3 = 1 THEN 1 ELSE 0 END) AS p1,
+         sum(CASE WHEN y = p3 THEN 1 ELSE 0 END) AS hits, sum(CASE WHEN p3 IN (0, 1) THEN 0 ELSE 1 END) AS outside, count(*) AS n
+       FROM (SELECT lang, y, CAST(round_even(3 * score, 0) AS INTEGER) AS p3 FROM fx_pred) GROUP BY lang)"""
+
+
+@query("report_three_classes", sql_out(
+    _report_three_sql(), [("lang", "s"), ("label", "s"), ("precision", "d"), ("recall", "d"), ("f1", "d"), ("support", "i")],
+    _with(fx.FX_PRED_SQL, _CC_THREE_SQL)))
+def q_report_three_classes(spark, sf):
+    """Predictions stretched to four values: rows of a third class count in
+    every figure they touch and are reported."""
+    pred = fx.fx_pred(spark, sf).withColumn("p3", F.bround(F.lit(3) * F.col("score"), 0).cast("int"))
+    return finish(me.classification_report(pred, "y", "p3", ["lang"]))
+
+
 _TRAIN_MODEL_SQL = f""",
 tdims AS (SELECT y, unnest(fea) AS v, unnest(generate_series(1, len(fea))) AS d FROM items WHERE split = 'train'),
 tmodel AS (SELECT y, d, sum(v) / count(*) AS c FROM tdims GROUP BY y, d),
@@ -1093,8 +1206,8 @@ def q_voted_ids_sink(spark, sf):
     accepted, voted = scratch_path(spark, "accepted"), scratch_path(spark, "voted")
     out = al.al_loop(data, cfg, _LOOP_ROUNDS, ids_path=accepted)
     io.overwrite_ids(al.majority_vote(out["state"], cfg.min_votes), voted)
-    v = spark.read.parquet(voted).select(F.lit("voted").alias("kind"), F.lit(-1).alias("fold"), F.lit(-1).alias("iteration"), "video_id")
+    v = io.read_version(spark, voted).select(F.lit("voted").alias("kind"), F.lit(-1).alias("fold"), F.lit(-1).alias("iteration"), "video_id")
     if not any(r.accepted for r in out["decisions"].collect()):
         return finish(v)
-    a = spark.read.parquet(accepted).select(F.lit("accepted").alias("kind"), "fold", "iteration", "video_id")
+    a = io.read_version(spark, accepted).select(F.lit("accepted").alias("kind"), "fold", "iteration", "video_id")
     return finish(v.unionByName(a))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from poolwise.plans import active_learning as al
 from poolwise.plans import fixtures as fx
+from poolwise.sources import io
 
 
 @pytest.fixture(scope="module")
@@ -207,7 +208,7 @@ def test_final_fit_reports_validation_and_writes_ids(spark, tmpdir_path):
     val = data.test.select("video_id", "y", "fea")
     out = al.cross_validated_selection(data, cfg, val, ids_path=tmpdir_path + "/voted")
     assert out["val_metrics"].collect() == out["test_metrics"].collect()
-    assert spark.read.parquet(tmpdir_path + "/voted").count() == out["voted"].count()
+    assert io.read_version(spark, tmpdir_path + "/voted").count() == out["voted"].count()
 
 
 def _files(table):
@@ -286,4 +287,4 @@ def test_a_run_that_dies_resumes_as_a_whole(spark, loop, tmpdir_path, monkeypatc
     assert sorted(map(tuple, again["state"].collect())) == sorted(map(tuple, whole["state"].collect()))
     assert again["test_metrics"].collect() == whole["test_metrics"].collect()
     accepted = {(r.fold, r.iteration) for r in out["decisions"].collect() if r.accepted}
-    assert {(r.fold, r.iteration) for r in spark.read.parquet(tmpdir_path + "/accepted").collect()} == accepted
+    assert {(r.fold, r.iteration) for r in io.read_version(spark, tmpdir_path + "/accepted").collect()} == accepted

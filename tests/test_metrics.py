@@ -2,6 +2,7 @@ import math
 
 import pytest
 
+from poolwise.operators import metrics as me
 from poolwise.operators.metrics import (auc_scores, binary_metrics, classification_report,
                                         confusion_matrix, mean_log_loss)
 
@@ -89,3 +90,18 @@ def test_mean_log_loss(spark):
     r = mean_log_loss(df).collect()[0]
     ref = ((math.log(math.exp(1) + math.exp(2)) - 2) + math.log(2)) / 2
     assert math.isclose(r.log_loss, ref)
+
+
+def test_report_counts_rows_of_a_third_class(spark):
+    """Rows (0,0) (1,1) (2,1) (1,2): half of the four are right."""
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (1, 2)], "y int, p int")
+    got = {r.label: r for r in me.classification_report(df).collect()}
+    assert (got["accuracy"].f1, got["accuracy"].support) == (0.5, 4)
+    assert (got["fake"].precision, got["fake"].recall, got["fake"].support) == (0.5, 0.5, 2)
+    assert got["outside"].support == 2
+    plain = me.classification_report(df.filter("y < 2 AND p < 2"))
+    assert "outside" not in {r.label for r in plain.collect()}
+    with pytest.raises(Exception, match="not a binary label"):
+        me.confusion_matrix(df).collect()
+    nulls = spark.createDataFrame([(0, 0), (None, 1), (1, None)], "y int, p int")
+    assert {r.label: r.support for r in me.classification_report(nulls).collect()}["outside"] == 2

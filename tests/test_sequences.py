@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from poolwise.operators import sequences as sq
 from poolwise.operators.sequences import (bad_clips, clip_frames, clip_lengths, fixed_length, head_pad,
                                           shot_segments, stride_sample)
 
@@ -159,3 +160,43 @@ def test_shot_segments_rank_form_equals_window_form(spark):
     b = sorted(tuple(r) for r in shot_segments_window(df, 0.2).select("key", "segment", "start_pos", "end_pos",
                                                                       "n_frames", "clip").collect())
     assert a == b and len(a) > 8
+
+
+def _gappy(spark):
+    rows = [("ok", p, float(p)) for p in range(6)] + [("gap", p, 1.0) for p in (0, 1, 5, 6)] + [("twice", p, 1.0) for p in (0, 1, 1, 2)] \
+        + [("late", p, 1.0) for p in (1, 2)] + [("no", None, 1.0)]
+    return spark.createDataFrame(rows, "key string, pos int, x double")
+
+
+def test_positions_are_proved_before_they_are_trusted(spark):
+    """A gap or repeat never loses rows silently: it raises, or the key goes
+    as a whole."""
+    seq = _gappy(spark)
+    proof = {r.key: (r.n, r.dense) for r in sq.sequence_proof(seq).collect()}
+    assert proof == {"ok": (6, True), "gap": (4, False), "twice": (4, False), "late": (2, False), "no": (1, False)}
+    calls = (lambda s, **kw: sq.stride_sample(s, 10, **kw), lambda s, **kw: sq.fixed_length(s, 6, ["x"], **kw),
+             lambda s, **kw: sq.head_pad(s, 7, ["x"], **kw))
+    for call in calls:
+        with pytest.raises(Exception, match="gaps or repeats"):
+            call(seq).collect()
+        kept = call(seq, on_bad="quarantine")
+        assert {r.key for r in kept.collect()} == {"ok"}
+        assert sorted(map(str, kept.collect())) == sorted(map(str, call(seq.filter("key = 'ok'")).collect()))
+    clips = spark.createDataFrame([(1, 0, "ok_S0_E2"), (2, 0, "gap_S0_E2"), (2, 1, "ok_S1_E2")], "item_id int, material_pos int, clip string")
+    with pytest.raises(Exception, match="gaps or repeats"):
+        sq.clip_lengths(clips, seq).collect()
+    assert {r.item_id for r in sq.clip_lengths(clips, seq, on_bad="quarantine").collect()} == {1}
+
+
+def test_sequence_faults(spark):
+    nan = float("nan")
+    rows = [("ok", 0, [1.0, 2.0]), ("ok", 1, [0.0, 0.0]), ("gap", 1, [1.0, 1.0]), ("twice", 0, [1.0, 1.0]), ("twice", 0, [1.0, 1.0]),
+            ("none", 0, None), ("wide", 0, [1.0, 1.0]), ("wide", 1, [1.0]), ("nan", 0, [1.0, nan]), ("nan", 2, [float("inf"), 0.0]),
+            ("hole", 0, [1.0, None]), ("nopos", None, [1.0, 1.0]), (None, 0, [1.0, 1.0])]
+    seq = spark.createDataFrame(rows, "key string, pos int, vec array<double>")
+    got = sorted((r.key or "", r.reason) for r in sq.sequence_faults(seq).collect())
+    assert got == [("gap", "gap"), ("hole", "not a number"), ("nan", "gap"), ("nan", "not a number"), ("none", "no vector"),
+                   ("nopos", "gap"), ("twice", "repeat"), ("wide", "width")]
+    assert {r.key for r in sq.sound_sequences(seq).collect()} == {"ok"}
+    assert ("ok", "width") in {(r.key, r.reason) for r in sq.sequence_faults(seq, width=3).collect()}
+    assert sq.sequence_faults(seq.limit(0)).count() == 0

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from poolwise.sources import io
 from poolwise.sources import append_ids, parse_manifest, read_id_list, read_manifest
 
 
@@ -63,4 +64,52 @@ def test_append_ids_idempotent(spark, tmpdir_path):
     append_ids(df, p)
     append_ids(df, p)
     append_ids(df.filter("fold = 1").withColumn("iteration", F.lit(1)), p)
-    assert spark.read.parquet(p).count() == 4
+    assert io.read_version(spark, p).count() == 4
+
+
+def test_a_write_that_dies_keeps_the_last_version(spark, tmpdir_path):
+    import os
+
+    import pytest
+
+    path = tmpdir_path + "/ids"
+    with pytest.raises(FileNotFoundError):
+        io.read_version(spark, path)
+    io.overwrite_ids(spark.range(10).selectExpr("cast(id as string) as video_id"), path)
+    dies = spark.range(100, 200, numPartitions=4).selectExpr("if(id = 199, raise_error('lost'), cast(id as string)) as video_id")
+    with pytest.raises(Exception, match="lost"):
+        io.overwrite_ids(dies, path)
+    assert sorted(int(r.video_id) for r in io.read_version(spark, path).collect()) == list(range(10))
+    io.overwrite_ids(spark.range(3).selectExpr("cast(id as string) as video_id"), path)
+    assert io.version_record(spark, path)["version"] == 1
+    assert io.read_version(spark, path).count() == 3 and io.read_version(spark, path, 0).count() == 10
+    assert io.vacuum(spark, path, keep=1) == 2  # the first write and the one that died
+    assert io.read_version(spark, path).count() == 3
+    io.overwrite_ids(spark.range(0).selectExpr("cast(id as string) as video_id"), path)
+    assert io.read_version(spark, path).count() == 0
+    # a draft record that was never put in place is no version
+    with open(f"{path}/_commits/.data-x", "w") as f:
+        f.write("{")
+    assert io.version_record(spark, path)["version"] == 2
+    # a number taken in the meantime is an error, and the table stays as the other writer left it
+    os.rename(f"{path}/_commits/000000000002.json", f"{path}/_commits/000000000003.json")
+    real = io._commits
+    io._commits = lambda spark, p: [n for n in real(spark, p) if n < 3]
+    try:
+        with pytest.raises(RuntimeError, match="someone else"):
+            io.overwrite_ids(spark.range(7).selectExpr("cast(id as string) as video_id"), path)
+            io.overwrite_ids(spark.range(7).selectExpr("cast(id as string) as video_id"), path)
+    finally:
+        io._commits = real
+
+
+def test_versions_replace_only_their_partitions(spark, tmpdir_path):
+    path = tmpdir_path + "/ids"
+    rows = [(f, 0, f"v{f}{i}") for f in range(3) for i in range(2)]
+    df = spark.createDataFrame(rows, "fold int, iteration int, video_id string")
+    append_ids(df, path)
+    first = io.version_record(spark, path)["parts"]
+    append_ids(df.filter("fold = 1 AND video_id = 'v10'"), path)
+    second = io.version_record(spark, path)["parts"]
+    assert {k for k in first if first[k] != second[k]} == {"_by_fold=1/_by_iteration=0"}
+    assert sorted(map(tuple, io.read_version(spark, path).collect())) == sorted(r for r in rows if r[2] != "v11")
