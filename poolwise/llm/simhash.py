@@ -1,10 +1,15 @@
 """Near-duplicates by SimHash with deletion-variant signatures.
 
 A fingerprint has 64 bits. Two fingerprints that differ in at most two bits
-differ in at most one bit in one of their two 32-bit halves. So each distinct
-fingerprint is indexed under 64 keys: for each half, its value with one bit
-wild. Fingerprints under the same key are candidates and are verified by
-their bit distance.
+differ in at most one bit in one of their two 32-bit halves: in the low half,
+or, if that differs in both, in no bit of the high half. So each distinct
+fingerprint is indexed under 33 keys: its low half with each one bit wild, and
+its high half (one variant stands for all, as it must be equal). Fingerprints
+under the same key are candidates and are verified by their bit distance.
+
+The keys are shuffled once and sorted, so equal keys meet in a stream of narrow
+rows. Of a pair's common keys one speaks for it - the wild bit where the low
+halves differ, the first bit where they are equal - so each link comes once.
 
 Equal texts and equal fingerprints are reduced before anything is joined, so
 copies cost nothing. Keys that many fingerprints share are never expanded
@@ -78,9 +83,9 @@ def _tag():
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """64 rows a fingerprint: key = half (1 bit), wild bit (5 bits), the half
+    """33 rows a fingerprint: key = half (1 bit), wild bit (5 bits), the half
     with that bit cleared (32 bits)."""
-    return (fps.select("_fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    return (fps.select("_fp", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("i"))
             .select("_fp", F.expr("(shiftleft(cast(i as bigint), 32)) | (shiftrightunsigned(_fp, 32 * (i div 32)) "
                                   "& 4294967295L & ~shiftleft(1L, i % 32))").alias("key")))
 
@@ -89,11 +94,81 @@ def _bit_distance(a: str, b: str):
     return F.expr(f"bit_count({a} ^ {b})")
 
 
-def _links_of_small(members: DataFrame, max_bits: int) -> DataFrame:
-    """Links within keys of a bounded number of members."""
-    groups = members.groupBy("key").agg(F.collect_list("_fp").alias("fps"))
-    return (groups.select("fps", F.explode("fps").alias("a"))
-            .select("a", F.explode(F.expr(f"filter(fps, b -> b > a and bit_count(a ^ b) <= {max_bits})")).alias("b")))
+def _speaking_key(differing: np.ndarray) -> np.ndarray:
+    """Which of a pair's common keys speaks for it, by its differing bits: its
+    number (half and wild bit)."""
+    low = differing & np.uint64(0xFFFFFFFF)
+    count = np.bitwise_count(low)
+    bit = np.bitwise_count(low - np.uint64(1))  # position of a single bit
+    return np.where(count == 0, 0, np.where(count == 1, bit, 32)).astype(np.int64)
+
+
+def _pairs(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links that the keys of a sorted run speak for; keys are of bounded
+    size, so row ``i`` is compared with the rows right behind it."""
+    a, b = [], []
+    step, at = 1, np.arange(len(keys))
+    while True:
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        if not len(at):
+            break
+        differing = (fps[at] ^ fps[at + step]).view(np.uint64)
+        near = (np.bitwise_count(differing) <= max_bits) & (_speaking_key(differing) == keys[at] >> 32)
+        a.append(fps[at[near]])
+        b.append(fps[at[near] + step])
+        step += 1
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def _met(variants: DataFrame, max_bits: int, max_bucket: int) -> DataFrame:
+    """Rows (large, a, b) of sorted keys: links of keys with at most
+    ``max_bucket`` members, and, marked ``large``, the members (key, _fp) of
+    the others. A task holds one batch and at most one small key's rows."""
+    def run(batches):
+        held_k, held_f, passing = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+
+        def out(links, members):
+            a, b = (np.concatenate(x) for x in zip(links, members))
+            if len(a):
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(len(a)) >= len(links[0])), pa.array(a), pa.array(b)], names=["large", "a", "b"])
+
+        def settle(k, f):
+            """Whole keys: pairs of the small ones, members of the large ones."""
+            ends = np.flatnonzero(np.append(k[1:] != k[:-1], True)) if len(k) else np.zeros(0, dtype=np.int64)
+            sizes = np.diff(ends, prepend=-1)
+            big = np.repeat(sizes > max_bucket, sizes)
+            return out(_pairs(k[~big], f[~big], max_bits), (k[big], f[big]))
+
+        for batch in batches:
+            k = np.concatenate([held_k, batch.column("key").to_numpy()])
+            f = np.concatenate([held_f, batch.column("_fp").to_numpy()])
+            if not len(k):
+                continue
+            if passing is not None:  # more of a key known to be large
+                n = int(np.searchsorted(k, passing, side="right"))
+                if n:
+                    yield out((k[:0], k[:0]), (k[:n], f[:n]))
+                k, f = k[n:], f[n:]
+                if not len(k):
+                    held_k, held_f = k, f
+                    continue
+                passing = None
+            last = int(np.searchsorted(k, k[-1], side="left"))  # the last key may go on
+            got = settle(k[:last], f[:last])
+            if got is not None:
+                yield got
+            held_k, held_f = k[last:], f[last:]
+            if len(held_k) > max_bucket:
+                passing = held_k[0]
+                yield out((held_k[:0], held_k[:0]), (held_k, held_f))
+                held_k, held_f = held_k[:0], held_f[:0]
+        got = settle(held_k, held_f)
+        if got is not None:
+            yield got
+
+    return variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, "large boolean, a long, b long")
 
 
 def _links_of_large(members: DataFrame, max_bits: int) -> DataFrame:
@@ -122,18 +197,11 @@ def links(fps: DataFrame, max_bits: int = 2, max_bucket: int = 64) -> DataFrame:
     to connect every pair at ``max_bits`` or fewer differing bits."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two halves with one wild bit each cover distances 0 to 2")
-    variants = _variants(fps)
-    shared = written(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_fp").alias("a"),
-                                                 F.max("_fp").alias("b")).filter("n > 1"), "simhash-keys")
-    of_two = shared.filter("n = 2").select("a", "b").filter(_bit_distance("a", "b") <= max_bits)
-    busy = shared.filter("n > 2").select("key", "n")
-    members = written(variants.join(busy, "key").select("key", "_fp", "n"), "simhash-members")
-    small = _links_of_small(members.filter(F.col("n") <= max_bucket), max_bits)
-    large = _links_of_large(members.filter(F.col("n") > max_bucket), max_bits)
-    every = of_two.unionByName(small).unionByName(large)
-    out = written(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    for used in (shared, members):
-        drop_written(used)
+    met = written(_met(_variants(fps), max_bits, max_bucket), "simhash-met")
+    small = met.filter(~F.col("large")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = _links_of_large(met.filter("large").select(F.col("a").alias("key"), F.col("b").alias("_fp")), max_bits)
+    out = written(small.unionByName(large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "links")
+    drop_written(met)
     return out
 
 

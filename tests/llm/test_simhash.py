@@ -119,3 +119,25 @@ def test_whole_query_against_all_pairs(spark):
         least[roots[fps[i]]] = i
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op3_simhash(spark, sf).collect()}
     assert got == {i: (f"{fps[i]:016x}", least[roots[fps[i]]]) for i in docs}
+
+
+def test_every_link_comes_once(spark):
+    """All pairs at up to two bits, each from one of its common keys, in a
+    stream of any batch size."""
+    rnd = random.Random(8)
+    fps = set()
+    for _ in range(40):
+        f = rnd.getrandbits(64)
+        fps.add(f)
+        for _ in range(12):
+            fps.add(f ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)))
+    fps = sorted(map(signed, fps))
+    want = sorted((a, b) for i, b in enumerate(fps) for a in fps[:i] if bin((a ^ b) & (2 ** 64 - 1)).count("1") <= 2)
+    df = spark.createDataFrame([(f,) for f in fps], "_fp long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted((r.a, r.b) for r in simhash.links(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
