@@ -49,22 +49,33 @@ def with_row_key(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` for working columns beside all columns of ``df``, each with
+    underscores in front until no column has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def sample_of_texts(df: DataFrame, order: Column, max_bytes: int, by: str | None = None) -> list[Row]:
     """The rows of a sample (with ``text``; its number of rows is bounded by
     the caller) that reach the driver, of ``max_bytes`` altogether, shared
-    evenly by the values of ``by``. A text takes at most a 64th of its group's
-    bytes: longer ones are cut to their beginning, and come after the whole
-    ones, so they only fill what those leave. The result is in ``order``. Every
-    group with rows has rows in the sample."""
+    evenly by the values of ``by``. Texts are whole or not there: those of more
+    than a 64th of their group's bytes come after the others, the shorter first,
+    and fill what these leave. The result is in ``order``. Every group with rows
+    has rows in the sample (its first row, whatever its size)."""
     rows = written(with_row_key(df.withColumn("_order", order)), "text-sample")
     if by:
         max_bytes //= max(1, rows.select(by).distinct().count())
-    most = max(4, max_bytes // 64)
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
-    narrow = rows.select("_rid", "_order", F.col(by).alias("_by") if by else F.lit(0).alias("_by"),
-                         F.least(size, F.lit(most)).alias("_size"), (size > most).alias("_cut"))
-    running = F.sum("_size").over(Window.partitionBy("_by").orderBy("_cut", "_order", "_rid"))  # a row per sampled text
-    fits = narrow.withColumn("_upto", running).filter(F.col("_upto") <= max_bytes).select("_rid", "_cut")
-    text = F.when(F.col("_cut"), F.substring("text", 1, most // 4)).otherwise(F.col("text"))  # 4 bytes a character at most
-    got = rows.join(fits, "_rid").withColumn("text", text).collect()
+    narrow = rows.select("_rid", "_order", F.col(by).alias("_by") if by else F.lit(0).alias("_by"), size.alias("_size"))
+    late = F.when(F.col("_size") > max(1, max_bytes // 64), F.col("_size")).otherwise(0)
+    first = Window.partitionBy("_by").orderBy(late, "_order", "_rid")  # a row per sampled text
+    fits = narrow.withColumn("_upto", F.sum("_size").over(first)).withColumn("_n", F.row_number().over(first)) \
+        .filter((F.col("_upto") <= max_bytes) | (F.col("_n") == 1)).select("_rid")
+    got = rows.join(fits, "_rid").collect()
     return sorted(got, key=lambda r: (r["_order"], r["_rid"]))

@@ -64,7 +64,7 @@ def vocabulary(windows: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (term, _k, _t, pos) of all of ``docs``, written sorted by term
     within each input partition."""
-    tokens = _doc_key(docs).select("_k", "_t", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    tokens = _doc_key(docs.select("doc_id", "text")).select("_k", "_t", F.posexplode(words(F.col("text"))).alias("pos", "word"))
     postings = tokens.join(terms, "word").select("term", "_k", "_t", "pos")
     return written(postings.sortWithinPartitions("term", "_k", "pos"), "postings")
 
@@ -144,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """One row per row of ``docs``: its words, how many a benchmark window
     covers, and the items whose windows occur."""
     hits = document_hits(docs, items, n)
-    rows = _doc_key(docs).select("doc_id", "_k", "_t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    rows = _doc_key(docs.select("doc_id", "text")).select("doc_id", "_k", "_t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(hits, ["_k", "_t"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -156,4 +156,5 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window."""
     hits = document_hits(docs, items, n).select("_k", "_t")
-    return _doc_key(docs).join(hits, ["_k", "_t"], "left_anti").select(*docs.columns)
+    rows = _doc_key(docs.select("doc_id", "text", F.struct("*").alias("_row")))
+    return rows.join(hits, ["_k", "_t"], "left_anti").select("_row.*")

@@ -6,16 +6,22 @@ a rate r_i >= ``least`` - how often it is taken - such that the expected token
 total of every domain, sum_i r_i t_i p_ik, meets its target, and rates stay as
 even as the targets allow:
 
-    minimise  1/2 sum_k w_k (sum_i r_i t_i p_ik - T_k)^2 + ridge/2 sum_i t_i (r_i - r0)^2
-
-by Newton's method on the dual: at the optimum a rate is max(least, r0 - p_i x)
-with one price x_k a domain, so steps keep no table. One step is one distributed
-sum of K + K^2 numbers over the written posteriors. The ridge falls until every
-domain is within the tolerance of its own target, or the prices prove that no
-rates can reach all targets; such a miss is warned of.
+    minimise  1/2 (S - T)' M (S - T) + ridge/2 sum_i t_i (r_i - r0)^2,  S_k = sum_i r_i t_i p_ik
+
+by projected gradient: every document moves against its own slope p_i M (S - T)
+and is put back to ``least`` if it falls below. M is the inverse of the domains'
+Gram matrix sum_i t_i p_i p_i', so domains that overlap, or are rare, converge as
+fast as the others; with it a step of length one is always safe. Steps gain
+momentum, which is dropped whenever the objective rises. Nothing is kept for a
+document: a step is K numbers, and a document's rate follows from its posteriors
+by going through the steps so far. One step is one distributed sum of 2K + 1
+numbers over the written posteriors. The ridge falls until every domain is within
+the tolerance of its own target, or the slopes prove that no rates can reach all
+targets; such a miss is warned of and marked in the result.
 
 Taking effect, a document is emitted floor(r_i) times, and once more with the
-chance of the rest (a hash of the document decides, so it is repeatable).
+chance of the rest. A hash of its id and text decides, so the outcome is the
+same in every layout; rows equal in both are emitted equally often.
 
 Defined cases: a null text has no tokens and the classifier's prior; labels
 that are null are ignored; a null language is a domain of its own; without
@@ -36,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_row_key, written
+from .common import fresh_names, written
 
 BUCKETS = 1 << 12
 #: Numbers in one piece of a distributed sum.
@@ -128,7 +134,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     found = labelled.groupBy("_domain").agg(F.count(F.lit(1)).alias("ids"), F.sum("_rows").alias("rows")).orderBy("_domain").collect()
     names = [r._domain for r in found] or ["all"]
     drawn = written(draw(labelled, {r._domain: r.ids for r in found}, max_rows), "mix-sample")
-    rows = docs.join(drawn, (F.col("doc_id") == F.col("_want")) & (domain == F.col("_domain"))).select(
+    rows = docs.select("doc_id", "lang", "text").join(drawn, (F.col("doc_id") == F.col("_want")) & (domain == F.col("_domain"))).select(
         F.col("doc_id").cast("string").alias("doc_id"), F.col("_domain").alias("domain"), "text")
     rows = rows.groupBy("doc_id", "domain").agg(F.min("text").alias("text"))  # of repeated ids one row, before they travel
 
@@ -169,27 +175,43 @@ def _each(rows: DataFrame, model: Domains, keep: list[str], more: dict[str, T.Da
     return rows.mapInArrow(run, schema)
 
 
+def _key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key")
+
+
 def with_posteriors(docs: DataFrame, model: Domains) -> DataFrame:
-    """doc_id, ``_rid``, ``_tokens`` and ``_post`` of every row, written once."""
-    rows = with_row_key(docs.select("doc_id", "text"))
+    """doc_id, ``_key`` (a hash of the text), ``_tokens`` and ``_post`` of every
+    row, written once."""
     kinds = {"_tokens": T.LongType(), "_post": T.ArrayType(T.FloatType())}
-    return written(_each(rows, model, ["doc_id", "_rid"], kinds, lambda n, p: [
+    return written(_each(docs.select("doc_id", "text", _key()), model, ["doc_id", "_key"], kinds, lambda n, p: [
         pa.array(n, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float32()))]), "posteriors")
 
 
-def rates_of(post: np.ndarray, prices: np.ndarray, start: float, least: float) -> np.ndarray:
-    """Rates under the domains' ``prices``; a row depends on its posteriors
-    alone."""
-    return np.maximum(least, start - post @ prices)
+def replay(post: np.ndarray, steps: list[tuple[np.ndarray, float, float]], start: float, least: float,
+           block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after ``steps`` (slope by domain, ridge, momentum) and the points
+    that the next step starts from; a row depends on its posteriors alone."""
+    x, y = np.full(len(post), max(least, start)), np.full(len(post), max(least, start))
+    if steps:
+        slopes = np.stack([v for v, _, _ in steps], axis=1)
+        for at in range(0, len(post), block):
+            own = post[at:at + block] @ slopes
+            rate = ahead = x[at:at + block]
+            for k, (_, ridge, momentum) in enumerate(steps):
+                now = np.maximum(least, ahead - (own[:, k] + ridge * (ahead - start)) / (1 + ridge))
+                ahead = now + momentum * (now - rate)
+                rate = now
+            x[at:at + block], y[at:at + block] = rate, ahead
+    return x, y
 
 
 @dataclass
 class Mixture:
     names: list[str]
     targets: np.ndarray
-    prices: np.ndarray
+    steps: list[tuple[np.ndarray, float, float]]
     reached: np.ndarray
-    step: float
+    metric: np.ndarray
     ridge: float
     start: float
     least: float
@@ -199,7 +221,7 @@ class Mixture:
     infeasible: bool
 
     def rates(self, post: np.ndarray) -> np.ndarray:
-        return rates_of(post, self.prices, self.start, self.least)
+        return replay(np.asarray(post, dtype=np.float64), self.steps, self.start, self.least)[0]
 
 
 def default_targets(mass: np.ndarray, power: float, least: float) -> np.ndarray:
@@ -244,10 +266,10 @@ def total_of(rows: DataFrame, k: int, values) -> np.ndarray:
 
 
 def fit_rates(rows: DataFrame, model: Domains, shares: dict[str, float] | None = None, power: float = 0.7,
-              least: float = 0.0, ridge: float = 1e-3, steps: int = 100, tolerance: float = 2e-3) -> Mixture:
+              least: float = 0.0, ridge: float = 1e-3, steps: int = 300, tolerance: float = 2e-3) -> Mixture:
     """Fit the rates of ``rows`` (of :func:`with_posteriors`). ``shares``:
     target share of the corpus's total by domain. The ridge falls until every
-    domain is within ``tolerance`` of its *own* target, or until the prices
+    domain is within ``tolerance`` of its *own* target, or until the slopes
     prove that no rates can reach all targets; the latter, or ``steps`` passes
     over the rows without either, is warned of and marked in the result."""
     k = len(model.names)
@@ -262,72 +284,58 @@ def fit_rates(rows: DataFrame, model: Domains, shares: dict[str, float] | None =
         targets = np.where(named >= 0, named, rest * free / max(free.sum(), 1e-9)) * mass.sum()
     else:
         targets = default_targets(mass, power, least)
-    scale = np.maximum(targets, 1e-6 * max(mass.sum(), 1))
-    weight = 1 / scale ** 2 * max(mass.sum(), 1)
-    half = np.sqrt(weight)
-    top = max(float(np.linalg.eigvalsh(half[:, None] * gram * half[None]).max()), 1e-9)
+    unit = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-12 * max(np.trace(gram), 1e-9)))
+    metric = unit[:, None] * np.linalg.inv(unit[:, None] * gram * unit[None] + 1e-9 * np.eye(k)) * unit[None]
+    near = tolerance * np.maximum(targets, 1e-6 * max(mass.sum(), 1))
     start = float(targets.sum() / max(mass.sum(), 1e-9))
-    prices, passes, soft, near = np.zeros(k), 0, ridge * top, tolerance * scale
-    met, infeasible = np.zeros(k, bool), False
+    path: list[tuple[np.ndarray, float, float]] = []
+
+    def look():
+        """The domains' totals under the rates and at the next step's start,
+        and how uneven the rates are."""
+        done = list(path)
 
-    def look(prices):
-        """The dual's data part, the domains' totals, and the curvature."""
         def values(t, p):
-            u = start - p @ prices
-            r = np.maximum(u, least)
-            moves = np.where(u > least, t, 0.0)
-            dual = (t * np.where(u > least, u * u / 2, least * u - least * least / 2)).sum()
-            return np.concatenate([[dual], (r * t) @ p, ((p * moves[:, None]).T @ p).ravel()])
+            x, y = replay(p, done, start, least)
+            return np.concatenate([(x * t) @ p, (y * t) @ p, [(t * (x - start) ** 2).sum()]])
         got = total_of(rows, k, values)
-        return got[0], got[1:k + 1], got[k + 1:].reshape(k, k)
+        return got[:k], got[k:2 * k], got[2 * k]
 
-    def proved(prices) -> bool:
+    def proved(slope) -> bool:
         """Farkas: whether no rates >= ``least`` come within the tolerance
         of all targets, as no document pays less than ``low``."""
-        if not prices.any():
+        if not slope.any():
             return False
         lows = rows.select("_post").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([float((np.asarray(
-            b.column("_post").flatten(), dtype=np.float64).reshape(-1, k) @ prices).min())])], names=["low"])
+            b.column("_post").flatten(), dtype=np.float64).reshape(-1, k) @ slope).min())])], names=["low"])
             for b in batches if len(b)), "low double")
         low = min(0.0, lows.agg(F.min("low")).first()[0] or 0.0)
-        worth = (targets - least * mass) @ prices + near @ np.abs(prices)
+        worth = (targets - least * mass) @ slope + near @ np.abs(slope)
         return bool(worth < low * max(0.0, targets.sum() + near.sum() - least * mass.sum()))
 
-    dual, reached, curve = look(prices)
-    while passes < steps:
+    soft, speed, infeasible, values = ridge, 1.0, False, []
+    while True:
+        reached, ahead, spread = look()
         met = np.abs(reached - targets) <= near
-        if met.all():
+        if met.all() or len(path) >= steps:
             break
-        # Newton's method on the convex dual of the module's problem, with one price a domain
-        pull = soft / weight
-        value = dual + prices @ targets + (pull * prices) @ prices / 2
-        slope = targets - reached + pull * prices
-        if (np.abs(slope) <= 0.01 * near).all():  # solved for this ridge, but short of the targets
-            infeasible = proved(prices)
-            if infeasible:
-                break
-            soft /= 10
-            continue_from = soft / ridge / top
-            if continue_from < 1e-14:
-                break
-            continue
-        unit = 1 / scale  # in units of the targets: rare domains count as much as others
-        move = -unit * np.linalg.solve((unit[:, None] * curve * unit[None]) + np.diag(pull * unit * unit), unit * slope)
-        size = 1.0
-        while passes < steps:
-            tried = prices + size * move
-            found = look(tried)
-            passes += 1
-            if found[0] + tried @ targets + (pull * tried) @ tried / 2 <= value + 1e-4 * size * (slope @ move) + 1e-12 * abs(value):
+        gap = reached - targets
+        values.append(gap @ metric @ gap / 2 + soft * spread / 2)
+        if len(values) > 1 and values[-1] > values[-2]:  # too far: go on from the rates themselves
+            v, held, _ = path[-1]
+            path[-1], ahead, speed = (v, held, 0.0), reached, 1.0
+        if len(values) > 8 and values[-8] - values[-1] <= 1e-4 * abs(values[-1]):  # settled short of the targets
+            infeasible = proved(metric @ gap)
+            if infeasible or soft < 1e-10:
                 break
-            size /= 2
-        prices = tried
-        dual, reached, curve = found
-    met = np.abs(reached - targets) <= near
+            soft, speed, values = soft / 10, 1.0, []
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        path.append((metric @ (ahead - targets), soft, (speed - 1) / faster))
+        speed = faster
     if not met.all():
         missed = ", ".join(f"{n}: {r:.6g} of {t:.6g}" for n, r, t, ok in zip(model.names, reached, targets, met) if not ok)
-        warnings.warn(f"targets {'that no rates can reach together' if infeasible else f'not reached in {passes} steps'}: {missed}")
-    return Mixture(model.names, targets, prices, reached, 1 / (top * (1 + ridge)), soft, start, least, met, infeasible)
+        warnings.warn(f"targets {'that no rates can reach together' if infeasible else f'not reached in {len(path)} steps'}: {missed}")
+    return Mixture(model.names, targets, path, reached, metric, soft, start, least, met, infeasible)
 
 
 def with_rates(rows: DataFrame, mix: Mixture) -> DataFrame:
@@ -342,10 +350,10 @@ def with_rates(rows: DataFrame, mix: Mixture) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def copies(key: Column) -> Column:
-    """How often a row of rate ``_rate`` is emitted."""
-    chance = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), key, F.lit("copies")), 11) / float(1 << 53)
-    return (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long")
+def copies(doc_id: Column, key: Column, rate: Column) -> Column:
+    """How often a row is emitted at ``rate``."""
+    chance = F.shiftrightunsigned(F.xxhash64(doc_id.cast("string"), key, F.lit("copies")), 11) / float(1 << 53)
+    return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def _number(c: Column) -> Column:
@@ -354,7 +362,8 @@ def _number(c: Column) -> Column:
 
 def mixing_table(docs: DataFrame, labels: DataFrame, label: str = "quality", **settings) -> DataFrame:
     """One row per document: its likeliest domain, that posterior, tokens,
-    rate and copies, and the domain's target and reached totals."""
+    rate and copies, the domain's target and reached totals, and whether its
+    target is met."""
     model = fit_domains(docs, labels, label)
     rows = with_posteriors(docs, model)
     mix = fit_rates(rows, model, **settings)
@@ -363,8 +372,9 @@ def mixing_table(docs: DataFrame, labels: DataFrame, label: str = "quality", **s
     at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), best)
     return with_rates(rows, mix).select(
         "doc_id", F.element_at(names, best).alias("domain"), _number(F.array_max("_post")).alias("posterior"),
-        F.col("_tokens").alias("n_tokens"), _number(F.col("_rate")).alias("rate"), copies(F.col("_rid")).alias("copies"),
-        at(mix.targets).alias("domain_target"), at(mix.reached).alias("domain_reached"))
+        F.col("_tokens").alias("n_tokens"), _number(F.col("_rate")).alias("rate"), copies(F.col("doc_id"), F.col("_key"), F.col("_rate")).alias("copies"),
+        at(mix.targets).alias("domain_target"), at(mix.reached).alias("domain_reached"),
+        F.element_at(F.array(*[F.lit(bool(m)) for m in mix.met]), best).alias("domain_met"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, label: str = "quality", **settings) -> DataFrame:
@@ -373,7 +383,7 @@ def mixed(docs: DataFrame, labels: DataFrame, label: str = "quality", **settings
     more, and each row's rate computed beside it, rather than copied or joined."""
     model = fit_domains(docs, labels, label)
     mix = fit_rates(with_posteriors(docs, model), model, **settings)
-    rated = _each(with_row_key(docs), model, [*docs.columns, "_rid"], {"_rate": T.DoubleType()}, lambda n, p: [
-        pa.array(mix.rates(p.astype(np.float32).astype(np.float64)))])
-    return (rated.withColumn("_copies", copies(F.col("_rid"))).filter("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns))
+    rate, many, one = fresh_names(docs, "_rate", "_copies", "_copy")
+    rated = _each(docs, model, docs.columns, {rate: T.DoubleType()}, lambda n, p: [pa.array(mix.rates(p.astype(np.float32)))])
+    return (rated.withColumn(many, copies(F.col("doc_id"), _key(), F.col(rate))).filter(F.col(many) > 0)
+            .withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(many)))).select(*docs.columns))

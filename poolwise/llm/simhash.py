@@ -267,10 +267,11 @@ def without_near_copies(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
         "doc_id", "_tag", (F.col("doc_id").eqNullSafe(F.col("_kd")) & (F.col("_tag") == F.col("_kt"))).alias("same")).distinct()
     other = written(other.select(F.col("doc_id").alias("_d"), F.col("_tag").alias("_g"), "same"), "near-copies")
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tag") == F.col("_g"))
-    left = docs.withColumn("_tag", _tag()).join(other.filter("not same"), match, "left_anti")
+    rows = docs.select("doc_id", _tag(), F.struct("*").alias("_row"))
+    left = rows.join(other.filter("not same"), match, "left_anti")
     repeated = other.filter("same")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    alone = left.join(repeated, match, "left_anti").select(*docs.columns)
-    first = left.join(repeated, match, "left_semi").groupBy("doc_id", "_tag").agg(F.max(F.struct(*docs.columns)).alias("_r"))
-    return alone.unionByName(first.select("_r.*"))
+        return left.select("_row.*")
+    alone = left.join(repeated, match, "left_anti").select("_row")
+    first = left.join(repeated, match, "left_semi").groupBy("doc_id", "_tag").agg(F.max("_row").alias("_row"))
+    return alone.unionByName(first.select("_row")).select("_row.*")

@@ -17,7 +17,7 @@ as it is when the edit applies, and a stop before its start deletes nothing;
 null edits, positions or inserts are none, the text's start and empty; a null
 or empty list changes nothing; very long pre-tokens stay in one block;
 repeated rows are documents of their own; empty tables give empty results;
-other columns are passed through.
+other columns are passed through, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -183,6 +183,7 @@ def _arrays(trees: list[Tree]) -> tuple[pa.Array, pa.Array]:
 def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with the leaves of their trees (``tree_chars``,
     ``tree_tokens``); inner sums follow from the leaves."""
+    docs = docs.drop("tree_chars", "tree_tokens")
     schema = T.StructType([*docs.schema, T.StructField("tree_chars", T.ArrayType(T.LongType())),
                            T.StructField("tree_tokens", T.ArrayType(T.LongType()))])
 
@@ -208,9 +209,9 @@ def apply_edits(state: DataFrame, path: str | None = None) -> DataFrame:
     """Rows of :func:`with_trees` with a list ``edits``, after their edits:
     new text and tree, token counts before and after, and how many pre-tokens
     had to be encoded."""
-    keep = [f for f in state.schema if f.name != "edits"]
-    names = [f.name for f in keep]
     extra = ("tokens_before", "tokens_after", "n_edits", "n_encoded")
+    keep = [f for f in state.schema if f.name not in ("edits", *extra)]
+    names = [f.name for f in keep]
     schema = T.StructType([*keep, *[T.StructField(c, T.LongType()) for c in extra]])
 
     def run(batches):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sample_of_texts, written
+from .common import fresh_names, sample_of_texts, written
 
 DEFAULT_THRESHOLD = 0.7
 BUCKETS = 1 << 15
@@ -251,8 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int
     """Train on at most ``max_rows`` labelled documents of ``max_bytes``
     altogether, half of them toxic if there are so many, drawn by a hash of
     the id from the rows that :func:`held_out` leaves; a fifth of them
-    calibrates the thresholds. Of very long texts only the beginning is read
-    (see :func:`sample_of_texts`). A sample that lost a label is an error."""
+    calibrates the thresholds. Texts are read whole; very long ones come after
+    the others (see :func:`sample_of_texts`). A sample that lost a label is an error."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
@@ -261,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_bytes: int
     known = written(known.join(there, F.col("doc_id") == F.col("_have"), "left_semi"), "toxic-labels")
     half = [known.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(max_rows // 2) for t in (0, 1)]
     drawn = written(half[0].unionByName(half[1]), "toxic-sample").withColumnRenamed("doc_id", "_want")
-    rows = docs.join(drawn, docs["doc_id"] == F.col("_want")).select("doc_id", "text", "lang", "toxic")
+    rows = docs.select("doc_id", "text", "lang").join(drawn, F.col("doc_id") == F.col("_want")).groupBy("doc_id", "toxic").agg(
+        F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang", "toxic")  # of repeated ids one row
     rows = sample_of_texts(rows, F.md5(F.col("doc_id").cast("string")), max_bytes, by="toxic")
     seen, unseen = [], []
     for t in (0, 1):
@@ -315,11 +316,11 @@ class Scorer:
         return part if best is None else np.maximum(best, part)
 
 
-def scored(docs: DataFrame, net: Convnet, carry: bool = False) -> DataFrame:
-    """doc_id and lang (with ``carry``, all columns) and ``_score``."""
+def scored(docs: DataFrame, net: Convnet, carry: bool = False, name: str = "_score") -> DataFrame:
+    """doc_id and lang (with ``carry``, all columns) and the score ``name``."""
     rows = docs if carry else docs.select("doc_id", "lang", "text")
     keep = [f for f in rows.schema if carry or f.name != "text"]
-    schema = T.StructType([*keep, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*keep, T.StructField(name, T.DoubleType())])
     names = [f.name for f in keep]
 
     def run(batches):
@@ -328,7 +329,7 @@ def scored(docs: DataFrame, net: Convnet, carry: bool = False) -> DataFrame:
             pooled = [scorer.pooled(t.as_py()) for t in batch.column("text")]
             score = net.score(np.array(pooled)) if pooled else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(score, pa.float64())],
-                                             names=[*names, "_score"])
+                                             names=[*names, name])
 
     return rows.mapInArrow(run, schema)
 
@@ -353,4 +354,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> DataFr
 def without_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> DataFrame:
     """``docs`` without those at or above their language's threshold."""
     net = fit(docs, labels, max_rows)
-    return scored(docs, net, carry=True).filter(F.col("_score") < _threshold(net)).select(*docs.columns)
+    name, = fresh_names(docs, "_score")
+    return scored(docs, net, carry=True, name=name).filter(F.col(name) < _threshold(net)).select(*docs.columns)

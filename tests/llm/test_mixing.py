@@ -47,22 +47,38 @@ def test_rates_reach_targets_and_match_a_dense_solver(spark):
     model = mx.fit_domains(docs, labels)
     table = mx.with_posteriors(docs, model)
     shares = dict(zip(model.names, np.arange(1, len(model.names) + 1) / sum(range(1, len(model.names) + 1))))
-    mix = mx.fit_rates(table, model, shares, steps=80, tolerance=1e-5)
+    mix = mx.fit_rates(table, model, shares, steps=400, tolerance=1e-5)
     got = table.select("_tokens", "_post").collect()
     t, p = np.array([r[0] for r in got], float), np.array([r[1] for r in got], float)
     r = mix.rates(p)
     assert (r >= 0).all()
     assert np.allclose((r * t) @ p, mix.reached, rtol=1e-6)
     assert np.abs(mix.reached - mix.targets).max() < 0.02 * mix.targets.sum()
-    # the same problem, plain projected gradient over all rows at once
-    weight = 1 / np.maximum(mix.targets, 1e-6 * (t @ p).sum()) ** 2 * (t @ p).sum()
+    # the same problem, plain steps without momentum over all rows at once
+    slope = lambda s: p @ (mix.metric @ ((s * t) @ p - mix.targets)) + mix.ridge * (s - mix.start)
     s = np.full(len(t), mix.start)
     for _ in range(20_000):
-        s = np.maximum(0, s - mix.step * (p @ (weight * ((s * t) @ p - mix.targets)) + mix.ridge * (s - mix.start)))
-    gap = lambda r: (weight * ((r * t) @ p - mix.targets) ** 2).sum() / 2 + mix.ridge / 2 * (t * (r - mix.start) ** 2).sum()
+        s = np.maximum(0, s - slope(s) / (1 + mix.ridge))
+    miss = lambda r: (r * t) @ p - mix.targets
+    gap = lambda r: miss(r) @ mix.metric @ miss(r) / 2 + mix.ridge / 2 * (t * (r - mix.start) ** 2).sum()
     assert gap(r) <= gap(s) * 1.05 + 1e-6
 
 
+def test_copies_do_not_hang_on_the_layout(spark):
+    rows = rows_of(120, 8) + [(7, "zweimal", "de", 1)] * 2 + [(None, None, None, 1)]
+    docs, labels = frames(spark, rows)
+    model = mx.fit_domains(docs, labels)
+    seen = []
+    for n in (2, 7):
+        laid = docs.repartition(n)
+        out = mx.mixing_table(laid, labels).collect()
+        seen.append(sorted((r.doc_id or -1, r.n_tokens, r.copies, r.domain_met) for r in out))
+        mixed = mx.mixed(laid, labels, least=0.5).collect()
+        seen.append(sorted((r.doc_id or -1, r.text or "") for r in mixed))
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    assert len(model.names) > 1
+
+
 def test_least_keeps_every_row(spark):
     rows = rows_of(200, 3) + [(None, None, None, 1), (7, "", "en", 1), (7, "", "en", 1)]
     docs, labels = frames(spark, rows)
