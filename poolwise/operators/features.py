@@ -1,24 +1,63 @@
 """Per-item feature assembly from long-form stores.
 
-Every lookup is an equi join on a key computed first (never an OR join):
-text by item id, audio by the first material's source, motion by the
-conditional motion key, frames by the clip range join. Output stays long:
+The modalities are declared (:class:`Modality`), and the plan is built from the
+declarations. Every lookup is an equi join on a key computed first (never an OR
+join); by default text by item id, audio by the first material's source, motion
+by the conditional motion key, frames by the clip range join. Output stays long:
 ``(video_id, modality, pos, value…, mask)``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import audio_key, motion_key
 from ..sources.store import BucketedStore
-from .sequences import (AUDIO_LEN, FRAME_LEN, fixed_length_fetch, parse_clips, sampled_clip_frames, sequence_proof,
-                        whole_fetch)
+from .sequences import (AUDIO_LEN, FRAME_LEN, fixed_length_fetch, head_fetch, parse_clips, sampled_clip_frames,
+                        sequence_proof, whole_fetch)
 
-MODALITIES = ("text", "audio", "frames", "motion")
+#: How a modality's stored sequence becomes its rows: every row; a fixed length
+#: by stride sampling or by its first rows, padded with zeros; or the frames of
+#: an item's clips, cut out of their sources and stride-sampled.
+SAMPLING = ("whole", "stride", "head", "clips")
+
+
+@dataclass(frozen=True)
+class Modality:
+    """What one modality is made of (J3). ``key`` says which sequence of the
+    store an item reads: a column name, or a function of no arguments that gives
+    a Column; for ``clips`` it is the column with the list of clip references.
+    ``length`` is the fixed number of rows (none for ``whole``)."""
+    name: str
+    store: str
+    key: str | Callable[[], Column]
+    how: str = "stride"
+    length: int | None = None
+
+    def __post_init__(self):
+        if self.how not in SAMPLING:
+            raise ValueError(f"{self.name}: {self.how!r} is none of {', '.join(SAMPLING)}")
+        if (self.length is None) != (self.how == "whole") or (self.length is not None and self.length < 1):
+            raise ValueError(f"{self.name}: a length goes with every sampling but 'whole'")
+        if self.how == "clips" and not isinstance(self.key, str):
+            raise ValueError(f"{self.name}: the clips are a column")
+
+    def column(self) -> Column:
+        return F.col(self.key) if isinstance(self.key, str) else self.key()
+
+
+def default_modalities(id_col: str = "video_id", materials: str = "visual_materials") -> tuple[Modality, ...]:
+    """The published set: text as stored, 50 audio rows, 83 frames cut by clips
+    and 83 motion rows."""
+    return (Modality("text", "text", id_col, "whole"), Modality("audio", "audio", lambda: audio_key(materials), "stride", AUDIO_LEN),
+            Modality("frames", "frames", materials, "clips", FRAME_LEN), Modality("motion", "motion", lambda: motion_key(id_col), "stride", FRAME_LEN))
+
+
+MODALITIES = tuple(m.name for m in default_modalities())
 
 
 def item_keys(items: DataFrame, id_col: str = "video_id",
@@ -28,51 +67,62 @@ def item_keys(items: DataFrame, id_col: str = "video_id",
                         audio_key(materials).alias("audio_key"), motion_key(id_col).alias("motion_key"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def missing_features(items: DataFrame, stores: dict[str, DataFrame], id_col: str = "video_id",
-                     materials: str = "visual_materials", key: str = "key") -> DataFrame:
+                     materials: str = "visual_materials", key: str = "key",
+                     modalities: Sequence[Modality] | None = None) -> DataFrame:
     """video_id, modality, missing_key for every lookup that finds nothing
     (the reference dies on the first one). Anti joins against the distinct
     store keys, which a bucketed store has at hand."""
     spark = items.sparkSession
     have_keys = lambda s: s.lengths(spark).select(key) if isinstance(s, BucketedStore) else s.select(key).distinct()
-    keys = item_keys(items, id_col, materials)
-    out = None
-    lookups = {"text": "text_key", "audio": "audio_key", "motion": "motion_key"}
-    for mod, col in lookups.items():
-        have = have_keys(stores[mod]).withColumnRenamed(key, col)
-        miss = keys.join(have, col, "left_anti").select(id_col, F.lit(mod).alias("modality"),
-                                                        F.col(col).alias("missing_key"))
-        out = miss if out is None else out.unionByName(miss)
-    mats = items.select(id_col, F.explode_outer(materials).alias("clip"))
-    parsed = parse_clips(mats.filter(F.col("clip").isNotNull()))
-    srcs = parsed.filter("valid").select(id_col, F.col("src").alias("missing_key"))
-    have = have_keys(stores["frames"]).withColumnRenamed(key, "missing_key")
-    miss = srcs.join(have, "missing_key", "left_anti").select(id_col, F.lit("frames").alias("modality"),
-                                                               "missing_key").distinct()
-    # a malformed clip or an empty material list fails the reference's frame
-    # loop: report it so the item fails or is quarantined, never half-built
-    bad = (parsed.filter(~F.col("valid")).select(id_col, F.col("clip").alias("missing_key"))
-           .unionByName(mats.filter(F.col("clip").isNull()).select(id_col, F.lit("").alias("missing_key")))
-           .select(id_col, F.lit("clip").alias("modality"), "missing_key"))
-    return out.unionByName(miss).unionByName(bad)
+    parts = []
+    for m in modalities or default_modalities(id_col, materials):
+        have = have_keys(stores[m.store]).withColumnRenamed(key, "missing_key")
+        if m.how != "clips":
+            asked = items.select(F.col(id_col), F.lit(m.name).alias("modality"), m.column().alias("missing_key"))
+            parts.append(asked.join(have, "missing_key", "left_anti").select(id_col, "modality", "missing_key"))
+            continue
+        mats = items.select(id_col, F.explode_outer(m.key).alias("clip"))
+        parsed = parse_clips(mats.filter(F.col("clip").isNotNull()))
+        srcs = parsed.filter("valid").select(id_col, F.col("src").alias("missing_key"))
+        parts.append(srcs.join(have, "missing_key", "left_anti").select(id_col, F.lit(m.name).alias("modality"), "missing_key").distinct())
+        # a malformed clip or an empty material list fails the reference's frame
+        # loop: report it so the item fails or is quarantined, never half-built
+        parts.append(parsed.filter(~F.col("valid")).select(id_col, F.col("clip").alias("missing_key"))
+                     .unionByName(mats.filter(F.col("clip").isNull()).select(id_col, F.lit("").alias("missing_key")))
+                     .select(id_col, F.lit("clip").alias("modality"), "missing_key"))
+    return _union(parts)
 
 
 def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols: Sequence[str] = ("x",),
                      id_col: str = "video_id", materials: str = "visual_materials",
-                     key: str = "key", pos: str = "pos", on_missing: str = "fail") -> DataFrame:
-    """All four modalities of each item in long form. Text keeps its stored
-    length; audio is fixed to 50 rows, frames and motion to 83 (stride
-    sampling / zero padding with a mask). ``on_missing='fail'`` raises like
-    the reference when any lookup misses; ``'quarantine'`` drops such items. A
-    sequence with gaps or repeats raises when it is read, or takes the items
-    that read it out. A store is a DataFrame or a :class:`BucketedStore`, whose
-    vectors stay where they lie."""
-    vc = list(value_cols)
+                     key: str = "key", pos: str = "pos", on_missing: str = "fail",
+                     modalities: Sequence[Modality] | None = None) -> DataFrame:
+    """The ``modalities`` of each item in long form (default: the published
+    four). The plan follows from their declarations: whole sequences are looked
+    up, fixed lengths are sampled from sequence lengths alone and only the kept
+    rows are fetched, short ones are padded with zeros (mask 0).
+    ``on_missing='fail'`` raises like the reference when any lookup misses;
+    ``'quarantine'`` drops such items. A sequence with gaps or repeats raises
+    when it is read, or takes the items that read it out. A store is a DataFrame
+    or a :class:`BucketedStore`, whose vectors stay where they lie."""
+    vc, specs = list(value_cols), list(modalities or default_modalities(id_col, materials))
     if on_missing not in ("fail", "quarantine"):
         raise ValueError(on_missing)
+    if len({m.name for m in specs}) < len(specs) or not specs:
+        raise ValueError("modalities need names of their own")
+    if absent := sorted({m.store for m in specs} - set(stores)):
+        raise ValueError(f"no store named {', '.join(absent)}")
+    stores = {m.store: stores[m.store] for m in specs}
     if on_missing == "fail":
-        miss = missing_features(items, stores, id_col, materials, key)
-        bad = miss.limit(1).collect()
+        bad = missing_features(items, stores, id_col, materials, key, specs).limit(1).collect()
         if bad:
             raise KeyError(f"missing {bad[0]['modality']} features for {bad[0][id_col]!r} "
                            f"(key {bad[0]['missing_key']!r})")
@@ -81,38 +131,29 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
         proofs = {id(s): s for s in stores.values() if not isinstance(s, BucketedStore)}  # modalities may share a store
         sound = {i: s.join(sequence_proof(s.select(key, pos), key, pos).filter("dense").select(key), key, "left_semi") for i, s in proofs.items()}
         stores = {m: sound.get(id(s), s) for m, s in stores.items()}
-        miss = missing_features(items, stores, id_col, materials, key)
+        miss = missing_features(items, stores, id_col, materials, key, specs)
         items = items.join(miss.select(id_col).distinct(), id_col, "left_anti")
-    keys = item_keys(items, id_col, materials)
     spark = items.sparkSession
-    lengths = {m: s.lengths(spark) if isinstance(s, BucketedStore) else None for m, s in stores.items()}
-    rows = {m: s.rows(spark) if isinstance(s, BucketedStore) else s for m, s in stores.items()}
-
-    def asked(col: str) -> DataFrame:
-        return keys.select(F.col(id_col).alias(key), F.col(col).alias("lookup"))
-
-    def fetch(mod: str, col: str, length: int) -> DataFrame:
-        return fixed_length_fetch(asked(col), rows[mod], length, vc, key=key, lookup="lookup", pos=pos, lengths=lengths[mod])
-
-    # text keeps its stored length; the other modalities are sampled from
-    # lengths first and only the kept rows are fetched
-    if lengths["text"] is None:
-        st = rows["text"].withColumnRenamed(key, "text_key")
-        text = keys.select(id_col, "text_key").join(st, "text_key").select(F.col(id_col).alias(key), pos, *vc)
-    else:
-        text = whole_fetch(asked("text_key"), rows["text"], lengths["text"], vc, key=key, pos=pos)
-    text = text.withColumn("mask", F.lit(1))
-    audio = fetch("audio", "audio_key", AUDIO_LEN)
-    motion = fetch("motion", "motion_key", FRAME_LEN)
-    clips = items.select(id_col, F.posexplode(materials).alias("_mp", "clip"))
-    frames = sampled_clip_frames(clips, rows["frames"], FRAME_LEN, vc, item_col=id_col, order_col="_mp", clip_col="clip",
-                                 key=key, pos=pos, on_bad="checked", lengths=lengths["frames"])
-    parts = [(m, df) for m, df in zip(MODALITIES, (text, audio, frames, motion))]
-    out = None
-    for mod, df in parts:
-        d = df.select(F.col(key).alias(id_col), F.lit(mod).alias("modality"), pos, *vc, "mask")
-        out = d if out is None else out.unionByName(d)
-    return out
+    lengths = {n: s.lengths(spark) if isinstance(s, BucketedStore) else None for n, s in stores.items()}
+    rows = {n: s.rows(spark) if isinstance(s, BucketedStore) else s for n, s in stores.items()}
+
+    def built(m: Modality) -> DataFrame:
+        store, known = rows[m.store], lengths[m.store]
+        if m.how == "clips":
+            clips = items.select(id_col, F.posexplode(m.key).alias("_mp", "clip"))
+            return sampled_clip_frames(clips, store, m.length, vc, item_col=id_col, order_col="_mp", clip_col="clip",
+                                       key=key, pos=pos, on_bad="checked", lengths=known)
+        asked = items.select(F.col(id_col).alias(key), m.column().alias("lookup"))
+        if m.how == "stride":
+            return fixed_length_fetch(asked, store, m.length, vc, key=key, lookup="lookup", pos=pos, lengths=known)
+        if m.how == "head":
+            return head_fetch(asked, store, m.length, vc, key=key, lookup="lookup", pos=pos, lengths=known)
+        if known is not None:
+            return whole_fetch(asked, store, known, vc, key=key, pos=pos).withColumn("mask", F.lit(1))
+        found = asked.join(store.withColumnRenamed(key, "lookup"), "lookup")
+        return found.select(key, pos, *vc).withColumn("mask", F.lit(1))
+
+    return _union([built(m).select(F.col(key).alias(id_col), F.lit(m.name).alias("modality"), pos, *vc, "mask") for m in specs])
 
 
 def sequence_mean_pool(seq: DataFrame, by: Sequence[str] = ("key",), vec: str = "vec",

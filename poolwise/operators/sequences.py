@@ -226,6 +226,20 @@ def fixed_length_fetch(keys: DataFrame, store: DataFrame, length: int, value_col
     return _pad_from_lengths(real, lens.select(key, "n"), length, {c: _zero(store, c) for c in vals}, key, pos)
 
 
+def head_fetch(keys: DataFrame, store: DataFrame, length: int, value_cols: Sequence[str], key: str = "key", lookup: str = "lookup",
+               pos: str = "pos", on_bad: str = "fail", lengths: DataFrame | None = None) -> DataFrame:
+    """The first ``length`` rows of the sequences that ``keys`` look up, padded
+    and masked; like :func:`fixed_length_fetch` without a stride."""
+    vals = list(value_cols)
+    n = (proved_lengths(store.select(key, pos), key, pos, on_bad) if lengths is None else lengths).select(F.col(key).alias(lookup), "n")
+    lens = keys.select(key, lookup).join(n, lookup)
+    last = F.least(F.col("n"), F.lit(length)).cast("int") - 1
+    want = lens.select(key, lookup, F.explode(F.sequence(F.lit(0), last)).alias("_src_pos"))
+    fr = store.select(F.col(key).alias(lookup), F.col(pos).cast("int").alias("_src_pos"), *vals)
+    real = want.join(fr, [lookup, "_src_pos"]).select(key, F.col("_src_pos").alias(pos), *vals)
+    return _pad_from_lengths(real, lens.select(key, "n"), length, {c: _zero(store, c) for c in vals}, key, pos)
+
+
 def whole_fetch(keys: DataFrame, store: DataFrame, lengths: DataFrame, value_cols: Sequence[str], key: str = "key",
                 lookup: str = "lookup", pos: str = "pos") -> DataFrame:
     """Every row of the sequences that ``keys`` (key, lookup) look up, by

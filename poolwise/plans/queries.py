@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.ids import audio_key, fabrication_fields, motion_key
 from ..operators import features as feat
 from ..operators import folds as fo
+from ..operators import gate
 from ..operators import metrics as me
 from ..operators import pool as po
 from ..operators import sequences as sq
@@ -446,6 +447,27 @@ def q_bucketed_assemble(spark, sf):
     return finish(out.select("video_id", "modality", "pos", "x", "mask"))
 
 
+@query("assemble_two_modalities", sql_out(
+    "SELECT p.key AS video_id, 'cover' AS modality, p.pos, p.x, p.mask FROM cover_fx p "
+    "UNION ALL SELECT k.video_id, 'opening', s.pos, s.x, 1 FROM keys k JOIN fx_seq s ON s.key = k.audio_key AND s.pos < 12 "
+    "UNION ALL SELECT k.video_id, 'opening', CAST(unnest(generate_series(n.n, 11)) AS INTEGER), 0.0, 0 FROM keys k "
+    "JOIN (SELECT key, count(*) AS n FROM fx_seq GROUP BY key) n ON n.key = k.audio_key WHERE n.n < 12",
+    [("video_id", "s"), ("modality", "s"), ("pos", "i"), ("x", "d"), ("mask", "i")],
+    _with(fx.FX_MANIFEST_SQL, fx.FX_SEQ_SQL, _STORES_SQL, _ASSEMBLE_SQL) + """,
+cover_raw AS (SELECT k.video_id AS key, t.pos, t.x FROM keys k JOIN motion_store t ON t.key = split_part(k.video_id, '_', 1)),""" +
+    _fixed_sql("cover_fx", "cover_raw", 7)))
+def q_assemble_two_modalities(spark, sf):
+    """Another declaration than the published four: 7 rows sampled from the
+    seed item's motion, and the first 12 rows of the first material's audio."""
+    from ..functions.ids import seed_id
+    specs = (feat.Modality("cover", "motion", lambda: seed_id("video_id"), "stride", 7),
+             feat.Modality("opening", "sound", lambda: audio_key("visual_materials"), "head", 12))
+    s = _stores(spark, sf)
+    items, stores = fx.fx_manifest(spark, sf), {"motion": s["motion"], "sound": s["audio"]}
+    out = feat.feature_assemble(items, stores, ["x"], modalities=specs, on_missing="quarantine")
+    return finish(out.select("video_id", "modality", "pos", "x", "mask"))
+
+
 @query("missing_features", sql_out(
     "SELECT k.video_id, 'text' AS modality, k.video_id AS missing_key FROM keys k "
     "WHERE k.video_id NOT IN (SELECT key FROM human_text_store) "
@@ -1211,3 +1233,12 @@ def q_voted_ids_sink(spark, sf):
         return finish(v)
     a = io.read_version(spark, accepted).select(F.lit("accepted").alias("kind"), "fold", "iteration", "video_id")
     return finish(v.unionByName(a))
+
+
+@query("quality_gate_learned")
+def q_quality_gate_learned(spark, sf):
+    """All documents decided: labelled ones by their label, the others by a
+    classifier learned from the labelled ones. (Not SQL; tested on held-out
+    rows.)"""
+    out = gate.learned_gate(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+    return finish(out.select("doc_id", "decided_by", "kept", "score"))
