@@ -328,8 +328,10 @@ def turns(decoded: DataFrame, part: int = PART) -> DataFrame:
     rows = placed.groupBy("conv_id", "turn", "part").agg(
         F.first("role").alias("role"), F.count(F.lit(1)).alias("n_lines"),
         F.array_sort(F.collect_list(F.struct("n", "body"))).alias("lines"))
-    last = Window.partitionBy("conv_id", "turn")
-    rows = rows.withColumn("_last", F.max("part").over(last))
+    # narrow rows say which part is a turn's last; the lines stay spread by part
+    lasts = placed.filter("part > 0").groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).agg(F.max("part").alias("_p"))
+    rows = rows.join(lasts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("_t")), "left").withColumn(
+        "_last", F.coalesce("_p", F.lit(0)))
     text = F.array_join(F.col("lines.body"), "\n")
     text = F.when(F.col("part") == 0, F.regexp_replace(text, r"^\n+", "")).otherwise(F.concat(F.lit("\n"), text))
     text = F.when(F.col("part") == F.col("_last"), F.regexp_replace(text, r"\n+$", "")).otherwise(text)
