@@ -28,6 +28,8 @@ from .oracle_al import BASE as AL_BASE, f1_expr, iterative_round_sql, loop_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries that SQL can't express, each with tests of its own.
+ROWS_ONLY = {"quality_gate_learned"}
 
 
 def query(name: str, sql: str | None = None):
