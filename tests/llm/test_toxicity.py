@@ -113,12 +113,14 @@ def test_a_very_long_text_does_not_end_the_sample(spark):
     df = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id long, text string, toxic int")
     first = df.orderBy(order).first().doc_id
     long = df.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("éx "), 100_000)).otherwise(F.col("text")))
+    plain = {r[0]: r[1] for r in rows}
     got = sample_of_texts(long, order, 200_000, by="toxic")
-    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    assert {r.doc_id: r.text for r in got} == {i: t for i, t in plain.items() if i != first}  # whole texts only, and all that fit
     assert sum(len((r.text or "").encode()) for r in got) <= 200_000
-    assert {r.doc_id: r.text for r in got if r.doc_id != first} == {r[0]: r[1] for r in rows if r[0] != first}
-    piece = next(r.text for r in got if r.doc_id == first)
-    assert piece and ("éx " * 100_000).startswith(piece)
+    got = sample_of_texts(long, order, 2_000_000, by="toxic")
+    assert {r.doc_id: r.text for r in got} == {**plain, first: "éx " * 100_000}
+    alone = sample_of_texts(long.filter(F.col("doc_id") == first), order, 1000)
+    assert [r.text for r in alone] == ["éx " * 100_000]  # a group is never left without a row
 
 
 def test_training_with_a_very_long_first_text(spark):
