@@ -309,6 +309,29 @@ def head_pad(seq: DataFrame, length: int, value_cols: Sequence[str], keys: DataF
     return head.unionByName(pads)
 
 
+def frame_similarity(seq: DataFrame, key: str = "key", pos: str = "pos", vec: str = "vec") -> DataFrame:
+    """(key, pos, _pid, _head, _near): the range partition of each frame
+    (partitions are ordered by (key, pos)), whether it is its key's first, and
+    its cosine similarity to the frame before it (null for the first and where
+    a vector is missing). Vectors move once."""
+    from ..session import cut_lineage
+    order = [F.col(key).asc_nulls_first(), F.col(pos).asc()]
+    ranged = seq.select(key, pos, vec).repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)
+    w = Window.partitionBy("_pid").orderBy(*order)  # one range partition
+    near = ranged.withColumn("_prev", F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), F.lag(vec).over(w))) \
+        .withColumn("_first", F.row_number().over(w) == 1).withColumn("_turn", ~F.lag(key).over(w).eqNullSafe(F.col(key)))
+    edge = ranged.groupBy("_pid").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(vec).alias("v")),
+                                               F.struct(F.col(key), F.col(pos))).alias("_last"))
+    before = Window.orderBy("_pid")  # a row per range partition
+    edge = edge.select(F.col("_pid").alias("_epid"), F.lag("_last").over(before).alias("_edge"))
+    j = near.join(edge, F.col("_pid") == F.col("_epid"))
+    goes_on = F.col("_edge").isNotNull() & F.col("_edge.k").eqNullSafe(F.col(key))
+    prev = F.when(F.col("_first") & goes_on, F.col("_edge.v")).otherwise(F.col("_prev"))
+    head = F.when(F.col("_first"), ~goes_on).otherwise(F.col("_turn"))
+    return j.select(key, pos, "_pid", head.alias("_head"), F.when(prev.isNotNull(), cosine(F.col(vec), prev)).alias("_near"))
+
+
 def shot_segments(seq: DataFrame, threshold: float, key: str = "key", pos: str = "pos",
                   vec: str = "vec") -> DataFrame:
     """Cut a frame sequence where the cosine similarity to the previous frame
@@ -321,22 +344,10 @@ def shot_segments(seq: DataFrame, threshold: float, key: str = "key", pos: str =
     per partition). Everything after works on (key, pos, cut) rows: segment
     numbers and ends are running totals and ranks of narrow rows. A key holding
     a third of all frames is spread over every task."""
-    from ..session import cut_lineage
     from .ranking import rank_within
-    order = [F.col(key).asc_nulls_first(), F.col(pos).asc()]
-    ranged = seq.select(key, pos, vec).repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    w = Window.partitionBy("_pid").orderBy(*order)  # one range partition
-    near = ranged.withColumn("_prev", F.when(F.lag(key).over(w).eqNullSafe(F.col(key)), F.lag(vec).over(w))) \
-        .withColumn("_first", F.row_number().over(w) == 1)
-    edge = ranged.groupBy("_pid").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(vec).alias("v")),
-                                               F.struct(F.col(key), F.col(pos))).alias("_last"))
-    before = Window.orderBy("_pid")  # a row per range partition
-    edge = edge.select(F.col("_pid").alias("_epid"), F.lag("_last").over(before).alias("_edge"))
-    j = near.join(edge, F.col("_pid") == F.col("_epid"))
-    prev = F.when(F.col("_first") & F.col("_edge.k").eqNullSafe(F.col(key)), F.col("_edge.v")).otherwise(F.col("_prev"))
-    cut = prev.isNull() | (cosine(F.col(vec), prev) < F.lit(threshold))
-    marks = j.select(key, F.col(pos), cut.alias("_cut"))
+    near = frame_similarity(seq, key, pos, vec)
+    cut = F.col("_near").isNull() | (F.col("_near") < F.lit(threshold))
+    marks = near.select(key, F.col(pos), cut.alias("_cut"))
     r = rank_within(marks, [F.col(pos).asc()], by=[key], name="_rk", size_name="_n")
     cuts = r.filter("_cut").select(key, "_rk", F.col(pos).alias("start_pos"), "_n")
     seg = rank_within(cuts, [F.col("_rk").asc()], by=[key], name="_seg")

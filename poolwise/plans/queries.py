@@ -20,6 +20,7 @@ from ..operators import pool as po
 from ..operators import sequences as sq
 from ..operators import stats as st
 from ..operators import training as tr
+from ..operators import transitions as ts
 from ..session import read_table, scratch_path
 from ..sources import io, store
 from . import active_learning as al
@@ -568,6 +569,44 @@ def q_shot_segments(spark, sf):
     return finish(sq.shot_segments(e, 0.1).select("key", "segment", "start_pos", "end_pos", "n_frames", "clip"))
 
 
+_TRANSITIONS_SQL = """WITH RECURSIVE frames AS (
+    SELECT CAST(label AS VARCHAR) AS key, vec_id AS pos, CAST(embedding AS DOUBLE[]) AS vec,
+      row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n,
+      lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS prev
+    FROM embeddings),
+  steps AS (
+    SELECT key, pos, rn, n, CASE WHEN rn = 1 THEN 0 ELSE CAST(round((1 - list_inner_product(vec, prev)
+      / greatest(sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(prev, prev)), 1e-8)) * 1000000) AS BIGINT) END AS q
+    FROM frames),
+  walk AS (
+    SELECT key, rn, n, 0 AS wait, CAST(NULL AS BIGINT) AS st, CAST(NULL AS BIGINT) AS en, CAST(0 AS BIGINT) AS total,
+      CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS start_pos, CAST(NULL AS BIGINT) AS end_pos, CAST(0 AS BIGINT) AS strength
+    FROM steps WHERE rn = 1
+    UNION ALL
+    SELECT s.key, s.rn, s.n,
+      CASE WHEN w.wait > 0 THEN w.wait - 1 WHEN s.q >= {high} THEN {rest} WHEN s.q >= {low} THEN 0 WHEN w.total >= {high} THEN {rest} ELSE 0 END,
+      CASE WHEN w.wait = 0 AND s.q >= {low} AND s.q < {high} THEN coalesce(w.st, s.pos) END,
+      CASE WHEN w.wait = 0 AND s.q >= {low} AND s.q < {high} THEN s.pos END,
+      CASE WHEN w.wait = 0 AND s.q >= {low} AND s.q < {high} THEN w.total + s.q ELSE 0 END,
+      CASE WHEN w.wait > 0 THEN NULL WHEN s.q >= {high} THEN 'cut' WHEN s.q < {low} AND w.total >= {high} THEN 'gradual' END,
+      CASE WHEN s.q >= {high} THEN s.pos ELSE w.st END, CASE WHEN s.q >= {high} THEN s.pos ELSE w.en END,
+      CASE WHEN s.q >= {high} THEN s.q ELSE w.total END
+    FROM walk w JOIN steps s ON s.key = w.key AND s.rn = w.rn + 1)
+  SELECT key, kind, start_pos, end_pos, strength FROM walk WHERE kind IS NOT NULL
+  UNION ALL SELECT key, 'gradual', st, en, total FROM walk WHERE rn = n AND total >= {high}"""
+
+
+@query("shot_transitions", sql_out(
+    _TRANSITIONS_SQL.format(low=900_000, high=1_150_000, rest=2),
+    [("key", "s"), ("kind", "s"), ("start_pos", "i"), ("end_pos", "i"), ("strength", "i")]))
+def q_shot_transitions(spark, sf):
+    """Cuts and gradual transitions by two thresholds (0.9 and 1.15 of 1 - cosine), two frames at rest after each."""
+    e = read_table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("key"),
+                                                  F.col("vec_id").alias("pos"),
+                                                  F.col("embedding").cast("array<double>").alias("vec"))
+    return finish(ts.shot_transitions(e, 0.9, 1.15, rest=2))
+
+
 # ---------------------------------------------------------------------------
 # D. aggregations
 
