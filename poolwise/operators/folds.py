@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import ntile_of_rank, rank_within
+from .selection import select_first
 
 DEFAULT_SEED = 2025
 
@@ -55,19 +56,22 @@ def random_sample(df: DataFrame, n: int, seed: int = DEFAULT_SEED, id_col: str =
                   by: Sequence[str] = ()) -> DataFrame:
     """Random-selection baseline: the first ``n`` rows of the seeded shuffle
     (per ``by`` group when given). Globally a top-n (TakeOrderedAndProject);
-    per group a two-level rank, since ``n`` may be a share of the pool and
-    groups are few; pass narrow rows."""
+    per group a selection by histograms, since ``n`` may be a share of the pool
+    and groups are few; pass narrow rows."""
     keyed = df.withColumn("_h", hash_key(seed, *by, id_col))
     if not by:
         return keyed.orderBy("_h", id_col).limit(n).drop("_h")
-    ranked = rank_within(keyed, [F.col("_h").asc(), F.col(id_col).asc()], by=by, name="_rn", groups_bounded=True)
-    return ranked.filter(F.col("_rn") <= n).select(*df.columns)
+    return select_first(keyed, _leading(F.col("_h")), ["_h", id_col], by, k=n).select(*df.columns)
+
+
+def _leading(h: Column) -> Column:
+    """The first 52 bits of a hexadecimal hash, as a number of the same order."""
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
 
 
 def drop_half(selected: DataFrame, seed: int = DEFAULT_SEED, id_col: str = "video_id",
               by: Sequence[str] = ("fold", "iteration")) -> DataFrame:
-    """A seeded ``len // 2`` of each group's selection, by a two-level rank (a
-    selection may be a share of the pool)."""
+    """A seeded ``len // 2`` of each group's selection (which may be a share of
+    the pool), chosen by histograms of the hash."""
     keyed = selected.withColumn("_h", hash_key(seed, *by, id_col))
-    ranked = rank_within(keyed, [F.col("_h").asc(), F.col(id_col).asc()], by=by, name="_rn", size_name="_n", groups_bounded=True)
-    return ranked.filter(F.col("_rn") <= F.floor(F.col("_n") / 2)).select(*selected.columns)
+    return select_first(keyed, _leading(F.col("_h")), ["_h", id_col], by, share=0.5).select(*selected.columns)

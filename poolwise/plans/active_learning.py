@@ -50,7 +50,8 @@ from ..operators.epochs import CLASSES, EpochParams, fit_epochs, training_rows,
 from ..operators.folds import drop_half, kfold
 from ..operators.metrics import binary_metrics, confusion_counts, metrics_from_counts
 from ..operators.pool import generated_pool
-from ..operators.similarity import PackedPool, best_anchors, draw_pivots, pack_pool, top_fraction, top_ranked
+from ..operators.selection import select_first
+from ..operators.similarity import PackedPool, best_anchors, draw_pivots, pack_pool
 from ..operators.training import (add_sums, centroids_from_sums, class_sums, kfold_sums,
                                   map_vectors, model_wide, score_centroids, with_prediction)
 from ..session import FoldTables, cut_lineage, release, scratch_scope
@@ -263,15 +264,14 @@ def val_scores(data: ALData, model: DataFrame) -> DataFrame:
 
 
 def anchor_ids(scores: DataFrame, cfg: ALConfig) -> DataFrame:
-    """fold, video_id, entropy, rank: the ``floor(0.3 n)`` most uncertain ids
+    """fold, video_id, entropy: the ``floor(0.3 n)`` most uncertain ids
     of each fold (an id with several rows counts once)."""
     per_id = scores.groupBy("fold", "video_id").agg(F.max("entropy").alias("entropy"))
-    return top_fraction(per_id, cfg.anchor_share, [F.col("entropy").desc(), F.col("video_id").asc()],
-                        by=["fold"], groups_bounded=True)
+    return select_first(per_id, F.col("entropy"), ["video_id"], ["fold"], share=cfg.anchor_share, descending=True)
 
 
 def round_anchors(data: ALData, sums: DataFrame, cfg: ALConfig, scores: DataFrame | None = None) -> DataFrame:
-    """The anchors with their vectors: ranked narrow, joined after."""
+    """The anchors with their vectors: selected narrow, joined after."""
     ids = anchor_ids(val_scores(data, sums) if scores is None else scores, cfg)
     return ids.join(data.val_ids, ["fold", "video_id"])
 
@@ -380,8 +380,8 @@ def al_round(data: ALData, cur: Current, iteration: int, cfg: ALConfig,
         anchors, sims = similarities(data, cur, cfg)
         cur = replace(cur, anchors=anchors, sims=sims, stale=frozenset())
         open_ids = sims.frame(folds).join(cur.state.select("fold", "video_id"), ["fold", "video_id"], "left_anti")
-        selected = top_ranked(open_ids.select("fold", "video_id", "similarity"), data.k,
-                              [F.col("similarity").desc(), F.col("video_id").asc()], by=["fold"])
+        selected = select_first(open_ids.select("fold", "video_id", "similarity"), F.col("similarity"), ["video_id"], ["fold"],
+                                k=data.k, descending=True)
         selected = cut_lineage(selected.withColumn("iteration", F.lit(iteration)))
         new_model = cut_lineage(data.head.fit(data, cur, selected, folds))
         new_scores = FoldTables.write(val_scores(data, new_model), "scores")

@@ -21,6 +21,7 @@ from ..operators import sequences as sq
 from ..operators import stats as st
 from ..operators import training as tr
 from ..operators import transitions as ts
+from ..operators.ranking import rank_within
 from ..session import read_table, scratch_path
 from ..sources import io, store
 from . import active_learning as al
@@ -1013,7 +1014,8 @@ _R1 = loop_sql(1)
 def q_uncertainty_anchors(spark, sf):
     data, cfg = _al_data(spark, sf)
     anchors = al.round_anchors(data, data.init_sums, cfg)
-    return finish(anchors.select("fold", "video_id", "entropy", "rank"))
+    order = [F.col("entropy").desc(), F.col("video_id").asc()]
+    return finish(rank_within(anchors.select("fold", "video_id", "entropy"), order, by=["fold"], groups_bounded=True))
 
 
 @query("max_anchor_similarity", sql_out(
@@ -1030,7 +1032,8 @@ def q_max_anchor_similarity(spark, sf):
     [("fold", "i"), ("video_id", "s"), ("similarity", "d"), ("rank", "i")], _R1))
 def q_topk_similarity(spark, sf):
     _, _, rnd = _round0(spark, sf)
-    return finish(rnd["selected"].select("fold", "video_id", "similarity", "rank"))
+    order = [F.col("similarity").desc(), F.col("video_id").asc()]
+    return finish(rank_within(rnd["selected"].select("fold", "video_id", "similarity"), order, by=["fold"], groups_bounded=True))
 
 
 @query("drop_half", sql_out(
