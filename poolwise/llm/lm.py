@@ -9,12 +9,12 @@ binary tree over the ids. Each decision is a logistic of the state, so
 probabilities sum to one without a sum over the vocabulary, and an id costs
 about as many decisions as it has bits.
 
-* The tree's starting point is the corpus: the biases are the exact log odds
-  of the id counts over *all* training texts. Ids are arranged by what they
-  follow in the sample, so near leaves behave alike.
-* Attention and embeddings are trained in numpy by Adam, first on a bounded
-  sample of the training texts (``sample_words``; a hash of the id chooses), then
-  data-parallel on a fixed share of all training texts (:func:`refine`).
+* The tree comes from the corpus: the biases are the exact log odds of the id
+  counts over *all* training texts. Ids are arranged by what they follow in all
+  of them (:func:`neighbourhoods`), so near leaves behave alike.
+* Attention and embeddings are trained in numpy by Adam, data-parallel on *all*
+  training texts (:func:`refine`). Where the tasks set out from is a model
+  trained on a bounded sample (``sample_words``; a hash of the id chooses).
 * Long texts are scored in overlapping windows: every window after the first
   re-reads ``LENGTH - STRIDE`` ids as context and scores the rest, so each id is
   scored exactly once. Windows are batched.
@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .averaging import SCHEMA, averaged, moves
 from .common import sample_of_texts, with_row_key, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -186,26 +187,75 @@ def build_tree(weights: np.ndarray, place: np.ndarray) -> Tree:
                 np.array([s for p in signs for s in p], dtype=np.float32), np.array(bias, dtype=np.float32)[by_use])
 
 
-def neighbourhoods(docs: list[np.ndarray], size: int = IDS, context: int = 256, dim: int = 12) -> np.ndarray:
-    """A vector per id from what it follows in the sample: the main
-    directions of its square-rooted profile over the most frequent ids."""
-    seq = np.concatenate([np.concatenate([[END], d]) for d in docs]) if docs else np.zeros(0, np.int64)
-    count = np.bincount(seq, minlength=size)
-    top = np.argsort(-count, kind="stable")[:context]
-    slot = np.full(size, -1)
+def neighbourhoods(train_docs: DataFrame, usage: np.ndarray, path: str, context: int = 256, dim: int = 12) -> np.ndarray:
+    """A vector per id from what it follows in *all* training texts: the main
+    directions of its square-rooted profile over the most frequent ids. Tasks
+    count (id, frequent id before it); the tables have at most ids x context
+    rows, and of them only a context x context matrix and the vectors reach the
+    driver."""
+    name, size = os.path.basename(path), len(usage)
+    top = np.argsort(-usage, kind="stable")[:context]
+    slot = np.full(size + 1, -1)  # the last one stands between texts
     slot[top] = np.arange(len(top))
-    used = np.flatnonzero(count)  # a few thousand ids; the others stay at the origin
-    row = np.zeros(size, dtype=np.int64)
-    row[used] = np.arange(len(used))
-    table = np.zeros((len(used), context), np.float32)
-    for gap in (1, 2, 3):
-        a, b = slot[seq[:-gap]], row[seq[gap:]]
-        np.add.at(table, (b[a >= 0], a[a >= 0]), 1.0 / gap)
-    share = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 5))
-    weighted = share * np.sqrt(count[used])[:, None]
-    _, vectors = np.linalg.eigh(weighted.T @ weighted)
+
+    def follow(batches):
+        speller = Speller(path if os.path.exists(path) else tokenizer_path(name))
+        row, used, table = np.full(size, -1), 0, np.zeros((1024, context), np.int64)
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+            starts, codes, names = coded_words(batch.column("text"))
+            numbers = speller.numbers(names)
+            seq = np.concatenate([x for a, b in zip(starts, starts[1:])
+                                  for x in ([size, size, size, END], speller.ids(numbers[codes[a:b]]))])
+            new = np.unique(seq[(seq < size)])
+            new = new[row[new] < 0]
+            row[new] = used + np.arange(len(new))
+            used += len(new)
+            while used > len(table):
+                table = np.concatenate([table, np.zeros_like(table)])
+            for gap, weight in ((1, 6), (2, 3), (3, 2)):  # one over the gap, in sixths
+                a, b = slot[seq[:-gap]], seq[gap:]
+                both = (a >= 0) & (b < size)
+                np.add.at(table.ravel(), row[b[both]] * context + a[both], weight)
+        ids = np.flatnonzero(row >= 0).astype(np.int32)
+        for at in range(0, len(ids), 256):
+            part = table[row[ids[at:at + 256]]]
+            i, j = np.nonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at:at + 256][i]), pa.array(j.astype(np.int32)), pa.array(part[i, j])],
+                                             names=["id", "slot", "n"])
+
+    pairs = train_docs.select("text").mapInArrow(follow, "id int, slot int, n long").groupBy("id", "slot").agg(F.sum("n").alias("n"))
+    profiles = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("p"))  # at most ``context`` entries
+    profiles = written(profiles.repartition(16, "id").sortWithinPartitions("id"), "lm-profiles")
+
+    def shares(batch):
+        ids, lists = batch.column("id").to_numpy(), batch.column("p")
+        flat, table = lists.flatten(), np.zeros((len(ids), context), np.float32)
+        owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+        table[owner, flat.field("slot").to_numpy()] = flat.field("n").to_numpy() / 6
+        return ids, np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 5))
+
+    def spread(batches):
+        first, out = None, np.zeros((context, context))
+        for ids, share in map(shares, batches):
+            if len(ids):
+                weighted = share * np.sqrt(usage[ids])[:, None]
+                first, out = int(ids[0]) if first is None else first, out + weighted.T @ weighted
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["id", "v"])
+
+    parts = sorted(profiles.mapInArrow(spread, "id int, v binary").collect())  # a matrix per file
     out = np.zeros((size, dim), np.float32)
-    out[used] = share @ vectors[:, ::-1][:, :dim]
+    if not parts:
+        return out
+    _, vectors = np.linalg.eigh(sum(np.frombuffer(r.v).reshape(context, context) for r in parts))
+    main = vectors[:, ::-1][:, :dim].astype(np.float32)
+
+    def placed(batches):
+        for ids, share in map(shares, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((share @ main).tolist(), pa.list_(pa.float32()))], names=["id", "v"])
+
+    for r in profiles.mapInArrow(placed, "id int, v array<float>").collect():  # at most one row per id
+        out[r.id] = r.v
     return out
 
 
@@ -382,19 +432,22 @@ def score_ids(model: Model, docs: list[np.ndarray], batch: int = 64) -> np.ndarr
     return total / np.log(10)
 
 
-def train(model: Model, docs: list[np.ndarray], steps: int = 1500, batch: int = 48, rate: float = 0.006, seed: int = 5) -> None:
-    """Adam on random batches of the sample's windows, all positions."""
+def train(model: Model, docs: list[np.ndarray], steps: int | None = 1500, batch: int = 48, rate: float = 0.006, seed: int = 5) -> None:
+    """Adam on random batches of the texts' windows, all positions; without
+    ``steps`` on every window once, in random order."""
     parts = [windows(d) for d in docs if len(d)]
     if not parts:
         return
     x_all, y_all, m_all = (np.concatenate([p[k] for p in parts]) for k in range(3))
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(x_all)) if steps is None else None
+    steps = -(-len(x_all) // batch) if steps is None else steps
     p = model.p
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     scale = np.float32(1 / np.sqrt(DIM))
     for step in range(steps):
-        pick = rng.integers(0, len(x_all), batch)
+        pick = rng.integers(0, len(x_all), batch) if order is None else order[step * batch:(step + 1) * batch]
         x_ids, y_ids, mask = x_all[pick], y_all[pick], m_all[pick]
         out, c = model.states(x_ids)
         flat = out[mask]
@@ -435,9 +488,11 @@ def train(model: Model, docs: list[np.ndarray], steps: int = 1500, batch: int =
             second[name] += 0.01 * (grad * grad - second[name])
             p[name] -= lr * fix * first[name] / (np.sqrt(second[name]) + 1e-8)
         for name, where, grad in (("node", node, g_node), ("bias", node, slope), ("embed", x_ids.ravel(), two(d_x))):
-            rows, back = np.unique(where, return_inverse=True)  # sparse rows: only what the batch touches moves
-            order = np.argsort(back, kind="stable")
-            summed = np.add.reduceat(grad[order], np.searchsorted(back[order], np.arange(len(rows))), axis=0)
+            by_row = np.argsort(where.astype(np.uint16), kind="stable")  # ids and nodes fit; sixteen bits are sorted by radix
+            sorted_rows = where[by_row]
+            starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+            rows = sorted_rows[starts]  # sparse rows: only what the batch touches moves
+            summed = np.add.reduceat(grad[by_row], starts, axis=0)
             second[name][rows] += 0.05 * (summed * summed - second[name][rows]) + 1e-12
             first[name][rows] += 0.2 * (summed - first[name][rows])
             p[name][rows] -= lr * first[name][rows] / (np.sqrt(second[name][rows]) + 1e-6) * (0.3 if name == "bias" else 1)
@@ -503,12 +558,11 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
 
 
 def fit(train_docs: DataFrame, counts: DataFrame, path: str, sample_docs: int = 2000, sample_words: int = 1_000_000,
-        steps: int = 6000, one_in: int = 16) -> Model:
-    """The model: counts from all training texts; the tree's arrangement and
-    the parameters' start from at most ``sample_docs`` texts and about
-    ``sample_words`` words of them, whole texts, very long ones last (see
-    :func:`sample_of_texts`); then the parameters from one in ``one_in`` of all
-    training texts (see :func:`refine`)."""
+        steps: int = 6000) -> Model:
+    """The model: counts, the tree and the parameters from all training texts
+    (see :func:`refine`). Only where the parameters set out from is learned from
+    at most ``sample_docs`` texts and about ``sample_words`` words of them,
+    whole texts, very long ones last (see :func:`sample_of_texts`)."""
     usage = id_counts(counts, path)
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("lm"))
     chosen = written(train_docs.select("doc_id", order.alias("_o")).filter("doc_id is not null")
@@ -523,20 +577,19 @@ def fit(train_docs: DataFrame, counts: DataFrame, path: str, sample_docs: int =
             break
     if not docs and counts.filter(F.col("word") != END_WORD).head(1) and chosen.head(1):
         raise ValueError("there are training texts, but the drawn sample has none")
-    model = Model.fresh(build_tree(usage + 0.5, neighbourhoods(docs)))
+    model = Model.fresh(build_tree(usage + 0.5, neighbourhoods(train_docs, usage, path)))
     train(model, docs, steps if docs else 0)
-    refine(model, train_docs, path, one_in)
+    refine(model, train_docs, path)
     return model
 
 
-def refine(model: Model, train_docs: DataFrame, path: str, one_in: int = 16, buffer: int = 20_000, rate: float = 0.002) -> None:
-    """Train ``model`` on one in ``one_in`` of all training texts, whole, so
-    what it learns from grows with the corpus. Every partition goes on from the
-    model through its texts, ``buffer`` windows at a time; the changes are
-    averaged, weighted by windows, an id's and a node's rows over the partitions
-    that moved them. Sums travel in pieces, which tasks add up."""
-    names, sparse, name = sorted(model.p), ("embed", "node", "bias"), os.path.basename(path)
-    part_size = 1 << 14
+def refine(model: Model, train_docs: DataFrame, path: str, one_in: int = 1, buffer: int = 20_000, rate: float = 0.003,
+           batch: int = 192) -> None:
+    """Train ``model`` on every window of all training texts, whole (with
+    ``one_in``: of one in so many of them). Every partition goes on from the model through its texts,
+    ``buffer`` windows at a time; the changes are averaged, weighted by windows,
+    an id's and a node's rows over the partitions that moved them."""
+    name = os.path.basename(path)
 
     def run(batches):
         speller = Speller(path if os.path.exists(path) else tokenizer_path(name))
@@ -544,11 +597,13 @@ def refine(model: Model, train_docs: DataFrame, path: str, one_in: int = 16, buf
         held, size, seen = [], 0, 0
 
         def learn():
-            train(mine, held, steps=-(-size // 48), rate=rate)
+            train(mine, held, steps=None, batch=batch, rate=rate)
 
-        for batch in batches:
-            for text in batch.column("text"):
-                ids = speller.ids(speller.numbers(words(text.as_py())))
+        for rows in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+            starts, codes, names = coded_words(rows.column("text"))
+            numbers = speller.numbers(names)
+            for a, b in zip(starts, starts[1:]):
+                ids = speller.ids(numbers[codes[a:b]])
                 for at in range(0, len(ids), buffer * STRIDE):  # a very long text in pieces
                     held.append(ids[at:at + buffer * STRIDE])
                     n = 1 + max(0, -(-(len(held[-1]) - LENGTH) // STRIDE))
@@ -559,40 +614,11 @@ def refine(model: Model, train_docs: DataFrame, path: str, one_in: int = 16, buf
         if held:
             learn()
         if seen:
-            out = []
-            for k in names:
-                moved = mine.p[k] - model.p[k]
-                rows = moved.reshape(len(moved), -1)
-                out += [moved.ravel() * np.float32(seen), (rows != 0).any(1) * np.float32(seen)]
-            flat = np.concatenate(out).astype(np.float32)
-            for i, at in enumerate(range(0, len(flat), part_size)):
-                piece = flat[at:at + part_size]
-                if piece.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "v"])
-
-    def add(batches):  # sorted, so sums are the same in every run
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, v in zip(batch.column("part").to_pylist(), batch.column("v").to_pylist()):
-                sums[i] = sums.get(i, 0.0) + np.frombuffer(v, np.float32).astype(np.float64)
-        for i, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.astype(np.float32).tobytes()], pa.binary())],
-                                             names=["part", "v"])
-
-    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit("lm-share")), F.lit(one_in)) == 0
-    moved = train_docs.filter(chosen).select("text").mapInArrow(run, "part int, v binary")
-    got = moved.repartition("part").sortWithinPartitions("part", "v").mapInArrow(add, "part int, v binary").collect()
-    total = np.zeros(sum(v.size + len(v) for v in model.p.values()), np.float32)
-    for r in got:
-        total[r.part * part_size:(r.part + 1) * part_size] = np.frombuffer(r.v, np.float32)
-    at = 0
-    for k in names:
-        v = model.p[k]
-        change, weight = total[at:at + v.size].reshape(len(v), -1), total[at + v.size:at + v.size + len(v)]
-        at += v.size + len(v)
-        if k not in sparse:
-            weight = np.full(len(v), weight.max(initial=0), np.float32)
-        v += (change / np.maximum(weight, 1)[:, None]).reshape(v.shape)
+            yield from moves(model.p, mine.p, seen)
+
+    chosen = train_docs if one_in == 1 else train_docs.filter(
+        F.pmod(F.xxhash64("doc_id", "text", F.lit("lm-share")), F.lit(one_in)) == 0)
+    averaged(model.p, chosen.select("text").mapInArrow(run, SCHEMA), ("embed", "node", "bias"))
 
 
 def score(docs: DataFrame, path: str | None = None, common: int = 100_000, **sizes) -> DataFrame:

@@ -149,3 +149,46 @@ def test_parameters_learn_from_texts_outside_the_sample(spark, model):
     moved = np.flatnonzero((m.p["embed"] != start).any(1))
     assert set(moved) == set(ids) and lm.score_ids(m, [ids])[0] > before + 1
     assert all(np.isfinite(v).all() for v in m.p.values())
+
+
+def test_every_training_text_moves_the_model(spark, model):
+    """Each text has a word of its own; all of them are learned, and the ids'
+    places in the tree come from all texts."""
+    path = lm.tokenizer_path()
+    speller = lm.Speller(path)
+    own = [w for w in ("zebra quartz violin hammer lantern pepper rocket saddle tunnel walnut yogurt magnet "
+                       "forest bottle candle dragon").split()]
+    df = spark.createDataFrame([(i, f"{w} " * 400) for i, w in enumerate(own)], "doc_id long, text string").repartition(4)
+    m = lm.Model(model.tree, {k: v.copy() for k, v in model.p.items()})
+    start = m.p["embed"].copy()
+    lm.refine(m, df, path)
+    used = {int(k) for w in own for k in speller.ids(speller.numbers([w.encode()]))}
+    assert set(np.flatnonzero((m.p["embed"] != start).any(1))) == used
+    usage = np.zeros(lm.IDS)
+    for w in own:
+        np.add.at(usage, speller.ids(speller.numbers([w.encode()] * 400)), 1)
+    place = lm.neighbourhoods(df, usage, path)
+    assert set(np.flatnonzero((np.abs(place) > 1e-6).any(1))) == used
+    assert np.array_equal(place, lm.neighbourhoods(df.repartition(2), usage, path))
+
+
+def test_neighbourhoods_match_plain_counts(spark):
+    path = lm.tokenizer_path()
+    speller = lm.Speller(path)
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("red blue green old new tree house".split()) for _ in range(rnd.randint(0, 40))) for _ in range(30)]
+    docs = [speller.ids(speller.numbers(lm.words(t))) for t in [*texts, None]]
+    usage = np.bincount(np.concatenate(docs), minlength=lm.IDS).astype(float)
+    top = np.argsort(-usage, kind="stable")[:5]
+    table = np.zeros((lm.IDS, 5))
+    for d in docs:
+        seq = [lm.END, *d]
+        for t in range(1, len(seq)):
+            for gap in (1, 2, 3):
+                if t >= gap and seq[t - gap] in top:
+                    table[seq[t], list(top).index(seq[t - gap])] += 1 / gap
+    share = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 5))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").repartition(3)
+    place = lm.neighbourhoods(df, usage, path, context=5, dim=5)
+    used = np.flatnonzero(usage)
+    assert np.allclose(place[used] @ place[used].T, share[used] @ share[used].T, atol=1e-3)
