@@ -132,3 +132,37 @@ def test_training_with_a_very_long_first_text(spark):
     scorer, rest = tx.Scorer(net), made_up(100, 8)
     s = net.score(np.array([scorer.pooled(r[1]) for r in rest]))
     assert np.mean((s >= 0.5) == np.array([r[3] == 1 for r in rest])) > 0.8
+
+
+def test_all_labelled_rows_train_and_calibrate(spark):
+    """A start of few rows does not know the stems that only other rows have;
+    odds and thresholds are counted over all rows."""
+    rows = [(i, t, lang, y) for i, t, lang, y in made_up(900, 11)]
+    docs, labels = table(spark, rows)
+    every = tx.labelled(docs.drop("_score"), labels)
+    mine = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert {r.doc_id for r in every.collect()} == mine
+    odds, texts = tx.bucket_odds(every.repartition(3))
+    kept = [r for r in rows if r[0] in mine]
+    y = np.array([r[3] for r in kept])
+    d = tx._bucketed([r[1] for r in kept])
+    assert texts.tolist() == np.bincount(y).tolist()
+    assert np.allclose(odds, tx._odds(tx._seen(*d, y), np.bincount(y)))
+    net = tx.fit(docs.drop("_score"), labels, max_rows=10)
+    assert set(net.thresholds) == {"yy"}  # xx has no toxic row; a fifth of ten rows could set none
+    rest, scorer = made_up(200, 12), tx.Scorer(net)
+    s = net.score(np.array([scorer.pooled(r[1]) for r in rest]))
+    assert np.mean((s >= 0.5) == np.array([r[3] == 1 for r in rest])) > 0.9
+    moved = tx.refine(net, every.filter("toxic = 1").limit(5), texts)
+    assert (moved.grams != net.grams).any() and (moved.out != net.out).any()
+
+
+def test_a_long_text_is_trained_on_in_pieces(net, monkeypatch):
+    docs, flat, starts = tx._bucketed([made_up(40, 13)[k][1] for k in range(40)])
+    buckets, sizes = tx._lists(flat, starts, np.arange(len(starts) - 1))
+    projected = net.project(np.concatenate([net.embed(buckets, sizes), np.zeros((1, tx.DIM), np.float32)]))
+    ids = np.concatenate([*docs, [len(sizes)] * 2])
+    where, best = tx._peaks(net, projected, ids)
+    monkeypatch.setattr(tx, "PIECE", 16)
+    again, same = tx._peaks(net, projected, ids)
+    assert np.array_equal(best, same) and all(np.array_equal(a, b) for a, b in zip(where, again))
