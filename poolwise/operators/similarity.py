@@ -83,13 +83,29 @@ def _nearest(angles: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Anchors that a block is multiplied with at once: the scratch of a task is
+#: this many columns, whatever the blocks' sizes.
+TILE = 256
+
+
 def _max_cosine(x: np.ndarray, nx: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row-wise max of ``x.a / max(|x||a|, eps)`` over anchors and the anchor
     that has it; NaN never wins."""
-    sims = (x @ a.T) / np.maximum(np.outer(nx, _norms(a)), COSINE_EPS)
-    sims[np.isnan(sims)] = -np.inf
-    at = sims.argmax(axis=1)
-    return sims[np.arange(len(x)), at], at
+    na = _norms(a)
+    top, at = np.full(len(x), -np.inf), np.zeros(len(x), dtype=np.int64)
+    # where no product of norms is below eps or not finite, a row's own norm changes no order: it divides the maximum
+    plain = len(x) > 0 and len(a) > 0 and nx.min() * na.min() >= COSINE_EPS and np.isfinite(nx.max() * na.max())
+    if plain:
+        a = a / na[:, None]
+    for lo in range(0, len(a), TILE):
+        sims = x @ a[lo:lo + TILE].T
+        if not plain:
+            sims /= np.maximum(np.outer(nx, na[lo:lo + TILE]), COSINE_EPS)
+            sims[np.isnan(sims)] = -np.inf
+        value = sims.max(axis=1)
+        won = np.flatnonzero(value > top)
+        top[won], at[won] = value[won], sims[won].argmax(axis=1) + lo
+    return (top / nx if plain else top), at
 
 
 def _most(angles, low, high):

@@ -126,3 +126,27 @@ def test_spread_follows_the_cores_not_the_shuffle_partitions(spark):
         assert seen[0] == seen[1] <= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_the_maximum_takes_bounded_scratch():
+    """Never a whole block by block matrix; the same maxima and anchors."""
+    import tracemalloc
+
+    from poolwise.operators import similarity as sim
+    rng = np.random.default_rng(8)
+    x, a = rng.normal(size=(2000, 4)), rng.normal(size=(2100, 4))
+    odd = np.array([[0.0] * 4, [np.nan, 1, 0, 0], [1e-9] * 4, [np.inf, 0, 0, 0]])
+    for rows, anchors in ((x, a), (np.concatenate([x[:50], odd]), a), (x[:50], np.concatenate([odd, a])), (x[:3], odd[1:2]), (x[:3], a[:0])):
+        norms = sim._norms(rows)
+        tracemalloc.start()
+        top, at = sim._max_cosine(rows, norms, anchors)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16e6  # the matrix alone would be 33 MB
+        with np.errstate(invalid="ignore"):
+            every = (rows @ anchors.T) / np.maximum(np.outer(norms, sim._norms(anchors)), sim.COSINE_EPS)
+        every[np.isnan(every)] = -np.inf
+        want = every.max(axis=1, initial=-np.inf)
+        assert np.allclose(top, want, atol=1e-12)
+        if len(anchors):
+            assert np.allclose(every[np.arange(len(rows)), at], want, atol=1e-12)
