@@ -558,9 +558,9 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
 
 
 def fit(train_docs: DataFrame, counts: DataFrame, path: str, sample_docs: int = 2000, sample_words: int = 1_000_000,
-        steps: int = 6000) -> Model:
+        steps: int = 6000, one_in: int = 1) -> Model:
     """The model: counts, the tree and the parameters from all training texts
-    (see :func:`refine`). Only where the parameters set out from is learned from
+    (see :func:`refine`, also for ``one_in``). Only where the parameters set out from is learned from
     at most ``sample_docs`` texts and about ``sample_words`` words of them,
     whole texts, very long ones last (see :func:`sample_of_texts`)."""
     usage = id_counts(counts, path)
@@ -579,7 +579,7 @@ def fit(train_docs: DataFrame, counts: DataFrame, path: str, sample_docs: int =
         raise ValueError("there are training texts, but the drawn sample has none")
     model = Model.fresh(build_tree(usage + 0.5, neighbourhoods(train_docs, usage, path)))
     train(model, docs, steps if docs else 0)
-    refine(model, train_docs, path)
+    refine(model, train_docs, path, one_in)
     return model
 
 
