@@ -293,15 +293,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
+def with_label(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may be learned from (doc_id, text, lang) and
+    their label ``toxic``. Always a join by shuffle: labels grow with the texts,
+    so a broadcast would end at some size, and disk jump there."""
+    known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+             .groupBy(F.col("doc_id").alias("_want")).agg(F.max("toxic").cast("int").alias("toxic")))
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return rows.join(known.hint("merge"), F.col("doc_id") == F.col("_want")).drop("_want")
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row that may be learned from (text, lang, toxic, doc_id, _rid),
+    """Every row of :func:`with_label` (text, lang, toxic, doc_id, _rid),
     written; ``judge`` marks the fifth of the ids that calibrates, none if a
     label had no other rows."""
-    known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-             .groupBy(F.col("doc_id").alias("_want")).agg(F.max("toxic").cast("int").alias("toxic")))
     judge = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic-judge")), F.lit(5)) == 0
-    rows = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_want"))
-    rows = written(with_row_key(rows.select("doc_id", "text", "lang", "toxic", judge.alias("judge"))), "toxic-rows")
+    rows = with_label(docs, labels).select("doc_id", "text", "lang", "toxic", judge.alias("judge"))
+    rows = written(with_row_key(rows), "toxic-rows")
     n = {(r.toxic, r.judge) for r in rows.select("toxic", "judge").distinct().collect()}
     return rows if all((t, False) in n for t, _ in n) else rows.withColumn("judge", F.lit(False))
 

@@ -166,3 +166,16 @@ def test_a_long_text_is_trained_on_in_pieces(net, monkeypatch):
     monkeypatch.setattr(tx, "PIECE", 16)
     again, same = tx._peaks(net, projected, ids)
     assert np.array_equal(best, same) and all(np.array_equal(a, b) for a, b in zip(where, again))
+
+
+def test_labels_meet_texts_by_one_plan_at_any_size(spark):
+    """A broadcast of labels ends at some size; from there on texts would be
+    shuffled that were not before."""
+    rows = made_up(60, 14)
+    docs, labels = table(spark, rows)
+    docs = docs.drop("_score").unionByName(docs.drop("_score").filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    joined = tx.with_label(docs, labels.unionByName(labels))
+    got = sorted((r.doc_id, r.text, r.lang, r.toxic) for r in joined.collect())
+    assert got == sorted(r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
