@@ -33,7 +33,7 @@ import struct
 import sys
 import types
 import zlib
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,7 @@ ROUND_SHARE = 0.01
 MAGIC, STEP = b"RPG1", 1024
 #: Marks behind a word that the tokenizer never joins to its letters.
 MARKS = ".,;:!?"
+_MARKS = frozenset(MARKS)
 
 
 # ---- encoding ------------------------------------------------------------------------------------------------------
@@ -61,7 +62,7 @@ MARKS = ".,;:!?"
 class Encoder:
     """Token ids of texts, chunk by chunk; ``keep`` bounds the chunks held."""
 
-    def __init__(self, path: str | None = None, end: int = END, keep: int = 600_000):
+    def __init__(self, path: str | None = None, end: int = END, keep: int = 900_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -81,56 +82,65 @@ class Encoder:
         self.pool, self.used = np.empty(1 << 16, dtype=np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
 
-    def _ids_of(self, chunks: list[str]) -> list[list[int]]:
-        """The tokenizer's ids, many chunks a call; a token's offset says whose
-        it is."""
-        out = []
+    def shrink(self) -> None:
+        """Forget the later half of the chunks: frequent ones are met early."""
+        n = len(self.known) // 2
+        self.known = dict(islice(self.known.items(), n))
+        self.used = int(self.lengths[:n].sum())
+
+    def _ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the tokenizer's ids of all chunks, ids per chunk), many chunks a
+        call; a token's offset says whose it is."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(chunks), 512):
             some = chunks[at:at + 512]
-            begins = np.cumsum([0, *(len(c) + 1 for c in some)])
+            begins = np.cumsum([0, *map(len, some)]) + np.arange(len(some) + 1)
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            cuts = np.searchsorted([x[0] for x in got.offsets], begins).tolist()
-            ids = got.ids
-            out += [ids[i:j] for i, j in zip(cuts, cuts[1:])]
-        return out
+            where = np.fromiter(chain.from_iterable(got.offsets), dtype=np.int64)[::2]
+            lengths.append(np.diff(np.searchsorted(where, begins)))
+            ids.append(np.array(got.ids, dtype=np.uint32))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _add(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Hold the ``ids`` of chunks that are not held yet."""
+        n, more = len(self.known), len(chunks)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while n + more > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.starts[n:n + more] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n:n + more] = lengths
+        self.used += len(ids)
+        self.known.update(zip(chunks, range(n, n + more)))
+
+    def _held(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of held chunks, one after the other."""
+        own = self.lengths[codes]
+        return self.pool[np.arange(int(own.sum())) + np.repeat(self.starts[codes] - np.cumsum(own) + own, own)]
 
     def learn(self, chunks: list[str]) -> None:
-        """Add chunks. A word and the marks behind it are learned apart, as the
-        tokenizer always cuts between a letter and these marks."""
-        own, parts = {}, {}
-        for c in chunks:
+        """Add distinct chunks that are not held. A word and the marks behind it
+        are learned apart, as the tokenizer always cuts between a letter and
+        these marks."""
+        parts = {}
+        for c in [c for c in chunks if c[-1:] in _MARKS]:
             word = c.rstrip(MARKS)
-            if word and len(word) < len(c) and word[-1].isalpha() and word[-1] < "\u0250":
+            if word and word[-1].isalpha() and word[-1] < "\u0250":
                 parts[c] = word, c[len(word):]
-                own[word] = own[c[len(word):]] = None
-            else:
-                own[c] = None
+        own = dict.fromkeys(c for c in chunks if c not in parts)
+        own.update(dict.fromkeys(chain.from_iterable(parts.values())))
         new = [c for c in own if c not in self.known]
-        ids = dict(zip(new, self._ids_of(new)))
-        held = lambda c: ids[c] if c in ids else self.ids_of_known(c)
-        for c, (word, marks) in parts.items():
-            ids[c] = held(word) + held(marks)
-        n, lengths = len(self.known), np.fromiter(map(len, ids.values()), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids.values()), dtype=np.uint32, count=int(lengths.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while n + len(ids) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
-            self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        self.pool[self.used:self.used + len(flat)] = flat
-        self.starts[n:n + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n:n + len(ids)] = lengths
-        self.used += len(flat)
-        self.known.update(zip(ids, range(n, n + len(ids))))
-
-    def ids_of_known(self, chunk: str) -> list[int]:
-        k = self.known[chunk]
-        return self.pool[self.starts[k]:self.starts[k] + self.lengths[k]].tolist()
+        self._add(new, *self._ids_of(new))
+        if parts:
+            codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts.values())), dtype=np.int64, count=2 * len(parts))
+            self._add(list(parts), self._held(codes), self.lengths[codes].reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their ends, ids per text)."""
         if len(self.known) > self.keep:
-            self.clear()
+            self.shrink()
         lower = pc.ascii_lower(texts)  # the tokenizer lower-cases everything
         whole = np.zeros(len(texts), dtype=bool)
         for s in self.special:
@@ -145,23 +155,23 @@ class Encoder:
             new = [distinct[i] for i in missing]
             self.learn(new)
             codes[missing] = [self.known[c] for c in new]
-        # the ids of this piece's chunks side by side, then those of its texts
-        own = self.lengths[codes]
-        begin = np.cumsum(own) - own
-        near = self.pool[np.arange(int(own.sum())) + np.repeat(self.starts[codes] - begin, own)]
-        at = coded.indices.to_numpy()
+        # the ids of this piece's chunks side by side, an end behind them, then those of its texts
+        own = np.append(self.lengths[codes], 1)
+        begin = (np.cumsum(own) - own).astype(np.int32)
+        near = np.append(self._held(codes), np.uint32(self.end))
+        upto = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        at = np.insert(coded.indices.to_numpy(), upto, len(codes))
         lengths = own.astype(np.int32)[at]
         ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
-        ids = near[np.arange(ends[-1], dtype=np.int32) + np.repeat(begin.astype(np.int32)[at] - ends[:-1].astype(np.int32), lengths)]
-        offsets = lists.offsets.to_numpy()
-        sizes = np.diff(ends[offsets - offsets[0]])
+        ids = near[np.arange(ends[-1], dtype=np.int32) + np.repeat(begin[at] - ends[:-1].astype(np.int32), lengths)]
+        sizes = np.diff(ends[np.append(0, upto + np.arange(1, len(upto) + 1))])
         if whole.any():
             cut = np.split(ids, np.cumsum(sizes)[:-1])
             for i in np.flatnonzero(whole).tolist():
-                cut[i] = np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+                cut[i] = np.asarray([*self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.end], dtype=np.uint32)
                 sizes[i] = len(cut[i])
             ids = np.concatenate(cut)
-        return np.insert(ids, np.cumsum(sizes), np.uint32(self.end)), sizes + 1
+        return ids, sizes
 
 
 def worker_encoder(path: str | None = None) -> Encoder:
@@ -196,6 +206,21 @@ def _chosen(pairs: np.ndarray, counts: np.ndarray, shift: int, least: int, room:
     return pairs[np.sort(np.asarray(out, dtype=np.int64))] if out else pairs[:0]
 
 
+def _places(chosen: np.ndarray, a: np.ndarray, b: np.ndarray, pairs: np.ndarray, symbols: int) -> np.ndarray:
+    """Where each of ``pairs``, made of symbols of ``chosen`` (``a``, ``b``), is
+    in it, or -1. A table of (left, right) while that is small."""
+    kind, shift = pairs.dtype.type, 4 * pairs.dtype.itemsize
+    lefts, rights = np.unique(a), np.unique(b)
+    if len(lefts) * len(rights) > 1 << 22:
+        which = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+        return np.where(chosen[which] == pairs, which, -1)
+    row, column = np.zeros(symbols, np.int32), np.zeros(symbols, np.int32)
+    row[lefts], column[rights] = np.arange(len(lefts)) * len(rights), np.arange(len(rights))
+    table = np.full(len(lefts) * len(rights), -1, np.int32)
+    table[row[a] + column[b]] = np.arange(len(chosen))
+    return table[row[pairs >> kind(shift)] + column[pairs & kind((1 << shift) - 1)]]
+
+
 def repair(ids: np.ndarray, first: int, least: int = MIN_COUNT, symbols: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules) of a sequence of ids below ``first``; rule ``k`` is the
     pair that symbol ``first + k`` stands for. ``symbols`` bounds the symbols
@@ -218,9 +243,8 @@ def repair(ids: np.ndarray, first: int, least: int = MIN_COUNT, symbols: int | N
         left[:], right[:] = False, False
         left[a], right[b] = True, True
         at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        which = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[which] == pair[at]
-        at, which = at[hit], which[hit]
+        which = _places(chosen, a, b, pair[at], symbols)
+        at, which = at[which >= 0], which[which >= 0]
         # only a pair of equal symbols can overlap itself: of a run of hits every second stays
         start = np.flatnonzero(np.diff(at, prepend=-2) != 1)
         turn = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))

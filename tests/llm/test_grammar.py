@@ -37,6 +37,30 @@ def test_forgotten_chunks_are_learned_again():
         assert ids.tolist() == library_ids(small, "one two three four five") + library_ids(small, "six seven.")
 
 
+def test_a_full_encoder_forgets_the_later_half_only():
+    some = grammar.Encoder(keep=6)
+    early, late = "the of and", "zyx, wvu! tsr? qpo; nml: kji."
+    some.encode(pa.array([early]))
+    some.encode(pa.array([late]))
+    before = some.known["of"]
+    ids, _ = some.encode(pa.array([late + " hgf. of"]))
+    assert some.known["of"] == before
+    assert ids.tolist() == library_ids(some, late + " hgf. of")
+    assert some.used == some.lengths[:len(some.known)].sum()
+
+
+def test_pairs_are_placed_by_table_and_by_search_alike():
+    rng = np.random.default_rng(4)
+    a, b = np.repeat(np.arange(0, 3000, 3), 2), rng.integers(3000, 60_000, 2000)
+    every = np.unique((a.astype(np.uint32) << 16) | b.astype(np.uint32))
+    for chosen in (every[::40], every):  # a small table; one that would be too large
+        a, b = (chosen >> 16).astype(np.int64), (chosen & 0xFFFF).astype(np.int64)
+        pairs = (rng.choice(a, 5000).astype(np.uint32) << np.uint32(16)) | rng.choice(b, 5000).astype(np.uint32)
+        pairs = np.concatenate([pairs, chosen])
+        number = {p: k for k, p in enumerate(chosen.tolist())}
+        assert grammar._places(chosen, a, b, pairs, 1 << 16).tolist() == [number.get(p, -1) for p in pairs.tolist()]
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_grammar_round_trip_and_random_access(seed):
     rng = random.Random(seed)
