@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import audio_key, motion_key
+from ..session import cut_lineage
 from ..sources.store import BucketedStore
-from .sequences import (AUDIO_LEN, FRAME_LEN, fixed_length_fetch, head_fetch, parse_clips, sampled_clip_frames,
-                        sequence_proof, whole_fetch)
+from .sequences import (AUDIO_LEN, FRAME_LEN, dense_lengths, fixed_length_fetch, head_fetch, lengths_or_fail,
+                        parse_clips, sampled_clip_frames, sequence_proof, whole_fetch, without_bad)
 
 #: How a modality's stored sequence becomes its rows: every row; a fixed length
 #: by stride sampling or by its first rows, padded with zeros; or the frames of
@@ -76,15 +77,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def missing_features(items: DataFrame, stores: dict[str, DataFrame], id_col: str = "video_id",
                      materials: str = "visual_materials", key: str = "key",
-                     modalities: Sequence[Modality] | None = None) -> DataFrame:
+                     modalities: Sequence[Modality] | None = None, lengths: dict[str, DataFrame] | None = None) -> DataFrame:
     """video_id, modality, missing_key for every lookup that finds nothing
     (the reference dies on the first one). Anti joins against the distinct
-    store keys, which a bucketed store has at hand."""
+    store keys, which a bucketed store has at hand; ``lengths`` (key, a row
+    each) are those of other stores, by name, if they are at hand."""
     spark = items.sparkSession
     have_keys = lambda s: s.lengths(spark).select(key) if isinstance(s, BucketedStore) else s.select(key).distinct()
     parts = []
     for m in modalities or default_modalities(id_col, materials):
-        have = have_keys(stores[m.store]).withColumnRenamed(key, "missing_key")
+        have = lengths[m.store].select(key) if m.store in (lengths or {}) else have_keys(stores[m.store])
+        have = have.withColumnRenamed(key, "missing_key")
         if m.how != "clips":
             asked = items.select(F.col(id_col), F.lit(m.name).alias("modality"), m.column().alias("missing_key"))
             parts.append(asked.join(have, "missing_key", "left_anti").select(id_col, "modality", "missing_key"))
@@ -111,7 +114,8 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
     rows are fetched, short ones are padded with zeros (mask 0).
     ``on_missing='fail'`` raises like the reference when any lookup misses;
     ``'quarantine'`` drops such items. A sequence with gaps or repeats raises
-    when it is read, or takes the items that read it out. A store is a DataFrame
+    when it is read, or takes the items that read it out; a store's sequences
+    are proved once, and the proof (a row a sequence) is written. A store is a DataFrame
     or a :class:`BucketedStore`, whose vectors stay where they lie."""
     vc, specs = list(value_cols), list(modalities or default_modalities(id_col, materials))
     if on_missing not in ("fail", "quarantine"):
@@ -121,6 +125,7 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
     if absent := sorted({m.store for m in specs} - set(stores)):
         raise ValueError(f"no store named {', '.join(absent)}")
     stores = {m.store: stores[m.store] for m in specs}
+    plain = {id(s): s for s in stores.values() if not isinstance(s, BucketedStore)}
     if on_missing == "fail":
         bad = missing_features(items, stores, id_col, materials, key, specs).limit(1).collect()
         if bad:
@@ -128,28 +133,34 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
                            f"(key {bad[0]['missing_key']!r})")
     else:
         # a sequence whose positions prove nothing is as good as missing
-        proofs = {id(s): s for s in stores.values() if not isinstance(s, BucketedStore)}  # modalities may share a store
-        sound = {i: s.join(sequence_proof(s.select(key, pos), key, pos).filter("dense").select(key), key, "left_semi") for i, s in proofs.items()}
+        proofs = {i: cut_lineage(sequence_proof(s.select(key, pos), key, pos)) for i, s in plain.items()}  # modalities may share a store
+        sound = {i: without_bad(s, proofs[i], key) for i, s in plain.items()}
+        known = {n: dense_lengths(proofs[id(s)], key) for n, s in stores.items() if id(s) in plain}
         stores = {m: sound.get(id(s), s) for m, s in stores.items()}
-        miss = missing_features(items, stores, id_col, materials, key, specs)
+        miss = missing_features(items, stores, id_col, materials, key, specs, known)
         items = items.join(miss.select(id_col).distinct(), id_col, "left_anti")
     spark = items.sparkSession
-    lengths = {n: s.lengths(spark) if isinstance(s, BucketedStore) else None for n, s in stores.items()}
+    if on_missing == "fail":
+        # one proof a store, written: each of its modalities asks for the lengths twice, for rows and for padding
+        sampled = {id(stores[m.store]) for m in specs if m.how != "whole"}
+        proofs = {i: cut_lineage(sequence_proof(s.select(key, pos), key, pos)) for i, s in plain.items() if i in sampled}
+        known = {n: lengths_or_fail(proofs[id(s)], key) for n, s in stores.items() if id(s) in proofs}
+    lengths = {n: s.lengths(spark) if isinstance(s, BucketedStore) else known.get(n) for n, s in stores.items()}
     rows = {n: s.rows(spark) if isinstance(s, BucketedStore) else s for n, s in stores.items()}
 
     def built(m: Modality) -> DataFrame:
-        store, known = rows[m.store], lengths[m.store]
+        store, n = rows[m.store], lengths[m.store]
         if m.how == "clips":
             clips = items.select(id_col, F.posexplode(m.key).alias("_mp", "clip"))
             return sampled_clip_frames(clips, store, m.length, vc, item_col=id_col, order_col="_mp", clip_col="clip",
-                                       key=key, pos=pos, on_bad="checked", lengths=known)
+                                       key=key, pos=pos, on_bad="checked", lengths=n)
         asked = items.select(F.col(id_col).alias(key), m.column().alias("lookup"))
         if m.how == "stride":
-            return fixed_length_fetch(asked, store, m.length, vc, key=key, lookup="lookup", pos=pos, lengths=known)
+            return fixed_length_fetch(asked, store, m.length, vc, key=key, lookup="lookup", pos=pos, lengths=n)
         if m.how == "head":
-            return head_fetch(asked, store, m.length, vc, key=key, lookup="lookup", pos=pos, lengths=known)
-        if known is not None:
-            return whole_fetch(asked, store, known, vc, key=key, pos=pos).withColumn("mask", F.lit(1))
+            return head_fetch(asked, store, m.length, vc, key=key, lookup="lookup", pos=pos, lengths=n)
+        if isinstance(stores[m.store], BucketedStore):
+            return whole_fetch(asked, store, n, vc, key=key, pos=pos).withColumn("mask", F.lit(1))
         found = asked.join(store.withColumnRenamed(key, "lookup"), "lookup")
         return found.select(key, pos, *vc).withColumn("mask", F.lit(1))
 

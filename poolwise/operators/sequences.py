@@ -45,6 +45,25 @@ def sequence_proof(seq: DataFrame, key: str = "key", pos: str = "pos") -> DataFr
         .select(key, "n", F.coalesce((F.col("_lo") == 0) & (F.col("_hi") == F.col("n") - 1) & (F.col("_d") == F.col("n")), F.lit(False)).alias("dense"))
 
 
+def dense_lengths(proof: DataFrame, key: str = "key") -> DataFrame:
+    """key, n of the sequences that a :func:`sequence_proof` finds dense."""
+    return proof.filter(F.col("dense") & F.col(key).isNotNull()).select(key, "n")
+
+
+def lengths_or_fail(proof: DataFrame, key: str = "key") -> DataFrame:
+    """key, n of all sequences of a :func:`sequence_proof`; one that is not
+    dense raises when the result is computed."""
+    what = F.concat(F.lit("positions with gaps or repeats in the sequence of "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return proof.select(key, F.when(F.col("dense"), F.col("n")).otherwise(F.raise_error(what).cast("long")).alias("n"))
+
+
+def without_bad(seq: DataFrame, proof: DataFrame, key: str = "key") -> DataFrame:
+    """The rows of sequences that a :func:`sequence_proof` finds dense (a null
+    key has no sequence). The keys to leave out are joined, not those to keep:
+    they are few as a rule, and then no task sorts the rows for it."""
+    return seq.filter(F.col(key).isNotNull()).join(proof.filter(~F.col("dense")).select(key), key, "left_anti")
+
+
 def proved_lengths(seq: DataFrame, key: str = "key", pos: str = "pos", on_bad: str = "fail") -> DataFrame:
     """:func:`sequence_lengths` of sequences whose positions are proved to be 0
     to n - 1. A gap or a repeat raises when the result is computed (``'fail'``)
@@ -54,8 +73,7 @@ def proved_lengths(seq: DataFrame, key: str = "key", pos: str = "pos", on_bad: s
         return proof.filter("dense").select(key, "n")
     if on_bad != "fail":
         raise ValueError(on_bad)
-    what = F.concat(F.lit("positions with gaps or repeats in the sequence of "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    return proof.select(key, F.when(F.col("dense"), F.col("n")).otherwise(F.raise_error(what).cast("long")).alias("n"))
+    return lengths_or_fail(proof, key)
 
 
 #: Reasons of :func:`sequence_faults`.
@@ -235,7 +253,7 @@ def head_fetch(keys: DataFrame, store: DataFrame, length: int, value_cols: Seque
     lens = keys.select(key, lookup).join(n, lookup)
     last = F.least(F.col("n"), F.lit(length)).cast("int") - 1
     want = lens.select(key, lookup, F.explode(F.sequence(F.lit(0), last)).alias("_src_pos"))
-    fr = store.select(F.col(key).alias(lookup), F.col(pos).cast("int").alias("_src_pos"), *vals)
+    fr = store.filter(F.col(pos) < length).select(F.col(key).alias(lookup), F.col(pos).cast("int").alias("_src_pos"), *vals)
     real = want.join(fr, [lookup, "_src_pos"]).select(key, F.col("_src_pos").alias(pos), *vals)
     return _pad_from_lengths(real, lens.select(key, "n"), length, {c: _zero(store, c) for c in vals}, key, pos)
 

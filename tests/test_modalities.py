@@ -54,3 +54,23 @@ def test_missing_and_unsound_sequences(spark):
         feature_assemble(items, stores, modalities=[Modality("m", "other", "own", "head", 2)])
     with pytest.raises(ValueError, match="names of their own"):
         feature_assemble(items, stores, modalities=one * 2)
+
+
+def test_sequences_are_proved_once_before_the_assembly(spark):
+    """Neither mode proves positions again in the plan of the result; gaps,
+    repeats and rows without a key take out the items that read them."""
+    rows = [("a", p, float(p)) for p in range(9)] + [("b", 0, 1.0), ("b", 2, 2.0)] + [("c", 0, 1.0), ("c", 0, 1.0)] + [(None, 0, 5.0), ("d", 0, 7.0)]
+    seq = spark.createDataFrame(rows, "key string, pos int, x double")
+    specs = (Modality("few", "s", "k", "stride", 3), Modality("first", "s", "k", "head", 2), Modality("all", "s", "k", "whole"))
+    items = spark.createDataFrame([(f"i-{k}", k) for k in "abcde"], "video_id string, k string")
+    out = feature_assemble(items, {"s": seq}, ["x"], modalities=specs, on_missing="quarantine")
+    got = sorted((r.video_id, r.modality, r.pos, r.x, r.mask) for r in out.collect())
+    want = [("i-a", "few", k, 3.0 * k, 1) for k in range(3)] + [("i-a", "first", k, float(k), 1) for k in range(2)] + \
+        [("i-a", "all", k, float(k), 1) for k in range(9)] + \
+        [("i-d", "few", 0, 7.0, 1), ("i-d", "few", 1, 0.0, 0), ("i-d", "few", 2, 0.0, 0), ("i-d", "first", 0, 7.0, 1), ("i-d", "first", 1, 0.0, 0),
+         ("i-d", "all", 0, 7.0, 1)]
+    assert got == sorted(want)
+    sound = feature_assemble(items.filter("k in ('a', 'd')"), {"s": seq.filter("key in ('a', 'd')")}, ["x"], modalities=specs)
+    assert sorted((r.video_id, r.modality, r.pos, r.x, r.mask) for r in sound.collect()) == sorted(want)
+    for df in (out, sound):
+        assert "distinct" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
