@@ -167,17 +167,31 @@ def feature_assemble(items: DataFrame, stores: dict[str, DataFrame], value_cols:
     return _union([built(m).select(F.col(key).alias(id_col), F.lit(m.name).alias("modality"), pos, *vc, "mask") for m in specs])
 
 
+#: Vectors up to this width are summed by a column a dimension.
+POOL_COLUMNS = 90
+
+
 def sequence_mean_pool(seq: DataFrame, by: Sequence[str] = ("key",), vec: str = "vec",
-                       masked: bool = False, mask: str = "mask") -> DataFrame:
+                       masked: bool = False, mask: str = "mask", width: int | None = None) -> DataFrame:
     """Mean over positions, per dimension: by…, d, mean. With
     ``masked=False`` (the reference) padding rows count; with ``True`` only
     rows whose mask is 1. Whole vectors are averaged by Spark ML's
     ``Summarizer`` (partial + final aggregate, no per-dimension explode);
-    only the pooled vector is unpivoted to long form."""
+    only the pooled vector is unpivoted to long form. If their ``width`` is
+    known and not large, plain sums do it: they stay in a hash table, where the
+    ``Summarizer`` sorts all vectors of a task with many keys; a vector of
+    another width, or with a null entry, raises when the result is computed."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     by = list(by)
     src = seq.filter(F.col(mask) == 1) if masked else seq
+    if width and width <= POOL_COLUMNS:
+        x, n = F.col(vec), F.count(F.lit(1))
+        fits = F.coalesce((F.size(x) == width) & F.forall(x, lambda v: v.isNotNull()), F.lit(False))
+        first = F.when(fits, F.get(x, F.lit(0)).cast("double")).otherwise(F.raise_error(f"a vector that has not {width} entries").cast("double"))
+        sums = [F.sum(first if d == 0 else F.get(x, F.lit(d)).cast("double")) for d in range(width)]
+        pooled = src.groupBy(*by).agg(F.array(*[s / n for s in sums]).alias("_m"))
+        return pooled.select(*by, F.posexplode("_m").alias("d", "mean"))
     pooled = src.groupBy(*by).agg(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>"))).alias("_m"))
     return pooled.select(*by, F.posexplode(vector_to_array("_m")).alias("d", "mean"))
 
@@ -210,7 +224,9 @@ def fused_items(items: DataFrame, stores: dict[str, DataFrame], id_col: str = "v
     each (padding rows count, as in the reference) and average them element by
     element. Output: id, fea."""
     long = feature_assemble(items.select(id_col, materials).distinct(), stores, (vec,), id_col, materials, on_missing=on_missing)
-    pooled = sequence_mean_pool(long, [id_col, "modality"], vec)
+    firsts = [s.rows(items.sparkSession) if isinstance(s, BucketedStore) else s for s in {id(s): s for s in stores.values()}.values()]
+    widths = {r.n for s in firsts for r in s.select(F.size(vec).alias("n")).limit(1).collect()}
+    pooled = sequence_mean_pool(long, [id_col, "modality"], vec, width=widths.pop() if len(widths) == 1 else None)
     parts = [pooled.filter(F.col("modality") == m).drop("modality") for m in MODALITIES]
     fused = modality_mean_fusion(parts, [id_col], on_missing)
     rows = fused.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("d", "fused", "n_modalities"))).alias("_f"))

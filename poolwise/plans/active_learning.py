@@ -237,13 +237,15 @@ def prepare(items: DataFrame, train_ids: DataFrame, test_ids: DataFrame,
             exclude_seed_ids: DataFrame | None, cfg: ALConfig, head: CentroidHead | None = None) -> ALData:
     """``items``: video_id, label, source, fea (an id may have several rows)."""
     head = head or CentroidHead(cfg.scale)
-    base = items.select("video_id", encode_label("label", REAL_VALUES[cfg.dataset]).alias("y"),
-                        "source", F.col("fea").cast("array<double>").alias("fea"))
+    # written first: train, pool and test would each compute the items anew, however much lies behind them
+    base = cut_lineage(items.select("video_id", encode_label("label", REAL_VALUES[cfg.dataset]).alias("y"),
+                                    "source", F.col("fea").cast("array<double>").alias("fea")))
     folds = kfold(train_ids.select("video_id").distinct(), cfg.k_folds, cfg.seed)
     train = cut_lineage(head.vectors(base.join(folds, "video_id").select("fold", "video_id", "y", "fea")))
     pool = cut_lineage(head.vectors(generated_pool(base, exclude_seed_ids).select("video_id", "y", "fea")))
     test = cut_lineage(head.vectors(base.join(test_ids.select("video_id").distinct(), "video_id")
                                     .select("video_id", "y", "fea")))
+    release(base)
     init = cut_lineage(head.start(train, cfg.k_folds))
     val_ids = cut_lineage(_one_per_id(train, ["fold", "video_id"]))
     pool_ids = cut_lineage(_one_per_id(pool, ["video_id"]))

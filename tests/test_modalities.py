@@ -2,7 +2,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from poolwise.operators.features import MODALITIES, Modality, default_modalities, feature_assemble
+from poolwise.operators.features import MODALITIES, Modality, default_modalities, feature_assemble, sequence_mean_pool
+from poolwise.plans import active_learning as al
 
 
 def _stores(spark):
@@ -74,3 +75,31 @@ def test_sequences_are_proved_once_before_the_assembly(spark):
     assert sorted((r.video_id, r.modality, r.pos, r.x, r.mask) for r in sound.collect()) == sorted(want)
     for df in (out, sound):
         assert "distinct" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_pooling_by_sums_equals_the_summarizer(spark):
+    rows = [(f"k{i % 300}", [float(i), i / 3, -1.5 * i]) for i in range(1200)]
+    seq = spark.createDataFrame(rows, "key string, vec array<float>")
+    found = lambda width: {(r.key, r.d): r["mean"] for r in sequence_mean_pool(seq, width=width).collect()}
+    plain, sums = found(None), found(3)
+    assert len(plain) == 900 and plain.keys() == sums.keys() and all(abs(plain[k] - sums[k]) < 1e-9 for k in plain)
+    assert sequence_mean_pool(seq.limit(0), width=3).count() == 0
+    for bad in ([1.0], [1.0, None, 2.0], None):
+        with pytest.raises(Exception, match="3 entries"):
+            sequence_mean_pool(seq.unionByName(spark.createDataFrame([("k0", bad)], seq.schema)), width=3).collect()
+
+
+def test_items_are_computed_once_for_a_selection_run(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(str(i), ["real", "fake"][i % 2], "Human" if i < 40 else "Generated_x", [float(i % 5), 1.0, float(i % 3)]) for i in range(60)]
+    items = spark.createDataFrame(rows, "video_id string, label string, source string, fea array<double>").mapInPandas(
+        counted, "video_id string, label string, source string, fea array<double>")
+    ids = lambda lo, hi: spark.range(lo, hi).selectExpr("cast(id as string) video_id")
+    data = al.prepare(items, ids(0, 30), ids(30, 40), None, al.ALConfig())
+    assert seen.value == 60 and data.train.count() == 30 and data.test.count() == 10
