@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, local_rows
 from .ranking import rank_within
 
 BINS = 1024
@@ -82,7 +82,7 @@ def select_first(df: DataFrame, value: Column, ties: Sequence[str], by: Sequence
                            *T.StructType.fromDDL("_at int, _need long, _n long, _lo double, _hi double").fields])
 
     def with_bounds(groups):
-        table = rows.sparkSession.createDataFrame([(*g, kinds[g], *bounds[g]) for g in groups], schema)
+        table = local_rows(rows.sparkSession, [(*g, kinds[g], *bounds[g]) for g in groups], schema)
         same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(own)]
         return rows.join(F.broadcast(table), same)  # a row a group
 

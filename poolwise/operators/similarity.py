@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +59,29 @@ def _matrix(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
+def _flat_matrix(lists: pa.Array) -> np.ndarray:
+    """As :func:`_matrix`, of an Arrow column in whole."""
+    if lists.null_count:
+        return _matrix(lists.to_pylist())
+    n = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if (n != n[0]).any():
+        raise ValueError("feature vectors of different lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(n), n[0])
+
+
+def _placed(pivots: np.ndarray):
+    """Adds to every row of a batch its vector's nearest pivot and the angle to it."""
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                angles = _angles(_flat_matrix(batch.column("vec")), pivots) if len(pivots) else np.full((len(batch), 1), np.nan)
+                pivot = _nearest(angles)
+                angle = np.where(pivot == LOOSE, 0.0, angles[np.arange(len(batch)), pivot])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot, pa.int32()), pa.array(angle, pa.float64())],
+                                                 names=[*batch.schema.names, "pivot", "angle"])
+    return run
+
+
 def _blocks(x: np.ndarray, block_bytes: int):
     step = max(16, block_bytes // max(8, 8 * x.shape[1]))
     return ((lo, min(lo + step, len(x))) for lo in range(0, len(x), step))
@@ -148,13 +172,6 @@ def pack_pool(pool: DataFrame, pivots: np.ndarray, id_col: str = "video_id", vec
                        F.col(vec_col).cast("array<double>").alias("vec"))
     near = T.StructType([*rows.schema, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
-    def placed(batches):
-        for pdf in batches:
-            if len(pdf):
-                angles = _angles(_matrix(pdf["vec"].values), pivots) if len(pivots) else np.full((len(pdf), 1), np.nan)
-                pivot = _nearest(angles)
-                yield pdf.assign(pivot=pivot, angle=[0.0 if p == LOOSE else a[p] for p, a in zip(pivot, angles)])
-
     def packed(batches):
         for pdf in batches:
             if not len(pdf):
@@ -167,7 +184,7 @@ def pack_pool(pool: DataFrame, pivots: np.ndarray, id_col: str = "video_id", vec
                 yield pd.DataFrame({"salt": [int(pdf["salt"].iloc[lo])], "ids": [pdf["id"].iloc[lo:hi].tolist()], "open": [opens],
                                     "n": [hi - lo], "mat": [part.tobytes()], "angles": [angles.tobytes()]})
 
-    laid = rows.mapInPandas(placed, near).repartitionByRange(spread, "pivot", "angle", F.xxhash64("id")).sortWithinPartitions("pivot", "angle")
+    laid = rows.mapInArrow(_placed(pivots), near).repartitionByRange(spread, "pivot", "angle", F.xxhash64("id")).sortWithinPartitions("pivot", "angle")
     blocks = (laid.select(F.spark_partition_id().alias("salt"), "id", "open", "vec")
               .mapInPandas(packed, "salt int, ids array<string>, open array<array<string>>, n int, mat binary, angles binary")
               .withColumn("block", F.monotonically_increasing_id()))
@@ -179,13 +196,6 @@ def _pack_anchors(anchors: DataFrame, pivots: np.ndarray, block_bytes: int) -> D
     anchors; ``anchors`` has grp, id, vec."""
     near = T.StructType([*anchors.schema, T.StructField("pivot", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
-    def placed(batches):
-        for pdf in batches:
-            if len(pdf):
-                angles = _angles(_matrix(pdf["vec"].values), pivots) if len(pivots) else np.full((len(pdf), 1), np.nan)
-                pivot = _nearest(angles)
-                yield pdf.assign(pivot=pivot, angle=[0.0 if p == LOOSE else a[p] for p, a in zip(pivot, angles)])
-
     def packed(batches):
         for pdf in batches:
             for (grp, pivot), rows in pdf.groupby(["grp", "pivot"], sort=False):
@@ -194,7 +204,7 @@ def _pack_anchors(anchors: DataFrame, pivots: np.ndarray, block_bytes: int) -> D
                     yield pd.DataFrame({"grp": [grp], "pivot": [int(pivot)], "low": [angle[lo:hi].min()], "high": [angle[lo:hi].max()],
                                         "names": [rows["id"].iloc[lo:hi].tolist()], "m": [hi - lo], "anchors": [x[lo:hi].tobytes()]})
 
-    laid = anchors.mapInPandas(placed, near).repartitionByRange("grp", "pivot", "angle").sortWithinPartitions("grp", "pivot", "angle")
+    laid = anchors.mapInArrow(_placed(pivots), near).repartitionByRange("grp", "pivot", "angle").sortWithinPartitions("grp", "pivot", "angle")
     return cut_lineage(laid.mapInPandas(packed, "grp string, pivot int, low double, high double, names array<string>, m int, anchors binary"))
 
 
@@ -225,45 +235,63 @@ def _running_max(pivots: np.ndarray, groups: list[str], met=None, skipped=None):
 
         def flush():
             ids, opens = block["ids"], block["opens"]
-            rows = [(i, g, max(float(best[g][0][k]), -1.0), best[g][1][k]) for g in groups for k, (i, o) in enumerate(zip(ids, opens))
-                    if o is None or g in o]
-            return pd.DataFrame(rows, columns=["id", "grp", "sim", "name"])
-
-        for pdf in batches:
-            for r in pdf.itertuples():
-                if block is None or block["block"] != r.block:
+            for g in groups:
+                mine = np.flatnonzero([o is None or g in o for o in opens])
+                top, names = best[g]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(mine)), pa.array([g] * len(mine), pa.string()), pa.array(np.maximum(top[mine], -1.0), pa.float64()),
+                     pa.array(names[mine], pa.string())], names=["id", "grp", "sim", "name"])
+
+        def doubles(batch, name, i, n):
+            return np.frombuffer(batch.column(name)[i].as_buffer(), dtype=np.float64).reshape(n, -1)
+
+        for batch in batches:  # of the lists only those of new blocks and of winners are looked at
+            blocks, grps, ns, ms = (batch.column(c).to_pylist() for c in ("block", "grp", "n", "m"))
+            rings = list(zip(*(batch.column(c).to_pylist() for c in ("pivot", "low", "high"))))
+            for i, (number, grp, n) in enumerate(zip(blocks, grps, ns)):
+                if block is None or block["block"] != number:
                     if block is not None:
-                        yield flush()
-                    x = np.frombuffer(r.mat, dtype=np.float64).reshape(r.n, -1)
-                    angles = np.frombuffer(r.angles, dtype=np.float64).reshape(r.n, -1)
-                    opens = [None if o is None else set(o) for o in r.open]
-                    block = {"block": r.block, "ids": list(r.ids), "opens": opens, "x": x, "norms": _norms(x), "angles": angles,
-                             "loose": np.isnan(angles).any(axis=1) if angles.shape[1] else np.ones(r.n, dtype=bool)}
-                    best = {g: (np.full(r.n, -np.inf), np.full(r.n, None, dtype=object)) for g in groups}
-                if not isinstance(r.grp, str):
+                        yield from flush()
+                    x, angles = doubles(batch, "mat", i, n).copy(), doubles(batch, "angles", i, n).copy()
+                    opens = [None if o is None else set(o) for o in batch.column("open")[i].as_py()]
+                    block = {"block": number, "ids": batch.column("ids")[i].values, "opens": opens, "x": x, "norms": _norms(x), "angles": angles,
+                             "loose": np.isnan(angles).any(axis=1) if angles.shape[1] else np.ones(n, dtype=bool),
+                             "asks": {g: np.asarray([o is None or g in o for o in opens]) for g in groups}}
+                    best = {g: (np.full(n, -np.inf), np.full(n, None, dtype=object)) for g in groups}
+                if grp is None:
                     continue
-                top, names = best[r.grp]
-                may = np.ones(r.n, dtype=bool)
-                if r.pivot != LOOSE:
-                    may = block["loose"] | ~(_most(block["angles"][:, int(r.pivot)], r.low, r.high) < top - MARGIN)
-                may &= np.asarray([o is None or r.grp in o for o in block["opens"]])
+                (top, names), (pivot, low, high) = best[grp], rings[i]
+                may = np.ones(n, dtype=bool)
+                if pivot != LOOSE:
+                    may = block["loose"] | ~(_most(block["angles"][:, pivot], low, high) < top - MARGIN)
+                may &= block["asks"][grp]
                 if not may.any():
                     if skipped is not None:
                         skipped.add(1)
                     continue
                 if met is not None:
                     met.add(1)
-                a = np.frombuffer(r.anchors, dtype=np.float64).reshape(int(r.m), -1)
+                a = doubles(batch, "anchors", i, ms[i])
                 rows = np.flatnonzero(may)
                 sims, at = _max_cosine(block["x"][rows], block["norms"][rows], a)
                 won = sims > top[rows]
                 top[rows[won]] = sims[won]
-                names[rows[won]] = np.asarray(list(r.names), dtype=object)[at[won]]
+                names[rows[won]] = np.asarray(batch.column("names")[i].as_py(), dtype=object)[at[won]]
         if block is not None:
-            yield flush()
+            yield from flush()
     return run
 
 
+def _pairs(pool: PackedPool, needs: DataFrame, sent: DataFrame) -> DataFrame:
+    """Pool blocks, each with the anchor blocks sent to its part that it needs
+    (or none). A part is a task of its own: hashed, parts would share tasks and
+    leave cores without work."""
+    asking = pool.blocks.join(needs.select("block", "needs"), "block")
+    p, s = (side.repartitionById(pool.spread, F.col("salt").cast("int")).alias(a) for side, a in ((asking, "p"), (sent, "s")))
+    return p.join(s, (F.col("p.salt") == F.col("s.salt")) & F.array_contains("p.needs", F.col("s.ring")), "left").select(
+        "p.block", "p.ids", "p.open", "p.n", "p.mat", "p.angles", "s.grp", "s.pivot", "s.low", "s.high", "s.names", "s.m", "s.anchors")
+
+
 def best_anchors(pool: PackedPool, anchors: DataFrame, groups: Sequence[str], block_bytes: int = BLOCK_BYTES, met=None, skipped=None) -> DataFrame:
     """(id, grp, sim, name): for every pool row and each of ``groups`` that it
     asks for, the largest similarity to the group's ``anchors`` (grp, id, vec)
@@ -286,11 +314,7 @@ def best_anchors(pool: PackedPool, anchors: DataFrame, groups: Sequence[str], bl
     ring = F.concat_ws("|", "grp", F.col("pivot").cast("string"))
     parts = needs.select("salt", F.explode("needs").alias("ring")).distinct()  # at most spread x groups x pivots rows
     sent = blocks.withColumn("ring", ring).join(parts, "ring")
-    asking = pool.blocks.join(needs.select("block", "needs"), "block").alias("p")
-    s = sent.alias("s")
-    joined = asking.join(s, (F.col("p.salt") == F.col("s.salt")) & F.array_contains("p.needs", F.col("s.ring")), "left").select(
-        "p.block", "p.ids", "p.open", "p.n", "p.mat", "p.angles", "s.grp", "s.pivot", "s.low", "s.high", "s.names", "s.m", "s.anchors")
-    got = joined.mapInPandas(_running_max(pivots, groups, met, skipped), "id string, grp string, sim double, name string")
+    got = _pairs(pool, needs, sent).mapInArrow(_running_max(pivots, groups, met, skipped), "id string, grp string, sim double, name string")
     best = F.max(F.struct("sim", "name"))  # blocks that Spark may have split
     return got.groupBy("id", "grp").agg(best.alias("b")).select("id", "grp", "b.sim", "b.name")
 

@@ -54,7 +54,7 @@ from ..operators.selection import select_first
 from ..operators.similarity import PackedPool, best_anchors, draw_pivots, pack_pool
 from ..operators.training import (add_sums, centroids_from_sums, class_sums, kfold_sums,
                                   map_vectors, model_wide, score_centroids, with_prediction)
-from ..session import FoldTables, cut_lineage, release, scratch_scope
+from ..session import FoldTables, cut_lineage, local_rows, release, scratch_scope
 
 # --- fixed values of the reference's run ------------------------------------
 K_FOLDS = 5          # folds
@@ -443,7 +443,7 @@ def apply_decision(rnd: dict, cfg: ALConfig, head: CentroidHead | None = None) -
 
 def empty_state(spark) -> DataFrame:
     from ..schemas import POOL_STATE
-    return spark.createDataFrame([], POOL_STATE)
+    return local_rows(spark, [], POOL_STATE)
 
 
 def al_loop(data: ALData, cfg: ALConfig, rounds: int | None = None,

@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -111,6 +112,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A few rows of the driver as a table that is part of the plan. (From a
+    list of tuples Spark makes a Python stage with a task for every core.)"""
+    import pyarrow as pa
+
+    if not all(isinstance(f.dataType, AtomicType) for f in schema.fields):
+        return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows]) for i in range(len(schema))], names=schema.names), schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table under the checkpoint folder and read
     back (survives the loss of executors, unlike ``persist``; a
@@ -149,7 +160,7 @@ class FoldTables:
         """The rows of ``folds`` (default: all)."""
         paths = [p for f, p in sorted(self.paths.items()) if folds is None or f in folds]
         if not paths:
-            return self.spark.createDataFrame([], self.schema)
+            return local_rows(self.spark, [], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def replaced(self, other: "FoldTables", folds) -> "FoldTables":

@@ -65,3 +65,11 @@ def test_hash_selections_equal_the_hash_order(spark):
     want = sorted(tuple(r) for r in df.withColumn("rn", rn).filter("rn <= 9").drop("rn").collect())
     assert sorted(tuple(r) for r in folds.random_sample(df, 9, 7, by=["fold"]).collect()) == want
     assert sorted(r["count"] for r in folds.drop_half(df).groupBy("fold").count().collect()) == [20, 21, 21]
+
+
+def test_bounds_need_no_python_stage(spark):
+    """A group's bounds are part of the plan; from a list of tuples each of them was a task for every core."""
+    df = spark.createDataFrame([(i % 3, i, float(i * 7 % 50)) for i in range(60)], "g int, id int, v double")
+    out = select_first(df, F.col("v"), ["id"], ["g"], k=5)
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 15

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from poolwise.operators import similarity
 from poolwise.operators.similarity import max_similarity, top_fraction, topk
 
 
@@ -150,3 +151,50 @@ def test_the_maximum_takes_bounded_scratch():
         assert np.allclose(top, want, atol=1e-12)
         if len(anchors):
             assert np.allclose(every[np.arange(len(rows)), at], want, atol=1e-12)
+
+
+def test_every_part_of_the_pool_is_a_task(spark):
+    """Parts hashed into tasks would leave some tasks without work and give others several parts."""
+    rng = np.random.default_rng(5)
+    pool = spark.createDataFrame([(f"p{i}", rng.normal(size=6).tolist()) for i in range(400)], "video_id string, fea array<double>")
+    anchors = spark.createDataFrame([(str(i % 2), f"a{i}", rng.normal(size=6).tolist()) for i in range(60)],
+                                    "grp string, id string, vec array<double>")
+    packed = similarity.pack_pool(pool, similarity.draw_pivots(pool), spread=6, block_bytes=6 * 8 * 16)
+    needs = packed.blocks.select("salt", "block", F.array(F.lit("0|0")).alias("needs"))
+    sent = packed.blocks.select("salt").distinct().select(
+        "salt", F.lit("0|0").alias("ring"), F.lit("0").alias("grp"), F.lit(0).alias("pivot"), F.lit(0.0).alias("low"),
+        F.lit(3.2).alias("high"), F.array(F.lit("a")).alias("names"), F.lit(1).alias("m"), F.lit(b"").alias("anchors"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = similarity._pairs(packed, needs, sent).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) == 6 and sum(r.n for r in got) == packed.blocks.count()
+    found = {(r.id, r.grp): (r.sim, r.name) for r in similarity.best_anchors(packed, anchors, ["0", "1", "2"], 6 * 8 * 16).collect()}
+    vectors = [(r.grp, r.id, np.array(r.vec)) for r in anchors.collect()]
+    for r in pool.collect():
+        v = np.array(r.fea)
+        for g in "01":
+            best = max((v @ a / np.linalg.norm(v) / np.linalg.norm(a), i) for h, i, a in vectors if h == g)
+            assert found[r.video_id, g][1] == best[1] and abs(found[r.video_id, g][0] - best[0]) < 1e-12
+        assert found[r.video_id, "2"] == (-1.0, None)
+
+
+def test_vectors_are_placed_as_rows_are():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 4))
+    x[3], x[7, 1], x[9] = 0, np.nan, 1e-9
+    pivots = x[20:24] / np.linalg.norm(x[20:24], axis=1)[:, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64()))], names=["vec"]).slice(2, 40)
+    for p in (pivots, np.zeros((0, 1))):
+        out, = similarity._placed(p)([batch])
+        angles = similarity._angles(x[2:42], p) if len(p) else np.full((40, 1), np.nan)
+        near = similarity._nearest(angles)
+        assert out.column("pivot").to_pylist() == near.tolist()
+        assert out.column("angle").to_pylist() == [0.0 if k == similarity.LOOSE else a[k] for k, a in zip(near, angles)]
+    for bad in ([[1.0], None], [[1.0], [1.0, 2.0]]):
+        with pytest.raises(ValueError):
+            list(similarity._placed(pivots)([pa.RecordBatch.from_arrays([pa.array(bad, pa.list_(pa.float64()))], names=["vec"])]))
