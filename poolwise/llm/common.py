@@ -3,6 +3,8 @@ conventions that several operators have in common."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,20 @@ def with_row_key(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Python tasks planned inside get Arrow batches of at most ``most`` rows;
+    a batch of whole texts is held by the executor's JVM and by the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= most:
+        spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """``names`` for working columns beside all columns of ``df``, each with
     underscores in front until no column has it."""

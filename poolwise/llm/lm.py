@@ -42,12 +42,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .averaging import SCHEMA, averaged, moves
-from .common import sample_of_texts, with_row_key, written
+from .common import arrow_rows, sample_of_texts, with_row_key, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END = 50256
 IDS = END + 1
 DIM, HIDDEN, LENGTH, STRIDE = 16, 24, 32, 28
+#: Texts that a task takes up at once.
+ROWS = 1024
 #: Nodes of the tree that are computed for every state at once.
 TOP = 64
 #: Stands for the end among the words; no word can be it.
@@ -56,9 +58,10 @@ SPACE = b" "
 
 
 class Speller:
-    """Words to ids; keeps what it has spelled."""
+    """Words to ids; keeps what it has spelled, of more than ``keep`` words the
+    earlier half (frequent words are met early)."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import tiktoken
 
         import public_tokenizers as P
@@ -76,13 +79,21 @@ class Speller:
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(8192, np.int32), 0
 
+    def shrink(self) -> None:
+        """Forget the later half of the words."""
+        self.generation += 1
+        n = len(self.words) // 2
+        self.words = self.words[:n]
+        self.number = {w: k for k, w in enumerate(self.words)}
+        self.used = int(self.lengths[:n].sum())
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Each word's number in the kept table."""
         get = self.number.get
         out = [get(w, -1) for w in words]
         if -1 in out:
             if len(self.number) > self.keep:
-                self.clear()
+                self.shrink()
             for w in words:
                 if w not in self.number:
                     self._add(w)
@@ -118,18 +129,24 @@ def words(text: str | None) -> list[bytes]:
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """:func:`words` of many texts at once: where each text's words begin, the
     words as codes, and the coded words."""
+    starts, codes, names = coded(texts)
+    return starts, codes, names.cast(pa.large_binary()).to_pylist()
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As :func:`coded_words`, with the coded words as an Arrow array."""
     texts = texts.take(pa.array(np.arange(len(texts))))  # a slice's buffers start elsewhere, which the splitting gets wrong
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     starts, flat = np.asarray(lists.offsets, dtype=np.int64), lists.flatten()
     starts = starts - starts[0]
-    coded = flat.dictionary_encode()
-    codes, names = np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+    found = flat.dictionary_encode()
+    codes, names = np.asarray(found.indices, dtype=np.int64), found.dictionary
     empty = np.asarray(pc.equal(names, ""), dtype=bool)  # white space at an end leaves an empty word
     if empty.any():
         keep = ~empty[codes]
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
         codes = codes[keep]
-    return starts, codes, names.cast(pa.large_binary()).to_pylist()
+    return starts, codes, names
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -200,8 +217,8 @@ def neighbourhoods(train_docs: DataFrame, usage: np.ndarray, path: str, context:
 
     def follow(batches):
         speller = Speller(path if os.path.exists(path) else tokenizer_path(name))
-        row, used, table = np.full(size, -1), 0, np.zeros((1024, context), np.int64)
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+        row, used, table = np.full(size, -1), 0, np.zeros((size, context), np.int64)  # rows take memory as they are used
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             starts, codes, names = coded_words(batch.column("text"))
             numbers = speller.numbers(names)
             seq = np.concatenate([x for a, b in zip(starts, starts[1:])
@@ -210,8 +227,6 @@ def neighbourhoods(train_docs: DataFrame, usage: np.ndarray, path: str, context:
             new = new[row[new] < 0]
             row[new] = used + np.arange(len(new))
             used += len(new)
-            while used > len(table):
-                table = np.concatenate([table, np.zeros_like(table)])
             for gap, weight in ((1, 6), (2, 3), (3, 2)):  # one over the gap, in sixths
                 a, b = slot[seq[:-gap]], seq[gap:]
                 both = (a >= 0) & (b < size)
@@ -314,7 +329,7 @@ class Model:
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target from its state."""
         row, node, sign = self.decisions(targets)
-        z = np.einsum("ij,ij->i", states[row], self.p["node"][node])
+        z = np.einsum("ij,ij->i", np.take(states, row, axis=0), np.take(self.p["node"], node, axis=0))
         z += self.p["bias"][node]
         return -np.bincount(row, weights=_cost(z, sign), minlength=len(targets))
 
@@ -352,7 +367,7 @@ class Reader:
     def states(self, x_ids: np.ndarray, first: int) -> np.ndarray:
         """States of the positions from ``first`` on, flat."""
         p = self.model.p
-        z = (p["embed"][x_ids.ravel()] @ self.into).reshape(*x_ids.shape, -1)
+        z = (np.take(p["embed"], x_ids.ravel(), axis=0) @ self.into).reshape(*x_ids.shape, -1)
         z += self.at
         q, k, v = z[:, first:, :DIM], z[:, :, DIM:2 * DIM], z[:, :, 2 * DIM:2 * DIM + HIDDEN]
         score = np.matmul(q, k.transpose(0, 2, 1))
@@ -381,7 +396,7 @@ class Reader:
                 every += p["bias"][:self.top.shape[1]]
                 z = every.ravel()[row * self.top.shape[1] + node]
             else:
-                z = np.einsum("ij,ij->i", states[row], p["node"][node])
+                z = np.einsum("ij,ij->i", np.take(states, row, axis=0), np.take(p["node"], node, axis=0))
                 z += p["bias"][node]
             cost = np.bincount(row, weights=_cost(z, signs[at]), minlength=len(targets))
             total = cost if total is None else total + cost
@@ -452,12 +467,12 @@ def train(model: Model, docs: list[np.ndarray], steps: int | None = 1500, batch:
         out, c = model.states(x_ids)
         flat = out[mask]
         row, node, sign = model.decisions(y_ids[mask])
-        z = np.einsum("ij,ij->i", flat[row], p["node"][node]) + p["bias"][node]
+        weighted = np.take(p["node"], node, axis=0)
+        z = np.einsum("ij,ij->i", np.take(flat, row, axis=0), weighted) + p["bias"][node]
         slope = (-sign / (1 + np.exp(sign * z)) / len(flat)).astype(np.float32)
         g = {}
-        g_node = slope[:, None] * flat[row]
         d_flat = np.zeros_like(flat)
-        weighted = slope[:, None] * p["node"][node]
+        weighted *= slope[:, None]
         starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         d_flat[row[starts]] = np.add.reduceat(weighted, starts, axis=0)
         d_out = np.zeros_like(out)
@@ -487,17 +502,29 @@ def train(model: Model, docs: list[np.ndarray], steps: int | None = 1500, batch:
             first[name] += 0.1 * (grad - first[name])
             second[name] += 0.01 * (grad * grad - second[name])
             p[name] -= lr * fix * first[name] / (np.sqrt(second[name]) + 1e-8)
-        for name, where, grad in (("node", node, g_node), ("bias", node, slope), ("embed", x_ids.ravel(), two(d_x))):
-            by_row = np.argsort(where.astype(np.uint16), kind="stable")  # ids and nodes fit; sixteen bits are sorted by radix
-            sorted_rows = where[by_row]
-            starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-            rows = sorted_rows[starts]  # sparse rows: only what the batch touches moves
-            summed = np.add.reduceat(grad[by_row], starts, axis=0)
+        # sparse rows: only what the batch touches moves; gradients are made in the order in which they are summed
+        nodes, by_node, node_starts = _by_row(node)
+        node_slope = slope[by_node]
+        g_node = np.take(flat, row[by_node], axis=0)
+        g_node *= node_slope[:, None]
+        ids, by_id, id_starts = _by_row(x_ids.ravel())
+        for name, rows, grad, starts in (("node", nodes, g_node, node_starts), ("bias", nodes, node_slope, node_starts),
+                                         ("embed", ids, np.take(two(d_x), by_id, axis=0), id_starts)):
+            summed = np.add.reduceat(grad, starts, axis=0)
             second[name][rows] += 0.05 * (summed * summed - second[name][rows]) + 1e-12
             first[name][rows] += 0.2 * (summed - first[name][rows])
             p[name][rows] -= lr * first[name][rows] / (np.sqrt(second[name][rows]) + 1e-6) * (0.3 if name == "bias" else 1)
 
 
+def _by_row(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of ``where``, its order by value, and where in that
+    order each value begins."""
+    order = np.argsort(where.astype(np.uint16), kind="stable")  # ids and nodes fit; sixteen bits are sorted by radix
+    ordered = where[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[starts], order, starts
+
+
 # -- on Spark ---------------------------------------------------------------
 
 def held_out(doc_id: Column) -> Column:
@@ -506,16 +533,20 @@ def held_out(doc_id: Column) -> Column:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all words and ends of ``docs``, written; counted per
-    Arrow batch, summed by word."""
+    Arrow batch in pieces of ``ROWS`` texts, summed by word."""
+    def counts_of(texts):
+        _, codes, names = coded(texts)
+        words = pa.concat_arrays([names.cast(pa.string()), pa.array([END_WORD])])
+        n = np.append(np.bincount(codes, minlength=len(names)), len(texts))
+        some = pa.array(np.flatnonzero(n))
+        return pa.table([words.take(some), pa.array(n, pa.int64()).take(some)], names=["word", "c"])
+
     def run(batches):
         for batch in batches:
             if len(batch):
-                _, codes, names = coded_words(batch.column("text"))
-                found = pa.array([*names, END_WORD.encode()], pa.binary()).cast(pa.string())
-                n = np.bincount(codes, minlength=len(names))
-                n = np.concatenate([n, [len(batch)]])
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([found.take(pa.array(some)), pa.array(n[some], pa.int64())], names=["word", "c"])
+                pieces = [counts_of(batch.column("text").slice(at, ROWS)) for at in range(0, len(batch), ROWS)]
+                summed = pa.concat_tables(pieces).group_by("word", use_threads=False).aggregate([("c", "sum")])
+                yield from summed.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches()
 
     counted = docs.select("text").mapInArrow(run, "word string, c long")
     return written(counted.groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
@@ -599,7 +630,7 @@ def refine(model: Model, train_docs: DataFrame, path: str, one_in: int = 1, buff
         def learn():
             train(mine, held, steps=None, batch=batch, rate=rate)
 
-        for rows in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+        for rows in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             starts, codes, names = coded_words(rows.column("text"))
             numbers = speller.numbers(names)
             for a, b in zip(starts, starts[1:]):
@@ -632,12 +663,13 @@ def score(docs: DataFrame, path: str | None = None, common: int = 100_000, **siz
     n, v = int(head["n"] or 0), int(head["v"])
     frequent = frequent_words(counts, common)
     end_count = frequent.get(END_WORD.encode(), 0) or (counts.filter(F.col("word") == END_WORD).first() or {"c": 0})["c"]
-    model = fit(train_docs, counts, path, **sizes)
+    with arrow_rows(docs.sparkSession, ROWS):
+        model = fit(train_docs, counts, path, **sizes)
 
     def run(batches):
         here = path if os.path.exists(path) else tokenizer_path(name)
         speller, value, generation = Speller(here), np.zeros(0), 1
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             starts, codes, names = coded_words(batch.column("text"))
             numbers = speller.numbers(names)
             if generation != speller.generation:
@@ -662,8 +694,9 @@ def score(docs: DataFrame, path: str | None = None, common: int = 100_000, **siz
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_rid", "n_tokens", "n_known", "base", "score", "rare"])
 
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = written(keyed.mapInArrow(run, "doc_id long, _rid long, n_tokens long, n_known long, base double, score double, "
-                                    "rare array<struct<word:string,k:bigint>>"), "lm-rows")
+    with arrow_rows(docs.sparkSession, ROWS):
+        rows = written(keyed.mapInArrow(run, "doc_id long, _rid long, n_tokens long, n_known long, base double, score double, "
+                                        "rare array<struct<word:string,k:bigint>>"), "lm-rows")
     rare = rows.select("_rid", F.explode("rare").alias("r")).select("_rid", "r.word", "r.k")
     rare = rare.join(counts, "word", "left").groupBy("_rid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_base"),

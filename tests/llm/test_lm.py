@@ -79,6 +79,32 @@ def test_speller_round_trip():
         assert s.encoding.decode(ids[:-1].tolist()) == "".join(" " + x.decode() for x in w)
 
 
+def test_a_full_speller_forgets_the_later_half_only():
+    s = lm.Speller(lm.tokenizer_path(), keep=6)
+    early, late = s.numbers(b"the of and to".split()), s.numbers(b"zyx wvu tsr qpo".split())
+    generation, first = s.generation, s.ids(early).tolist()
+    assert s.ids(s.numbers([b"new"])).tolist() == s.ids(s.numbers([b"new"])).tolist()
+    assert s.generation == generation + 1 and s.words == [b"the", b"of", b"and", b"to", b"new"]
+    assert s.ids(s.numbers(b"the of and to".split())).tolist() == first and s.used == s.lengths[:len(s.words)].sum()
+    assert s.encoding.decode(s.ids(s.numbers([b"zyx", b"new"]))[:-1].tolist()) == " zyx new" and len(late) == 4
+
+
+def test_tasks_that_learn_or_score_get_small_batches(spark, monkeypatch):
+    key, seen, before = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, {n: getattr(lm, n) for n in ("written", "fit")}
+    monkeypatch.setattr(lm, "written", lambda df, name, *a: (seen.update({name: int(spark.conf.get(key))}), before["written"](df, name, *a))[1])
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: (seen.update({"fit": int(spark.conf.get(key))}), before["fit"](*a, **k))[1])
+    old = spark.conf.get(key)
+    assert lm.score(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"), steps=2).count() == 2
+    assert max(seen["fit"], seen["lm-rows"]) <= lm.ROWS and spark.conf.get(key) == old
+
+
+def test_words_are_counted_in_pieces(spark):
+    texts = [f"w{i % 7} w{i} Same" for i in range(2 * lm.ROWS + 5)] + [None, "", " w0 "]
+    want = Counter(w.decode() for t in texts for w in lm.words(t)) + Counter({lm.END_WORD: len(texts)})
+    got = lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()
+    assert len(got) == len(want) and {r.word: r.c for r in got} == want
+
+
 def base(rows):
     """Exact unigram scores."""
     split = [(i, (t or "").encode().lower().split()) for i, t in rows]
