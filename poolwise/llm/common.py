@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,12 @@ def with_row_key(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def python_values(array: pa.Array) -> list:
+    """The texts or bytes of an Arrow array as ``to_pylist`` gives them, without
+    an Arrow scalar for each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int):
     """Python tasks planned inside get Arrow batches of at most ``most`` rows;

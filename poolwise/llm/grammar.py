@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .common import python_values
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -148,7 +149,7 @@ class Encoder:
         lower = pc.if_else(pa.array(whole), "", lower)
         lists = pc.ascii_split_whitespace(lower)
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = python_values(coded.dictionary)
         codes = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         missing = np.flatnonzero(codes < 0).tolist()
         if missing:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .averaging import SCHEMA, averaged, moves
-from .common import arrow_rows, sample_of_texts, with_row_key, written
+from .common import arrow_rows, python_values, sample_of_texts, with_row_key, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END = 50256
@@ -130,7 +130,7 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """:func:`words` of many texts at once: where each text's words begin, the
     words as codes, and the coded words."""
     starts, codes, names = coded(texts)
-    return starts, codes, names.cast(pa.large_binary()).to_pylist()
+    return starts, codes, python_values(names.cast(pa.large_binary()))
 
 
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

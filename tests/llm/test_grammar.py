@@ -30,6 +30,19 @@ def test_encoding_equals_the_library(encoder):
     assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_chunks_leave_arrow_as_they_are():
+    from poolwise.llm.common import python_values
+
+    some = pa.array(["a", "", "é한🙂", "x" * 500, "a\x00b", None, "\x0b"] * 40)
+    for kind in (pa.string(), pa.large_string(), pa.binary(), pa.large_binary()):
+        for array in (some.cast(kind), some.cast(kind).slice(3, 50), some.cast(kind).slice(0, 0)):
+            assert python_values(array) == array.to_pylist()
+    # chunks are asked for once a piece, as plain texts
+    small = grammar.Encoder()
+    small.encode(pa.array(["one two one", "", "two é."]))
+    assert all(type(c) is str for c in small.known) and {"one", "two", "é", "."} <= set(small.known)
+
+
 def test_forgotten_chunks_are_learned_again():
     small = grammar.Encoder(keep=3)
     for _ in range(3):
